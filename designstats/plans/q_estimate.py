@@ -114,10 +114,10 @@ def f09(spark, sf):
     return spark.range(1).select(design.degf_col().alias("df"))
 
 
-@query("f10_design_variables", with_orders("SELECT rid, round(y, 6) y, cnt + 1 up FROM d"))
+@query("f10_design_variables", with_orders("SELECT rid, round(y, 9) y, cnt + 1 up FROM d"))
 def f10(spark, sf):
     design = order_design(spark, sf).mutate(up=F.col("cnt") + 1)
-    return design.variables.select("rid", F.round("y", 6).alias("y"), "up")
+    return design.variables.select("rid", F.round("y", 9).alias("y"), "up")
 
 
 @query("f11_redesign_weight", "WITH " + with_orders(mean_sql("y")).replace("CAST(1 + b.rid % 5 AS DOUBLE) w", "CAST((1 + b.rid % 5) * (1 + b.rid % 3) AS DOUBLE) w")[5:] +
