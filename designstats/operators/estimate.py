@@ -31,7 +31,7 @@ def survey_count(
     table = design.total_variance(psu, keys, {"v": ("t", "t")}, {"n": F.sum("t")})
     table = table.select(*keys, "n", F.sqrt("v").alias("n_se"))
     if ci:
-        table = interval(table, "n", "n_se", design.degf_col() if df is None else df, level,
+        table = interval(table, "n", "n_se", design.degf() if df is None else df, level,
                          "n_low", "n_upp")
     if prop:
         table = with_share(table, "n", design.groups, "prop")
@@ -126,7 +126,7 @@ def survey_means(
     variance = design.total_variance(psu, keys, {"var": ("t", "t")})
     table = null_safe_join(by_key, variance, keys)
     table = table.withColumns({"se": F.sqrt("var")}).withColumn("cv", F.col("se") / F.col("mean"))
-    table = interval(table, "mean", "se", design.degf_col() if df is None else df, level)
+    table = interval(table, "mean", "se", design.degf() if df is None else df, level)
     out = [*keys, "mean", "se", "var", "cv", "low", "upp", "n"]
     if deff:
         gap = F.col("mean") - F.col("c")

@@ -1,9 +1,125 @@
-"""Predictions with delta-method errors, as plain column expressions."""
+"""Predictions with delta-method errors, as plain column expressions.
 
-from pyspark.sql import Column, functions as F
+The coefficients and their covariance enter as literals, so a prediction is one projection
+and runs on a five-row grid or on the whole table alike.
+"""
 
+from collections.abc import Sequence
 
-def differences(cumulative: list[Column]) -> list[Column]:
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
+
+from designstats.operators.fitting import Fit
+
+Z = 1.96  # fixed value used for prediction bands
+
+
+def differences(cumulative: Sequence[Column]) -> list[Column]:
     """Cumulative probabilities -> class probabilities (0 and 1 are added at the ends)."""
     ends = [F.lit(0.0), *cumulative, F.lit(1.0)]
     return [b - a for a, b in zip(ends, ends[1:])]
+
+
+def combination(x: Sequence[Column], coef: Sequence[float]) -> Column:
+    out = F.lit(0.0)
+    for c, b in zip(x, coef):
+        out = out + c * F.lit(float(b))
+    return out
+
+
+def quadratic(x: Sequence[Column], v: np.ndarray) -> Column:
+    """x' V x."""
+    out = F.lit(0.0)
+    for i, a in enumerate(x):
+        out = out + a * a * F.lit(float(v[i, i]))
+        for j in range(i + 1, len(x)):
+            out = out + a * x[j] * F.lit(2.0 * float(v[i, j]))
+    return out
+
+
+def standard_error(x: Sequence[Column], v: np.ndarray) -> Column:
+    return F.sqrt(F.greatest(quadratic(x, v), F.lit(0.0)))
+
+
+def predict(fit: Fit, rows: DataFrame, se: bool = True, link: str = "link") -> DataFrame:
+    """Add the linear predictor and its standard error to a grid or a table."""
+    x = [c for _, c in fit.columns]
+    p = len(x)
+    out = {link: combination(x, fit.coef[:p])}
+    if se:
+        out["se"] = standard_error(x, fit.vcov[:p, :p])
+    return rows.withColumns(out)
+
+
+def band(rows: DataFrame, transform: str = "identity", z: float = Z) -> DataFrame:
+    """predy, ll, ul from ``link`` and ``se`` on the scale of the response."""
+    back = {
+        "identity": lambda e: e,
+        "logit": lambda e: 1.0 / (1.0 + F.exp(-e)),
+        "log": F.exp,
+    }[transform]
+    link, se = F.col("link"), F.col("se")
+    return rows.withColumns({"predy": back(link), "ll": back(link - z * se), "ul": back(link + z * se)})
+
+
+def predict_response(fit: Fit, rows: DataFrame, out: str) -> DataFrame:
+    """Predicted mean for every row (propensities and the like)."""
+    back = {"binomial": "logit", "poisson": "log", "negbin": "log"}.get(fit.family, "identity")
+    eta = combination([c for _, c in fit.columns], fit.coef[: len(fit.columns)])
+    value = {"logit": 1.0 / (1.0 + F.exp(-eta)), "log": F.exp(eta), "identity": eta}[back]
+    return rows.withColumn(out, value)
+
+
+def _long(rows: DataFrame, keep: Sequence[str], names: Sequence[str], point, low, high) -> DataFrame:
+    cells = F.array(*[
+        F.struct(F.lit(n).alias("name"), p.alias("predy"), F.least(a, b).alias("ll"),
+                 F.greatest(a, b).alias("ul"))
+        for n, p, a, b in zip(names, point, low, high)
+    ])
+    return rows.select(*keep, F.inline(cells))
+
+
+def predict_ordinal(fit: Fit, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Class probabilities with limits, one row per input row and class.
+
+    Limits are taken on the cumulative scale and then differenced; they order the band but
+    are not intervals of the class probability itself.
+    """
+    x = [c for _, c in fit.columns]
+    p, cuts = len(x), fit.extra["n_cut"]
+    point, low, high = [], [], []
+    for j in range(cuts):
+        link = F.lit(float(fit.coef[p + j])) - combination(x, fit.coef[:p])
+        picked = [*range(p), p + j]
+        v = fit.vcov[np.ix_(picked, picked)].copy()
+        v[:p, p] *= -1.0  # the cut enters with the opposite sign of the slopes
+        v[p, :p] *= -1.0
+        se = standard_error([*x, F.lit(1.0)], v)
+        cdf = lambda e: 1.0 / (1.0 + F.exp(-e))
+        point.append(cdf(link))
+        low.append(cdf(link - Z * se))
+        high.append(cdf(link + Z * se))
+    names = [str(v) for v in fit.extra["levels"]]
+    return _long(rows, keep, names, differences(point), differences(low), differences(high))
+
+
+def predict_multinomial(fit: Fit, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Class probabilities with limits; every category uses its own standard error."""
+    x = [c for _, c in fit.columns]
+    p, k = fit.extra["p"], len(fit.extra["levels"])
+
+    def softmax(shift: float) -> list[Column]:
+        parts = [F.lit(1.0)]
+        for c in range(1, k):
+            at = slice((c - 1) * p, c * p)
+            link = combination(x, fit.coef[at])
+            if shift:
+                link = link + F.lit(shift) * standard_error(x, fit.vcov[at, at])
+            parts.append(F.exp(link))
+        total = parts[0]
+        for part in parts[1:]:
+            total = total + part
+        return [part / total for part in parts]
+
+    names = [str(v) for v in fit.extra["levels"]]
+    return _long(rows, keep, names, softmax(0.0), softmax(-Z), softmax(Z))

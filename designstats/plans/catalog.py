@@ -3,6 +3,7 @@
 from designstats.plans import (  # noqa: F401
     q_estimate,
     q_frame,
+    q_models,
     q_replicate,
 )
 from designstats.plans.registry import ORACLES, QUERIES  # noqa: F401

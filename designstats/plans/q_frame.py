@@ -241,7 +241,7 @@ def b26(spark, sf):
 
     t = E.survey_mean(order_design(spark, sf).group_by("grp3"), "y", df=float("inf"))
     z = (F.col("mean") - 2.5) / F.col("se")
-    return t.select("grp3", t_pvalue_col(z, order_design(spark, sf).degf_col()).alias("p_t"), norm_pvalue_col(z).alias("p_z"))
+    return t.select("grp3", t_pvalue_col(z, F.lit(float(order_design(spark, sf).degf()))).alias("p_t"), norm_pvalue_col(z).alias("p_z"))
 
 
 @query("b27_seeded_normals")
@@ -425,10 +425,10 @@ def e05b(d):
     return d.groupBy("grp3").agg(F.round(C.strict_mean("spend"), 8).alias("m"), F.round(C.strict_mean("cnt"), 8).alias("c"))
 
 
-@simple("e06_group_mutate", "SELECT rid, sum(w) OVER (PARTITION BY cluster) sumw, count(*) OVER (PARTITION BY cluster) nj, round(y - avg(y) OVER (PARTITION BY cluster), 8) dev FROM d")
+@simple("e06_group_mutate", "SELECT rid, sum(w) OVER (PARTITION BY cluster) sumw, count(*) OVER (PARTITION BY cluster) nj, round(y - avg(y) OVER (PARTITION BY cluster), 6) dev FROM d")
 def e06(d):
     t = X.group_attach(d, ["cluster"], sumw=F.sum("w"), nj=F.count(F.lit(1)), m=F.avg("y"))
-    return t.select("rid", "sumw", "nj", F.round(F.col("y") - F.col("m"), 8).alias("dev"))
+    return t.select("rid", "sumw", "nj", F.round(F.col("y") - F.col("m"), 6).alias("dev"))
 
 
 @simple("e07_row_number", "SELECT strata, grp3, CAST(row_number() OVER (PARTITION BY strata ORDER BY n DESC, grp3) AS INTEGER) rn FROM (SELECT strata, grp3, count(*) n FROM d GROUP BY ALL)")
