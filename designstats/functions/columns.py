@@ -99,3 +99,16 @@ def fixed(c: str | Column, digits: int = 4) -> Column:
 
 def logistic(x: str | Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(x)))
+
+
+def seeded_uniform(key: str | Column, seed) -> Column:
+    """Uniform in (0, 1) from a hash of seed and key: the same on any partitioning."""
+    text = F.concat(lit(seed).cast("string"), F.lit("|"), col(key).cast("string"))
+    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double")
+    return (number + 0.5) / F.lit(float(1 << 48))
+
+
+def seeded_normal(key: str | Column, seed: int) -> Column:
+    """Standard normal from two seeded uniforms (Box-Muller); uses the seeds seed and seed + 1."""
+    radius = F.sqrt(-2.0 * F.log(seeded_uniform(key, seed)))
+    return radius * F.cos(F.lit(2.0) * F.pi() * seeded_uniform(key, seed + 1))

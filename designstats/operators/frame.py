@@ -230,3 +230,46 @@ def as_factor(df: DataFrame, name: str, labels: Sequence[str] | None = None, out
     if len(labels) != len(levels):
         raise ValueError(f"{len(levels)} levels but {len(labels)} labels")
     return df.withColumn(out or name, recode(name, dict(zip(levels, labels))))
+
+
+def range_cells(df: DataFrame, value: str, key: str, slices: int = 256, split: int = 64,
+                out: tuple[str, str] = ("__cell", "__sub")) -> DataFrame:
+    """Put rows into ordered cells of about equal size, robust against heavy ties.
+
+    Cut points are approximate quantiles of ``value`` (a bounded list on the driver). A value
+    that equals a cut point gets a cell of its own, which is split further by a hash of
+    ``key``; any other cell lies strictly between two cut points.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = df.approxQuantile(value, [i / slices for i in range(slices + 1)], 0.25 / slices)
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return df.withColumns({out[0]: F.lit(0), out[1]: F.lit(0)})
+    edges = [float("-inf"), *cuts, float("inf")]
+    placed = Bucketizer(splits=edges, inputCol=value, outputCol="__bucket").transform(df)
+    lower = F.element_at(F.array(*[F.lit(float(c)) for c in edges]), F.col("__bucket").cast("int") + 1)
+    tied = F.col(value) == lower
+    cell = (2 * F.col("__bucket")).cast("int") + F.when(tied, 0).otherwise(1)
+    sub = F.when(tied, F.pmod(F.xxhash64(key), F.lit(split))).otherwise(F.lit(0)).cast("int")
+    return placed.withColumns({out[0]: cell, out[1]: sub}).drop("__bucket")
+
+
+def running_count(df: DataFrame, by: Sequence[str], value: str, key: str, counted: Column,
+                  out: str = "rank", slices: int = 256) -> DataFrame:
+    """Running number of ``counted`` rows in the order (value, key) within ``by`` groups.
+
+    Sorting happens inside range cells, the cell totals are accumulated in a small table and
+    added back, so no task holds a whole group. Rows with tied values at a cut point are
+    ordered by hash instead of key.
+    """
+    cells = range_cells(df.withColumn("__hit", counted.cast("long")), value, key, slices)
+    spot = ["__cell", "__sub"]
+    sizes = cells.groupBy(*by, *spot).agg(F.sum("__hit").alias("__n"))
+    before = Window.partitionBy(*by).orderBy(*spot).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, *spot, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy(*by, *spot).orderBy(value, key).rowsBetween(Window.unboundedPreceding, 0)
+    counted_rows = cells.withColumn(out, F.sum("__hit").over(inside))
+    # the offset table has at most 2 * slices * split rows per group
+    joined = counted_rows.join(offsets, [*by, *spot])
+    return joined.withColumn(out, F.col(out) + F.col("__off")).drop(*spot, "__off", "__hit")

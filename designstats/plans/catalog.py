@@ -5,5 +5,6 @@ from designstats.plans import (  # noqa: F401
     q_frame,
     q_models,
     q_replicate,
+    q_structures,
 )
 from designstats.plans.registry import ORACLES, QUERIES  # noqa: F401

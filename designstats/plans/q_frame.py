@@ -244,12 +244,13 @@ def b26(spark, sf):
     return t.select("grp3", t_pvalue_col(z, F.lit(float(order_design(spark, sf).degf()))).alias("p_t"), norm_pvalue_col(z).alias("p_z"))
 
 
-@query("b27_seeded_normals")
+_U = "(('0x' || substr(md5('{t}|' || rid), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+@query("b27_seeded_normals", with_orders(f"SELECT rid, round(sqrt(-2 * ln({_U.format(t=1)})) * cos(2 * pi() * {_U.format(t=2)}), 6) x FROM d"))
 def b27(spark, sf):
-    """Normal noise keyed by the row id, so that it does not depend on the partitioning."""
-    u = lambda tag: (F.pmod(F.xxhash64(F.col("rid"), F.lit(tag)), F.lit(2**53)) + 0.5) / float(2**53)
-    x = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
-    return order_rows(spark, sf).select("rid", x.alias("x"))
+    """Normal noise keyed by seed and row id, so that it does not depend on the partitioning."""
+    return order_rows(spark, sf).select("rid", F.round(C.seeded_normal("rid", 1), 6).alias("x"))
 
 
 # -- CF: filters ---------------------------------------------------------------------
@@ -425,10 +426,10 @@ def e05b(d):
     return d.groupBy("grp3").agg(F.round(C.strict_mean("spend"), 8).alias("m"), F.round(C.strict_mean("cnt"), 8).alias("c"))
 
 
-@simple("e06_group_mutate", "SELECT rid, sum(w) OVER (PARTITION BY cluster) sumw, count(*) OVER (PARTITION BY cluster) nj, round(y - avg(y) OVER (PARTITION BY cluster), 6) dev FROM d")
+@simple("e06_group_mutate", "SELECT rid, sum(w) OVER (PARTITION BY cluster) sumw, count(*) OVER (PARTITION BY cluster) nj, round(cnt - avg(cnt) OVER (PARTITION BY cluster), 6) dev FROM d")
 def e06(d):
-    t = X.group_attach(d, ["cluster"], sumw=F.sum("w"), nj=F.count(F.lit(1)), m=F.avg("y"))
-    return t.select("rid", "sumw", "nj", F.round(F.col("y") - F.col("m"), 6).alias("dev"))
+    t = X.group_attach(d, ["cluster"], sumw=F.sum("w"), nj=F.count(F.lit(1)), m=F.avg("cnt"))
+    return t.select("rid", "sumw", "nj", F.round(F.col("cnt") - F.col("m"), 6).alias("dev"))
 
 
 @simple("e07_row_number", "SELECT strata, grp3, CAST(row_number() OVER (PARTITION BY strata ORDER BY n DESC, grp3) AS INTEGER) rn FROM (SELECT strata, grp3, count(*) n FROM d GROUP BY ALL)")
