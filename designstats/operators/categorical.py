@@ -10,10 +10,10 @@ from designstats.functions import dist
 from designstats.functions.columns import col
 from designstats.operators.design import PSU, STR, Design
 from designstats.operators.fitting import (
-    Block, Fit, Step, influence_covariance, model_rows, newton,
+    Block, Fit, Step, influence_covariance, linear, model_rows, newton, num,
 )
 from designstats.operators.frame import factor_levels
-from designstats.operators.glm import glm, linear_predictor
+from designstats.operators.glm import glm
 from designstats.operators.terms import expand
 
 
@@ -41,47 +41,35 @@ def _finish(model, build, theta, info, labels, family, n, ll, extra) -> Fit:
 def _ordinal_step(x: list[str], k: int, theta: np.ndarray) -> Step:
     """Cumulative logit: P(y <= j) = logistic(zeta_j - eta)."""
     cuts, beta = theta[: k - 1], theta[k - 1 :]
-    y, w = F.col("y"), F.col("w")
-    eta = linear_predictor(x, beta)
-
-    def at(position: Column) -> Column:
-        out = None
-        for j, cut in enumerate(cuts):
-            test = position == j
-            out = F.when(test, F.lit(float(cut))) if out is None else out.when(test, F.lit(float(cut)))
-        return out
-
-    cdf = lambda c: 1.0 / (1.0 + F.exp(-c))
-    layer1 = {"eta": eta}
-    layer2 = {"fu": F.when(y == k - 1, 1.0).otherwise(cdf(at(y) - F.col("eta"))),
-              "fl": F.when(y == 0, 0.0).otherwise(cdf(at(y - 1) - F.col("eta")))}
-    upper, lower = F.col("fu"), F.col("fl")
-    layer3 = {"pr": upper - lower, "du": upper * (1 - upper), "dl": lower * (1 - lower)}
-    pr = F.col("pr")
-    layer4 = {"a": F.col("du") / pr, "b": F.col("dl") / pr,
-              "gu": F.col("du") * (1 - 2 * upper) / pr, "gl": F.col("dl") * (1 - 2 * lower) / pr}
-    a, b, gu, gl = F.col("a"), F.col("b"), F.col("gu"), F.col("gl")
-    pre = [layer1, layer2, layer3, layer4]
-    values, blocks, score = {"one": F.lit(1.0)}, [], []
+    zeta = f"array({', '.join(num(c) for c in cuts)})"
+    cdf = lambda position: f"1D / (1D + exp(eta - element_at({zeta}, CAST({position} AS INT))))"
+    pre = [
+        {"eta": linear(x, beta)},
+        # upper and lower end of the class on the probability scale
+        {"fu": f"CASE WHEN y = {k - 1} THEN 1D ELSE {cdf('y + 1')} END",
+         "fl": f"CASE WHEN y = 0 THEN 0D ELSE {cdf('y')} END"},
+        {"pr": "fu - fl", "du": "fu * (1D - fu)", "dl": "fl * (1D - fl)"},
+        {"a": "du / pr", "b": "dl / pr", "gu": "du * (1D - 2D * fu) / pr", "gl": "dl * (1D - 2D * fl) / pr"},
+    ]
+    values, blocks, score = {"one": "1D"}, [], []
     for j in range(k - 1):
-        own, below = y == j, y == j + 1
-        score.append(w * (F.when(own, a).otherwise(0.0) - F.when(below, b).otherwise(0.0)))
+        pick = lambda own, below: f"w * (CASE WHEN y = {j} THEN {own} WHEN y = {j + 1} THEN {below} ELSE 0D END)"
+        score.append(pick("a", "-b"))
         # minus second derivatives
-        values[f"d{j}"] = w * (F.when(own, a * a - gu).otherwise(0.0) + F.when(below, gl + b * b).otherwise(0.0))
+        values[f"d{j}"] = pick("a * a - gu", "gl + b * b")
         blocks.append(Block(j, j, f"d{j}", ["one"], ["one"]))
         if j + 1 < k - 1:
-            values[f"o{j}"] = w * F.when(y == j + 1, -a * b).otherwise(0.0)
+            values[f"o{j}"] = f"CASE WHEN y = {j + 1} THEN -w * a * b ELSE 0D END"
             blocks.append(Block(j, j + 1, f"o{j}", ["one"], ["one"]))
         if x:
-            values[f"m{j}"] = w * (F.when(own, gu - a * (a - b)).otherwise(0.0)
-                                   + F.when(below, b * (a - b) - gl).otherwise(0.0))
+            values[f"m{j}"] = pick("gu - a * (a - b)", "b * (a - b) - gl")
             blocks.append(Block(j, k - 1, f"m{j}", ["one"], x))
-    values["e"] = w * ((a - b) * (a - b) - gu + gl)
-    values["s"] = -w * (a - b)
-    score += [F.col("s") * F.col(c) for c in x]
+    values["e"] = "w * ((a - b) * (a - b) - gu + gl)"
+    values["s"] = "-w * (a - b)"
+    score += [f"s * {c}" for c in x]
     if x:
         blocks.append(Block(k - 1, k - 1, "e", x, x))
-    return Step([*pre, values], score, blocks, w * F.log(pr), {"n": F.lit(1)})
+    return Step([*pre, values], score, blocks, "w * ln(pr)", {"n": "1"})
 
 
 def ordinal(data: Design | DataFrame, y: str, items: Sequence, weights: str | None = None,
@@ -118,28 +106,21 @@ def ordinal(data: Design | DataFrame, y: str, items: Sequence, weights: str | No
 
 # -- multinomial ---------------------------------------------------------------------------
 def _multinomial_step(x: list[str], k: int, theta: np.ndarray) -> Step:
-    p = len(x)
-    y, w = F.col("y"), F.col("w")
-    links = {f"l{c}": linear_predictor(x, theta[(c - 1) * p : c * p]) for c in range(1, k)}
-    top = F.greatest(F.lit(0.0), *[F.col(c) for c in links]) if k > 1 else F.lit(0.0)
-    expo = {f"q{c}": F.exp(F.col(f"l{c}") - F.col("top")) for c in range(1, k)}
-    total = F.exp(-F.col("top"))
-    for c in range(1, k):
-        total = total + F.col(f"q{c}")
-    probs = {f"p{c}": F.col(f"q{c}") / F.col("total") for c in range(1, k)}
+    p, others = len(x), range(1, k)
+    links = {f"l{c}": linear(x, theta[(c - 1) * p : c * p]) for c in others}
+    expo = {f"q{c}": f"exp(l{c} - top)" for c in others}
+    probs = {f"p{c}": f"q{c} / total" for c in others}
+    own = " ".join(f"WHEN y = {c} THEN l{c}" for c in others)
     values, blocks, score = {}, [], []
-    own = F.lit(0.0)
-    for c in range(1, k):
-        values[f"r{c}"] = w * (F.when(y == c, 1.0).otherwise(0.0) - F.col(f"p{c}"))
-        score += [F.col(f"r{c}") * F.col(j) for j in x]
-        own = F.when(y == c, F.col(f"l{c}")).otherwise(own)
+    for c in others:
+        values[f"r{c}"] = f"w * ((CASE WHEN y = {c} THEN 1D ELSE 0D END) - p{c})"
+        score += [f"r{c} * {j}" for j in x]
         for d in range(c, k):
-            same = F.col(f"p{c}") if c == d else F.lit(0.0)
-            values[f"v{c}_{d}"] = w * (same - F.col(f"p{c}") * F.col(f"p{d}"))
+            values[f"v{c}_{d}"] = f"w * ({f'p{c}' if c == d else '0D'} - p{c} * p{d})"
             blocks.append(Block((c - 1) * p, (d - 1) * p, f"v{c}_{d}", x, x))
-    ll = w * (own - F.col("top") - F.log("total"))
-    return Step([links, {"top": top}, expo, {"total": total}, probs, values], score, blocks, ll,
-                {"n": F.lit(1)})
+    pre = [links, {"top": f"greatest(0D, {', '.join(links)})"}, expo,
+           {"total": " + ".join(["exp(-top)", *expo])}, probs, values]
+    return Step(pre, score, blocks, f"w * ((CASE {own} ELSE 0D END) - top - ln(total))", {"n": "1"})
 
 
 def multinomial(data: Design | DataFrame, y: str, items: Sequence, weights: str | None = None,
@@ -240,26 +221,22 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
 # -- negative binomial -----------------------------------------------------------------------
 def _negbin_step(x: list[str], theta: np.ndarray) -> Step:
     """Parameters: coefficients and log(size). Sums over 0..y-1 replace gamma functions."""
-    p = len(x)
-    size = float(np.exp(theta[-1]))
-    s, y, w = F.lit(size), F.col("y"), F.col("w")
-    below = F.when(y >= 1, F.sequence(F.lit(0).cast("long"), y.cast("long") - 1)).otherwise(
-        F.array().cast("array<bigint>"))
-    layer1 = {"mu": F.exp(linear_predictor(x, theta[:-1])), "below": below}
-    fold = lambda f: F.aggregate("below", F.lit(0.0), lambda acc, i: acc + f(i.cast("double") + s))
-    mu = F.col("mu")
-    layer2 = {"g0": fold(F.log), "g1": fold(lambda t: 1.0 / t), "g2": fold(lambda t: 1.0 / (t * t)),
-              "fact": F.aggregate("below", F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double") + 1.0)),
-              "both": mu + s}
-    both = F.col("both")
-    d1 = F.col("g1") + F.log(s) + 1.0 - F.log(both) - (y + s) / both
-    d2 = -F.col("g2") + 1.0 / s - 1.0 / both - (mu - y) / (both * both)
-    layer3 = {"one": F.lit(1.0), "r": w * s * (y - mu) / both, "v": w * mu * s * (s + y) / (both * both),
-              "c": -w * s * (y - mu) * mu / (both * both), "t": -w * (s * s * d2 + s * d1)}
-    score = [F.col("r") * F.col(c) for c in x] + [w * s * d1]
+    p, s = len(x), num(np.exp(theta[-1]))
+    fold = lambda f: f"aggregate(below, 0D, (acc, i) -> acc + {f})"
+    pre = [
+        {"mu": f"exp({linear(x, theta[:-1])})",
+         "below": "CASE WHEN y >= 1 THEN sequence(0L, CAST(y AS BIGINT) - 1L) ELSE CAST(array() AS ARRAY<BIGINT>) END"},
+        {"g0": fold(f"ln(i + {s})"), "g1": fold(f"1D / (i + {s})"), "g2": fold(f"1D / ((i + {s}) * (i + {s}))"),
+         "fact": fold("ln(i + 1D)"), "mix": f"mu + {s}"},
+        {"d1": f"g1 + ln({s}) + 1D - ln(mix) - (y + {s}) / mix",
+         "d2": f"-g2 + 1D / {s} - 1D / mix - (mu - y) / (mix * mix)"},
+        {"one": "1D", "r": f"w * {s} * (y - mu) / mix", "v": f"w * mu * {s} * ({s} + y) / (mix * mix)",
+         "c": f"-w * {s} * (y - mu) * mu / (mix * mix)", "t": f"-w * ({s} * {s} * d2 + {s} * d1)"},
+    ]
+    score = [f"r * {c}" for c in x] + [f"w * {s} * d1"]
     blocks = [Block(0, 0, "v", x, x), Block(0, p, "c", x, ["one"]), Block(p, p, "t", ["one"], ["one"])]
-    ll = w * (F.col("g0") - F.col("fact") + s * F.log(s) + y * F.log(mu) - (y + s) * F.log(both))
-    return Step([layer1, layer2, layer3], score, blocks, ll, {"n": F.lit(1)})
+    ll = f"w * (g0 - fact + {s} * ln({s}) + y * ln(mu) - (y + {s}) * ln(mix))"
+    return Step(pre, score, blocks, ll, {"n": "1"})
 
 
 def negbin(data: Design | DataFrame, y: str, items: Sequence, weights: str | None = None,

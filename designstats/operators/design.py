@@ -168,23 +168,18 @@ class Design:
         Rows of the PSU table that are absent count as zero.
         """
         needed = sorted({c for ab in pairs.values() for c in ab})
-        sums = [F.sum(c).alias(f"s_{c}") for c in needed]
-        sums += [F.sum(F.col(a) * F.col(b)).alias(f"q_{out}") for out, (a, b) in pairs.items()]
+        sums = [F.expr(f"sum({c}) AS s_{c}") for c in needed]
+        sums += [F.expr(f"sum({a} * {b}) AS q_{out}") for out, (a, b) in pairs.items()]
         sums += [e.alias(f"x_{out}") for out, e in (extra or {}).items()]
         by_stratum = psu_totals.groupBy(STR, *keys).agg(*sums).join(self.strata(), STR)
-        n, f = F.col("n_h"), F.col("f_h")
-        scale = (1 - f) * n / (n - 1)
         result = []
-        lonely_share = None
         for out, (a, b) in pairs.items():
-            spread = scale * (F.col(f"q_{out}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n)
-            if self.lonely == "fail":
-                single = F.raise_error(F.lit("stratum with a single PSU")).cast("double")
-            elif self.lonely == "adjust":
-                single = (1 - f) * F.col(f"q_{out}")
-            else:  # remove, average
-                single = F.lit(0.0)
-            result.append(F.sum(F.when(n == 1, single).otherwise(spread)).alias(out))
+            spread = f"(1 - f_h) * n_h / (n_h - 1) * (q_{out} - s_{a} * s_{b} / n_h)"
+            single = {
+                "fail": "CAST(raise_error('stratum with a single PSU') AS DOUBLE)",
+                "adjust": f"(1 - f_h) * q_{out}",
+            }.get(self.lonely, "0D")  # remove, average
+            result.append(F.expr(f"sum(CASE WHEN n_h = 1 THEN {single} ELSE {spread} END) AS {out}"))
         result += [F.sum(f"x_{out}").alias(out) for out in (extra or {})]
         table = by_stratum.groupBy(*keys).agg(*result)
         if self.lonely == "average":

@@ -31,13 +31,26 @@ class Block:
 
 @dataclass
 class Step:
-    """What a model needs per row at given parameters."""
+    """What a model needs per row at given parameters, as SQL expressions.
 
-    pre: list[dict[str, Column]]
-    score: list[Column]
+    Text keeps the driver cheap: a fit with p coefficients sums p * p products per step, and a
+    line of SQL per product is one call where Column arithmetic would be a dozen.
+    """
+
+    pre: list[dict[str, str]]
+    score: list[str]
     blocks: list[Block]
-    loglik: Column
-    extra: dict[str, Column] = field(default_factory=dict)
+    loglik: str
+    extra: dict[str, str] = field(default_factory=dict)
+
+
+def num(value: float) -> str:
+    """A double literal."""
+    return f"{float(value)!r}D"
+
+
+def linear(names: Sequence[str], coef: Sequence[float]) -> str:
+    return " + ".join(["0D", *[f"{n} * {num(b)}" for n, b in zip(names, coef)]])
 
 
 @dataclass
@@ -72,9 +85,9 @@ def model_rows(data: Design | DataFrame, y: Column | None, columns: list[tuple[s
     return ModelRows(rows, [n for n, _ in columns], data if isinstance(data, Design) else None)
 
 
-def project(rows: DataFrame, pre: list[dict[str, Column]]) -> DataFrame:
+def project(rows: DataFrame, pre: list[dict[str, str]]) -> DataFrame:
     for layer in pre:
-        rows = rows.withColumns(layer)
+        rows = rows.selectExpr("*", *[f"{e} AS {n}" for n, e in layer.items()])
     return rows
 
 
@@ -90,12 +103,9 @@ def step_sums(rows: DataFrame, step: Step, q: int) -> tuple[np.ndarray, np.ndarr
     heads = {**{f"s{k}": c for k, c in enumerate(step.score)}, "ll": step.loglik,
              **{f"e_{k}": c for k, c in step.extra.items()}}
     if len(plan) + len(heads) <= JVM_SUMS:
-        exprs = [F.sum(c).alias(k) for k, c in heads.items()]
-        exprs += [
-            F.sum(F.col(b.v) * F.col(b.a[i]) * F.col(b.b[j])).alias(f"h{n}")
-            for n, (b, i, j, _) in enumerate(plan)
-        ]
-        row = ready.agg(*exprs).first().asDict()
+        exprs = [f"sum({c}) AS {k}" for k, c in heads.items()]
+        exprs += [f"sum({b.v} * {b.a[i]} * {b.b[j]}) AS h{n}" for n, (b, i, j, _) in enumerate(plan)]
+        row = ready.selectExpr(*exprs).first().asDict()
         values = [row[f"h{n}"] for n in range(len(plan))]
     else:
         row, values = _wide_sums(ready, heads, step.blocks, plan)
@@ -110,10 +120,10 @@ def step_sums(rows: DataFrame, step: Step, q: int) -> tuple[np.ndarray, np.ndarr
     return score, info, float(row["ll"]), {k: row[f"e_{k}"] for k in step.extra}
 
 
-def _wide_sums(ready: DataFrame, heads: dict[str, Column], blocks: list[Block], plan) -> tuple[dict, list]:
+def _wide_sums(ready: DataFrame, heads: dict[str, str], blocks: list[Block], plan) -> tuple[dict, list]:
     """Many products: matrix products per Arrow batch, one short vector per task, summed by Spark."""
     needed = list(dict.fromkeys(n for b in blocks for n in (b.v, *b.a, *b.b)))
-    narrow = ready.select(*[c.alias(k) for k, c in heads.items()], *[n for n in needed if n not in heads])
+    narrow = ready.selectExpr(*[f"CAST({c} AS DOUBLE) AS {k}" for k, c in heads.items()], *needed)
     head_names = list(heads)
     shapes = [(b.v, tuple(b.a), tuple(b.b)) for b in blocks]
 
@@ -185,7 +195,7 @@ def total_covariance(design: Design, psu: DataFrame, names: Sequence[str]) -> np
 def gram(df: DataFrame, names: Sequence[str], v: str) -> np.ndarray:
     """sum v x x' of many columns."""
     block = Block(0, 0, v, list(names), list(names))
-    step = Step([], [], [block], F.lit(0.0))
+    step = Step([], [], [block], "0D")
     return step_sums(df, step, len(names))[1]
 
 
@@ -193,7 +203,7 @@ def influence_covariance(model: ModelRows, step: Step) -> np.ndarray:
     """Design covariance of the summed scores."""
     ready = project(model.rows, step.pre)
     names = [f"u{k}" for k in range(len(step.score))]
-    psu = ready.groupBy(STR, PSU).agg(*[F.sum(c).alias(n) for n, c in zip(names, step.score)])
+    psu = ready.groupBy(STR, PSU).agg(*[F.expr(f"sum({c}) AS {n}") for n, c in zip(names, step.score)])
     return total_covariance(model.design, psu, names)
 
 

@@ -7,62 +7,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from designstats.functions import dist
 from designstats.functions.columns import col
-from designstats.operators.design import PSU, STR, WT, Design
+from designstats.operators.design import Design
 from designstats.operators.fitting import (
-    Block, Fit, ModelRows, Step, influence_covariance, model_rows, newton, step_sums,
+    Block, Fit, ModelRows, Step, influence_covariance, linear, model_rows, newton, step_sums,
 )
 from designstats.operators.terms import expand
 
 
-def linear_predictor(x: Sequence[str], beta: np.ndarray) -> Column:
-    out = F.lit(0.0)
-    for name, b in zip(x, beta):
-        out = out + F.col(name) * F.lit(float(b))
-    return out
+# Mean, variance and log-likelihood (up to constants) per row, in terms of eta, mu, y, w.
+FAMILIES = {
+    "gaussian": ("eta", "1D", "-0.5D * w * (y - mu) * (y - mu)"),
+    "binomial": ("1D / (1D + exp(-eta))", "mu * (1D - mu)",
+                 "w * (y * eta - greatest(eta, 0D) - log1p(exp(-abs(eta))))"),
+    "poisson": ("exp(eta)", "mu", "w * (y * eta - mu)"),
+}
 
 
 def _step(family: str, x: list[str], beta: np.ndarray) -> Step:
-    eta, y, w = F.col("eta"), F.col("y"), F.col("w")
-    if family == "gaussian":
-        mu, var = eta, F.lit(1.0)
-        ll = -0.5 * w * (y - F.col("mu")) * (y - F.col("mu"))
-    elif family == "binomial":
-        mu = 1.0 / (1.0 + F.exp(-eta))
-        var = F.col("mu") * (1.0 - F.col("mu"))
-        # y * eta - log(1 + exp(eta)), without overflow
-        ll = w * (y * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta))))
-    elif family == "poisson":
-        mu, var = F.exp(eta), F.col("mu")
-        ll = w * (y * eta - F.col("mu"))
-    else:
-        raise ValueError(f"unknown family {family}")
-    pre = [{"eta": linear_predictor(x, beta)}, {"mu": mu}, {"var": var}, {"v": w * F.col("var"),
-           "r": w * (y - F.col("mu"))}]
-    score = [F.col("r") * F.col(c) for c in x]
-    extra = {"pearson": F.col("r") * (y - F.col("mu")) / F.col("var"), "w": w, "n": F.lit(1),
-             "wy": w * y}
+    mu, var, ll = FAMILIES[family]
+    pre = [{"eta": linear(x, beta)}, {"mu": mu}, {"var": var}, {"v": "w * var", "r": "w * (y - mu)"}]
+    extra = {"pearson": "try_divide(r * (y - mu), var)", "w": "w", "n": "1"}
     if family == "poisson":
-        extra["sat"] = F.when(y > 0, w * (y * F.log(y) - y)).otherwise(0.0)
-        extra["lfact"] = w * F.aggregate(
-            F.sequence(F.lit(1).cast("long"), F.greatest(y, F.lit(1.0)).cast("long")), F.lit(0.0),
-            lambda acc, i: acc + F.log(i.cast("double")))
-    return Step(pre, score, [Block(0, 0, "v", x, x)], ll, extra)
+        extra["sat"] = "CASE WHEN y > 0 THEN w * (y * ln(y) - y) ELSE 0D END"
+        extra["lfact"] = ("w * aggregate(sequence(1L, CAST(greatest(y, 1D) AS BIGINT)), 0D, "
+                          "(acc, i) -> acc + ln(CAST(i AS DOUBLE)))")
+    return Step(pre, [f"r * {c}" for c in x], [Block(0, 0, "v", x, x)], ll, extra)
 
 
 def _first_guess(family: str, model: ModelRows) -> np.ndarray:
     """One weighted least-squares step from the observed values."""
-    y, w = F.col("y"), F.col("w")
-    if family == "gaussian":
-        z, v = y, w
-    elif family == "binomial":
-        m = (y + 0.5) / 2.0
-        z, v = F.log(m / (1 - m)) + (y - m) / (m * (1 - m)), w * m * (1 - m)
-    else:
-        m = y + 0.1
-        z, v = F.log(m) + (y - m) / m, w * m
+    layers = {
+        "gaussian": [{"v": "w", "z": "w * y"}],
+        "binomial": [{"m": "(y + 0.5D) / 2D"}, {"v": "w * m * (1D - m)"},
+                     {"z": "v * (ln(m / (1D - m)) + (y - m) / (m * (1D - m)))"}],
+        "poisson": [{"m": "y + 0.1D"}, {"v": "w * m"}, {"z": "v * (ln(m) + (y - m) / m)"}],
+    }
     x = model.x
-    step = Step([{"v": v}, {"z": F.col("v") * z}], [F.col("z") * F.col(c) for c in x],
-                [Block(0, 0, "v", x, x)], F.lit(0.0))
+    step = Step(layers[family], [f"z * {c}" for c in x], [Block(0, 0, "v", x, x)], "0D")
     rhs, info, _, _ = step_sums(model.rows, step, len(x))
     return np.linalg.solve(info, rhs)
 
@@ -82,6 +63,8 @@ def glm(
     ``quasi`` estimates the dispersion of a plain binomial or Poisson fit; a design fit has
     the same coefficients and errors either way.
     """
+    if family not in FAMILIES:
+        raise ValueError(f"unknown family {family}")
     frame = data.df if isinstance(data, Design) else data
     columns = expand(frame, items, intercept, levels)
     model = model_rows(data, col(y).cast("double"), columns, weights)
@@ -99,11 +82,8 @@ def glm(
             score, info, ll, extra = step_sums(model.rows, build(beta), p)
         naive = np.linalg.inv(info)
         n, sw = int(extra["n"]), float(extra["w"])
-        if family == "gaussian":
-            deviance = -2.0 * ll
-        elif family == "binomial":
-            deviance = -2.0 * ll
-        else:
+        deviance = -2.0 * ll
+        if family == "poisson":
             deviance = 2.0 * (float(extra["sat"]) - ll)
             ll = ll - float(extra["lfact"])
         if model.design is not None:

@@ -3,11 +3,11 @@
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from designstats.functions import dist
 from designstats.operators.design import PSU, STR, WT, Design
-from designstats.operators.fitting import Fit, gram, total_covariance
+from designstats.operators.fitting import Fit, gram, linear, num, total_covariance
 from designstats.operators.terms import expand
 
 
@@ -32,7 +32,7 @@ class Moments:
         self.n, self.sum_w = int(means.n), float(means.w)
         self.mean = np.array([means[f"m{i}"] for i in range(k)])
         gaps = self._gaps()
-        one = gaps.agg(*[F.sum(F.col("w") * F.col(f"g{i}") * F.col(f"g{j}")).alias(f"p{i}_{j}") for i, j in self.pairs]).first()
+        one = gaps.selectExpr(*[f"sum(w * g{i} * g{j}) AS p{i}_{j}" for i, j in self.pairs]).first()
         self.factor = self.n / (self.n - 1)
         self.cov = np.zeros((k, k))
         for i, j in self.pairs:
@@ -40,28 +40,27 @@ class Moments:
 
     def _gaps(self) -> DataFrame:
         keys = [STR, PSU] if self.design else []
-        return self.rows.select(*keys, "w", *[(F.col(f"x{i}") - F.lit(float(m))).alias(f"g{i}")
-                                              for i, m in enumerate(self.mean)])
+        return self.rows.selectExpr(*keys, "w", *[f"x{i} - {num(m)} AS g{i}" for i, m in enumerate(self.mean)])
 
     @property
     def names(self) -> list[str]:
         """Means first, then covariances a~~b."""
         return [f"{a}~1" for a in self.items] + [f"{self.items[i]}~~{self.items[j]}" for i, j in self.pairs]
 
-    def _influence(self) -> list[Column]:
-        w = F.col("w") / F.lit(self.sum_w)
-        out = [w * F.col(f"g{i}") for i in range(len(self.items))]
-        return out + [w * (F.lit(self.factor) * F.col(f"g{i}") * F.col(f"g{j}") - F.lit(float(self.cov[i, j])))
-                      for i, j in self.pairs]
+    def _influence(self) -> list[str]:
+        w = f"w / {num(self.sum_w)}"
+        out = [f"{w} * g{i}" for i in range(len(self.items))]
+        return out + [f"{w} * ({num(self.factor)} * g{i} * g{j} - {num(self.cov[i, j])})" for i, j in self.pairs]
 
     def gamma(self) -> np.ndarray:
         """Covariance of the moments: between PSUs with a design, between rows without."""
-        z = [c.alias(f"z{i}") for i, c in enumerate(self._influence())]
+        z = self._influence()
         names = [f"z{i}" for i in range(len(z))]
+        gaps = self._gaps()
         if self.design is None:
-            rows = self._gaps().select(*z, F.lit(1.0).alias("one"))
+            rows = gaps.selectExpr("1D AS one", *[f"{e} AS {n}" for e, n in zip(z, names)])
             return gram(rows, names, "one") * self.n / (self.n - 1)
-        psu = self._gaps().select(STR, PSU, *z).groupBy(STR, PSU).agg(*[F.sum(n).alias(n) for n in names])
+        psu = gaps.groupBy(STR, PSU).agg(*[F.expr(f"sum({e}) AS {n}") for e, n in zip(z, names)])
         return total_covariance(self.design, psu, names)
 
     def table(self, spark) -> DataFrame:
@@ -89,41 +88,33 @@ def path_model(data: Design | DataFrame, equations: Mapping[str, Sequence], leve
     outcome = {y: f"y_{i}" for i, y in enumerate(columns)}
     rows = base.select(*keys, w.alias("w"), *picked,
                        *[F.col(y).cast("double").alias(n) for y, n in outcome.items()]).dropna()
-    wanted = {}
-    for y, cols in columns.items():
+    wanted = ["sum(w) AS sw", "count(1) AS n"]
+    for e, (y, cols) in enumerate(columns.items()):
         x = [flat[(y, i)] for i in range(len(cols))]
         for a, n in enumerate(x):
-            wanted[f"b_{y}_{a}"] = F.sum(F.col("w") * F.col(n) * F.col(outcome[y]))
-            for b in range(a, len(x)):
-                wanted[f"a_{y}_{a}_{b}"] = F.sum(F.col("w") * F.col(n) * F.col(x[b]))
-    one = rows.agg(*[e.alias(n) for n, e in wanted.items()], F.sum("w").alias("sw"), F.count(F.lit(1)).alias("n")).first()
+            wanted.append(f"sum(w * {n} * {outcome[y]}) AS b_{e}_{a}")
+            wanted += [f"sum(w * {n} * {x[b]}) AS a_{e}_{a}_{b}" for b in range(a, len(x))]
+    one = rows.selectExpr(*wanted).first()
     terms, coef, influence, residuals = [], [], [], []
-    for y, cols in columns.items():
+    for e, (y, cols) in enumerate(columns.items()):
         p = len(cols)
         x = [flat[(y, i)] for i in range(p)]
-        a = np.array([[one[f"a_{y}_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        a = np.array([[one[f"a_{e}_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
         inv = np.linalg.inv(a)
-        beta = inv @ np.array([one[f"b_{y}_{i}"] for i in range(p)])
-        fitted = F.lit(0.0)
-        for n, b in zip(x, beta):
-            fitted = fitted + F.col(n) * F.lit(float(b))
-        r = F.col(outcome[y]) - fitted
-        for i in range(p):
-            lift = F.lit(0.0)
-            for n, v in zip(x, inv[i]):
-                lift = lift + F.col(n) * F.lit(float(v))
-            influence.append(F.col("w") * r * lift)
+        beta = inv @ np.array([one[f"b_{e}_{i}"] for i in range(p)])
+        r = f"({outcome[y]} - ({linear(x, beta)}))"
+        influence += [f"w * {r} * ({linear(x, inv[i])})" for i in range(p)]
         terms += [f"{y}~{'1' if t == '(Intercept)' else t}" for t, _ in cols]
         coef += list(beta)
         residuals.append((y, r))
     # residual variances (divisor: sum of weights, as in maximum likelihood)
-    variances = rows.agg(*[(F.sum(F.col("w") * r * r) / F.sum("w")).alias(f"v{i}") for i, (_, r) in enumerate(residuals)]).first()
+    variances = rows.selectExpr(*[f"sum(w * {r} * {r}) / sum(w) AS v{i}" for i, (_, r) in enumerate(residuals)]).first()
     for i, (y, r) in enumerate(residuals):
         terms.append(f"{y}~~{y}")
         coef.append(float(variances[i]))
-        influence.append(F.col("w") * (r * r - F.lit(float(variances[i]))) / F.lit(float(one.sw)))
+        influence.append(f"w * ({r} * {r} - {num(variances[i])}) / {num(one.sw)}")
     names = [f"u{i}" for i in range(len(influence))]
-    z = rows.select(*keys, *[c.alias(n) for c, n in zip(influence, names)])
+    z = rows.selectExpr(*keys, *[f"{c} AS {n}" for c, n in zip(influence, names)])
     if design is not None:
         vcov = total_covariance(design, z.groupBy(STR, PSU).agg(*[F.sum(n).alias(n) for n in names]), names)
     else:

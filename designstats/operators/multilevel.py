@@ -9,10 +9,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from designstats.functions import dist
-from designstats.operators.fitting import Fit
+from designstats.operators.fitting import linear, num
 from designstats.operators.frame import count, group_attach
 from designstats.operators.terms import expand
 
@@ -101,55 +101,52 @@ class _ClusterTable:
         rows = df.select(F.col(cluster).alias("cluster"), w.alias("w"),
                          (F.lit(1.0) if w2 is None else F.col(w2).cast("double")).alias("w2"),
                          *[c.alias(f"v{i}") for i, c in enumerate(v)]).dropna()
-        sums = [F.sum(F.col("w") * F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}")
-                for i in range(self.p + 1) for j in range(i, self.p + 1)]
+        sums = [F.expr(f"sum(w * v{i} * v{j}) AS s{i}_{j}") for i in range(self.p + 1) for j in range(i, self.p + 1)]
         self.table = rows.groupBy("cluster").agg(
             F.first("w2").alias("w2"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *sums).persist()
-        one = self.table.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), F.sum(F.col("w2") * F.col("w")).alias("w")).first()
+        one = self.table.selectExpr("sum(n) AS n", "count(1) AS c", "sum(w2 * w) AS w").first()
         self.n, self.clusters, self.weight = int(one.n), int(one.c), float(one.w)
 
-    def s(self, i, j) -> Column:
-        return F.col(f"s{min(i, j)}_{max(i, j)}")
-
-    def pieces(self, lam: list[Column]):
-        """U rows (one per random effect), B diagonal, log-determinant, and Q(a, b)."""
-        z = self.z
+    @staticmethod
+    def s(i, j) -> str:
+        return f"s{min(i, j)}_{max(i, j)}"
+
+    def at(self, points: Sequence[Sequence[float]], ratio: bool = True) -> DataFrame:
+        """Cluster table at several parameter points: u<k>_<a>, b<k>, ld and q<a>_<b>.
+
+        A point holds the variance ratios, or (``ratio=False``) the variances with the residual
+        variance last. With S the weighted cross-products of the random-effect columns and L
+        the diagonal matrix of the ratios, u = (I + S L)^-1 S, ld = log det(I + L S), and q is
+        the cross-product of everything after the random effects are integrated out.
+        """
+        m, z = self.p + 1, self.z
+        tried = ", ".join(f"named_struct('i', {i}, 'v', array({', '.join(num(x) for x in pt)}))" for i, pt in enumerate(points))
+        rows = self.table.selectExpr("*", f"inline(array({tried})) AS (i, point)")
+        lam = [f"point[{k}]" + ("" if ratio else f" / point[{len(z)}]") for k in range(len(z))]
+        rows = rows.selectExpr("*", *[f"{e} AS lam{k}" for k, e in enumerate(lam)])
+        s = self.s
         if len(z) == 1:
-            det = 1 + lam[0] * self.s(z[0], z[0])
-            u = [lambda a: self.s(z[0], a) / det]
+            rows = rows.selectExpr("*", f"1 + lam0 * {s(z[0], z[0])} AS det")
+            u = {f"u0_{a}": f"{s(z[0], a)} / det" for a in range(m)}
         else:
-            s11, s12, s22 = self.s(z[0], z[0]), self.s(z[0], z[1]), self.s(z[1], z[1])
-            det = (1 + lam[0] * s11) * (1 + lam[1] * s22) - lam[0] * lam[1] * s12 * s12
-            u = [lambda a: ((1 + lam[1] * s22) * self.s(z[0], a) - lam[1] * s12 * self.s(z[1], a)) / det,
-                 lambda a: ((1 + lam[0] * s11) * self.s(z[1], a) - lam[0] * s12 * self.s(z[0], a)) / det]
-
-        def q(a, b):
-            out = self.s(a, b)
-            for k, row in enumerate(u):
-                out = out - lam[k] * self.s(z[k], a) * row(b)
-            return out
-
-        return u, [u[k](z[k]) for k in range(len(z))], F.log(det), q
+            s11, s12, s22 = s(z[0], z[0]), s(z[0], z[1]), s(z[1], z[1])
+            rows = rows.selectExpr("*", f"(1 + lam0 * {s11}) * (1 + lam1 * {s22}) - lam0 * lam1 * {s12} * {s12} AS det")
+            u = {f"u0_{a}": f"((1 + lam1 * {s22}) * {s(z[0], a)} - lam1 * {s12} * {s(z[1], a)}) / det" for a in range(m)}
+            u.update({f"u1_{a}": f"((1 + lam0 * {s11}) * {s(z[1], a)} - lam0 * {s12} * {s(z[0], a)}) / det" for a in range(m)})
+        rows = rows.selectExpr("*", *[f"{e} AS {n}" for n, e in u.items()])
+        q = {f"q{a}_{b}": s(a, b) + "".join(f" - lam{k} * {s(z[k], a)} * u{k}_{b}" for k in range(len(z)))
+             for a in range(m) for b in range(a, m)}
+        return rows.selectExpr("*", "ln(det) AS ld", *[f"u{k}_{z[k]} AS b{k}" for k in range(len(z))],
+                               *[f"{e} AS {n}" for n, e in q.items()])
 
     def evaluate(self, points: Sequence[Sequence[float]]) -> list[dict]:
         """Sums needed for the profile likelihood at several variance ratios, in one job."""
-        tried = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(v)) for v in pt]).alias("lam"))
-                          for i, pt in enumerate(points)])
-        spread = self.table.withColumn("pt", F.explode(tried))
-        lam = [F.col("pt.lam")[k] for k in range(len(self.z))]
-        u, b, logdet, q = self.pieces(lam)
-        m = self.p + 1
-        inner = {f"u{k}_{a}": row(a) for k, row in enumerate(u) for a in range(m)}
-        ready = spread.select("w2", F.col("pt.i").alias("i"), logdet.alias("ld"), *[c.alias(n) for n, c in inner.items()],
-                              *[c.alias(f"b{k}") for k, c in enumerate(b)],
-                              *[q(i, j).alias(f"q{i}_{j}") for i in range(m) for j in range(i, m)])
-        w2 = F.col("w2")
-        sums = [F.sum(w2 * F.col("ld")).alias("ld")]
-        sums += [F.sum(w2 * F.col(f"b{k}")).alias(f"b{k}") for k in range(len(u))]
-        sums += [F.sum(w2 * F.col(f"q{i}_{j}")).alias(f"q{i}_{j}") for i in range(m) for j in range(i, m)]
-        sums += [F.sum(w2 * F.col(f"u{k}_{i}") * F.col(f"u{k}_{j}")).alias(f"g{k}_{i}_{j}")
-                 for k in range(len(u)) for i in range(m) for j in range(i, m)]
-        found = {r.i: r for r in ready.groupBy("i").agg(*sums).collect()}
+        m, effects = self.p + 1, range(len(self.z))
+        sums = ["sum(w2 * ld) AS ld", *[f"sum(w2 * b{k}) AS b{k}" for k in effects]]
+        sums += [f"sum(w2 * q{i}_{j}) AS q{i}_{j}" for i in range(m) for j in range(i, m)]
+        sums += [f"sum(w2 * u{k}_{i} * u{k}_{j}) AS g{k}_{i}_{j}" for k in effects for i in range(m) for j in range(i, m)]
+        rows = self.at(points).groupBy("i").agg(*[F.expr(e) for e in sums]).collect()
+        found = {r.i: r for r in rows}
         return [self._profile(found[i]) for i in range(len(points))]
 
     def _profile(self, r) -> dict:
@@ -239,57 +236,32 @@ def mixed(
 
 def _robust_fixed(t: _ClusterTable, lam, beta, inv) -> np.ndarray:
     """Cluster-robust covariance: inverse information around the sum of squared cluster scores."""
-    _, _, _, q = t.pieces([F.lit(float(v)) for v in lam])
-    scores = []
-    for a in range(t.p):
-        s = q(a, t.p)
-        for b in range(t.p):
-            s = s - q(a, b) * F.lit(float(beta[b]))
-        scores.append((F.col("w2") * s).alias(f"r{a}"))
-    ready = t.table.select(*scores)
-    one = ready.agg(*[F.sum(F.col(f"r{a}") * F.col(f"r{b}")).alias(f"m{a}_{b}") for a in range(t.p) for b in range(a, t.p)]).first()
+    q = lambda a, b: f"q{min(a, b)}_{max(a, b)}"
+    scores = [f"w2 * ({q(a, t.p)}" + "".join(f" - {q(a, b)} * {num(beta[b])}" for b in range(t.p)) + f") AS r{a}" for a in range(t.p)]
+    pairs = [(a, b) for a in range(t.p) for b in range(a, t.p)]
+    one = t.at([lam]).selectExpr(*scores).selectExpr(*[f"sum(r{a} * r{b}) AS m{a}_{b}" for a, b in pairs]).first()
     meat = np.array([[one[f"m{min(a, b)}_{max(a, b)}"] for b in range(t.p)] for a in range(t.p)])
     return inv @ meat @ inv
 
 
 def _component_vcov(t: _ClusterTable, beta, tau2, sigma2) -> np.ndarray:
     """Sandwich covariance of the variance components, from cluster scores of the likelihood."""
-    k = len(t.z)
+    k, m = len(t.z), t.p + 1
     point = np.append(tau2, sigma2)
     h = np.maximum(point * 1e-4, 1e-10)
     tried = [point] + [point + s * h * (np.arange(k + 1) == i) for i in range(k + 1) for s in (1, -1)]
-    spread = t.table.withColumn("pt", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(v)) for v in pt]).alias("v")) for i, pt in enumerate(tried)])))
-    s2 = F.col("pt.v")[k]
-    lam = [F.col("pt.v")[i] / s2 for i in range(k)]
-    u, b, _, q = t.pieces(lam)
     c = [*(-beta), 1.0]
-    m = t.p + 1
-
-    def combine(f):
-        out = F.lit(0.0)
-        for a in range(m):
-            out = out + f(a) * F.lit(float(c[a]))
-        return out
-
-    uy = [combine(row) for row in u]
-    quad = F.lit(0.0)
-    for i in range(m):
-        for j in range(m):
-            quad = quad + q(i, j) * F.lit(float(c[i] * c[j]))
-    base = spread.select("w2", "w", F.col("pt.i").alias("i"), s2.alias("s2"), quad.alias("quad"),
-                         *[x.alias(f"lam{n}") for n, x in enumerate(lam)], *[x.alias(f"b{n}") for n, x in enumerate(b)],
-                         *[x.alias(f"u{n}") for n, x in enumerate(uy)])
-    v, w2 = F.col("s2"), F.col("w2")
-    scores = [-0.5 * (F.col(f"b{n}") / v - F.col(f"u{n}") * F.col(f"u{n}") / (v * v)) for n in range(k)]
-    last = F.col("w") / v - F.col("quad") / (v * v)
-    for n in range(k):
-        last = last - F.col(f"lam{n}") * (F.col(f"b{n}") / v - F.col(f"u{n}") * F.col(f"u{n}") / (v * v))
-    scores.append(-0.5 * last)
-    ready = base.select("i", *[(w2 * s).alias(f"s{n}") for n, s in enumerate(scores)])
-    sums = [F.sum(f"s{a}").alias(f"t{a}") for a in range(k + 1)]
-    sums += [F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"m{a}_{b}") for a in range(k + 1) for b in range(a, k + 1)]
-    rows = {r.i: r for r in ready.groupBy("i").agg(*sums).collect()}
+    quad = " + ".join(f"q{min(i, j)}_{max(i, j)} * {num(c[i] * c[j])}" for i in range(m) for j in range(m))
+    rows = t.at(tried, ratio=False).selectExpr(
+        "*", f"point[{k}] AS v", f"{quad} AS quad",
+        *[f"{linear([f'u{n}_{a}' for a in range(m)], c)} AS e{n}" for n in range(k)])
+    inner = [f"(b{n} / v - e{n} * e{n} / (v * v))" for n in range(k)]
+    scores = [f"w2 * -0.5D * {e} AS c{n}" for n, e in enumerate(inner)]
+    rest = "".join(f" - lam{n} * {e}" for n, e in enumerate(inner))
+    scores.append(f"w2 * -0.5D * (w / v - quad / (v * v){rest}) AS c{k}")
+    sums = [f"sum(c{a}) AS t{a}" for a in range(k + 1)]
+    sums += [f"sum(c{a} * c{b}) AS m{a}_{b}" for a in range(k + 1) for b in range(a, k + 1)]
+    rows = {r.i: r for r in rows.selectExpr("i", *scores).groupBy("i").agg(*[F.expr(e) for e in sums]).collect()}
     total = lambda i: np.array([rows[i][f"t{a}"] for a in range(k + 1)])
     bread = np.stack([(total(1 + 2 * i) - total(2 + 2 * i)) / (2 * h[i]) for i in range(k + 1)], 1)
     meat = np.array([[rows[0][f"m{min(a, b)}_{max(a, b)}"] for b in range(k + 1)] for a in range(k + 1)])

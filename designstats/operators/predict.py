@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from designstats.operators.fitting import Fit
+from designstats.operators.fitting import Fit, linear, num
 
 Z = 1.96  # fixed value used for prediction bands
 
@@ -20,35 +20,30 @@ def differences(cumulative: Sequence[Column]) -> list[Column]:
     return [b - a for a, b in zip(ends, ends[1:])]
 
 
-def combination(x: Sequence[Column], coef: Sequence[float]) -> Column:
-    out = F.lit(0.0)
-    for c, b in zip(x, coef):
-        out = out + c * F.lit(float(b))
-    return out
+def named(fit: Fit, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Add the model columns of a fit as __x0, __x1, ..."""
+    names = [f"__x{i}" for i in range(len(fit.columns))]
+    return rows.withColumns(dict(zip(names, [c for _, c in fit.columns]))), names
 
 
-def quadratic(x: Sequence[Column], v: np.ndarray) -> Column:
+def quadratic(x: Sequence[str], v: np.ndarray) -> str:
     """x' V x."""
-    out = F.lit(0.0)
-    for i, a in enumerate(x):
-        out = out + a * a * F.lit(float(v[i, i]))
-        for j in range(i + 1, len(x)):
-            out = out + a * x[j] * F.lit(2.0 * float(v[i, j]))
-    return out
+    parts = [f"{x[i]} * {x[j]} * {num((1 if i == j else 2) * v[i, j])}" for i in range(len(x)) for j in range(i, len(x))]
+    return " + ".join(["0D", *parts])
 
 
-def standard_error(x: Sequence[Column], v: np.ndarray) -> Column:
-    return F.sqrt(F.greatest(quadratic(x, v), F.lit(0.0)))
+def standard_error(x: Sequence[str], v: np.ndarray) -> str:
+    return f"sqrt(greatest({quadratic(x, v)}, 0D))"
 
 
 def predict(fit: Fit, rows: DataFrame, se: bool = True, link: str = "link") -> DataFrame:
     """Add the linear predictor and its standard error to a grid or a table."""
-    x = [c for _, c in fit.columns]
+    ready, x = named(fit, rows)
     p = len(x)
-    out = {link: combination(x, fit.coef[:p])}
+    added = [f"{linear(x, fit.coef[:p])} AS {link}"]
     if se:
-        out["se"] = standard_error(x, fit.vcov[:p, :p])
-    return rows.withColumns(out)
+        added.append(f"{standard_error(x, fit.vcov[:p, :p])} AS se")
+    return ready.selectExpr("*", *added).drop(*x)
 
 
 def band(rows: DataFrame, transform: str = "identity", z: float = Z) -> DataFrame:
@@ -64,10 +59,9 @@ def band(rows: DataFrame, transform: str = "identity", z: float = Z) -> DataFram
 
 def predict_response(fit: Fit, rows: DataFrame, out: str) -> DataFrame:
     """Predicted mean for every row (propensities and the like)."""
-    back = {"binomial": "logit", "poisson": "log", "negbin": "log"}.get(fit.family, "identity")
-    eta = combination([c for _, c in fit.columns], fit.coef[: len(fit.columns)])
-    value = {"logit": 1.0 / (1.0 + F.exp(-eta)), "log": F.exp(eta), "identity": eta}[back]
-    return rows.withColumn(out, value)
+    ready, x = named(fit, rows)
+    form = {"binomial": "1D / (1D + exp(-({eta})))", "poisson": "exp({eta})", "negbin": "exp({eta})"}.get(fit.family, "{eta}")
+    return ready.selectExpr("*", form.format(eta=linear(x, fit.coef[: len(x)])) + f" AS {out}").drop(*x)
 
 
 def _long(rows: DataFrame, keep: Sequence[str], names: Sequence[str], point, low, high) -> DataFrame:
@@ -85,41 +79,36 @@ def predict_ordinal(fit: Fit, rows: DataFrame, keep: Sequence[str]) -> DataFrame
     Limits are taken on the cumulative scale and then differenced; they order the band but
     are not intervals of the class probability itself.
     """
-    x = [c for _, c in fit.columns]
+    rows, x = named(fit, rows)
     p, cuts = len(x), fit.extra["n_cut"]
     point, low, high = [], [], []
+    cdf = lambda e: F.expr(f"1D / (1D + exp(-({e})))")
     for j in range(cuts):
-        link = F.lit(float(fit.coef[p + j])) - combination(x, fit.coef[:p])
+        link = f"{num(fit.coef[p + j])} - ({linear(x, fit.coef[:p])})"
         picked = [*range(p), p + j]
         v = fit.vcov[np.ix_(picked, picked)].copy()
         v[:p, p] *= -1.0  # the cut enters with the opposite sign of the slopes
         v[p, :p] *= -1.0
-        se = standard_error([*x, F.lit(1.0)], v)
-        cdf = lambda e: 1.0 / (1.0 + F.exp(-e))
+        se = standard_error([*x, "1D"], v)
         point.append(cdf(link))
-        low.append(cdf(link - Z * se))
-        high.append(cdf(link + Z * se))
+        low.append(cdf(f"{link} - {Z} * {se}"))
+        high.append(cdf(f"{link} + {Z} * {se}"))
     names = [str(v) for v in fit.extra["levels"]]
     return _long(rows, keep, names, differences(point), differences(low), differences(high))
 
 
 def predict_multinomial(fit: Fit, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Class probabilities with limits; every category uses its own standard error."""
-    x = [c for _, c in fit.columns]
+    rows, x = named(fit, rows)
     p, k = fit.extra["p"], len(fit.extra["levels"])
 
     def softmax(shift: float) -> list[Column]:
-        parts = [F.lit(1.0)]
+        parts = ["1D"]
         for c in range(1, k):
             at = slice((c - 1) * p, c * p)
-            link = combination(x, fit.coef[at])
-            if shift:
-                link = link + F.lit(shift) * standard_error(x, fit.vcov[at, at])
-            parts.append(F.exp(link))
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        return [part / total for part in parts]
+            move = f" + {num(shift)} * {standard_error(x, fit.vcov[at, at])}" if shift else ""
+            parts.append(f"exp({linear(x, fit.coef[at])}{move})")
+        return [F.expr(f"{part} / ({' + '.join(parts)})") for part in parts]
 
     names = [str(v) for v in fit.extra["levels"]]
     return _long(rows, keep, names, softmax(0.0), softmax(-Z), softmax(Z))

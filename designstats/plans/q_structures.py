@@ -252,19 +252,19 @@ def n02(spark, sf):
     return rounded(correlations(N.rescale_weights(order_rows(spark, sf), "cluster", "w"), ["w", "aw1", "bw1"]), 8)
 
 
-_SCHOOLS = {"High_BUILDING": 120.0, "High_MACHINERY": 80.0, "Middle_BUILDING": 60.0, "Middle_MACHINERY": 140.0}
+_SCHOOLS = {f"{level}_{kind}": float(n) for level, sizes in (("High", (120, 80, 95, 60, 70)), ("Middle", (60, 140, 85, 75, 110)))
+            for kind, n in zip(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), sizes)}
 # cell of a cluster: level by the parity of its id, type = market segment
 _LEVEL = "CASE WHEN cluster % 2 = 0 THEN 'High' ELSE 'Middle' END"
 
 
-@query("n03_cluster_weights", with_orders(f"""s AS (SELECT level, strata, count(*) n FROM (SELECT DISTINCT cluster, {_LEVEL} AS level, strata FROM d WHERE strata IN ('BUILDING', 'MACHINERY')) GROUP BY ALL),
+@query("n03_cluster_weights", with_orders(f"""s AS (SELECT level, strata, count(*) n FROM (SELECT DISTINCT cluster, {_LEVEL} AS level, strata FROM d) GROUP BY ALL),
 p AS (SELECT * FROM (VALUES {', '.join(f"('{k.split('_')[0]}', '{k.split('_')[1]}', {v})" for k, v in _SCHOOLS.items())}) v(level, strata, value))
 SELECT level, strata, round((value / (SELECT sum(value) FROM p)) / (n / (SELECT sum(n) FROM s)), 8) w2 FROM s JOIN p USING (level, strata)"""))
 def n03(spark, sf):
     wide = sources.literal_table(spark, [tuple(_SCHOOLS.values())], ", ".join(f"{k} double" for k in _SCHOOLS))
     population = sources.counts_from_wide(wide, ["level", "strata"])
-    rows = order_rows(spark, sf).where(F.col("strata").isin("BUILDING", "MACHINERY"))
-    rows = rows.withColumn("level", F.when(F.col("cluster") % 2 == 0, "High").otherwise("Middle"))
+    rows = order_rows(spark, sf).withColumn("level", F.when(F.col("cluster") % 2 == 0, "High").otherwise("Middle"))
     return rounded(N.cluster_weights(rows, "cluster", ["level", "strata"], population), 8)
 
 
