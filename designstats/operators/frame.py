@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from designstats.functions.columns import col
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -25,12 +25,15 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str =
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach a lookup table to rows without moving the rows when the table is small.
 
-    The table is counted (at most ``max_rows`` + 1 rows) before it is broadcast. A larger one
-    is joined by key, where adaptive execution splits hot keys.
+    At most ``max_rows`` + 1 rows of the table are fetched to see its size. A table within the
+    bound is kept as a literal relation and broadcast (a cached one would stop Spark from
+    recognising equal shuffles above it). A larger one is joined by key, where adaptive
+    execution splits hot keys.
     """
-    table = table.persist()
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(table), list(on), how)
+    head = table.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
+        small = rows.sparkSession.createDataFrame(head, table.schema)
+        return rows.join(F.broadcast(small), list(on), how)
     return rows.join(table, list(on), how)
 
 
@@ -49,10 +52,11 @@ def group_attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFram
     """Keep the rows and add group-wise aggregates to each of them.
 
     A window would sort every group inside one task; the groups are aggregated first and
-    joined back instead, so one huge group costs no more than many small ones.
+    joined back instead. The join is left to adaptive execution: broadcast when the table of
+    groups turns out small, otherwise by key with hot groups split.
     """
     table = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    return lookup_join(df, table, keys)
+    return df.join(table, list(keys), "left")
 
 
 def union_tagged(tables: Mapping[str, DataFrame], tag: str) -> DataFrame:
@@ -106,27 +110,29 @@ def rank_select(rows: DataFrame, targets: Sequence[float], bins: int = 2048) ->
     Exact selection by repeated histograms: each pass sums the weights in ``bins`` equal
     slices of the open brackets and keeps the slice that holds the target. A slice whose
     smallest and largest value agree is the answer. No pass sorts or moves the rows; only
-    bin sums reach the driver.
+    bin sums reach the driver. The first pass narrows the brackets by ``bins``, and only the
+    rows left inside are kept for the later ones.
     """
-    rows = rows.persist()
+    edge = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if edge.lo is None:
+        return [None] * len(targets)
+    # per target: bracket [lo, hi] and the weight below it
+    state = [(edge.lo, edge.hi, 0.0) for _ in targets]
+    within = lambda lo, hi: (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
+    left = None
     try:
-        edge = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        if edge.lo is None:
-            return [None] * len(targets)
-        # per target: bracket [lo, hi] and the weight below it
-        state = [(edge.lo, edge.hi, 0.0) for _ in targets]
         while True:
             open_ = sorted({s for s in state if s[0] < s[1]})
             if not open_:
                 return [s[0] for s in state]
+            source = rows if left is None else left
             slices = []
             for i, (lo, hi, _) in enumerate(open_):
                 step = (hi - lo) / bins
                 cell = F.floor((F.col("x") - F.lit(lo)) / F.lit(step)) if step > 0 else F.lit(0)
                 cell = F.least(cell.cast("long"), F.lit(bins - 1).cast("long"))
-                inside = (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
-                slices.append(F.when(inside, F.struct(F.lit(i).alias("i"), cell.alias("c"))))
-            hits = rows.select("x", "w", F.explode(F.array_compact(F.array(*slices))).alias("s"))
+                slices.append(F.when(within(lo, hi), F.struct(F.lit(i).alias("i"), cell.alias("c"))))
+            hits = source.select("x", "w", F.explode(F.array_compact(F.array(*slices))).alias("s"))
             table = (
                 hits.groupBy("s.i", "s.c")
                 .agg(F.sum("w").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -138,17 +144,23 @@ def rank_select(rows: DataFrame, targets: Sequence[float], bins: int = 2048) ->
                     continue
                 i = open_.index((lo, hi, below))
                 mine = [r for r in table if r.i == i]
+                reached = lambda weight: weight >= target * (1 - 1e-12)
                 for j, r in enumerate(mine):
-                    if below + r.w >= target * (1 - 1e-12) or j == len(mine) - 1:
-                        if (r.lo, r.hi) == (lo, hi):  # two values too close to slice further
-                            exact = rows.where((F.col("x") == lo)).agg(F.sum("w")).first()[0]
-                            state[k] = (lo, lo, below) if below + exact >= target * (1 - 1e-12) else (hi, hi, below)
-                        else:
-                            state[k] = (r.lo, r.hi, below)
+                    if reached(below + r.w) or j == len(mine) - 1:
+                        state[k] = (r.lo, r.hi, below)
+                        if (r.lo, r.hi) == (lo, hi):  # neighbours too close to slice further
+                            at_lo = source.where(F.col("x") == lo).agg(F.sum("w")).first()[0]
+                            state[k] = (lo, lo, below) if reached(below + at_lo) else (hi, hi, below)
                         break
                     below += r.w
+            if left is None:
+                inside = F.lit(False)
+                for lo, hi, _ in state:
+                    inside = inside | within(lo, hi)
+                left = rows.where(inside).persist()
     finally:
-        rows.unpersist()
+        if left is not None:
+            left.unpersist()
 
 
 def quantile_type7(df: DataFrame, x: str, probs: Sequence[float]) -> DataFrame:

@@ -69,12 +69,12 @@ def _independent_runs(units: DataFrame, slices: int) -> DataFrame:
     best = F.greatest(F.col("off") + F.col("hi"), F.coalesce(F.col("next_hi"), F.col("off") + F.col("hi")))
     up = F.greatest(F.lit(0), best - (p - F.col("step")))
     full = full.select("id", "treated", "score", *_SPOT, *[c for c in _ORDER if c != "id"],
-                       (F.col("base") + F.col("k")).alias("pos"), p.alias("p"), down.alias("down"), up.alias("up"))
-    # a run starts after a position with down = 0 whose successor has up = 0
-    starts = full.where((F.col("up") == 0)).select("pos")
-    ends = full.where(F.col("down") == 0).select((F.col("pos") + 1).alias("pos"))
-    cuts = starts.join(ends, "pos").withColumn("cut", F.lit(1))
-    marked = full.join(cuts, "pos", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+                       (F.col("base") + F.col("k")).alias("pos"), p.alias("p"), down.alias("down"), up.alias("up"),
+                       (F.col("off") - F.col("prev_lo")).alias("down_before_cell"))
+    # a run starts where up = 0 and the position before has down = 0
+    ordered = Window.partitionBy(*_SPOT).orderBy(*_ORDER)
+    before_me = F.coalesce(F.lag("down").over(ordered), F.col("down_before_cell"))
+    marked = full.withColumn("cut", ((F.col("up") == 0) & (before_me == 0)).cast("int"))
     marked = marked.withColumn("r", F.sum("cut").over(inside))
     runs = marked.groupBy(*_SPOT).agg(F.sum("cut").alias("cuts"))
     runs = runs.select(*_SPOT, F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("run0"))
