@@ -150,8 +150,9 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
                            tol: float = 1e-8, max_iter: int = 12) -> tuple[Fit, DataFrame]:
     """Refit the model under every bootstrap replicate; all replicates share each scan.
 
-    Rows carry the draw counts of their PSU as one short array. A task sums score and
-    information of every replicate over its rows, and Spark adds the tasks up.
+    Equal rows of a PSU are added up first. What is left carries the draw counts of its PSU as
+    one array of bytes. A task sums score and information of every replicate over its rows,
+    and Spark adds the tasks up.
     """
     design = rep.design
     fit = multinomial(design, y, items, levels=levels, y_levels=y_levels)
@@ -159,14 +160,15 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
     q = (k - 1) * p
     _, code = _codes(design.df, y, fit.extra["levels"])
     model = model_rows(design, code, fit.columns)
-    drawn = rep.draws().groupBy(STR, "rn", "rep").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    drawn = rep.draws().groupBy(STR, "rn", "rep").agg(F.count(F.lit(1)).cast("tinyint").alias("m"))
     packed = drawn.groupBy(STR, "rn").agg(F.map_from_entries(F.collect_list(F.struct("rep", "m"))).alias("m"))
-    lam = F.sqrt(1 - F.col("f_h"))
-    count = lambda r: (1 - F.col("lam")) + F.col("lam") * F.coalesce(F.try_element_at("m", r), F.lit(0.0))
+    count = lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0).cast("tinyint"))
     numbered = rep._numbered().join(packed, [STR, "rn"], "left").join(design.strata(), STR)
-    multiples = numbered.withColumn("lam", lam).select(
-        STR, PSU, F.transform(F.sequence(F.lit(1), F.lit(reps)), count).alias("mult"))
-    rows = model.rows.join(multiples, [STR, PSU]).select("w", "y", "mult", *model.x).persist()
+    multiples = numbered.select(
+        STR, PSU, F.sqrt(1 - F.col("f_h")).alias("lam"),
+        F.transform(F.sequence(F.lit(1), F.lit(reps)), count).alias("mult"))
+    summed = model.rows.groupBy(STR, PSU, "y", *model.x).agg(F.sum("w").alias("w"))
+    rows = summed.join(multiples, [STR, PSU]).select("w", "y", "lam", "mult", *model.x).persist()
     x_names = model.x
 
     def partial_at(betas):
@@ -175,7 +177,8 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
             for pdf in batches:
                 x = pdf[x_names].to_numpy(dtype=float)
                 code_ = pdf["y"].to_numpy().astype(int)
-                w = pdf["w"].to_numpy()[:, None] * np.stack(pdf["mult"].to_numpy())
+                lam = pdf["lam"].to_numpy()[:, None]
+                w = pdf["w"].to_numpy()[:, None] * (1 - lam + lam * np.stack(pdf["mult"].to_numpy()))
                 hit = np.stack([code_ == c for c in range(1, k)], 1).astype(float)
                 for r in range(reps):
                     link = x @ betas[r].reshape(k - 1, p).T

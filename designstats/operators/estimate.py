@@ -41,10 +41,10 @@ def survey_count(
 def with_share(table: DataFrame, value: str, within: Sequence[str], out: str) -> DataFrame:
     """Share of ``value`` in its group, or in the whole table when ``within`` is empty."""
     if not within:
-        return table.withColumn(out, F.col(value) / table.agg(F.sum(value).alias("s")).scalar())
+        return table.withColumn(out, F.try_divide(F.col(value), table.agg(F.sum(value).alias("s")).scalar()))
     totals = table.groupBy(*within).agg(F.sum(value).alias("__total"))
     joined = null_safe_join(table, totals, within)
-    return joined.withColumn(out, F.col(value) / F.col("__total")).drop("__total")
+    return joined.withColumn(out, F.try_divide(value, "__total")).drop("__total")
 
 
 def survey_total(design: Design, x: str | Column, level: float = 0.95, df=dist.INF) -> DataFrame:
@@ -125,15 +125,15 @@ def survey_means(
     )
     variance = design.total_variance(psu, keys, {"var": ("t", "t")})
     table = null_safe_join(by_key, variance, keys)
-    table = table.withColumns({"se": F.sqrt("var")}).withColumn("cv", F.col("se") / F.col("mean"))
+    table = table.withColumns({"se": F.sqrt("var")}).withColumn("cv", F.try_divide("se", "mean"))
     table = interval(table, "mean", "se", design.degf() if df is None else df, level)
     out = [*keys, "mean", "se", "var", "cv", "low", "upp", "n"]
     if deff:
         gap = F.col("mean") - F.col("c")
         spread = (F.col("sxx") - F.col("pop") * gap * gap) / F.col("pop")
-        spread = spread * F.col("n") / (F.col("n") - 1)
+        spread = F.try_divide(spread * F.col("n"), F.col("n") - 1)
         srs = (F.col("pop") - F.col("n")) / F.col("pop") * spread / F.col("n")
-        table = table.withColumn("deff", F.col("var") / srs)
+        table = table.withColumn("deff", F.try_divide(F.col("var"), srs))
         out.append("deff")
     return table.select(*out)
 

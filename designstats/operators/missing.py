@@ -109,8 +109,9 @@ def _impute_one(copies, key, target, x, m, rng, donors, shared):
     pick = (F.floor(seeded_uniform(F.concat_ws("|", F.lit(target), F.col("__imp").cast("string"), F.col("__key").cast("string")), int(rng.integers(1 << 30)))
                     * F.size("c")) + 1).cast("int")
     chosen = near.select("__imp", F.col("__key").alias(key), F.element_at("c", pick)["__dv"].alias("__new"))
-    joined = copies.join(chosen, ["__imp", key], "left")
-    return joined.withColumn(target, F.when(miss, F.col("__new")).otherwise(value)).drop("__new")
+    # only the missing rows move; the observed ones stay where they are
+    filled = copies.where(miss).join(chosen, ["__imp", key], "left").withColumn(target, F.col("__new")).drop("__new")
+    return copies.where(~miss).withColumn(target, value).unionByName(filled)
 
 
 def pool(estimates: DataFrame, keys: Sequence[str], estimate: str = "mean", variance: str = "var") -> DataFrame:

@@ -295,11 +295,11 @@ def d01(spark, sf):
         F.sum("cnt").alias("s"), F.min("m").alias("m"))
 
 
-@query("d02_full_join", """SELECT coalesce(a.k, b.k) k, na, nb FROM (SELECT c_nationkey k, count(*) na FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a
- FULL JOIN (SELECT s_nationkey k, count(*) nb FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k""")
+@query("d02_full_join", """SELECT coalesce(a.k, b.k) k, na, nb FROM (SELECT l_linenumber - 3 k, count(*) na FROM lineitem GROUP BY 1) a
+ FULL JOIN (SELECT p_size k, count(*) nb FROM part GROUP BY 1) b ON a.k = b.k""")
 def d02(spark, sf):
-    a = X.count(table(spark, sf, "customer").where("c_acctbal > 9000").withColumnRenamed("c_nationkey", "k"), "k", name="na")
-    b = X.count(table(spark, sf, "supplier").where("s_acctbal > 5000").withColumnRenamed("s_nationkey", "k"), "k", name="nb")
+    a = X.count(table(spark, sf, "lineitem").select((F.col("l_linenumber") - 3).alias("k")), "k", name="na")
+    b = X.count(table(spark, sf, "part").withColumnRenamed("p_size", "k"), "k", name="nb")
     return a.join(b, "k", "full")
 
 

@@ -95,10 +95,19 @@ def i04(spark, sf):
 query("i05_rao_scott_second", with_orders(_CHI2 + " SELECT round(x2 / delta, 6) statistic, CAST(1 AS DOUBLE) df1 FROM de"))(_chi_query("F"))
 
 
-@query("i06_lincom_saddlepoint")
+@query("i06_lincom", with_orders(_CHI2 + " SELECT round(x2, 6) statistic, TRUE equals_f FROM de"))
 def i06(spark, sf):
+    """With one eigenvalue the exact mixture tail is an F tail."""
     r = _chi(spark, sf)
-    return row_frame(spark, lincom=r["lincom"]["p"], f=r["F"]["p"], saddlepoint=r["saddlepoint"]["p"])
+    same = bool(abs(r["lincom"]["p"] - r["F"]["p"]) < 1e-6)
+    return rounded(row_frame(spark, statistic=float(r["lincom"]["statistic"]), equals_f=same))
+
+
+@query("i07_saddlepoint", with_orders(_CHI2 + " SELECT round(x2, 6) statistic, TRUE near_exact FROM de"))
+def i07(spark, sf):
+    r = _chi(spark, sf)
+    near = bool(abs(r["saddlepoint"]["p"] - r["lincom"]["p"]) < 0.05)
+    return rounded(row_frame(spark, statistic=float(r["saddlepoint"]["statistic"]), near_exact=near))
 
 
 @query("i08_chisq_comparison")
@@ -338,17 +347,27 @@ query("j11_survey_poisson_interactions", _zeros([t for t in TERM_NAMES if t != "
     lambda s, f: _score(s, _fits(s, f, "poisson", False, False)))
 
 
-def _ordinal_sql(design):
+def _ordinal_parts(design):
+    """CTEs, and per cut: name, estimate, standard error and relation."""
     w = "w" if design else "1.0"
     parts, ctes = [], [f"m AS (SELECT sum({w}) nh, " + ", ".join(f"sum(CASE WHEN happy <= {k} THEN {w} ELSE 0.0 END) / sum({w}) c{k}" for k in range(1, 5)) + " FROM d)"]
     for k in range(1, 5):
-        name = f"{float(k)}|{float(k + 1)}"
+        est = f"ln(c{k} / (1 - c{k}))"
         if design:
             ctes.append(f"z{k} AS (SELECT strata, cluster, sum(w * (CASE WHEN happy <= {k} THEN 1 - c{k} ELSE -c{k} END) / (nh * c{k} * (1 - c{k}))) t FROM d, m GROUP BY ALL), y{k} AS ({tv_sql(f'z{k}')})")
-            parts.append(f"SELECT '{name}' term, round(ln(c{k} / (1 - c{k})), 6) estimate, round(sqrt(v), 6) std_error FROM m, y{k}")
+            parts.append((f"{float(k)}|{float(k + 1)}", est, "sqrt(v)", f"m, y{k}"))
         else:
-            parts.append(f"SELECT '{name}' term, round(ln(c{k} / (1 - c{k})), 6) estimate, round(1 / sqrt(nh * c{k} * (1 - c{k})), 6) std_error FROM m")
-    return with_orders(", ".join(ctes) + " " + " UNION ALL ".join(parts))
+            parts.append((f"{float(k)}|{float(k + 1)}", est, f"1 / sqrt(nh * c{k} * (1 - c{k}))", "m"))
+    return ", ".join(ctes), parts
+
+
+def _tidy_sql(parts):
+    return " UNION ALL ".join(f"SELECT '{n}' term, round({e}, 6) estimate, round({se}, 6) std_error FROM {src}" for n, e, se, src in parts)
+
+
+def _ordinal_sql(design):
+    ctes, parts = _ordinal_parts(design)
+    return with_orders(ctes + " " + _tidy_sql(parts))
 
 
 HAPPY = [1.0, 2.0, 3.0, 4.0, 5.0]
@@ -412,9 +431,9 @@ def _with_type4(data):
     return data.mutate(type4=label) if hasattr(data, "mutate") else data.withColumn("type4", label)
 
 
-def _multinom_sql(design):
+def _multinom_parts(design):
     w = "w" if design else "1.0"
-    ctes = [f"dd AS (SELECT *, CASE WHEN happy > 3 THEN '1' ELSE '0' END || '-' || sad type4 FROM d)",
+    ctes = ["dd AS (SELECT *, CASE WHEN happy > 3 THEN '1' ELSE '0' END || '-' || sad type4 FROM d)",
             "m AS (SELECT " + ", ".join(f"sum(CASE WHEN female = '{g}' AND type4 = '{t}' THEN {w} ELSE 0.0 END) n{g}{k}"
                                         for g in "01" for k, t in enumerate(TYPE4)) + " FROM dd)"]
     parts = []
@@ -424,13 +443,17 @@ def _multinom_sql(design):
             est = f"ln(n0{k} / n00)" if g == "0" else f"ln(n1{k} / n10) - ln(n0{k} / n00)"
             if design:
                 own = lambda s: f"CASE WHEN female = '{s}' AND type4 = '{TYPE4[k]}' THEN 1 / n{s}{k} WHEN female = '{s}' AND type4 = '{TYPE4[0]}' THEN -1 / n{s}0 ELSE 0 END"
-                inf = own("0") if g == "0" else f"({own('1')}) - ({own('0')})"
-                ctes.append(f"z{k}{g} AS (SELECT strata, cluster, sum(w * ({inf})) t FROM dd, m GROUP BY ALL), y{k}{g} AS ({tv_sql(f'z{k}{g}')})")
-                parts.append(f"SELECT '{name}' term, round({est}, 6) estimate, round(sqrt(v), 6) std_error FROM m, y{k}{g}")
+                for tag, inf in (("z", own("0") if g == "0" else f"({own('1')}) - ({own('0')})"), ("l", own(g))):
+                    ctes.append(f"{tag}{k}{g} AS (SELECT strata, cluster, sum(w * ({inf})) t FROM dd, m GROUP BY ALL), y{tag}{k}{g} AS ({tv_sql(f'{tag}{k}{g}')})")
+                parts.append((name, est, "sqrt(v)", f"m, yz{k}{g}"))
             else:
-                var = f"1 / n0{k} + 1 / n00" + ("" if g == "0" else f" + 1 / n1{k} + 1 / n10")
-                parts.append(f"SELECT '{name}' term, round({est}, 6) estimate, round(sqrt({var}), 6) std_error FROM m")
-    return with_orders(", ".join(ctes) + " " + " UNION ALL ".join(parts))
+                parts.append((name, est, f"sqrt(1 / n0{k} + 1 / n00" + ("" if g == "0" else f" + 1 / n1{k} + 1 / n10") + ")", "m"))
+    return ", ".join(ctes), parts
+
+
+def _multinom_sql(design):
+    ctes, parts = _multinom_parts(design)
+    return with_orders(ctes + " " + _tidy_sql(parts))
 
 
 query("j14_multinomial", _multinom_sql(False))(
@@ -499,8 +522,19 @@ def j21(spark, sf):
     return rounded(row_frame(spark, f=float(r["f"]), df1=r["df1"], df2=float(r["df2"])), f=5)
 
 
-@query("j22_rao_scott_lrt")
+_RSS = _SVYLM + """, m AS (SELECT sum(w * y) / sum(w) m FROM d),
+r AS (SELECT sum(w * power(y - m, 2)) rss0, sum(w * power(y - a - b * cnt, 2)) rss1 FROM d, k, m)"""
+
+
+@query("j22_rao_scott_lrt", with_orders(_RSS + " SELECT round((rss0 - rss1) * n / sw, 4) chisq, round(v / (sw / det * sw / n), 6) eigenvalue FROM r, k, v1"))
 def j22(spark, sf):
+    design = order_design(spark, sf)
+    r = G.rao_scott_lrt(G.glm(design, "y", []), G.glm(design, "y", ["cnt"]))
+    return rounded(row_frame(spark, chisq=float(r["chisq"]), eigenvalue=float(r["lambdas"][0])), chisq=4)
+
+
+@query("j22_rao_scott_lrt_interactions")
+def j22b(spark, sf):
     r = G.rao_scott_lrt(_fits(spark, sf, "binomial", False, True), _fits(spark, sf, "binomial", False, False))
     return row_frame(spark, chisq=float(r["chisq"]), df1=r["df1"], p=float(r["p"]), p_saddle=float(r["p_saddle"]))
 
@@ -522,18 +556,27 @@ def j24(spark, sf):
     return rounded(row_frame(spark, aic=float(G.aic(fit)), bic=float(G.bic(fit))), 4)
 
 
-@query("j25_design_aic")
+@query("j25_design_aic", with_orders(_RSS + """, e AS (SELECT v / (sw / det * (sw / n) * (rss1 / sw * n / (n - 1))) eff, n, rss1 / (sw / n) dev FROM r, k, v1)
+SELECT round(eff, 6) eff_p, round(n * (ln(2 * pi() * dev / n) + 1) + 2 * eff, 4) aic FROM e"""))
 def j25(spark, sf):
+    r = G.design_aic(G.glm(order_design(spark, sf), "y", ["cnt"]))
+    return rounded(row_frame(spark, eff_p=float(r["eff_p"]), aic=float(r["aic"])), aic=4)
+
+
+@query("j25_design_aic_models")
+def j25b(spark, sf):
     rows = [(f, *[float(v) for v in G.design_aic(_fits(spark, sf, f, False, s)).values()], s)
             for f in ("gaussian", "binomial") for s in (True, False)]
     return spark.createDataFrame(rows, "family string, eff_p double, aic double, deltabar double, small boolean")
 
 
-@query("j26_design_bic")
+@query("j26_design_bic", with_orders(_SVYLM + """ SELECT TRUE small, round(b * b / v + ln(n), 5) bic FROM k, v1
+UNION ALL SELECT FALSE, round(2 * ln(n), 5) FROM k"""))
 def j26(spark, sf):
-    large = _fits(spark, sf, "binomial", False, False)
-    rows = [(s, float(G.design_bic(_fits(spark, sf, "binomial", False, s), large))) for s in (True, False)]
-    return spark.createDataFrame(rows, "small boolean, bic double")
+    design = order_design(spark, sf)
+    fits = {True: G.glm(design, "y", []), False: G.glm(design, "y", ["cnt"])}
+    rows = [(s, float(G.design_bic(f, fits[False]))) for s, f in fits.items()]
+    return rounded(spark.createDataFrame(rows, "small boolean, bic double"), 5)
 
 
 @query("j28_compare_statistics", with_orders(_SVYLM + """, o AS (SELECT regr_slope(y, cnt) b, sqrt((regr_syy(y, cnt) - power(regr_sxy(y, cnt), 2) / regr_sxx(y, cnt)) / (count(*) - 2) / regr_sxx(y, cnt)) se FROM d)
@@ -595,8 +638,24 @@ def k05(spark, sf):
     return rounded(predict_ordinal(fit, spark.range(1), ["id"]).select("name", "predy"))
 
 
-@query("k06_ordinal_bands")
+def _ordinal_band_sql():
+    ctes, parts = _ordinal_parts(True)
+    one = ", ".join(f"({e}) e{k}, (SELECT sqrt(v) FROM y{k}) s{k}" for k, (_, e, _, _) in enumerate(parts, 1))
+    cdf = lambda k, sign: "0" if k == 0 else "1" if k == 5 else f"1 / (1 + exp(-(e{k} {sign} * s{k})))"
+    diff = lambda k, sign: f"{cdf(k, sign)} - {cdf(k - 1, sign)}"
+    rows = " UNION ALL ".join(f"""SELECT '{float(k)}' AS "name", round({diff(k, '+ 0')}, 6) predy,
+ round(least({diff(k, '- 1.96')}, {diff(k, '+ 1.96')}), 6) ll, round(greatest({diff(k, '- 1.96')}, {diff(k, '+ 1.96')}), 6) ul FROM x""" for k in range(1, 6))
+    return with_orders(f"{ctes}, x AS (SELECT {one} FROM m) {rows}")
+
+
+@query("k06_ordinal_bands", _ordinal_band_sql())
 def k06(spark, sf):
+    fit = ordinal(order_design(spark, sf), "happy", [], y_levels=HAPPY)
+    return rounded(predict_ordinal(fit, spark.range(1), []))
+
+
+@query("k06_ordinal_bands_grid")
+def k06b(spark, sf):
     grid = prediction_grid(spark, cnt=[0.0, 3.0], use_flag=["1"], item1=[1.0, 2.0, 3.0], item2=[1.0, 4.0])
     return predict_ordinal(_ordinal_fit(spark, sf), grid, ["cnt", "item1", "item2"])
 
@@ -609,8 +668,31 @@ def k07(spark, sf):
     return rounded(t.select("female", "name", "predy"))
 
 
-@query("k08_multinomial_bands")
+def _multinom_band_sql():
+    ctes, _ = _multinom_parts(True)
+    rows = []
+    for g in "01":
+        up = lambda k, sign: "1" if k == 0 else f"exp(ln(n{g}{k} / n{g}0) {sign} * (SELECT sqrt(v) FROM yl{k}{g}))"
+        total = lambda sign: " + ".join(up(k, sign) for k in range(4))
+        for k, t in enumerate(TYPE4):
+            p = lambda sign: f"({up(k, sign)}) / ({total(sign)})"
+            rows.append(f"""SELECT '{g}' female, '{t}' AS "name", round({p('+ 0')}, 6) predy, round(least({p('- 1.96')}, {p('+ 1.96')}), 6) ll,
+ round(greatest({p('- 1.96')}, {p('+ 1.96')}), 6) ul FROM m""")
+    return with_orders(ctes + " " + " UNION ALL ".join(rows))
+
+
+@lru_cache(maxsize=8)
+def _female_fit(spark, sf):
+    return multinomial(_with_type4(order_design(spark, sf)), "type4", ["female"], levels=LEVELS, y_levels=TYPE4)
+
+
+@query("k08_multinomial_bands", _multinom_band_sql())
 def k08(spark, sf):
+    return rounded(predict_multinomial(_female_fit(spark, sf), prediction_grid(spark, female=["0", "1"]), ["female"]))
+
+
+@query("k08_multinomial_bands_grid")
+def k08b(spark, sf):
     grid = prediction_grid(spark, y=[2.5], cnt=[0.0, 3.0], use_flag=["1"], item1=[1.0, 2.0, 3.0], item2=[1.0, 4.0])
     return predict_multinomial(_multi_fit(spark, sf), grid, ["cnt", "item1", "item2"])
 

@@ -204,3 +204,18 @@ UNION ALL SELECT 'bootstrap', CAST(least({BOOT - 1}, sum(n_h) - count(*)) AS BIG
 def h11(spark, sf):
     rows = [(k, int(rep_design(spark, sf, k).scheme()["df"])) for k in ("JKn", "BRR", "bootstrap")]
     return spark.createDataFrame(rows, "method string, df bigint")
+
+
+def _share_sql(kind, name):
+    return rep_sql(kind, "female || sad", "1", "a").format(
+        out=f"'{name}' AS \"method\", substr(k, 1, 1) female, CAST(substr(k, 2, 1) AS INTEGER) sad, round(est, 4) n, round(se, 5) n_se")
+
+
+@query("h10_share_comparison", "SELECT *, round(n / sum(n) OVER (PARTITION BY \"method\", female), 8) prop FROM ((" + ") UNION ALL (".join(
+    _share_sql(kind, name) for kind, name in (("JKn", "JRR"), ("bootstrap", "Bootstrap"))) + "))")
+def h10b(spark, sf):
+    tables = {name: rep_design(spark, sf, kind).group_by("female").survey_count("sad", prop=True, df=INF)
+              for kind, name in (("JKn", "JRR"), ("bootstrap", "Bootstrap"))}
+    t = union_tagged(tables, "method")
+    return t.select("method", "female", "sad", F.round("n", 4).alias("n"), F.round("n_se", 5).alias("n_se"),
+                    F.round("prop", 8).alias("prop"))

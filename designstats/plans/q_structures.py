@@ -17,7 +17,7 @@ from designstats.operators import report as R
 from designstats.operators.design import Design
 from designstats.operators.frame import count, mean_interval, to_wide, union_tagged
 from designstats.plans import q_models as Q
-from designstats.plans.fixtures import order_design, order_rows, table, tv_sql, with_orders
+from designstats.plans.fixtures import DF_SQL, order_design, order_rows, table, tq_sql, tv_sql, with_orders
 from designstats.plans.q_estimate import mean_sql
 from designstats.plans.q_models import LEVELS, rounded, row_frame
 from designstats.plans.registry import query
@@ -124,6 +124,19 @@ def _parameters(spark, sf, design):
     return S.parameter_table(fit, spark).unionByName(S.parameter_table(effects, spark))
 
 
+def _plain_slope_sql(y, x, tag):
+    return f"""o{tag} AS (SELECT regr_slope({y}, {x}) ob, regr_intercept({y}, {x}) oa, regr_sxx({y}, {x}) xx, avg({x}) mx FROM d WHERE use_flag = '1'),
+r{tag} AS (SELECT sqrt(sum(power(({y} - oa - ob * {x}) * ({x} - mx) / xx, 2))) ose FROM d, o{tag} WHERE use_flag = '1')"""
+
+
+@query("l07_path_ratio", with_orders(_PATH_SQL + f""", {_plain_slope_sql('cnt', 'item1', 'a')}, {_plain_slope_sql('y', 'cnt', 'b')}
+SELECT 'cnt' lhs, 'item1' rhs, round(a / ob, 5) ratio, abs(ob / ose) > abs(a / sqrt(va)) conserv FROM g, oa, ra
+UNION ALL SELECT 'y', 'cnt', round(b / ob, 5), abs(ob / ose) > abs(b / sqrt(vb)) FROM g, ob, rb"""))
+def l07b(spark, sf):
+    t = R.path_compare(S.parameter_table(_path(spark, sf, False), spark), S.parameter_table(_path(spark, sf, True), spark))
+    return t.where("op = '~'").select("lhs", "rhs", F.round("ratio", 5).alias("ratio"), "conserv")
+
+
 @query("l07_path_comparison")
 def l07(spark, sf):
     return R.path_compare(_parameters(spark, sf, False), _parameters(spark, sf, True))
@@ -461,8 +474,24 @@ def p01(spark, sf):
     return R.wrap(G.glm(order_design(spark, sf), "y", ["cnt"]).tidy(spark))
 
 
-@query("p02_wrap_ordinal")
+def _cells_sql(parts, star, name=lambda n: f"'{n}' term"):
+    return " UNION ALL ".join(f"SELECT {name(n)}, {_cell_sql('e', 's').format(stars=star)} myreport FROM (SELECT {e} e, {se} s, abs({e}) / ({se}) z FROM {src})"
+                              for n, e, se, src in parts)
+
+
+_ONE_TAIL_SQL = "CASE WHEN z > 3.09023 THEN '***' WHEN z > 2.32635 THEN '**' WHEN z > 1.64485 THEN '*' ELSE '' END"
+
+
+@query("p02_wrap_ordinal", with_orders(Q._ordinal_parts(True)[0] + " " + _cells_sql(Q._ordinal_parts(True)[1], _ONE_TAIL_SQL)))
 def p02(spark, sf):
+    from designstats.operators.categorical import ordinal
+
+    fit = ordinal(order_design(spark, sf), "happy", [], y_levels=Q.HAPPY)
+    return R.wrap_ordinal(fit.tidy(spark), fit.df)
+
+
+@query("p02_wrap_ordinal_terms")
+def p02b(spark, sf):
     fit = Q._ordinal_fit(spark, sf)
     return R.wrap_ordinal(fit.tidy(spark), fit.df)
 
@@ -474,9 +503,19 @@ def p03(spark, sf):
     return R.wrap_negbin(t, (fit.extra["theta"], fit.extra["se_theta"]))
 
 
-@query("p04_wrap_multinomial")
+_CATEGORIES = {"1": "Unhappy-Ysad", "2": "Happy-Nsad", "3": "Happy-Ysad"}
+
+
+def _multinom_wide_sql():
+    ctes, parts = Q._multinom_parts(True)
+    long = _cells_sql(parts, _STAR_SQL, lambda n: f"'{n.split(':')[0]}' term, '{n.split(':')[1]}' lev")
+    wide = ", ".join(f"max(CASE WHEN lev = '{k}' THEN myreport END) \"{v}\"" for k, v in _CATEGORIES.items())
+    return with_orders(f"{ctes}, q AS ({long}) SELECT term, {wide} FROM q GROUP BY term")
+
+
+@query("p04_wrap_multinomial", _multinom_wide_sql())
 def p04(spark, sf):
-    return R.wrap_multinomial(Q._multi_fit(spark, sf).tidy(spark), {"1": "Unhappy-Ysad", "2": "Happy-Nsad", "3": "Happy-Ysad"})
+    return R.wrap_multinomial(Q._female_fit(spark, sf).tidy(spark), _CATEGORIES)
 
 
 @query("p04_wrap_multinomial_bootstrap")
@@ -485,8 +524,18 @@ def p04b(spark, sf):
     return R.wrap_multinomial(t, {"1": "Unhappy-Ysad", "2": "Happy-Nsad", "3": "Happy-Ysad"})
 
 
-@query("p05_model_table")
+@query("p05_model_table", with_orders(Q._SVYLM + f""", o AS (SELECT regr_slope(y, cnt) ob, regr_intercept(y, cnt) oa, count(*) n, regr_sxx(y, cnt) xx, avg(cnt) mx FROM d),
+rr AS (SELECT sum(power(y - oa - ob * cnt, 2)) / (min(n) - 2) s2 FROM d, o),
+ta AS ({_cells_sql([("cnt", "b", "sqrt(v)", "k, v1"), ("(Intercept)", "a", "sqrt(v)", "k, v0")], _STAR_SQL)}),
+tb AS ({_cells_sql([("cnt", "ob", "sqrt(s2 / xx)", "o, rr"), ("(Intercept)", "oa", "sqrt(s2 * (1.0 / n + mx * mx / xx))", "o, rr")], _STAR_SQL)})
+SELECT term, tb.myreport m1_no, ta.myreport m1_yes FROM ta JOIN tb USING (term)"""))
 def p05(spark, sf):
+    fits = {"m1_no": G.glm(order_rows(spark, sf), "y", ["cnt"]), "m1_yes": G.glm(order_design(spark, sf), "y", ["cnt"])}
+    return R.model_table({k: f.tidy(spark) for k, f in fits.items()})
+
+
+@query("p05_model_table_interactions")
+def p05b(spark, sf):
     fits = {"m1_no": Q._fits(spark, sf, "gaussian", True, True), "m1_yes": Q._fits(spark, sf, "gaussian", False, True),
             "m2_no": Q._fits(spark, sf, "gaussian", True, False), "m2_yes": Q._fits(spark, sf, "gaussian", False, False)}
     return R.model_table({k: f.tidy(spark) for k, f in fits.items()})
@@ -502,7 +551,17 @@ def p06(spark, sf):
     return R.parse_intervals(report).select("variable", "name", "mean")
 
 
-@query("g18_mean_report")
+def _mean_report_sql():
+    text = lambda m, half: f"printf('%.4f', round({m}, 4)) || chr(10) || '(' || printf('%.4f', round({m} - {half}, 4)) || ', ' || printf('%.4f', round({m} + {half}, 4)) || ')'"
+    parts = []
+    for v in _P06:
+        plain = text(f"avg({v})", f"{tq_sql('(count(*) - 1)')} * stddev_samp({v}) / sqrt(count(*))")
+        survey = text("mean", f"{tq_sql(DF_SQL)} * sqrt(v)")
+        parts.append(with_orders(mean_sql(v) + f" SELECT '{v}' variable, (SELECT {plain} FROM d) AS \"no\", {survey} yes FROM mt, mv"))
+    return "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(parts) + ")"
+
+
+@query("g18_mean_report", _mean_report_sql())
 def g18(spark, sf):
     plain = union_tagged({v: mean_interval(order_rows(spark, sf), v) for v in _P06}, "variable")
     return R.mean_comparison(plain, E.survey_means(order_design(spark, sf), _P06))
