@@ -1,5 +1,6 @@
 """Design-based (Taylor) estimates: counts, totals, means, tables, quantiles, histograms."""
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -211,22 +212,20 @@ def histogram(rows: DataFrame, x: str, breaks: Sequence[float], weight: str | No
     )
 
 
-def pretty_breaks(lo: float, hi: float, n: int) -> list[float]:
-    """Round break points covering [lo, hi] in steps of 1, 2 or 5 times a power of ten."""
-    import math
+# A step of 2, 5 or 10 is taken once the raw step (in powers of ten) exceeds these.
+STEP_LIMITS = ((7.0, 10.0), (2.8, 5.0), (1.4, 2.0))
+
 
+def pretty_breaks(lo: float, hi: float, n: int) -> list[float]:
+    """Round break points covering [lo, hi], about n of them, in steps of 1, 2 or 5 times 10^k."""
     raw = (hi - lo) / max(n, 1)
     base = 10.0 ** math.floor(math.log10(raw))
-    step = next(m * base for m in (1.0, 2.0, 5.0, 10.0) if m * base >= raw * (1 - 1e-9) or m == 10.0)
-    if step / 2.5 >= raw and step == 5 * base:
-        step = 2 * base
+    step = base * next((unit for limit, unit in STEP_LIMITS if raw / base > limit), 1.0)
     first, last = math.floor(lo / step + 1e-7), math.ceil(hi / step - 1e-7)
     return [k * step for k in range(first, last + 1)]
 
 
 def default_breaks(rows: DataFrame, x: str) -> list[float]:
     """Sturges class count on the range of the data."""
-    import math
-
     row = rows.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
     return pretty_breaks(float(row.lo), float(row.hi), math.ceil(math.log2(row.n) + 1))

@@ -1,7 +1,5 @@
 """Sources (A), projections (B), filters (CF), joins and reshapes (D), plain aggregates (E)."""
 
-import tempfile
-
 from pyspark.sql import Window, functions as F
 
 from designstats import sources
@@ -10,6 +8,7 @@ from designstats.operators import frame as X
 from designstats.operators import estimate as E
 from designstats.plans.fixtures import order_design, order_rows, table, tq_sql, with_orders
 from designstats.plans.registry import query
+from designstats.session import scratch_path
 
 
 def simple(name, oracle):
@@ -48,7 +47,7 @@ FROM d GROUP BY grp3"""))
 def a04(spark, sf):
     t = order_rows(spark, sf).groupBy("grp3").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
     t = t.select("grp3", F.concat(C.fixed("m"), F.lit("\n("), F.col("n").cast("string"), F.lit(")")).alias("myreport"))
-    path = tempfile.mkdtemp(prefix="report-")
+    path = scratch_path(spark, "report")
     sources.write_report(t, path)
     return sources.read_table(spark, path, "csv", schema="grp3 string, myreport string")
 
@@ -69,7 +68,7 @@ def a06(spark, sf):
 @query("a07_saved_fit", with_orders("SELECT grp3 term, round(sum(w * y) / sum(w), 8) estimate FROM d GROUP BY grp3"))
 def a07(spark, sf):
     t = E.survey_mean(order_design(spark, sf).group_by("grp3"), "y", df=float("inf"))
-    path = tempfile.mkdtemp(prefix="fit-")
+    path = scratch_path(spark, "fit")
     sources.save_fit_table(t.select(F.col("grp3").alias("term"), F.round("mean", 8).alias("estimate")), path)
     return sources.load_fit_table(spark, path)
 
@@ -488,8 +487,7 @@ def e15(d):
 @simple("e16_histogram", """SELECT CAST(k AS INTEGER) bin, 150 + (k + 0.5) * 5 mids, round(count(*) / (SELECT count(age_m) FROM d) / 5, 8) density
  FROM (SELECT least(greatest(ceil((age_m - 150) / 5) - 1, 0), 11) k FROM d WHERE age_m IS NOT NULL) GROUP BY k""")
 def e16(d):
-    breaks = [150 + 5.0 * i for i in range(13)]
-    return E.histogram(d, "age_m", breaks).withColumn("density", F.round("density", 8))
+    return E.histogram(d, "age_m", E.default_breaks(d, "age_m")).withColumn("density", F.round("density", 8))
 
 
 @simple("e17_jackknife_mean", "SELECT round(avg(y), 8) jack_mean, round(var_samp(y), 8) jack_var FROM d")

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,22 +23,33 @@ def local_session(cpus: int | str = 8, app: str = "designstats") -> SparkSession
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which every executor can reach.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    neither the setting nor the context has one (a local test run) a folder is made.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where neither the
+    setting nor the context has one (a local test run) a folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="ckpt-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for written intermediate tables."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def sf_name(sf_dir: str) -> str:
     return os.path.basename(sf_dir.rstrip("/"))
