@@ -74,12 +74,12 @@ def _independent_runs(units: DataFrame, slices: int) -> DataFrame:
     # a run starts where up = 0 and the position before has down = 0
     ordered = Window.partitionBy(*_SPOT).orderBy(*_ORDER)
     before_me = F.coalesce(F.lag("down").over(ordered), F.col("down_before_cell"))
-    marked = full.withColumn("cut", ((F.col("up") == 0) & (before_me == 0)).cast("int"))
+    marked = full.withColumn("before", before_me).withColumn("cut", ((F.col("up") == 0) & (F.col("before") == 0)).cast("int"))
     marked = marked.withColumn("r", F.sum("cut").over(inside))
     runs = marked.groupBy(*_SPOT).agg(F.sum("cut").alias("cuts"))
     runs = runs.select(*_SPOT, F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("run0"))
     return marked.join(F.broadcast(runs), _SPOT).select(
-        "id", "treated", "score", "pos", ((F.col("pos") - F.col("p")) / 2).cast("long").alias("nc"),
+        "id", "treated", "score", "pos", "before", ((F.col("pos") - F.col("p")) / 2).cast("long").alias("nc"),
         ((F.col("pos") + F.col("p")) / 2).cast("long").alias("nt"), (F.col("run0") + F.col("r")).alias("run"))
 
 
@@ -117,6 +117,24 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         control_id=lambda d: d["control_id"].astype("Int64"))
 
 
+def _equal_scores(placed: DataFrame) -> DataFrame:
+    """Pairs of equal score that are certain, all at once.
+
+    Where nothing from above can reach a block of equal scores, its treated units take its
+    controls one by one, so the k-th of one kind is paired with the k-th of the other.
+    """
+    is_treated = F.col("treated") == 1
+    blocks = placed.groupBy("score").agg(
+        F.min_by("before", "pos").alias("reach"), F.min(F.when(is_treated, F.col("nt"))).alias("nt0"),
+        F.min(F.when(~is_treated, F.col("nc"))).alias("nc0"))
+    blocks = blocks.where("reach = 0 and nt0 is not null and nc0 is not null")
+    ranked = placed.join(blocks, "score").withColumn(
+        "rank", F.when(is_treated, F.col("nt") - F.col("nt0")).otherwise(F.col("nc") - F.col("nc0")))
+    left = ranked.where(is_treated).select("score", "rank", F.col("id").alias("treated_id"))
+    right = ranked.where(~is_treated).select("score", "rank", F.col("id").alias("control_id"))
+    return left.join(right, ["score", "rank"]).select("treated_id", "control_id")
+
+
 def match_nearest(rows: DataFrame, key: str, treated: Column, score: Column, limit: int = 100_000,
                   slices: int = 256) -> DataFrame:
     """1:1 nearest matching on a score without replacement, largest score first.
@@ -124,7 +142,8 @@ def match_nearest(rows: DataFrame, key: str, treated: Column, score: Column, lim
     The result is that of the sequential greedy rule. Treated units of equal score are taken in
     hash order; of two controls at the same distance the one at or below comes first.
     The line of units is cut into runs that cannot interact; runs are swept in parallel, many
-    per task, never more than about two ``limit`` units in one task. A longer run is worked
+    per task, never more than about two ``limit`` units in one task. In a longer run the
+    certain pairs of equal score are taken out first, whatever their number; then it is worked
     off in stretches of ``limit``, keeping only decisions its stretch can settle, and the rest
     goes into the next round.
 
@@ -143,17 +162,22 @@ def match_nearest(rows: DataFrame, key: str, treated: Column, score: Column, lim
             F.floor(F.col("first") / limit).alias("batch"), "id", "treated", "score", "pos",
             F.lit(False).alias("open_top"), F.lit(False).alias("open_end"))
         long_ = placed.where(F.col("size") > limit)
-        # a stretch holds the first limit treated units with limit controls on either side
-        place = F.when(F.col("treated") == 1, F.col("nt") - F.col("ft.nt")).otherwise(F.col("nc") - F.col("ft.nc") - 1)
-        n_above = F.col("ft.pos") - F.col("first")
-        stretch = long_.where((place >= -limit) & (place < limit)).select(
-            (-F.col("first")).alias("batch"), "id", "treated", "score", "pos", (n_above > limit).alias("open_top"),
-            (F.col("size") - F.col("t") - n_above > limit).alias("open_end"))
-        found = short.unionByName(stretch).groupBy("batch").applyInPandas(
-            lambda pdf: _sweep(pdf), "treated_id long, control_id long")
-        found = checkpoint(found)
+        todo, ties = short, None
+        more = not long_.isEmpty()
+        if more:
+            ties = checkpoint(_equal_scores(long_))
+            if ties.isEmpty():
+                ties = None
+                # a stretch holds the first limit treated units with limit controls on either side
+                place = F.when(F.col("treated") == 1, F.col("nt") - F.col("ft.nt")).otherwise(F.col("nc") - F.col("ft.nc") - 1)
+                n_above = F.col("ft.pos") - F.col("first")
+                todo = short.unionByName(long_.where((place >= -limit) & (place < limit)).select(
+                    (-F.col("first")).alias("batch"), "id", "treated", "score", "pos", (n_above > limit).alias("open_top"),
+                    (F.col("size") - F.col("t") - n_above > limit).alias("open_end")))
+        found = checkpoint(todo.groupBy("batch").applyInPandas(_sweep, "treated_id long, control_id long"))
+        found = found if ties is None else found.unionByName(ties)
         pairs = found if pairs is None else pairs.unionByName(found)
-        if long_.isEmpty():
+        if not more:
             return pairs.where(F.col("control_id").isNotNull())
         used = found.select(F.col("treated_id").alias("id")).unionByName(
             found.where(F.col("control_id").isNotNull()).select(F.col("control_id").alias("id")))

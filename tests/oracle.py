@@ -17,7 +17,7 @@ def connect(sf_dir: str):
     return con
 
 
-def norm(v):
+def norm(v, digits=9):
     if v is None:
         return None
     if isinstance(v, bool):
@@ -26,31 +26,34 @@ def norm(v):
         f = float(v)
         if math.isnan(f):
             return None
-        return float(f"{f:.9g}") + 0.0
+        return float(f"{f:.{digits}g}") + 0.0
     return str(v)
 
 
-def rows_of(names, rows):
+def rows_of(names, rows, digits=9):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    out = [tuple(norm(r[i]) for i in order) for r in rows]
+    out = [tuple(norm(r[i], digits) for i in order) for r in rows]
     return sorted(names), sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
 def compare(spark, con, name, fn, sql, sf_dir):
     """Returns (ok, message)."""
     df = fn(spark, sf_dir)
-    got_names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    raw = [tuple(r) for r in df.collect()]
+    got_names, got = rows_of(df.columns, raw)
     if sql is None:
         return (len(got) > 0, f"rows={len(got)} (no oracle)")
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
-    want_names, want = rows_of(names, cur.fetchall())
+    wanted = cur.fetchall()
+    want_names, want = rows_of(names, wanted)
     if got_names != want_names:
         return False, f"columns {got_names} vs {want_names}"
     if got != want:
         bad = [(a, b) for a, b in zip(got, want) if a != b][:2]
         return False, f"rows {len(got)} vs {len(want)}; first differences {bad}"
-    return True, f"rows={len(got)}"
+    same = rows_of(df.columns, raw, 17)[1] == rows_of(names, wanted, 17)[1]
+    return True, f"rows={len(got)}" + ("" if same else " (equal to 9 digits)")
 
 
 def main(pattern="", sf="sf0.01"):

@@ -21,24 +21,27 @@ def greedy(units):
     return out
 
 
-@pytest.mark.parametrize("seed,n,share,shift,limit,step", [
-    (3, 240, 0.7, 0.2, 80, None), (4, 300, 0.4, 0.1, 60, 0.05),
-    (5, 500, 0.33, -0.3, 1000, None), (6, 200, 0.5, 0.6, 50, None),
+@pytest.mark.parametrize("seed,n,share,shift,limit,step,hot", [
+    (3, 240, 0.7, 0.2, 80, None, False), (4, 300, 0.4, 0.1, 60, 0.05, False),
+    (5, 500, 0.33, -0.3, 1000, None, False), (6, 200, 0.5, 0.6, 50, None, False),
+    (7, 300, 0.45, 0.1, 30, None, True),
 ])
-def test_equals_sequential_greedy(spark, seed, n, share, shift, limit, step):
+def test_equals_sequential_greedy(spark, seed, n, share, shift, limit, step, hot):
     rng = random.Random(seed)
     units = []
     for i in range(n):
         t = int(rng.random() < share)
         s = rng.random() + shift * t
         units.append((i, t, round(s / step) * step if step else s))
+    if hot:  # a third of all units share one score
+        units = [(i, t, 0.5 if i % 3 == 0 else s) for i, t, s in units]
     df = spark.createDataFrame(units, "id long, treated int, score double").repartition(3)
     got = match_nearest(df, "id", F.col("treated"), F.col("score"), limit=limit, slices=8).collect()
     assert len({r.control_id for r in got}) == len(got)
     score = {i: s for i, _, s in units}
     distance = {r.treated_id: abs(score[r.treated_id] - score[r.control_id]) for r in got}
     want = greedy(units)
-    if step:  # equal scores are taken in hash order, so compare per score
+    if step or hot:  # equal scores are taken in hash order, so compare per score
         by_score = lambda d: sorted((score[k], round(v, 9)) for k, v in d.items())
         assert by_score(distance) == by_score(want)
     else:
