@@ -13,7 +13,7 @@ from designstats.operators.fitting import (
     Block, Fit, Step, influence_covariance, linear, model_rows, newton, num,
 )
 from designstats.operators.frame import factor_levels
-from designstats.operators.glm import glm
+from designstats.operators.glm import LOG_FACTORIAL, glm
 from designstats.operators.terms import expand
 
 
@@ -230,7 +230,7 @@ def _negbin_step(x: list[str], theta: np.ndarray) -> Step:
         {"mu": f"exp({linear(x, theta[:-1])})",
          "below": "CASE WHEN y >= 1 THEN sequence(0L, CAST(y AS BIGINT) - 1L) ELSE CAST(array() AS ARRAY<BIGINT>) END"},
         {"g0": fold(f"ln(i + {s})"), "g1": fold(f"1D / (i + {s})"), "g2": fold(f"1D / ((i + {s}) * (i + {s}))"),
-         "fact": fold("ln(i + 1D)"), "mix": f"mu + {s}"},
+         "mix": f"mu + {s}"},
         {"d1": f"g1 + ln({s}) + 1D - ln(mix) - (y + {s}) / mix",
          "d2": f"-g2 + 1D / {s} - 1D / mix - (mu - y) / (mix * mix)"},
         {"one": "1D", "r": f"w * {s} * (y - mu) / mix", "v": f"w * mu * {s} * ({s} + y) / (mix * mix)",
@@ -238,7 +238,7 @@ def _negbin_step(x: list[str], theta: np.ndarray) -> Step:
     ]
     score = [f"r * {c}" for c in x] + [f"w * {s} * d1"]
     blocks = [Block(0, 0, "v", x, x), Block(0, p, "c", x, ["one"]), Block(p, p, "t", ["one"], ["one"])]
-    ll = f"w * (g0 - fact + {s} * ln({s}) + y * ln(mu) - (y + {s}) * ln(mix))"
+    ll = f"w * (g0 + {s} * ln({s}) + y * ln(mu) - (y + {s}) * ln(mix))"
     return Step(pre, score, blocks, ll, {"n": "1"})
 
 
@@ -259,6 +259,7 @@ def negbin(data: Design | DataFrame, y: str, items: Sequence, weights: str | Non
         size = m.m**2 / max(m.v - m.m, 0.05 * m.m)
         build = lambda theta: _negbin_step(model.x, theta)
         theta, score, info, ll, extra = newton(model, build, np.append(begin.coef, np.log(size)))
+        ll -= float(model.rows.selectExpr(f"{LOG_FACTORIAL} AS f").first().f)
         fit = _finish(model, build, theta, info, [*model.labels, "log(theta)"], "negbin",
                       int(extra["n"]), ll, {"score": score})
     finally:

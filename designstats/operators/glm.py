@@ -27,13 +27,15 @@ def _step(family: str, x: list[str], beta: np.ndarray) -> Step:
     mu, var, ll = FAMILIES[family]
     pre = [{"eta": linear(x, beta)}, {"mu": mu}, {"var": var}, {"v": "w * var", "r": "w * (y - mu)"}]
     extra = {"pearson": "try_divide(r * (y - mu), var)", "w": "w", "n": "1"}
-    if family == "poisson":
-        extra["sat"] = "CASE WHEN y > 0 THEN w * (y * ln(y) - y) ELSE 0D END"
-        extra["lfact"] = ("w * aggregate(sequence(1L, CAST(greatest(y, 1D) AS BIGINT)), 0D, "
-                          "(acc, i) -> acc + ln(CAST(i AS DOUBLE)))")
     return Step(pre, [f"r * {c}" for c in x], [Block(0, 0, "v", x, x)], ll, extra)
 
 
+# Parts of a Poisson fit that do not depend on the coefficients: summed once, after the steps.
+SATURATED = "sum(CASE WHEN y > 0 THEN w * (y * ln(y) - y) ELSE 0D END)"
+LOG_FACTORIAL = ("sum(w * aggregate(sequence(1L, CAST(greatest(y, 1D) AS BIGINT)), 0D, "
+                 "(acc, i) -> acc + ln(CAST(i AS DOUBLE))))")
+
+
 def _first_guess(family: str, model: ModelRows) -> np.ndarray:
     """One weighted least-squares step from the observed values."""
     layers = {
@@ -84,8 +86,9 @@ def glm(
         n, sw = int(extra["n"]), float(extra["w"])
         deviance = -2.0 * ll
         if family == "poisson":
-            deviance = 2.0 * (float(extra["sat"]) - ll)
-            ll = ll - float(extra["lfact"])
+            fixed = model.rows.selectExpr(f"{SATURATED} AS sat", f"{LOG_FACTORIAL} AS lfact").first()
+            deviance = 2.0 * (float(fixed.sat) - ll)
+            ll = ll - float(fixed.lfact)
         if model.design is not None:
             meat = influence_covariance(model, build(beta))
             vcov = naive @ meat @ naive
