@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from designstats.functions import dist
 from designstats.functions.columns import col
 from designstats.operators.design import PSU, STR, WT, Design
-from designstats.operators.estimate import survey_mean, survey_means
+from designstats.operators.estimate import survey_means
 from designstats.operators.fitting import total_covariance
 from designstats.operators.frame import factor_levels
 

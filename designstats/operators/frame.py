@@ -5,8 +5,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from designstats.functions.columns import col
-
 BROADCAST_ROWS = 100_000
 
 

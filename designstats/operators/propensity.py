@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from designstats.functions.columns import if_else
-from designstats.operators.design import WT, Design
 from designstats.operators.fitting import Fit
 from designstats.operators.frame import range_cells
 from designstats.session import checkpoint

@@ -9,7 +9,6 @@ rows are read once, whatever the number of replicates. No (row x replicate) tabl
 * bootstrap: each PSU row deals one draw per replicate, joined back by its number.
 """
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 

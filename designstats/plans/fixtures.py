@@ -5,7 +5,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from designstats.operators.design import Design
-from designstats.operators.frame import lookup_join, number_rows
+from designstats.operators.frame import lookup_join
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from designstats.plans.fixtures import (
     DF_SQL, line_design, line_sql, order_design, order_rows, tq_sql, tv_sql, with_orders,
 )
 from designstats.plans.registry import query
-from designstats.operators.frame import null_safe_join, union_tagged
+from designstats.operators.frame import null_safe_join
 
 def mean_cols():
     return [F.round("mean", 8).alias("mean"), F.round("se", 8).alias("se")]

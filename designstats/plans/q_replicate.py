@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from designstats.functions.dist import INF
 from designstats.operators import estimate as E
-from designstats.operators.design import PSU, STR, WT, Design
-from designstats.operators.frame import to_wide, union_tagged
+from designstats.operators.design import PSU, STR, WT
+from designstats.operators.frame import union_tagged
 from designstats.operators.replicate import as_rep, even_strata, replicate_vcov
-from designstats.plans.fixtures import order_design, order_rows, with_orders
+from designstats.plans.fixtures import order_design, with_orders
 from designstats.plans.q_estimate import mean_sql
 from designstats.plans.registry import query
 

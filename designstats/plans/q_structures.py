@@ -15,7 +15,7 @@ from designstats.operators import multilevel as N
 from designstats.operators import propensity as O
 from designstats.operators import report as R
 from designstats.operators.design import Design
-from designstats.operators.frame import count, mean_interval, to_wide, union_tagged
+from designstats.operators.frame import mean_interval, to_wide, union_tagged
 from designstats.plans import q_models as Q
 from designstats.plans.fixtures import DF_SQL, order_design, order_rows, table, tq_sql, tv_sql, with_orders
 from designstats.plans.q_estimate import mean_sql

@@ -1,7 +1,5 @@
 """Design invariants: domains, validation, and agreement between variance methods."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 

@@ -1,7 +1,5 @@
 """Distribution routines and column helpers against known values."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 

@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from designstats.functions.dist import INF
 from designstats.operators import glm as G, multilevel as N
 from designstats.operators.categorical import multinomial, multinomial_replicates, negbin, ordinal
 from designstats.operators.design import Design
