@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from designstats.llm import op3_shards, op6_packing, op8_chat, op10_wavelet
+from designstats.llm import op3_shards, op6_packing, op7_toxicity, op8_chat, op10_wavelet
 from designstats.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,16 @@ def op6(spark, sf_dir):
     return op6_packing.pack_documents(table(spark, sf_dir, "documents"), path, keep_ids=False).drop("ids")
 
 
+@query("op7_noisy_channel")
+def op7(spark, sf_dir):
+    """Toxicity of every document; a model of its own for each call."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op7_toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = op7_toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.expr("int(score >= 0.5)").alias("predicted"))
+
+
 @query(
     "op8_typed_content_parts",
     """
