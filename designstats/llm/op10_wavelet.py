@@ -75,14 +75,14 @@ class WaveletMatrix:
         return out
 
     def decode(self) -> np.ndarray:
-        """All ids in order: every plane is read once from the first position on, without rank by word."""
-        out, at = np.zeros(self.n, dtype=np.uint32), np.arange(self.n)
-        for k, plane in enumerate(self.bits):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little")
-            ones = np.cumsum(bit, dtype=np.int64)
-            to = np.where(bit == 1, self.zeros[k] + ones - 1, np.arange(self.n) - ones)
-            out = out << np.uint32(1) | bit[at]
-            at = to[at]
+        """All ids in order, from the lowest plane up: each plane says how the one below interleaves."""
+        out = np.zeros(self.n, dtype=np.uint32)
+        for level, (plane, zeros) in enumerate(zip(reversed(self.bits), reversed(self.zeros))):
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            above = np.empty_like(out)
+            above[~bit] = out[:zeros]
+            above[bit] = out[zeros:] | np.uint32(1 << level)
+            out = above
         return out
 
     def _range(self, token, lo, hi):
@@ -222,7 +222,7 @@ class Reader:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, shards: int | None = None,
-                 docs_per_shard: int = 4096, end_id: int = 0) -> DataFrame:
+                 docs_per_shard: int = 16384, end_id: int = 0) -> DataFrame:
     """Encode the documents and write them in ascending doc_id order; (shard, path, n_docs, n_tokens, start).
 
     A null text is empty and still gets its end id; a null id comes first; repeated rows are written again;

@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from designstats.llm import op3_shards, op6_packing, op7_toxicity, op8_chat, op10_wavelet
+from designstats.llm import (
+    op1_jaccard,
+    op2_lines,
+    op3_shards,
+    op6_packing,
+    op7_toxicity,
+    op8_chat,
+    op9_decontaminate,
+    op10_wavelet,
+)
 from designstats.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +32,20 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_chosen_path_join")
+def op1(spark, sf_dir):
+    """Near-copy classes of all documents, with the number of different texts that each is linked to."""
+    return op1_jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op2_fuzzy_lines")
+def op2(spark, sf_dir):
+    """All documents after line dedup, as digests of what is left."""
+    out = op2_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"),
+                      F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op3_vector_bin_packing")
 def op3(spark, sf_dir):
     """All documents into 24 shards of near equal bytes."""
@@ -82,6 +105,13 @@ def op8(spark, sf_dir):
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op9_template_windows")
+def op9(spark, sf_dir):
+    """Documents that hold a benchmark item, or one with other numbers, names or units in its place."""
+    found = op9_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "coverage")
+
+
 @query("op10_wavelet_matrix")
 def op10(spark, sf_dir):
     """All documents written as wavelet-matrix files and read back."""

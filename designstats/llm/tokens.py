@@ -11,10 +11,12 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-from designstats.llm.arrays import SLICE, prefix_sums, rank_in, slices, span_hash
+from designstats.llm.arrays import prefix_sums, rank_in, slices, span_hash
 
 #: Distinct pre-tokens remembered by a task; beyond it the memory starts anew.
 REMEMBERED = 1 << 20
+#: Characters cut at once.
+SLICE = 1 << 21
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
 
 
