@@ -10,6 +10,8 @@ from designstats.llm import (
     op1_jaccard,
     op2_lines,
     op3_shards,
+    op4_context_tree,
+    op5_spotsigs,
     op6_packing,
     op7_toxicity,
     op8_chat,
@@ -55,6 +57,19 @@ def op3(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_context_tree_weighting")
+def op4(spark, sf_dir):
+    """Log probability of every document under trees learnt from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    return op4_context_tree.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
+@query("op5_spot_signatures")
+def op5(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return op5_spotsigs.fingerprints_with_edit(table(spark, sf_dir, "documents"))
+
+
 @query("op6_nnls_packing")
 def op6(spark, sf_dir):
     """All documents into sequences of at most 4,096 tokens."""
