@@ -236,6 +236,20 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return named.select("doc_id", "text_hash", "own").join(answer, "own").drop("own")
 
 
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of docs, one for each class: that with the smallest (doc_id, text hash); null ids come last.
+
+    Texts without words are one class for each such text. Of rows that repeat one another, one stays.
+    """
+    classes = jaccard_classes(docs.select("doc_id", "text"), threshold, recall)
+    ahead = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    first = stored(classes.groupBy("class_key").agg(F.min(ahead).alias("k")).select(
+        F.col("k.doc_id").alias("_first_doc"), F.col("k.text_hash").alias("_first_text")), "firsts")
+    same = F.col("_id").eqNullSafe(F.col("_first_doc")) & (F.col("_text") == F.col("_first_text"))
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(first, same, "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+
+
 def linked_sets(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(id, root, links): sets of a node joined to its smallest alike set, and how many texts each is linked to there."""
     n_roots = trees(threshold, recall) * BRANCHES
@@ -291,4 +305,4 @@ def _blocks(dense: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("node", low, high).alias("node"), "id", "sketch", place.cast("int").alias("place"))
 
 
-__all__ = ["jaccard_classes", "linked_sets", "trees"]
+__all__ = ["jaccard_classes", "keep_one", "linked_sets", "trees"]

@@ -27,10 +27,10 @@ CHOICES = list(combinations(range(len(BLOCKS) - 1), len(BLOCKS) - 1 - DISTANCE))
 RUN = 8192
 
 
-def lines_of(texts: list[str]):
-    """Per line with words: text number, line number, two hashes, SimHash, length; and the normalised bytes of it.
+def lines_of(texts: list[str], parts: str = "sim"):
+    """Per line with words: text number, line number, two hashes, SimHash, and where its words are.
 
-    Also the number of lines of every text.
+    Also the number of lines of every text. parts says how far to go: "place", "hash" or "sim".
     """
     data, starts = encoded([t.lower() for t in texts])
     stop = np.flatnonzero(data == 10)
@@ -40,20 +40,20 @@ def lines_of(texts: list[str]):
     place = np.arange(len(begin)) - (np.cumsum(total) - total)[text]
     plain = np.where((data >= 48) & (data < 58), np.uint8(48), data)
     a, b, _ = word_spans(plain, starts)
-    word = span_hash(prefix_sums(plain), a, b)
     first = np.searchsorted(a, begin)
     count = np.diff(np.append(first, len(a)))
     full = np.flatnonzero(count > 0)
     first, count, text, place = first[full], count[full], text[full], place[full]
-    if not len(full):
-        none = np.zeros(0, dtype=np.uint64)
-        return text, place, none, none, none, place, [], total
-    rank = (np.arange(len(a)) - np.repeat(first, count)).astype(np.uint64)
-    spot = mix(word + mix(rank))
-    one = mix(np.add.reduceat(spot, first) + count.astype(np.uint64))
-    two = mix(np.add.reduceat(mix(spot ^ seed(7)), first) + count.astype(np.uint64))
-    size = np.add.reduceat(b - a, first) + count - 1
-    return text, place, one, two, simhash(word, first, count), size, (plain, a, b, first, count), total
+    one = two = sim = np.zeros(0, dtype=np.uint64)
+    if len(full) and parts != "place":
+        word = span_hash(prefix_sums(plain), a, b)
+        rank = (np.arange(len(a)) - np.repeat(first, count)).astype(np.uint64)
+        spot = mix(word + mix(rank))
+        one = mix(np.add.reduceat(spot, first) + count.astype(np.uint64))
+        two = mix(np.add.reduceat(mix(spot ^ seed(7)), first) + count.astype(np.uint64))
+        if parts == "sim":
+            sim = simhash(word, first, count)
+    return text, place, one, two, sim, (plain, a, b, first, count), total
 
 
 def simhash(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -89,9 +89,26 @@ def edit_distance(a: bytes, b: bytes) -> int:
     return score
 
 
+def shared_head(a: bytes, b: bytes) -> int:
+    """Length of the common prefix, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
 def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
+    """Whether the edit distance is at most (1 - least) of the longer length; equal ends are cut off first."""
     most = max(len(a), len(b))
-    return min(len(a), len(b)) >= least * most and edit_distance(a, b) <= (1 - least) * most + 1e-9
+    allowed = (1 - least) * most + 1e-9
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    head = shared_head(a, b)
+    a, b = a[head:], b[head:]
+    tail = shared_head(a[::-1], b[::-1])
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    return max(len(a), len(b)) <= allowed or edit_distance(a, b) <= allowed
 
 
 def block_keys(sim: Column) -> Column:
@@ -102,16 +119,30 @@ def block_keys(sim: Column) -> Column:
 
     keys = []
     for n, choice in enumerate(CHOICES):
-        key = F.lit(n).cast("long")
+        key = F.lit(0).cast("long")
         for k in choice:
             key = F.shiftleft(key, BLOCKS[k + 1] - BLOCKS[k]).bitwiseOR(bits(k))
-        keys.append(key)
+        keys.append(key * len(CHOICES) + n)
     return F.array(*keys)
 
 
-def _near(sims: np.ndarray, i: int) -> np.ndarray:
-    """Later positions whose SimHash is near that of position i."""
-    return np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= DISTANCE) + i + 1
+def choice_of(key: int) -> int:
+    return key % len(CHOICES)
+
+
+def _first_choice(apart: np.ndarray) -> np.ndarray:
+    """The first choice of blocks in which SimHashes agree, from the bits in which they differ."""
+    differs = [(apart >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1)) != 0 for lo, hi in zip(BLOCKS[:-1], BLOCKS[1:])]
+    out = np.full(len(apart), len(CHOICES))
+    for n, choice in reversed(list(enumerate(CHOICES))):
+        out[~np.any([differs[k] for k in choice], axis=0)] = n
+    return out
+
+
+def _near(sims: np.ndarray, i: int, choice: int) -> np.ndarray:
+    """Later positions whose SimHash is near that of position i and that meet it first under this choice of blocks."""
+    found = np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= DISTANCE) + i + 1
+    return found[_first_choice(sims[found] ^ sims[i]) == choice] if len(found) else found
 
 
 def with_partner(batches):
@@ -150,9 +181,9 @@ def linked(batches):
         line, text = table.column("line").to_numpy(), table.column("text").to_pylist()
         order = np.argsort(line, kind="stable")
         sims, line, text = sims[order], line[order], [text[i] for i in order]
-        groups = Union(len(sims))
+        groups, choice = Union(len(sims)), choice_of(table.column("key")[0].as_py())
         for i in range(len(sims) - 1):
-            for j in _near(sims, i).tolist():
+            for j in _near(sims, i, choice).tolist():
                 if groups.root(i) != groups.root(j) and alike(text[i], text[j]):
                     groups.join(i, j)
         roots = np.array([groups.root(i) for i in range(len(sims))])
@@ -192,7 +223,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, copies, texts = batch.column("id"), batch.column("copy"), batch.column("text").to_pylist()
             for lo, hi in slices(texts):
-                text, place, one, two, sim, size, _, _ = lines_of(texts[lo:hi])
+                text, place, one, two, sim, _, _ = lines_of(texts[lo:hi])
                 at = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), copies.take(at), pa.array(place, pa.int32()), int64s(one), int64s(two), int64s(sim)],
@@ -212,14 +243,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in slices(texts):
-                _, _, one, _, sim, _, parts, _ = lines_of(texts[lo:hi])
+                _, _, one, _, _, parts, _ = lines_of(texts[lo:hi], "hash")
                 own = np.flatnonzero(passes(bits, one)) if len(one) else []
                 if len(own):
                     yield pa.RecordBatch.from_arrays(
-                        [int64s(one[own]), int64s(sim[own]), pa.array([normalised(parts, i) for i in own], pa.binary())],
-                        names=["line", "sim", "text"])
+                        [int64s(one[own]), pa.array([normalised(parts, i) for i in own], pa.binary())], names=["line", "text"])
 
-    texts = rows.mapInArrow(fetch, "line long, sim long, text binary").dropDuplicates(["line"]).join(live.select("line"), "line", "left_semi")
+    texts = rows.mapInArrow(fetch, "line long, text binary").dropDuplicates(["line"]).join(live, "line")
     by_key = texts.select("line", "sim", "text", F.explode(block_keys(F.col("sim"))).alias("key"))
     edges = by_key.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
     groups = components(edges)
@@ -240,7 +270,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             out, n_lines, n_kept = [None] * len(text), [0] * len(text), [0] * len(text)
             for lo, hi in slices([t or "" for t in text]):
                 own = [t or "" for t in text[lo:hi]]
-                number, place, *_, total = lines_of(own)
+                number, place, *_, total = lines_of(own, "place")
                 bounds = np.searchsorted(number, np.arange(len(own) + 1))
                 for i, t in enumerate(own):
                     if text[lo + i] is None:
