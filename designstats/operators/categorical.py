@@ -147,7 +147,7 @@ def multinomial(data: Design | DataFrame, y: str, items: Sequence, weights: str
 
 
 def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=None,
-                           tol: float = 1e-8, max_iter: int = 12) -> tuple[Fit, DataFrame]:
+                           tol: float = 1e-8, max_iter: int = 30) -> tuple[Fit, DataFrame]:
     """Refit the model under every bootstrap replicate; all replicates share each scan.
 
     Equal rows of a PSU are added up first. What is left carries the draw counts of its PSU as
@@ -211,6 +211,8 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
             betas = betas + moves
             if np.max(np.abs(moves) / (1 + np.abs(betas))) < tol:
                 break
+        else:
+            raise ArithmeticError(f"a replicate fit has not converged in {max_iter} steps")
     finally:
         rows.unpersist()
     scale = rep.scheme()["scale"]

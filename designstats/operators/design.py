@@ -41,17 +41,23 @@ class Design:
         lonely: str = "fail",
         validate: bool = True,
     ) -> "Design":
-        """Declare the design. ``nest=True`` allows the same PSU id in several strata."""
-        psu = col(ids)
-        out = df.withColumns(
-            {
-                PSU: psu,
-                STR: lit(1) if strata is None else col(strata),
-                WT: lit(1.0) if weights is None else col(weights).cast("double"),
-                FPC: lit(None).cast("double") if fpc is None else col(fpc).cast("double"),
-                IN: F.lit(True),
-            }
-        )
+        """Declare the design. ``nest=True`` allows the same PSU id in several strata.
+
+        A NULL stratum, PSU, weight or fpc is an error when the rows are read.
+        """
+        roles = {
+            PSU: (col(ids), None), STR: (lit(1) if strata is None else col(strata), None),
+            WT: (lit(1.0) if weights is None else col(weights), "double"),
+            FPC: (lit(None) if fpc is None else col(fpc), "double"),
+        }
+        given = {PSU: "PSU", STR: "stratum", WT: "weight"} | ({} if fpc is None else {FPC: "fpc"})
+        out = df.withColumns({name: c if kind is None else c.cast(kind) for name, (c, kind) in roles.items()} | {IN: F.lit(True)})
+        # A row without a role would leave at the join with the strata: the query fails instead.
+        types = dict(out.dtypes)
+        out = out.withColumns({
+            name: F.coalesce(F.col(name), F.raise_error(F.lit(f"NULL {what} in the design")).cast(types[name]))
+            for name, what in given.items()
+        })
         design = Design(out, lonely=lonely, has_fpc=fpc is not None, full=out)
         if validate:
             design.validate(nest)

@@ -151,7 +151,10 @@ def _wide_sums(ready: DataFrame, heads: dict[str, str], blocks: list[Block], pla
 
 def newton(model: ModelRows, build: Callable[[np.ndarray], Step], start: np.ndarray,
            tol: float = 1e-9, max_iter: int = 50):
-    """Newton's method with step halving on the log-likelihood; returns theta and final sums."""
+    """Newton's method with step halving on the log-likelihood; returns theta and final sums.
+
+    A fit that does not converge raises: neither a worse likelihood nor an unfinished theta is returned.
+    """
     theta = np.array(start, dtype=float)
     score, info, ll, extra = step_sums(model.rows, build(theta), len(theta))
     for _ in range(max_iter):
@@ -160,36 +163,37 @@ def newton(model: ModelRows, build: Callable[[np.ndarray], Step], start: np.ndar
         while True:
             trial = theta + size * move
             found = step_sums(model.rows, build(trial), len(theta))
-            if np.isfinite(found[2]) and found[2] >= ll - 1e-9 * (1 + abs(ll)) or size < 1e-4:
+            if np.isfinite(found[2]) and found[2] >= ll - 1e-9 * (1 + abs(ll)):
                 break
             size /= 2
+            if size < 1e-8:
+                raise ArithmeticError("no step improves the likelihood")
         theta, (score, info, ll, extra) = trial, found
         if np.max(np.abs(size * move) / (1 + np.abs(theta))) < tol:
             break
+    else:
+        raise ArithmeticError(f"the fit has not converged in {max_iter} steps")
     return theta, score, info, ll, extra
 
 
 def total_covariance(design: Design, psu: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """Design covariance of a vector of totals (one row per stratum and PSU)."""
-    q = len(names)
-    out = np.zeros((q, q))
-    if q <= 12:
-        pairs = {f"v_{i}_{j}": (names[i], names[j]) for i in range(q) for j in range(i, q)}
-        row = design.total_variance(psu, [], pairs).first()
-        for i in range(q):
-            for j in range(i, q):
-                out[i, j] = out[j, i] = row[f"v_{i}_{j}"]
-        return out
-    if design.lonely not in ("fail", "remove"):
-        raise ValueError("wide covariances support the lonely policies fail and remove")
+    """Design covariance of a vector of totals (one row per stratum and PSU), for every lonely policy.
+
+    Within a stratum it is the scaled sum of squares less that of the stratum total. A single PSU
+    adds nothing (remove, average), its own square (adjust), or is an error (fail).
+    """
     strata = design.strata()
-    if design.lonely == "fail" and not strata.where("n_h = 1").isEmpty():
+    counts = strata.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("n_h") == 1).cast("int")).alias("single")).first()
+    if design.lonely == "fail" and counts.single:
         raise ValueError("stratum with a single PSU")
     n, f = F.col("n_h"), F.col("f_h")
-    scale = F.when(n > 1, (1 - f) * n / (n - 1)).otherwise(0.0)
+    alone = 1 - f if design.lonely == "adjust" else F.lit(0.0)
+    scale = F.when(n > 1, (1 - f) * n / (n - 1)).otherwise(alone)
+    centre = F.when(n > 1, scale / n).otherwise(0.0)
     keyed = psu.join(strata, STR).withColumn("c", scale)
     by_stratum = psu.groupBy(STR).agg(*[F.sum(t).alias(t) for t in names]).join(strata, STR)
-    return gram(keyed, names, "c") - gram(by_stratum.withColumn("c", scale / n), names, "c")
+    out = gram(keyed, names, "c") - gram(by_stratum.withColumn("c", centre), names, "c")
+    return out * counts["all"] / (counts["all"] - counts.single) if design.lonely == "average" and counts.single else out
 
 
 def gram(df: DataFrame, names: Sequence[str], v: str) -> np.ndarray:

@@ -54,7 +54,7 @@ def group_attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFram
     groups turns out small, otherwise by key with hot groups split.
     """
     table = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    return df.join(table, list(keys), "left")
+    return null_safe_join(df, table, list(keys), "left") if keys else df.join(table)
 
 
 def union_tagged(tables: Mapping[str, DataFrame], tag: str) -> DataFrame:
@@ -98,7 +98,7 @@ def number_rows(df: DataFrame, by: Sequence[str], key: str, out: str = "rn") ->
     offsets = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*by, "__b").orderBy(key)
     numbered = rows.withColumn(out, F.row_number().over(inside))
-    joined = numbered.join(offsets, [*by, "__b"])
+    joined = null_safe_join(numbered, offsets, [*by, "__b"])
     return joined.withColumn(out, F.col(out) + F.col("__off")).drop("__b", "__off")
 
 
@@ -223,12 +223,9 @@ def jackknife_mean(df: DataFrame, x: str) -> DataFrame:
     )
 
 
-def factor_levels(df: DataFrame, name: str, max_levels: int = 1000) -> list:
-    """Sorted distinct codes of a categorical column; refuses columns that are not one."""
-    found = df.where(F.col(name).isNotNull()).select(name).distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"{name} has more than {max_levels} levels")
-    return sorted(r[0] for r in found)
+def factor_levels(df: DataFrame, name: str) -> list:
+    """Sorted distinct codes of a categorical column, which become terms or columns of a report."""
+    return sorted(r[0] for r in df.where(F.col(name).isNotNull()).select(name).distinct().collect())
 
 
 def as_factor(df: DataFrame, name: str, labels: Sequence[str] | None = None, out: str | None = None) -> DataFrame:
@@ -281,5 +278,5 @@ def running_count(df: DataFrame, by: Sequence[str], value: str, key: str, counte
     inside = Window.partitionBy(*by, *spot).orderBy(value, key).rowsBetween(Window.unboundedPreceding, 0)
     counted_rows = cells.withColumn(out, F.sum("__hit").over(inside))
     # the offset table has at most 2 * slices * split rows per group
-    joined = counted_rows.join(offsets, [*by, *spot])
+    joined = null_safe_join(counted_rows, offsets, [*by, *spot])
     return joined.withColumn(out, F.col(out) + F.col("__off")).drop(*spot, "__off", "__hit")

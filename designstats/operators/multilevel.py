@@ -216,6 +216,8 @@ def mixed(
             lam[at] = new
             if change < 1e-9:
                 break
+        else:
+            raise ArithmeticError(f"the fit has not converged in {max_iter} steps")
         e = t.evaluate([lam])[0]
         size = t.weight - (t.p if reml else 0)
         sigma2 = e["rss"] / size

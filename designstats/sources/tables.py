@@ -44,7 +44,7 @@ def write_report(table: DataFrame, path: str) -> None:
     Report tables have one row per model term or variable, so a single file is intended.
     """
     (
-        table.coalesce(1)
+        table.repartition(1)
         .write.mode("overwrite")
         .option("header", True)
         .option("quoteAll", True)

@@ -1,11 +1,13 @@
 """Design invariants: domains, validation, and agreement between variance methods."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from designstats.functions.dist import INF
 from designstats.operators import estimate as E
 from designstats.operators.design import Design
+from designstats.operators.fitting import total_covariance
 from designstats.operators.replicate import as_rep, even_strata
 from designstats.plans.fixtures import order_rows
 
@@ -150,3 +152,40 @@ def test_single_scan_of_the_rows(spark):
 
     walk(plan)
     assert len([s for s in scans if "l_quantity" in s]) == 1
+
+
+@pytest.mark.parametrize("role", ["st", "psu", "w", "f"])
+def test_null_roles_are_refused(spark, role):
+    rows = spark.createDataFrame([(1, 1, 1.0, 10.0, 2.0), (1, 2, 1.0, 10.0, 3.0), (2, 3, 1.0, 10.0, 4.0), (2, 4, 1.0, 10.0, 5.0)],
+                                 "st int, psu int, w double, f double, y double")
+    broken = rows.withColumn(role, F.when(F.col("y") > 2, F.col(role)))
+    design = Design.of(broken, ids="psu", strata="st", weights="w", fpc="f", validate=False)
+    with pytest.raises(Exception, match="NULL"):
+        E.survey_total(design, "y").collect()
+    whole = Design.of(rows, ids="psu", strata="st", weights="w", fpc="f", validate=False)
+    assert E.survey_total(whole, "y").collect()
+
+
+@pytest.mark.parametrize("lonely", ["remove", "adjust", "average"])
+@pytest.mark.parametrize("q", [12, 13])
+def test_wide_covariance_for_every_lonely_policy(spark, lonely, q):
+    r = np.random.default_rng(q)
+    strata = [1, 1, 1, 2, 2, 3, 4, 4]
+    values = r.normal(size=(8, q))
+    names = [f"t{k}" for k in range(q)]
+    rows = [(s, p, 1.0, *map(float, v)) for p, (s, v) in enumerate(zip(strata, values))]
+    df = spark.createDataFrame(rows, "st int, psu int, w double, " + ", ".join(f"{n} double" for n in names))
+    design = Design.of(df, ids="psu", strata="st", weights="w", validate=False, lonely=lonely)
+    psu = design.df.groupBy("__str", "__psu").agg(*[F.sum(n).alias(n) for n in names])
+    want = np.zeros((q, q))
+    for s in set(strata):
+        own = values[[k for k, x in enumerate(strata) if x == s]]
+        n = len(own)
+        if n > 1:
+            gap = own - own.mean(axis=0)
+            want += n / (n - 1) * gap.T @ gap
+        elif lonely == "adjust":
+            want += own.T @ own
+    if lonely == "average":
+        want *= 4 / 3
+    assert np.allclose(total_covariance(design, psu, names), want, atol=1e-9)

@@ -58,3 +58,13 @@ def test_lookup_join_beyond_the_bound(spark):
     small = X.lookup_join(rows, table, ["k"]).orderBy("v").collect()
     large = X.lookup_join(rows, table, ["k"], max_rows=2).orderBy("v").collect()
     assert small == large and len(small) == 20
+
+
+def test_null_groups_stay(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), (None, 3, 3.0), (None, 4, 5.0)], "g string, k long, x double")
+    numbered = {(r.g, r.k): r.rn for r in X.number_rows(rows, ["g"], "k").collect()}
+    assert len(numbered) == 4 and sorted(v for (g, _), v in numbered.items() if g is None) == [1, 2]
+    attached = {r.k: r.m for r in X.group_attach(rows, ["g"], m=F.avg("x")).collect()}
+    assert attached == {1: 1.5, 2: 1.5, 3: 4.0, 4: 4.0}
+    ranks = {r.k: r["rank"] for r in X.running_count(rows, ["g"], "x", "k", F.lit(True)).collect()}
+    assert ranks == {1: 1, 2: 2, 3: 1, 4: 2}
