@@ -10,7 +10,7 @@ from designstats.functions import dist
 from designstats.functions.columns import col
 from designstats.operators.design import PSU, STR, Design
 from designstats.operators.fitting import (
-    Block, Fit, Step, influence_covariance, linear, model_rows, newton, num,
+    Block, Fit, Step, digamma_sql, influence_covariance, lgamma_sql, linear, model_rows, newton, num, trigamma_sql,
 )
 from designstats.operators.frame import factor_levels
 from designstats.operators.glm import LOG_FACTORIAL, glm
@@ -225,14 +225,13 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
 
 # -- negative binomial -----------------------------------------------------------------------
 def _negbin_step(x: list[str], theta: np.ndarray) -> Step:
-    """Parameters: coefficients and log(size). Sums over 0..y-1 replace gamma functions."""
+    """Parameters: coefficients and log(size). The cost of a row does not depend on its count."""
     p, s = len(x), num(np.exp(theta[-1]))
-    fold = lambda f: f"aggregate(below, 0D, (acc, i) -> acc + {f})"
+    above = lambda f: f"{f(f'y + {s}')} - {f(s)}"  # between the functions at y + s and at s
     pre = [
-        {"mu": f"exp({linear(x, theta[:-1])})",
-         "below": "CASE WHEN y >= 1 THEN sequence(0L, CAST(y AS BIGINT) - 1L) ELSE CAST(array() AS ARRAY<BIGINT>) END"},
-        {"g0": fold(f"ln(i + {s})"), "g1": fold(f"1D / (i + {s})"), "g2": fold(f"1D / ((i + {s}) * (i + {s}))"),
-         "mix": f"mu + {s}"},
+        {"mu": f"exp({linear(x, theta[:-1])})", "g0": above(lgamma_sql), "g1": above(digamma_sql),
+         "g2": f"-({above(trigamma_sql)})"},
+        {"mix": f"mu + {s}"},
         {"d1": f"g1 + ln({s}) + 1D - ln(mix) - (y + {s}) / mix",
          "d2": f"-g2 + 1D / {s} - 1D / mix - (mu - y) / (mix * mix)"},
         {"one": "1D", "r": f"w * {s} * (y - mu) / mix", "v": f"w * mu * {s} * ({s} + y) / (mix * mix)",

@@ -18,6 +18,25 @@ from designstats.operators.design import PSU, STR, WT, Design
 JVM_SUMS = 160
 
 
+def lgamma_sql(x: str) -> str:
+    """Log gamma of a positive expression: Stirling's series ten places on, so the cost does not grow with x."""
+    z, shift = f"(({x}) + 10D)", " * ".join(f"(({x}) + {k}D)" for k in range(10))
+    return (f"(({z} - 0.5D) * ln({z}) - {z} + 0.918938533204672742D + 1D / (12D * {z}) - 1D / (360D * pow({z}, 3))"
+            f" + 1D / (1260D * pow({z}, 5)) - 1D / (1680D * pow({z}, 7)) - ln({shift}))")
+
+
+def digamma_sql(x: str) -> str:
+    z, shift = f"(({x}) + 10D)", " + ".join(f"1D / (({x}) + {k}D)" for k in range(10))
+    return (f"(ln({z}) - 0.5D / {z} - 1D / (12D * pow({z}, 2)) + 1D / (120D * pow({z}, 4)) - 1D / (252D * pow({z}, 6))"
+            f" - ({shift}))")
+
+
+def trigamma_sql(x: str) -> str:
+    z, shift = f"(({x}) + 10D)", " + ".join(f"1D / pow(({x}) + {k}D, 2)" for k in range(10))
+    return (f"(1D / {z} + 0.5D / pow({z}, 2) + 1D / (6D * pow({z}, 3)) - 1D / (30D * pow({z}, 5)) + 1D / (42D * pow({z}, 7))"
+            f" + ({shift}))")
+
+
 @dataclass
 class Block:
     """Information block: sum of v * a_i * b_j over rows, placed at (row, col)."""

@@ -9,7 +9,7 @@ from designstats.functions import dist
 from designstats.functions.columns import col
 from designstats.operators.design import Design
 from designstats.operators.fitting import (
-    Block, Fit, ModelRows, Step, influence_covariance, linear, model_rows, newton, step_sums,
+    Block, Fit, ModelRows, Step, influence_covariance, lgamma_sql, linear, model_rows, newton, step_sums,
 )
 from designstats.operators.terms import expand
 
@@ -32,8 +32,7 @@ def _step(family: str, x: list[str], beta: np.ndarray) -> Step:
 
 # Parts of a Poisson fit that do not depend on the coefficients: summed once, after the steps.
 SATURATED = "sum(CASE WHEN y > 0 THEN w * (y * ln(y) - y) ELSE 0D END)"
-LOG_FACTORIAL = ("sum(w * aggregate(sequence(1L, CAST(greatest(y, 1D) AS BIGINT)), 0D, "
-                 "(acc, i) -> acc + ln(CAST(i AS DOUBLE))))")
+LOG_FACTORIAL = f"sum(w * {lgamma_sql('y + 1D')})"
 
 
 def _first_guess(family: str, model: ModelRows) -> np.ndarray:

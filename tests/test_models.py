@@ -1,5 +1,7 @@
 """Fits against direct numpy solutions and closed forms."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -157,3 +159,37 @@ def test_imputation_takes_near_donors(spark):
     assert len(done) == 3 * n
     gaps = [abs(r.y - 10 * r.x) for r in done if r.id % 7 == 0]
     assert max(gaps) < 0.6 and all(r.y == rows[r.id][2] for r in done if r.id % 7)
+
+
+def test_gamma_functions_as_sql(spark):
+    from designstats.operators.fitting import digamma_sql, lgamma_sql, trigamma_sql
+
+    xs = [0.05, 0.5, 1.0, 2.5, 9.0, 1234.5, 1e6, 1e9]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").selectExpr(
+        "x", f"{lgamma_sql('x')} AS l", f"{digamma_sql('x')} AS d", f"{trigamma_sql('x')} AS t").collect()
+    for r in rows:
+        assert math.isclose(r.l, math.lgamma(r.x), rel_tol=1e-11, abs_tol=1e-11)
+        # recurrences: digamma(x + 1) = digamma(x) + 1 / x, and so on, summed far enough to use the first terms of the series
+        far = r.x + 2000
+        d = math.log(far) - 0.5 / far - 1 / (12 * far**2) - sum(1 / (r.x + k) for k in range(2000))
+        t = 1 / far + 0.5 / far**2 + 1 / (6 * far**3) + sum(1 / (r.x + k) ** 2 for k in range(2000))
+        assert math.isclose(r.d, d, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.t, t, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_large_counts_cost_no_arrays(spark):
+    """Negative binomial with counts near a million: score and information at the returned size are those of the sample."""
+    from designstats.operators.categorical import negbin
+
+    rng = np.random.default_rng(3)
+    y = rng.negative_binomial(4, 4 / (4 + 1e6), 400)
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in enumerate(y)], "k int, y double")
+    fit = negbin(df, "y", [])
+    size, mu = float(fit.extra["theta"]), float(np.mean(y))
+
+    def loglik(s):
+        return sum(math.lgamma(v + s) - math.lgamma(s) - math.lgamma(v + 1) + s * math.log(s) + v * math.log(mu)
+                   - (v + s) * math.log(mu + s) for v in y.tolist())
+
+    assert math.isclose(math.exp(fit.coef[0]), mu, rel_tol=1e-6)
+    best = loglik(size)
+    assert best >= max(loglik(size * 1.01), loglik(size * 0.99))
