@@ -207,14 +207,13 @@ def balance(rows: DataFrame, treated: str, covariates: Sequence[str], weight: st
     return one.select(F.inline(cells))
 
 
-def effect_table(fits: Mapping[str, Fit], term: str, spark, df: float | None = None) -> DataFrame:
-    """The effect of one term in several models, with interval and the chart labels."""
-    parts = None
-    for i, (name, fit) in enumerate(fits.items()):
-        t = fit.confint(spark, df=df).where(F.col("term") == term).select(
-            F.lit(i + 1).alias("ord"), F.lit(name).alias("method"), "estimate", "low", "upp")
-        parts = t if parts is None else parts.unionByName(t)
-    return parts.withColumns({
-        "CS": if_else(F.col("method").contains("Yes"), "Yes", "No"),
-        "PS": if_else(F.col("method").contains("Propensity score"), "Yes", "No"),
-    })
+def effect_table(fits: Mapping[str, Fit], term: str, spark, traits: Mapping[str, Mapping[str, object]] | None = None,
+                 df: float | None = None) -> DataFrame:
+    """One row per model, in the given order: the effect of a term, its interval, and the model's traits as columns."""
+    rows = None
+    for place, (model, fit) in enumerate(fits.items(), 1):
+        own = fit.confint(spark, df=df).where(F.col("term") == term)
+        named = {name: F.lit(value) for name, value in (traits or {}).get(model, {}).items()}
+        own = own.select(F.lit(place).alias("place"), F.lit(model).alias("model"), "estimate", "low", "upp", *[c.alias(n) for n, c in named.items()])
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    return rows

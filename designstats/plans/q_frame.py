@@ -42,14 +42,14 @@ def a03(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("a04_report_csv", with_orders("""SELECT grp3, printf('%.4f', round(avg(y), 4)) || chr(10) || '(' || count(*) || ')' myreport
+@query("a04_report_csv", with_orders("""SELECT grp3, printf('%.4f', round(avg(y), 4)) || chr(10) || '(' || count(*) || ')' cell_text
 FROM d GROUP BY grp3"""))
 def a04(spark, sf):
     t = order_rows(spark, sf).groupBy("grp3").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
-    t = t.select("grp3", F.concat(C.fixed("m"), F.lit("\n("), F.col("n").cast("string"), F.lit(")")).alias("myreport"))
+    t = t.select("grp3", F.concat(C.fixed("m"), F.lit("\n("), F.col("n").cast("string"), F.lit(")")).alias("cell_text"))
     path = scratch_path(spark, "report")
     sources.write_report(t, path)
-    return sources.read_table(spark, path, "csv", schema="grp3 string, myreport string")
+    return sources.read_table(spark, path, "csv", schema="grp3 string, cell_text string")
 
 
 @query("a05_literal_table", "SELECT grp3, label, count(*) n FROM (" + with_orders(

@@ -423,26 +423,27 @@ def j13b(spark, sf):
     return row_frame(spark, params=len(fit.terms), worst=round(worst, 6))
 
 
-TYPE4 = ["0-0", "0-1", "1-0", "1-1"]
+LANES = ["0", "1", "2", "3"]
 
 
-def _with_type4(data):
-    label = F.concat(F.when(F.col("happy") > 3, "1").otherwise("0"), F.lit("-"), F.col("sad").cast("string"))
-    return data.mutate(type4=label) if hasattr(data, "mutate") else data.withColumn("type4", label)
+def _with_lane(data):
+    """A four-way outcome dealt by order and customer number."""
+    lane = ((F.col("rid") * 5 + F.col("cluster")) % 4).cast("string")
+    return data.mutate(lane=lane) if hasattr(data, "mutate") else data.withColumn("lane", lane)
 
 
 def _multinom_parts(design):
     w = "w" if design else "1.0"
-    ctes = ["dd AS (SELECT *, CASE WHEN happy > 3 THEN '1' ELSE '0' END || '-' || sad type4 FROM d)",
-            "m AS (SELECT " + ", ".join(f"sum(CASE WHEN female = '{g}' AND type4 = '{t}' THEN {w} ELSE 0.0 END) n{g}{k}"
-                                        for g in "01" for k, t in enumerate(TYPE4)) + " FROM dd)"]
+    ctes = ["dd AS (SELECT *, CAST((rid * 5 + cluster) % 4 AS VARCHAR) lane FROM d)",
+            "m AS (SELECT " + ", ".join(f"sum(CASE WHEN female = '{g}' AND lane = '{t}' THEN {w} ELSE 0.0 END) n{g}{k}"
+                                        for g in "01" for k, t in enumerate(LANES)) + " FROM dd)"]
     parts = []
     for k in (1, 2, 3):
         for g in "01":
             name = ("(Intercept)" if g == "0" else "female1") + f":{k}"
             est = f"ln(n0{k} / n00)" if g == "0" else f"ln(n1{k} / n10) - ln(n0{k} / n00)"
             if design:
-                own = lambda s: f"CASE WHEN female = '{s}' AND type4 = '{TYPE4[k]}' THEN 1 / n{s}{k} WHEN female = '{s}' AND type4 = '{TYPE4[0]}' THEN -1 / n{s}0 ELSE 0 END"
+                own = lambda s: f"CASE WHEN female = '{s}' AND lane = '{LANES[k]}' THEN 1 / n{s}{k} WHEN female = '{s}' AND lane = '{LANES[0]}' THEN -1 / n{s}0 ELSE 0 END"
                 for tag, inf in (("z", own("0") if g == "0" else f"({own('1')}) - ({own('0')})"), ("l", own(g))):
                     ctes.append(f"{tag}{k}{g} AS (SELECT strata, cluster, sum(w * ({inf})) t FROM dd, m GROUP BY ALL), y{tag}{k}{g} AS ({tv_sql(f'{tag}{k}{g}')})")
                 parts.append((name, est, "sqrt(v)", f"m, yz{k}{g}"))
@@ -457,15 +458,15 @@ def _multinom_sql(design):
 
 
 query("j14_multinomial", _multinom_sql(False))(
-    lambda s, f: _tidy(s, multinomial(_with_type4(order_rows(s, f)), "type4", ["female"], levels=LEVELS, y_levels=TYPE4)))
+    lambda s, f: _tidy(s, multinomial(_with_lane(order_rows(s, f)), "lane", ["female"], levels=LEVELS, y_levels=LANES)))
 query("j15_survey_multinomial", _multinom_sql(True))(
-    lambda s, f: _tidy(s, multinomial(_with_type4(order_design(s, f)), "type4", ["female"], levels=LEVELS, y_levels=TYPE4)))
+    lambda s, f: _tidy(s, multinomial(_with_lane(order_design(s, f)), "lane", ["female"], levels=LEVELS, y_levels=LANES)))
 MULTI_TERMS = ["y", "cnt", "use_flag", *cross(["item1", power("item1", 2)], "item2")]
 
 
 @lru_cache(maxsize=8)
 def _multi_fit(spark, sf):
-    return multinomial(_with_type4(order_design(spark, sf)), "type4", MULTI_TERMS, levels=LEVELS, y_levels=TYPE4)
+    return multinomial(_with_lane(order_design(spark, sf)), "lane", MULTI_TERMS, levels=LEVELS, y_levels=LANES)
 
 
 @query("j15_survey_multinomial_score", "SELECT CAST(27 AS BIGINT) params, 0.0::DOUBLE worst")
@@ -477,8 +478,8 @@ def j15b(spark, sf):
 
 @lru_cache(maxsize=8)
 def _multi_boot(spark, sf):
-    rep = as_rep(_with_type4(order_design(spark, sf)), "bootstrap", replicates=20, seed=7)
-    fit, values = multinomial_replicates(rep, "type4", ["female", "cnt"], levels=LEVELS, y_levels=TYPE4)
+    rep = as_rep(_with_lane(order_design(spark, sf)), "bootstrap", replicates=20, seed=7)
+    fit, values = multinomial_replicates(rep, "lane", ["female", "cnt"], levels=LEVELS, y_levels=LANES)
     return fit, values
 
 
@@ -660,10 +661,10 @@ def k06b(spark, sf):
     return predict_ordinal(_ordinal_fit(spark, sf), grid, ["cnt", "item1", "item2"])
 
 
-@query("k07_multinomial_probabilities", with_orders("""dd AS (SELECT *, CASE WHEN happy > 3 THEN '1' ELSE '0' END || '-' || sad type4 FROM d)
-SELECT female, type4 AS "name", round(sum(w) / sum(sum(w)) OVER (PARTITION BY female), 6) predy FROM dd GROUP BY female, type4"""))
+@query("k07_multinomial_probabilities", with_orders("""dd AS (SELECT *, CAST((rid * 5 + cluster) % 4 AS VARCHAR) lane FROM d)
+SELECT female, lane AS "name", round(sum(w) / sum(sum(w)) OVER (PARTITION BY female), 6) predy FROM dd GROUP BY female, lane"""))
 def k07(spark, sf):
-    fit = multinomial(_with_type4(order_design(spark, sf)), "type4", ["female"], levels=LEVELS, y_levels=TYPE4)
+    fit = multinomial(_with_lane(order_design(spark, sf)), "lane", ["female"], levels=LEVELS, y_levels=LANES)
     t = predict_multinomial(fit, prediction_grid(spark, female=["0", "1"]), ["female"])
     return rounded(t.select("female", "name", "predy"))
 
@@ -674,7 +675,7 @@ def _multinom_band_sql():
     for g in "01":
         up = lambda k, sign: "1" if k == 0 else f"exp(ln(n{g}{k} / n{g}0) {sign} * (SELECT sqrt(v) FROM yl{k}{g}))"
         total = lambda sign: " + ".join(up(k, sign) for k in range(4))
-        for k, t in enumerate(TYPE4):
+        for k, t in enumerate(LANES):
             p = lambda sign: f"({up(k, sign)}) / ({total(sign)})"
             rows.append(f"""SELECT '{g}' female, '{t}' AS "name", round({p('+ 0')}, 6) predy, round(least({p('- 1.96')}, {p('+ 1.96')}), 6) ll,
  round(greatest({p('- 1.96')}, {p('+ 1.96')}), 6) ul FROM m""")
@@ -683,7 +684,7 @@ def _multinom_band_sql():
 
 @lru_cache(maxsize=8)
 def _female_fit(spark, sf):
-    return multinomial(_with_type4(order_design(spark, sf)), "type4", ["female"], levels=LEVELS, y_levels=TYPE4)
+    return multinomial(_with_lane(order_design(spark, sf)), "lane", ["female"], levels=LEVELS, y_levels=LANES)
 
 
 @query("k08_multinomial_bands", _multinom_band_sql())

@@ -130,16 +130,16 @@ r{tag} AS (SELECT sqrt(sum(power(({y} - oa - ob * {x}) * ({x} - mx) / xx, 2))) o
 
 
 @query("l07_path_ratio", with_orders(_PATH_SQL + f""", {_plain_slope_sql('cnt', 'item1', 'a')}, {_plain_slope_sql('y', 'cnt', 'b')}
-SELECT 'cnt' lhs, 'item1' rhs, round(a / ob, 5) ratio, abs(ob / ose) > abs(a / sqrt(va)) conserv FROM g, oa, ra
+SELECT 'cnt' lhs, 'item1' rhs, round(a / ob, 5) ratio, abs(ob / ose) > abs(a / sqrt(va)) first_is_stronger FROM g, oa, ra
 UNION ALL SELECT 'y', 'cnt', round(b / ob, 5), abs(ob / ose) > abs(b / sqrt(vb)) FROM g, ob, rb"""))
 def l07b(spark, sf):
-    t = R.path_compare(S.parameter_table(_path(spark, sf, False), spark), S.parameter_table(_path(spark, sf, True), spark))
-    return t.where("op = '~'").select("lhs", "rhs", F.round("ratio", 5).alias("ratio"), "conserv")
+    t = R.paired_estimates(S.parameter_table(_path(spark, sf, False), spark), S.parameter_table(_path(spark, sf, True), spark), ["lhs", "op", "rhs"])
+    return t.where("op = '~'").select("lhs", "rhs", F.round("ratio", 5).alias("ratio"), "first_is_stronger")
 
 
 @query("l07_path_comparison")
 def l07(spark, sf):
-    return R.path_compare(_parameters(spark, sf, False), _parameters(spark, sf, True))
+    return R.paired_estimates(_parameters(spark, sf, False), _parameters(spark, sf, True), ["lhs", "op", "rhs"])
 
 
 @query("l08_srmr_measures", with_orders("""c AS (SELECT covar_samp(item1, item2) c12, var_samp(item1) v1, var_samp(item2) v2 FROM d)
@@ -399,16 +399,16 @@ def _effects(spark, sf):
     matched = Design.of(O.matched_rows(scored, "rid", "distance0", pairs), "cluster", "strata", "w", "fpc", validate=False)
     outcome = lambda data: G.glm(data, "happy", ["sad"])
     return {
-        "Complex survey analysis: No": outcome(order_rows(spark, sf)),
-        "Complex survey analysis: Yes": outcome(design),
-        "Complex survey analysis: Yes,\nPropensity score matched": outcome(matched),
-        "Complex survey analysis: Yes,\nPropensity score weighted": outcome(_ate_design(spark, sf)),
+        "rows": outcome(order_rows(spark, sf)),
+        "design": outcome(design),
+        "matched": outcome(matched),
+        "weighted": outcome(_ate_design(spark, sf)),
     }
 
 
 @query("o04_att")
 def o04(spark, sf):
-    return _effects(spark, sf)["Complex survey analysis: Yes,\nPropensity score matched"].confint(spark)
+    return _effects(spark, sf)["matched"].confint(spark)
 
 
 query("o05_survey_propensity", with_orders("m AS (SELECT grp3, sum(w * sad) / sum(w) p FROM d GROUP BY 1) SELECT rid, round(p, 6) p FROM d JOIN m USING (grp3)"))(
@@ -448,7 +448,9 @@ def o07(spark, sf):
 
 @query("o08_effect_comparison")
 def o08(spark, sf):
-    return O.effect_table(_effects(spark, sf), "sad", spark)
+    traits = {"rows": {"design": False, "balanced_by": "none"}, "design": {"design": True, "balanced_by": "none"},
+              "matched": {"design": True, "balanced_by": "pairs"}, "weighted": {"design": True, "balanced_by": "weights"}}
+    return O.effect_table(_effects(spark, sf), "sad", spark, traits)
 
 
 @query("o09_balance", with_orders(" UNION ALL ".join(
@@ -469,13 +471,13 @@ _STAR_SQL = "CASE WHEN z > 3.29053 THEN '***' WHEN z > 2.57583 THEN '**' WHEN z
 
 
 @query("p01_wrap_cell", with_orders(Q._SVYLM + f""", t AS (SELECT 'cnt' term, b est, sqrt(v) se, abs(b) / sqrt(v) z FROM k, v1 UNION ALL SELECT '(Intercept)', a, sqrt(v), abs(a) / sqrt(v) FROM k, v0)
-SELECT term, {_cell_sql('est', 'se').format(stars=_STAR_SQL)} myreport FROM t"""))
+SELECT term, {_cell_sql('est', 'se').format(stars=_STAR_SQL)} cell_text FROM t"""))
 def p01(spark, sf):
     return R.wrap(G.glm(order_design(spark, sf), "y", ["cnt"]).tidy(spark))
 
 
 def _cells_sql(parts, star, name=lambda n: f"'{n}' term"):
-    return " UNION ALL ".join(f"SELECT {name(n)}, {_cell_sql('e', 's').format(stars=star)} myreport FROM (SELECT {e} e, {se} s, abs({e}) / ({se}) z FROM {src})"
+    return " UNION ALL ".join(f"SELECT {name(n)}, {_cell_sql('e', 's').format(stars=star)} cell_text FROM (SELECT {e} e, {se} s, abs({e}) / ({se}) z FROM {src})"
                               for n, e, se, src in parts)
 
 
@@ -499,17 +501,17 @@ def p02b(spark, sf):
 @query("p03_wrap_negbin")
 def p03(spark, sf):
     fit = Q._negbin_full(spark, sf)
-    t = fit.tidy(spark).where("term <> 'log(theta)'").withColumn("term", F.concat(F.lit("eta."), "term"))
+    t = fit.tidy(spark).where("term <> 'log(theta)'")
     return R.wrap_negbin(t, (fit.extra["theta"], fit.extra["se_theta"]))
 
 
-_CATEGORIES = {"1": "Unhappy-Ysad", "2": "Happy-Nsad", "3": "Happy-Ysad"}
+_CATEGORIES = {"1": "lane_1", "2": "lane_2", "3": "lane_3"}
 
 
 def _multinom_wide_sql():
     ctes, parts = Q._multinom_parts(True)
     long = _cells_sql(parts, _STAR_SQL, lambda n: f"'{n.split(':')[0]}' term, '{n.split(':')[1]}' lev")
-    wide = ", ".join(f"max(CASE WHEN lev = '{k}' THEN myreport END) \"{v}\"" for k, v in _CATEGORIES.items())
+    wide = ", ".join(f"max(CASE WHEN lev = '{k}' THEN cell_text END) \"{v}\"" for k, v in _CATEGORIES.items())
     return with_orders(f"{ctes}, q AS ({long}) SELECT term, {wide} FROM q GROUP BY term")
 
 
@@ -521,14 +523,14 @@ def p04(spark, sf):
 @query("p04_wrap_multinomial_bootstrap")
 def p04b(spark, sf):
     t = Q.j17(spark, sf).select("term", "estimate", "std_error", "p_value")
-    return R.wrap_multinomial(t, {"1": "Unhappy-Ysad", "2": "Happy-Nsad", "3": "Happy-Ysad"})
+    return R.wrap_multinomial(t, _CATEGORIES)
 
 
 @query("p05_model_table", with_orders(Q._SVYLM + f""", o AS (SELECT regr_slope(y, cnt) ob, regr_intercept(y, cnt) oa, count(*) n, regr_sxx(y, cnt) xx, avg(cnt) mx FROM d),
 rr AS (SELECT sum(power(y - oa - ob * cnt, 2)) / (min(n) - 2) s2 FROM d, o),
 ta AS ({_cells_sql([("cnt", "b", "sqrt(v)", "k, v1"), ("(Intercept)", "a", "sqrt(v)", "k, v0")], _STAR_SQL)}),
 tb AS ({_cells_sql([("cnt", "ob", "sqrt(s2 / xx)", "o, rr"), ("(Intercept)", "oa", "sqrt(s2 * (1.0 / n + mx * mx / xx))", "o, rr")], _STAR_SQL)})
-SELECT term, tb.myreport m1_no, ta.myreport m1_yes FROM ta JOIN tb USING (term)"""))
+SELECT term, tb.cell_text m1_no, ta.cell_text m1_yes FROM ta JOIN tb USING (term)"""))
 def p05(spark, sf):
     fits = {"m1_no": G.glm(order_rows(spark, sf), "y", ["cnt"]), "m1_yes": G.glm(order_design(spark, sf), "y", ["cnt"])}
     return R.model_table({k: f.tidy(spark) for k, f in fits.items()})
@@ -578,23 +580,23 @@ def p06b(spark, sf):
 
 
 @query("p06_prediction_ribbon", with_orders(Q._WLS + """, g AS (SELECT unnest([0.0, 2.0, 4.0]) c), o AS (SELECT regr_slope(y, cnt) ob, regr_intercept(y, cnt) oa FROM d)
-SELECT 'Complex survey analysis: Yes' model, CAST(c AS DOUBLE) cnt, round(a + b * c, 6) predy FROM g, k
-UNION ALL SELECT 'Complex survey analysis: No', c, round(oa + ob * c, 6) FROM g, o"""))
+SELECT 'design' model, CAST(c AS DOUBLE) cnt, round(a + b * c, 6) predy FROM g, k
+UNION ALL SELECT 'rows', c, round(oa + ob * c, 6) FROM g, o"""))
 def p06c(spark, sf):
     from designstats.operators.frame import prediction_grid
     from designstats.operators.predict import band, predict
 
     grid = prediction_grid(spark, cnt=[0.0, 2.0, 4.0])
-    fits = {"Complex survey analysis: Yes": Q._lin(spark, sf), "Complex survey analysis: No": G.glm(order_rows(spark, sf), "y", ["cnt"])}
+    fits = {"design": Q._lin(spark, sf), "rows": G.glm(order_rows(spark, sf), "y", ["cnt"])}
     t = union_tagged({k: band(predict(f, grid)) for k, f in fits.items()}, "model")
     return rounded(t.select("model", "cnt", "predy"))
 
 
-@query("p07_fourfold_table", with_orders("""SELECT CASE sad WHEN 0 THEN 'No' ELSE 'Yes' END sad, round(sum(w) FILTER (female = '0')) "Boys", round(sum(w) FILTER (female = '1')) "Girls" FROM d WHERE grp3 = 'A' GROUP BY 1"""))
+@query("p07_fourfold_table", with_orders("""SELECT CASE sad WHEN 0 THEN 'No' ELSE 'Yes' END sad, round(sum(w) FILTER (female = '0')) "open_orders", round(sum(w) FILTER (female = '1')) "filled_orders" FROM d WHERE grp3 = 'A' GROUP BY 1"""))
 def p07(spark, sf):
     design = order_design(spark, sf).subset(F.col("grp3") == "A")
     t = to_wide(E.survey_table(design, "sad", "female"), ["sad"], "female", "n", ["0", "1"])
-    return t.select(F.when(F.col("sad") == 0, "No").otherwise("Yes").alias("sad"), F.round("0").alias("Boys"), F.round("1").alias("Girls"))
+    return t.select(F.when(F.col("sad") == 0, "No").otherwise("Yes").alias("sad"), F.round("0").alias("open_orders"), F.round("1").alias("filled_orders"))
 
 
 @query("p08_labels_two_by_two", """SELECT quality, toxic, count(*) n, round(count(*) / (SELECT count(*) FROM labels), 8) prop FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")

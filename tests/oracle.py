@@ -60,7 +60,7 @@ def main(pattern="", sf="sf0.01"):
     from designstats.plans import catalog
     from designstats.session import local_session
 
-    spark = local_session()
+    spark = local_session(4)
     sf_dir = f"/root/testdata/{sf}"
     con = connect(sf_dir)
     failed = []
