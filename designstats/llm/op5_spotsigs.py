@@ -120,7 +120,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(rows.mapInArrow(sign, "doc_id long, key binary, sig array<long>").filter(F.size("sig") > 0), "signed")
     ids = sets.groupBy("key").agg(F.min("doc_id").alias("id"))
-    sets = stored(sets.join(ids, F.col("doc_id") == F.col("id")).select("id", "sig").dropDuplicates(["id"]), "sets")
+    sets = stored(sets.join(ids, "key").filter("doc_id = id").dropDuplicates(["key"]).select(F.struct("id", "key").alias("id"), "sig"), "sets")
     counts = sets.select(F.explode("sig").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
     size = F.size("sig")
     part = F.floor(F.log(size.cast("double")) / F.lit(-float(np.log(threshold))) + 1e-9).cast("int")
@@ -135,7 +135,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     pairs = left.join(right, ["s", "part"]).filter(fits).select("a", "b").distinct()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return full.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("likeness")).filter(F.col("likeness") >= threshold - 1e-9)
+    alike = full.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("likeness")).filter(F.col("likeness") >= threshold - 1e-9)
+    return alike.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "likeness").filter("a < b")
 
 
 def cell_starts(rows: DataFrame, rows_per_cell: int) -> list[tuple]:
