@@ -128,12 +128,19 @@ def _walk(depth: int):
     return run
 
 
-def _owned(node: int, leaves: list[np.ndarray], i: int, found: np.ndarray) -> np.ndarray:
+def _leaf_matrix(column) -> np.ndarray:
+    """The leaves of every row, filled up with the largest number, which no leaf in question has."""
+    rows = column.to_pylist()
+    out = np.full((len(rows), max(map(len, rows))), np.iinfo(np.int64).max)
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    return out
+
+
+def _owned(node: int, leaves: np.ndarray, i: int, found: np.ndarray) -> np.ndarray:
     """Those partners of row i that first meet it in this node."""
-    if len(leaves[i]) == 1:
-        return found
     own = leaves[i][leaves[i] < node]
-    return np.array([j for j in found.tolist() if not np.isin(own, leaves[j]).any()], dtype=np.int64) if len(own) else found
+    return found[~(leaves[found][:, :, None] == own).any(axis=(1, 2))] if len(own) else found
 
 
 def _members(batches):
@@ -141,7 +148,7 @@ def _members(batches):
     for table, _ in runs(batches, "node", 1 << 30):
         sketch, near = _matrix(table.column("sketch")), np.zeros(table.num_rows, dtype=bool)
         node, half = table.column("node")[0].as_py(), table.column("place").to_numpy()
-        leaves = [np.array(x) for x in table.column("leaves").to_pylist()]
+        leaves = _leaf_matrix(table.column("leaves"))
         for i in range(len(sketch) - 1):
             found = _candidates(sketch, i)
             found = _owned(node, leaves, i, found[_may_meet(half, i, found)]) if len(found) else found
@@ -166,8 +173,8 @@ def _linked(threshold: float):
             order = np.argsort(ids, kind="stable")
             ids, half, weight = ids[order], table.column("place").to_numpy()[order], table.column("n_texts").to_numpy()[order]
             sketch = _matrix(table.column("sketch"))[order]
-            leaves, raw = table.column("leaves").to_pylist(), table.column("grams").to_pylist()
-            leaves, sets = [np.array(leaves[k]) for k in order], [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
+            leaves, raw = _leaf_matrix(table.column("leaves"))[order], table.column("grams").to_pylist()
+            sets = [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
             size = np.array([len(s) for s in sets])
             all_grams, at = np.unique(np.concatenate(sets), return_inverse=True)
             of = np.concatenate([[0], np.cumsum(size)])
