@@ -7,6 +7,7 @@ at least BLOCKS - DISTANCE of them, so a join on every choice of that many block
 each connected group of lines the first occurrence in the order (doc_id, text hash, line) stays.
 """
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -69,21 +70,24 @@ def normalised(parts, i: int) -> bytes:
     return b" ".join(plain[x:y].tobytes() for x, y in zip(a[lo:lo + n].tolist(), b[lo:lo + n].tolist()))
 
 
-def edit_distance(a: bytes, b: bytes) -> int:
-    """Levenshtein distance by bit vectors (Myers), one step per byte of b."""
+def edit_distance(a: bytes, b: bytes, most: float = math.inf) -> int:
+    """Levenshtein distance by bit vectors (Myers), one step per byte of b; some number above ``most`` once it must exceed it."""
     if not a or not b:
         return max(len(a), len(b))
     at: dict[int, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = full, 0, len(a)
+    up, down, score, rest = full, 0, len(a), len(b)
     for c in b:
         eq = at.get(c, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
         ph, mh = down | ~(xh | up) & full, up & xh
         score += bool(ph & last) - bool(mh & last)
+        rest -= 1
+        if score - rest > most:
+            return score - rest
         ph, mh = (ph << 1 | 1) & full, mh << 1 & full
         up, down = mh | ~(xv | ph) & full, ph & xv
     return score
@@ -108,7 +112,15 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     a, b = a[head:], b[head:]
     tail = shared_head(a[::-1], b[::-1])
     a, b = a[:len(a) - tail], b[:len(b) - tail]
-    return max(len(a), len(b)) <= allowed or edit_distance(a, b) <= allowed
+    if max(len(a), len(b)) <= allowed:
+        return True
+    one, two = a.split(b" "), b.split(b" ")
+    if len(one) == len(two) and sum(max(len(x), len(y)) for x, y in zip(one, two) if x != y) <= allowed:
+        return True  # word for word, which is one way to edit
+    spare = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
+    if max(spare[spare > 0].sum(), -spare[spare < 0].sum()) > allowed:
+        return False  # so many letters must be put in or taken out
+    return edit_distance(a, b, allowed) <= allowed
 
 
 def block_keys(sim: Column) -> Column:
@@ -126,17 +138,21 @@ def block_keys(sim: Column) -> Column:
     return F.array(*keys)
 
 
-def choice_of(key: int) -> int:
+def choice_of(key):
     return key % len(CHOICES)
 
 
+#: The first choice whose blocks are all free of differences, by the set of blocks that have some.
+_FIRST = np.array([next((n for n, choice in enumerate(CHOICES) if not any(mask >> k & 1 for k in choice)), len(CHOICES))
+                   for mask in range(1 << len(BLOCKS) - 1)])
+
+
 def _first_choice(apart: np.ndarray) -> np.ndarray:
     """The first choice of blocks in which SimHashes agree, from the bits in which they differ."""
-    differs = [(apart >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1)) != 0 for lo, hi in zip(BLOCKS[:-1], BLOCKS[1:])]
-    out = np.full(len(apart), len(CHOICES))
-    for n, choice in reversed(list(enumerate(CHOICES))):
-        out[~np.any([differs[k] for k in choice], axis=0)] = n
-    return out
+    mask = np.zeros(len(apart), dtype=np.int64)
+    for k, (lo, hi) in enumerate(zip(BLOCKS[:-1], BLOCKS[1:])):
+        mask |= ((apart & np.uint64((1 << hi) - (1 << lo))) != 0).astype(np.int64) << k
+    return _FIRST[mask]
 
 
 def _near(sims: np.ndarray, i: int, choice: int) -> np.ndarray:
@@ -146,7 +162,10 @@ def _near(sims: np.ndarray, i: int, choice: int) -> np.ndarray:
 
 
 def with_partner(batches):
-    """The SimHashes that have another one near them, from rows sorted by key. Rows of 16 bytes are held for one key."""
+    """(key, SimHash) of those that meet another one near them first under this key, from rows sorted by key.
+
+    Rows of 16 bytes are held for one key.
+    """
     held_key, held_sim = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     for batch in (*batches, None):
         if batch is not None:
@@ -164,11 +183,13 @@ def with_partner(batches):
             at = at[key[at] == key[at + step]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(sim[at] ^ sim[at + step]) <= DISTANCE]
+            apart = sim[at] ^ sim[at + step]
+            near = np.flatnonzero(np.bitwise_count(apart) <= DISTANCE)
+            near = at[near[_first_choice(apart[near]) == choice_of(key[at[near]])]]
             hit[near] = hit[near + step] = True
             step += 1
         if hit.any():
-            yield pa.RecordBatch.from_arrays([int64s(np.unique(sim[hit]))], names=["sim"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), int64s(sim[hit])], names=["key", "sim"])
         held_key, held_sim = held_key[whole:], held_sim[whole:]
 
 
@@ -232,11 +253,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     found = rows.mapInArrow(read, "id long, copy long, place int, line long, check long, sim long")
     lines = stored(found.groupBy("line", "check", "sim").agg(F.min(F.struct("id", "copy", "place")).alias("first")), "lines")
 
-    # SimHashes near another one, or shared by different lines.
+    # The keys under which lines meet: SimHashes near another one, or shared by different lines.
     keys = lines.select("sim").distinct().select("sim", F.explode(block_keys(F.col("sim"))).alias("key"))
-    near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(with_partner, "sim long")
-    shared = lines.groupBy("sim").count().filter("count > 1").select("sim")
-    live = stored(lines.select("line", "sim").join(near.union(shared).distinct(), "sim"), "live")
+    near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(with_partner, "key long, sim long")
+    shared = lines.groupBy("sim").count().filter("count > 1").select(F.get(block_keys(F.col("sim")), F.lit(0)).alias("key"), "sim")
+    live = stored(lines.select("line", "sim").join(near.unionByName(shared).distinct(), "sim"), "live")
     bits = key_filter(live, "line")
 
     def fetch(batches):
@@ -250,8 +271,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                         [int64s(one[own]), pa.array([normalised(parts, i) for i in own], pa.binary())], names=["line", "text"])
 
     texts = rows.mapInArrow(fetch, "line long, text binary").dropDuplicates(["line"]).join(live, "line")
-    by_key = texts.select("line", "sim", "text", F.explode(block_keys(F.col("sim"))).alias("key"))
-    edges = by_key.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
+    edges = texts.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
     groups = components(edges)
 
     joined = lines.join(groups.withColumnRenamed("node", "line"), "line", "left")
