@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from designstats.llm.common import parts_of, stored, totals_before
-from designstats.llm.tokens import Encoder
+from designstats.llm.tokens import worker_encoder
 from designstats.session import scratch_path
 
 MAGIC = b"WAVEIDS1"
@@ -243,7 +243,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
             if not b.num_rows:
                 continue
             if writer is None:
-                encoder, writer = Encoder(tokenizer, "byte"), Writer(uri)
+                encoder, writer = worker_encoder(tokenizer, "byte"), Writer(uri)
             end = np.array([end_id], dtype=np.uint32)
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for lo in range(0, len(texts), 512):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from designstats.llm.common import parts_of, stored, totals_before
-from designstats.llm.tokens import Encoder
+from designstats.llm.tokens import worker_encoder
 
 UNIT = 16
 DEPTH = 3
@@ -123,7 +123,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int, kee
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end = None, np.array([end_id], dtype=np.uint32)
         for b in batches:
-            encoder = encoder or Encoder(tokenizer, "word")
+            encoder = encoder or worker_encoder(tokenizer, "word")
             ids, texts, spare = (b.column(k).to_pylist() for k in ("doc_id", "text", "spare"))
             for lo in range(0, len(texts), 512):
                 rows = []

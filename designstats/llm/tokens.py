@@ -5,6 +5,8 @@ order. Texts made of the characters in ``plain`` are cut by numpy; any other tex
 characters, other scripts) is given to the library whole. Both ways give the library's own ids.
 """
 
+import sys
+import types
 import unicodedata
 from itertools import chain
 
@@ -13,10 +15,10 @@ from tokenizers import Tokenizer
 
 from designstats.llm.arrays import prefix_sums, rank_in, slices, span_hash
 
-#: Distinct pre-tokens remembered by a task; beyond it the memory starts anew.
+#: Distinct pre-tokens remembered by a worker; beyond it the memory starts anew.
 REMEMBERED = 1 << 20
 #: Characters cut at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
 
 
@@ -32,6 +34,14 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
+def worker_encoder(path: str, kind: str) -> "Encoder":
+    """The encoder of this Python worker, which serves one task after another and keeps what it remembers."""
+    memo = sys.modules.setdefault("designstats_worker_memo", types.ModuleType("designstats_worker_memo")).__dict__
+    if (path, kind) not in memo:
+        memo[(path, kind)] = Encoder(path, kind)
+    return memo[(path, kind)]
+
+
 class Encoder:
     """kind "byte": byte-level pre-tokens with their leading space; "word": lower case, white space dropped."""
 
@@ -77,7 +87,12 @@ class Encoder:
         if not len(begin):
             return [np.zeros(0, dtype=np.uint32) for _ in starts[1:]]
         key = span_hash(prefix_sums(codes), begin, end)
-        distinct, first, where = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        distinct, first = ranked[new], order[new]
+        where = np.empty(len(key), dtype=np.int64)
+        where[order] = np.cumsum(new) - 1
         if len(self.index) + len(distinct) > REMEMBERED:
             self._forget()
         index = self.index
