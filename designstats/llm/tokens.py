@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from designstats.llm.arrays import prefix_sums, rank_in, slices, span_hash
 
 #: Distinct pre-tokens remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Characters cut at once.
 SLICE = 1 << 20
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
