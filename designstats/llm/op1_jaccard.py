@@ -6,7 +6,8 @@ together. A node with at most ``SMALL`` sets is compared by brute force, a large
 that is still large at ``DEPTH`` holds near copies and is compared block by block, so nothing is dropped. Trees
 are repeated until a pair at the threshold is met with probability ``recall``.
 
-Pairs met in several nodes belong to the smallest of them, and their Jaccard similarity is computed on the whole
+Pairs met in several nodes belong to the smallest of them (the blocks of one node count as that node, since a pair
+meets in one of them only), and their Jaccard similarity is computed on the whole
 sets. Links are counted there, not written out: n near copies have n * n / 2 of them.
 """
 
@@ -137,9 +138,9 @@ def _leaf_matrix(column) -> np.ndarray:
     return out
 
 
-def _owned(node: int, leaves: np.ndarray, i: int, found: np.ndarray) -> np.ndarray:
-    """Those partners of row i that first meet it in this node."""
-    own = leaves[i][leaves[i] < node]
+def _owned(base: int, leaves: np.ndarray, i: int, found: np.ndarray) -> np.ndarray:
+    """Those partners of row i that first meet it in this node; for a pair of blocks, base is the node they are of."""
+    own = leaves[i][leaves[i] < base]
     return found[~(leaves[found][:, :, None] == own).any(axis=(1, 2))] if len(own) else found
 
 
@@ -147,18 +148,18 @@ def _members(batches):
     """The rows of a node that have a pair of their own in it."""
     for table, _ in runs(batches, "node", 1 << 30):
         sketch, near = _matrix(table.column("sketch")), np.zeros(table.num_rows, dtype=bool)
-        node, half = table.column("node")[0].as_py(), table.column("place").to_numpy()
+        node, base, half = table.column("node")[0].as_py(), table.column("base")[0].as_py(), table.column("place").to_numpy()
         leaves = _leaf_matrix(table.column("leaves"))
         for i in range(len(sketch) - 1):
             found = _candidates(sketch, i)
-            found = _owned(node, leaves, i, found[_may_meet(half, i, found)]) if len(found) else found
+            found = _owned(base, leaves, i, found[_may_meet(half, i, found)]) if len(found) else found
             if len(found):
                 near[i] = near[found] = True
         if near.any():
             at = np.flatnonzero(near)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), node)), table.column("id").combine_chunks().take(pa.array(at)), pa.array(half[at], pa.int32())],
-                names=["node", "id", "place"])
+                [pa.array(np.full(len(at), node)), pa.array(np.full(len(at), base)), table.column("id").combine_chunks().take(pa.array(at)),
+                 pa.array(half[at], pa.int32())], names=["node", "base", "id", "place"])
 
 
 def _may_meet(half, i, found):
@@ -169,7 +170,7 @@ def _may_meet(half, i, found):
 def _linked(threshold: float):
     def run(batches):
         for table, _ in runs(batches, "node", 1 << 30):
-            node, ids = table.column("node")[0].as_py(), table.column("id").to_numpy()
+            base, ids = table.column("base")[0].as_py(), table.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, half, weight = ids[order], table.column("place").to_numpy()[order], table.column("n_texts").to_numpy()[order]
             sketch = _matrix(table.column("sketch"))[order]
@@ -183,7 +184,7 @@ def _linked(threshold: float):
                 found = _candidates(sketch, i)
                 found = found[_may_meet(half, i, found)]
                 found = found[np.minimum(size[found], size[i]) >= threshold * np.maximum(size[found], size[i]) - 1e-9]
-                found = _owned(node, leaves, i, found) if len(found) else found
+                found = _owned(base, leaves, i, found) if len(found) else found
                 if not len(found):
                     continue
                 mark[at[of[i]:of[i + 1]]] = 1
@@ -271,16 +272,16 @@ def linked_sets(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold:
     level, leaves = first.mapInArrow(plant, _NODE), None
     for depth in range(1, DEPTH + 1):
         done = stored(level.repartition("node").sortWithinPartitions("node").mapInArrow(_walk(depth), _NODE), "walk")
-        own = done.filter(F.col("place") == LEAF)
+        own = done.filter(F.col("place") == LEAF).withColumn("base", F.col("node"))
         leaves = own if leaves is None else leaves.unionByName(own)
         level = done.filter(F.col("place") == SPLIT)
         if depth == DEPTH or level.isEmpty():
             leaves = leaves.unionByName(_blocks(done.filter(F.col("place") == DENSE)))
             break
     leaves = stored(leaves, "leaves")
-    mine = leaves.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("leaves"))  # a few for each tree
+    mine = leaves.groupBy("id").agg(F.sort_array(F.collect_set("base")).alias("leaves"))  # a few for each tree
     placed = leaves.join(mine, "id")
-    members = stored(placed.repartition("node").sortWithinPartitions("node").mapInArrow(_members, "node long, id long, place int"), "members")
+    members = stored(placed.repartition("node").sortWithinPartitions("node").mapInArrow(_members, "node long, base long, id long, place int"), "members")
     wanted = members.select("id").distinct()
     bits = key_filter(wanted, "id")
 
@@ -302,14 +303,14 @@ def linked_sets(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold:
 
 
 def _blocks(dense: DataFrame) -> DataFrame:
-    """Rows of large nodes for every pair of blocks of their node; place says which of the two a row is in."""
+    """Rows of large nodes for every pair of blocks of their node, the base; place says which of the two a row is in."""
     size = dense.groupBy("node").count().withColumn("parts", F.ceil(F.col("count") / (SMALL // 2)).cast("int"))
     cut = dense.join(size.select("node", "parts"), "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     pairs = cut.select("node", "id", "sketch", "part", other)
     low, high = F.least("part", "other"), F.greatest("part", "other")
     place = F.when(low == high, F.lit(LEAF)).otherwise(F.expr("int(part > other)"))
-    return pairs.select(F.xxhash64("node", low, high).alias("node"), "id", "sketch", place.cast("int").alias("place"))
+    return pairs.select(F.xxhash64("node", low, high).alias("node"), "id", "sketch", place.cast("int").alias("place"), F.col("node").alias("base"))
 
 
 __all__ = ["jaccard_classes", "keep_one", "linked_sets", "trees"]

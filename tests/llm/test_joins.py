@@ -58,6 +58,20 @@ def test_large_nodes_split_and_meet_in_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == want
 
 
+def test_dense_nodes_lose_no_pair_of_a_block(spark, monkeypatch):
+    words = prose(50, 300).split()
+    rows = [(k, " ".join([*words[:3 * k], "new", *words[3 * k + 1:]])) for k in range(60)]
+    monkeypatch.setattr(op1_jaccard, "SMALL", 30)
+    monkeypatch.setattr(op1_jaccard, "DEPTH", 1)  # every larger node is one of near copies
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)  # a run inside one batch counts as whole
+    try:
+        got = op1_jaccard.jaccard_classes(frame(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == brute_classes(rows)
+    assert {r.n_links for r in got} == {59}
+
+
 def test_trees_reach_the_recall():
     assert op1_jaccard.trees(0.8, 0.99) < op1_jaccard.trees(0.8, 0.999999)
     assert op1_jaccard.trees() == 4
