@@ -5,6 +5,9 @@ windows of documents meet those of benchmark items in a hash join. What stood in
 the window: along one alignment of a document with an item, each value of the item must always meet the same
 value of the document, and the other way round. So a question with other numbers is found, and chance
 templates whose values contradict each other are not.
+
+An item shorter than a window is looked for as a window of its own length, in documents of any length. Items that are so
+short or have no window literal enough also have exact windows, with the values in the hash, so that verbatim copies match.
 """
 
 import numpy as np
@@ -79,54 +82,71 @@ def template(texts: list[str]):
     return kind, value, of
 
 
-def template_windows(texts: list[str]):
-    """(text number, position, hash, first token, tokens) of every window with enough literal tokens; kinds, values.
+def _window_hash(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    h = start
+    for k in range(WINDOW):
+        h = mix(h * np.uint64(5) + np.where(k < size, tokens[np.minimum(first + k, len(tokens) - 1)], np.uint64(0)))
+    return h
+
 
-    A text with fewer tokens than a window has one window, of all of them, if more than half are literal.
+def template_windows(texts: list[str], short: tuple[int, ...] = (), exact: bool = False):
+    """(text number, position, hash, first token, tokens, exact) of every window with enough literal tokens; kinds, values.
+
+    A text with fewer tokens than a window has one window, of all of them, if more than half are literal. short: lengths
+    below WINDOW whose windows longer texts have as well. exact: short windows and those with too few literal tokens
+    also have a hash of the tokens as they are.
     """
     kind, value, of = template(texts)
     count = np.diff(of)
-    made = np.where(count >= WINDOW, count - WINDOW + 1, np.minimum(count, 1))
-    text = np.repeat(np.arange(len(count)), made)
-    place = rank_in(made)
+    made = [(np.where(count >= WINDOW, count - WINDOW + 1, np.minimum(count, 1)), np.minimum(count, WINDOW))]
+    made += [(np.where(count > n, count - n + 1, 0), np.full(len(count), n)) for n in short]
+    text = np.concatenate([np.repeat(np.arange(len(count)), m) for m, _ in made])
+    place = np.concatenate([rank_in(m) for m, _ in made])
+    size = np.concatenate([np.repeat(n, m) for m, n in made])
     first = of[:-1][text] + place
-    size = np.minimum(count[text], WINDOW)
-    masked = np.where(kind == LITERAL, value, kind.astype(np.uint64))
-    masked, literal = np.append(masked, np.uint64(0)), np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    h = size.astype(np.uint64)
-    for k in range(WINDOW):
-        h = mix(h * np.uint64(5) + np.where(k < size, masked[np.minimum(first + k, len(kind))], np.uint64(0)))
+    masked = np.append(np.where(kind == LITERAL, value, kind.astype(np.uint64)), np.uint64(0))
+    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
     enough = literal[first + size] - literal[first] >= np.minimum(LITERALS, size // 2 + 1)
-    return text[enough], place[enough], h[enough], first[enough], size[enough], kind, value
+    at, told = np.flatnonzero(enough), np.flatnonzero(~enough | (size < WINDOW)) if exact else np.zeros(0, dtype=np.int64)
+    h = np.concatenate([_window_hash(masked, first[at], size[at], size[at].astype(np.uint64)),
+                        _window_hash(np.append(value, np.uint64(0)), first[told], size[told], mix(size[told].astype(np.uint64)))])
+    own = np.concatenate([at, told])
+    return text[own], place[own], h, first[own], size[own], np.arange(len(own)) >= len(at), kind, value
 
 
-_WINDOW_ROW = "key struct<id:bigint,copy:bigint>, place int, n_windows int, window bigint, slots array<bigint>"
+_WINDOW_ROW = "key struct<id:bigint,copy:bigint>, place int, n_windows int, window bigint, slots array<bigint>, size int, exact boolean"
 
 
-def window_rows(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+def window_rows(rows: DataFrame, bits: np.ndarray | None = None, short: tuple[int, ...] = (), exact: bool = True) -> DataFrame:
     """Windows of (id, copy, text) rows; with bits only those that may be in the filter.
 
-    n_windows counts all windows of the text. slots holds the hashes of the values in the placeholders.
+    n_windows counts the places of all windows of the text. slots holds the hashes of the values in the placeholders.
+    Without bits the rows are items: one that is long and has windows literal enough has no exact ones.
     """
     def run(batches):
         for b in batches:
             ids, copies, texts = (b.column(k).to_pylist() for k in ("id", "copy", "text"))
             for lo, hi in slices(texts):
-                text, place, h, first, size, kind, value = template_windows(texts[lo:hi])
-                total = np.bincount(text, minlength=hi - lo)
-                keep = np.flatnonzero(passes(bits, h)) if bits is not None else np.arange(len(h))
+                text, place, h, first, size, told, kind, value = template_windows(texts[lo:hi], short, exact)
+                masked, plain = np.bincount(text[~told], minlength=hi - lo), np.bincount(text[told], minlength=hi - lo)
+                total = np.where(masked > 0, masked, plain)
+                if bits is not None:
+                    keep = np.flatnonzero(passes(bits, h))
+                else:
+                    keep = np.flatnonzero(~told | (size < WINDOW) | (masked[text] == 0))
                 if not len(keep):
                     continue
                 slots = []
-                for f, s in zip(first[keep].tolist(), size[keep].tolist()):
-                    own = kind[f:f + s] != LITERAL
+                for f, s, as_is in zip(first[keep].tolist(), size[keep].tolist(), told[keep].tolist()):
+                    own = (kind[f:f + s] != LITERAL) & (not as_is)
                     slots.append(value[f:f + s][own].view(np.int64).tolist() if own.any() else [])
                 at = text[keep] + lo
                 key = pa.StructArray.from_arrays(
                     [pa.array([ids[i] for i in at], pa.int64()), pa.array([copies[i] for i in at], pa.int64())], names=["id", "copy"])
                 yield pa.RecordBatch.from_arrays(
                     [key, pa.array(place[keep], pa.int32()), pa.array(total[text[keep]], pa.int32()), int64s(h[keep]),
-                     pa.array(slots, pa.list_(pa.int64()))], names=["key", "place", "n_windows", "window", "slots"])
+                     pa.array(slots, pa.list_(pa.int64())), pa.array(size[keep], pa.int32()), pa.array(told[keep])],
+                    names=["key", "place", "n_windows", "window", "slots", "size", "exact"])
 
     return rows.mapInArrow(run, _WINDOW_ROW)
 
@@ -142,11 +162,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
         return df.select(F.col(id_name).cast("long").alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
 
-    items = stored(window_rows(rows(benchmark, "item_id")).distinct(), "items").select(
+    items = stored(window_rows(rows(benchmark, "item_id")).distinct(), "items")
+    sizes = items.groupBy("size", "exact").count().collect()  # at most two rows for each size
+    short, exact = tuple(sorted({r["size"] for r in sizes} - {WINDOW})), any(r["exact"] for r in sizes)
+    items = items.select(
         F.col("key").alias("item"), F.col("place").alias("item_place"), F.col("n_windows").alias("item_windows"), "window",
         F.col("slots").alias("item_slots"))
-    n_items = items.count()
-    found = window_rows(rows(docs, "doc_id"), key_filter(items, "window"))
+    n_items = sum(r["count"] for r in sizes)
+    found = window_rows(rows(docs, "doc_id"), key_filter(items, "window"), short, exact)
     met = found.join(F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items, "window")
     met = met.select("key", "item", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_windows",
                      F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("slots"))

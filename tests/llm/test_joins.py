@@ -224,3 +224,14 @@ def test_shuffled_benchmark_gives_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     monkeypatch.setattr(op9_decontaminate, "BROADCAST_WINDOWS", 0)
     assert op9_decontaminate.contaminated(frame(spark, [(1, "x " + item), (2, "y")]), bench).count() == 1
+
+
+def test_short_and_numeric_items_are_found_in_longer_texts(spark):
+    short, names, numbers = "Why is the sky blue today", "Alice saw the red fox", "12 + 7 = 19 and 3 x 4 = 12 and 15 - 6 = 9 and 8 / 2 = 4"
+    bench = spark.createDataFrame([(1, short), (2, names), (3, numbers)], "item_id long, text string")
+    around = "Some longer text with many words stands before, and %s and more words of the same text stand behind it"
+    rows = [(1, around % short), (2, around % names), (3, around % numbers), (4, around % "nothing"), (5, short),
+            (6, around % numbers.replace("19", "20").replace("12", "13").replace("9", "8").replace("3", "2"))]
+    got = op9_decontaminate.contaminated(frame(spark, rows, extra=False), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (5, 1)}
+    assert all(r.coverage <= 1 for r in got)
