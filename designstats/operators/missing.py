@@ -38,12 +38,16 @@ def impute(df: DataFrame, key: str, targets: Sequence[str], predictors: Sequence
     of one of the ``donors`` observed rows with the nearest prediction. Donors are numbered in
     the order of their prediction; a missing row looks up the numbers around its own place by
     an equi-join. With one incomplete column all copies share the same donor numbering.
+
+    Rows whose predictors are themselves NULL in part are predicted by a model of those they have,
+    one for each such pattern; a row to fill that has no predictor at all raises.
     """
     rng = np.random.default_rng(seed)
     targets, predictors = list(targets), list(predictors)
     chained = len(targets) > 1
     rounds = sweeps if chained else 1
     full = [*dict.fromkeys([*predictors, *targets])]
+    patterns = {t: _null_patterns(df, t, [c for c in full if c != t], targets) for t in targets}
     copies = df.withColumns({f"__miss_{t}": F.col(t).isNull() for t in targets})
     copies = copies.withColumn("__imp", F.explode(F.sequence(F.lit(1), F.lit(m))))
     if chained:  # start from the observed mean
@@ -53,14 +57,34 @@ def impute(df: DataFrame, key: str, targets: Sequence[str], predictors: Sequence
     for _ in range(rounds):
         for target in targets:
             x = [c for c in full if c != target]
-            copies = _impute_one(copies, key, target, x, m, rng, donors, shared=not chained)
+            for lost in patterns[target]:
+                copies = _impute_one(copies, key, target, x, lost, m, rng, donors, shared=not chained)
             if chained:
                 copies = checkpoint(copies)
     return copies.drop(*[f"__miss_{t}" for t in targets])
 
 
-def _impute_one(copies, key, target, x, m, rng, donors, shared):
+def _gone(c: str):
+    """As dropna sees it: NULL or NaN."""
+    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+
+
+def _null_patterns(df, target, x, targets) -> list[list[str]]:
+    """The sets of predictors that are NULL together in rows to fill, the fewest first; incomplete targets are chained, so they count as there."""
+    given = [c for c in x if c not in targets]
+    lost = F.filter(F.array(*[F.when(_gone(c), F.lit(c)) for c in given]), lambda c: c.isNotNull()) if given else F.array().cast("array<string>")
+    found = sorted((r["p"] for r in df.where(F.col(target).isNull()).select(lost.alias("p")).distinct().collect()), key=lambda p: (len(p), p))
+    if x and any(len(p) == len(x) for p in found):
+        raise ValueError(f"rows without {target} have no predictor either: {', '.join(x)} are NULL")
+    return found or [[]]
+
+
+def _impute_one(copies, key, target, x, lost, m, rng, donors, shared):
     miss = F.col(f"__miss_{target}")
+    mine = miss
+    for c in x:
+        mine = mine & F.coalesce(_gone(c) if c in lost else ~_gone(c), F.lit(c in lost))
+    x = [c for c in x if c not in lost]
     value = F.col(target).cast("double")
     columns = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
     p = len(columns)
@@ -96,7 +120,7 @@ def _impute_one(copies, key, target, x, m, rng, donors, shared):
     by = [] if shared else ["__imp"]
     give = observed.select("__imp", F.col(key).alias("__key"), predicted(hat).alias("__p"),
                            value.alias("__v"), F.lit(1).alias("__donor"))
-    take = copies.where(miss).dropna(subset=x).select("__imp", F.col(key).alias("__key"), predicted(star).alias("__p"),
+    take = copies.where(mine).select("__imp", F.col(key).alias("__key"), predicted(star).alias("__p"),
                                                       F.lit(None).cast("double").alias("__v"), F.lit(0).alias("__donor"))
     # one stable numbering serves both sides of the look-up below
     placed = checkpoint(running_count(give.unionByName(take), by, "__p", "__key", F.col("__donor") == 1, "__rank"))
@@ -110,8 +134,8 @@ def _impute_one(copies, key, target, x, m, rng, donors, shared):
                     * F.size("c")) + 1).cast("int")
     chosen = near.select("__imp", F.col("__key").alias(key), F.element_at("c", pick)["__dv"].alias("__new"))
     # only the missing rows move; the observed ones stay where they are
-    filled = copies.where(miss).join(chosen, ["__imp", key], "left").withColumn(target, F.col("__new")).drop("__new")
-    return copies.where(~miss).withColumn(target, value).unionByName(filled)
+    filled = copies.where(mine).join(chosen, ["__imp", key], "left").withColumn(target, F.col("__new")).drop("__new")
+    return copies.where(~mine).withColumn(target, value).unionByName(filled)
 
 
 def pool(estimates: DataFrame, keys: Sequence[str], estimate: str = "mean", variance: str = "var") -> DataFrame:

@@ -161,6 +161,22 @@ def test_imputation_takes_near_donors(spark):
     assert max(gaps) < 0.6 and all(r.y == rows[r.id][2] for r in done if r.id % 7)
 
 
+def test_imputation_fills_rows_with_null_predictors(spark):
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=60), rng.normal(size=60)
+    rows = [(i, None if i % 4 == 0 else float(x[i] + z[i]), None if i % 3 == 0 else float(x[i]), None if i % 8 == 4 and i % 3 else float(z[i]),
+             None if i % 5 == 0 else float(x[i] - z[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y double, x double, z double, v double")
+    for targets in (["y"], ["y", "v"]):
+        done = impute(df, "id", targets, ["x", "z"], m=2, sweeps=2).collect()
+        assert len(done) == 120
+        for t in targets:
+            seen = {r[t] for r in df.collect()} - {None}
+            assert all(r[t] in seen for r in done)
+    with pytest.raises(ValueError, match="no predictor"):
+        impute(df, "id", ["y"], ["x"])
+
+
 def test_gamma_functions_as_sql(spark):
     from designstats.operators.fitting import digamma_sql, lgamma_sql, trigamma_sql
 
