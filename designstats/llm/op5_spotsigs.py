@@ -106,9 +106,11 @@ def partition_of(length: int, threshold: float) -> int:
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of the different fingerprints at or above the threshold, by their smallest doc_ids a < b.
+    """(a, b, likeness, a_key, b_key) of the different fingerprints at or above the threshold, by their smallest doc_ids.
 
-    Texts with equal fingerprints are one; texts without signatures match nothing; null ids are left out.
+    a_key and b_key are hashes of the fingerprints; a pair is ordered by (id, key), so a = b where two fingerprints share
+    their id. Texts with equal fingerprints are one; texts without signatures match nothing; an id is null, and comes
+    first, if all ids of the fingerprint are.
     """
     def sign(batches):
         for batch in batches:
@@ -117,10 +119,10 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 [batch.column("doc_id"), pa.array([hashlib.md5(s.tobytes()).digest() for s in own], pa.binary()),
                  pa.array([s.astype(np.int64).tolist() for s in own], pa.list_(pa.int64()))], names=["doc_id", "key", "sig"])
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(rows.mapInArrow(sign, "doc_id long, key binary, sig array<long>").filter(F.size("sig") > 0), "signed")
     ids = sets.groupBy("key").agg(F.min("doc_id").alias("id"))
-    sets = stored(sets.join(ids, "key").filter("doc_id = id").dropDuplicates(["key"]).select(F.struct("id", "key").alias("id"), "sig"), "sets")
+    sets = stored(sets.dropDuplicates(["key"]).join(ids, "key").select(F.struct("id", "key").alias("id"), "sig"), "sets")
     counts = sets.select(F.explode("sig").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
     size = F.size("sig")
     part = F.floor(F.log(size.cast("double")) / F.lit(-float(np.log(threshold))) + 1e-9).cast("int")
@@ -133,10 +135,12 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     left = rare.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "s", F.explode(F.sequence(F.col("part") - 1, F.col("part") + 1)).alias("part"))
     fits = (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9) & (F.col("a") < F.col("b"))
     pairs = left.join(right, ["s", "part"]).filter(fits).select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    full = pairs.select("a", "b", F.col("a.key").alias("a_key"), F.col("b.key").alias("b_key"))
+    for side, sig in (("a_key", "x"), ("b_key", "y")):
+        full = full.join(sets.select(F.col("id.key").alias(side), F.col("sig").alias(sig)), side)
     both = F.size(F.array_intersect("x", "y"))
-    alike = full.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("likeness")).filter(F.col("likeness") >= threshold - 1e-9)
-    return alike.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "likeness").filter("a < b")
+    alike = full.select("a", "b", "a_key", "b_key", (both / (F.size("x") + F.size("y") - both)).alias("likeness")).filter(F.col("likeness") >= threshold - 1e-9)
+    return alike.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "likeness", "a_key", "b_key")
 
 
 def cell_starts(rows: DataFrame, rows_per_cell: int) -> list[tuple]:

@@ -195,6 +195,14 @@ def test_similar_fingerprints_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_similar_fingerprints_of_one_id_or_none_are_pairs(spark):
+    text = "the a of " + prose(1, 80).replace(" ", " the ", 20)
+    other = text.replace("the", "a", 1)
+    for ids in ((7, 7), (None, 7), (None, None)):
+        got = op5_spotsigs.similar_pairs(frame(spark, list(zip(ids, (text, other))), extra=False)).collect()
+        assert [(r.a, r.b) for r in got] == [ids] and got[0].a_key != got[0].b_key
+
+
 def test_decontamination_finds_leaks_and_new_parameters(spark):
     item = "A train leaves Boston at 9 and travels 120 km to meet another train that Alice drives for 3 hours before noon"
     rows = hard_rows() + [
