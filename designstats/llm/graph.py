@@ -57,6 +57,32 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+#: Bits for each key of a sized filter, and the most it may have (32 MB); a fuller filter passes more keys and loses none.
+BITS_EACH, MOST_BITS = 12, 1 << 28
+
+
+def sized_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits of a Bloom filter with two hashes, sized by the number of keys; keys must be well mixed 64-bit numbers."""
+    n = keys.count()
+    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, int(n * BITS_EACH).bit_length()))
+    spots = F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(F.col(key), 24).bitwiseAND(F.lit(bits - 1)))
+    at = keys.select(F.explode(spots).alias("at"))
+    words = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in words.toLocalIterator():  # 4 KB a row, MOST_BITS / 32768 rows at most
+        out[r["part"] * 4096:(r["part"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys may be in the sized filter."""
+    keys, top = keys.view(np.uint64), np.uint64(len(bits) * 8 - 1)
+    found = np.ones(len(keys), dtype=bool)
+    for at in (keys & top, keys >> np.uint64(24) & top):
+        found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
 def int64s(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 

@@ -18,6 +18,9 @@ from designstats.llm import (
     op8_chat,
     op9_decontaminate,
     op10_wavelet,
+    op11_hamming,
+    op12_negatives,
+    op13_masks,
 )
 from designstats.llm.common import table
 
@@ -135,6 +138,80 @@ def op10(spark, sf_dir):
     return op10_wavelet.read_shards(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query(
+    "op11_multi_index_hamming",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+        ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words),
+    grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+    often AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN often USING (g) JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM met JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+    least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON a = doc_id""",
+)
+def op11(spark, sf_dir):
+    """Components of all documents whose 2-word shingle sets are linked at 0.8."""
+    return op11_hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_threshold_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (
+      SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+    negatives AS (
+      SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+      FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5""",
+)
+def op12(spark, sf_dir):
+    """Hard negatives of every hundredth vector, for its five nearest positives."""
+    return op12_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_presence_masks",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    b AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+    items AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM b) GROUP BY ALL),
+    sums AS (SELECT count(*) AS nd, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, sums GROUP BY term),
+    m AS (SELECT doc_id, 75 + (25 * len(t) * nd) // l AS m FROM d, sums WHERE len(t) > 0),
+    scores AS (
+      SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM items JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 20""",
+)
+def op13(spark, sf_dir):
+    """The 20 best documents for every benchmark item."""
+    return op13_masks.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over the documents."""
