@@ -8,11 +8,12 @@ under a key of that chunk without the wrong positions: every chunk is entered on
 positions left out. At the similarity of 0.8 a distance beyond the guarantee has a chance of 3 in 10,000, and
 even then a chunk is shared in all but one of ten million pairs.
 
-Keys are not paired off. The smallest set of a key is its pivot, and every other is compared with it, by
-signature and then on the full sets. Where all sets of a key are then in one component nothing is left to learn
-from it; this settles groups of copies of any size with one comparison for each member and pivot. In the
-other keys the sets of different components meet by signature, in blocks, and those within reach are compared
-in full.
+Keys are not paired off. The set of a key that shares most keys with others, as the original of a group of copies
+does, is its pivot, and every other is compared with it, by signature and then on the full sets. Where all sets
+of a key are then in one component nothing is left to learn from it; this settles groups of copies of any size with
+one comparison for each member and pivot. In the other keys the sets of different components meet, by signature and
+then in full: in blocks, where the largest component of the key is dealt out and the rest is shown to each part.
+A pair belongs to the first key that it shares, and only a star of the links found is written.
 """
 
 from itertools import combinations
@@ -26,7 +27,7 @@ from designstats.llm.arrays import mix, seed
 from designstats.llm.bytewords import WordHash, batches_of, split_words
 from designstats.llm.common import stored
 from designstats.llm.graph import components, int64s, may_hold, sized_filter
-from designstats.llm.runs import runs
+from designstats.llm.runs import Union, runs
 
 #: Shares in percent: links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -89,16 +90,30 @@ def signatures(grams: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The positions of each key, and for each chunk and wrong position (WIDTH: none) the first key that two signatures share.
+SLOTS = [left for c in range(CHUNKS) for left in combinations(range(c * WIDTH, (c + 1) * WIDTH), WIDTH - ERRORS)]
+_FIRST = np.array([[next(k for k, left in enumerate(SLOTS) if left[0] // WIDTH == c and c * WIDTH + w not in left) for w in range(WIDTH + 1)]
+                   for c in range(CHUNKS)])
+
+
+def first_slot(same: np.ndarray) -> np.ndarray:
+    """The first key that pairs share, from the positions in which their signatures agree (one row per pair); -1 for none."""
+    wrong = ~same.reshape(len(same), CHUNKS, WIDTH)
+    errors = wrong.sum(axis=2)
+    chunk = (errors <= ERRORS).argmax(axis=1)
+    at = np.arange(len(same))
+    place = np.where(errors[at, chunk] == 0, WIDTH, wrong[at, chunk].argmax(axis=1))
+    return np.where(errors[at, chunk] <= ERRORS, _FIRST[chunk, place], -1)
+
+
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
     """Keys of every signature: for each chunk and each choice of ERRORS positions left out, one column."""
     out = []
-    for c in range(CHUNKS):
-        at = range(c * WIDTH, (c + 1) * WIDTH)
-        for left in combinations(at, WIDTH - ERRORS):
-            key = np.full(len(signature), seed(9000 + len(out)), dtype=np.uint64)
-            for k in left:
-                key = mix(key * np.uint64(3) + signature[:, k].astype(np.uint64))
-            out.append(key)
+    for n, left in enumerate(SLOTS):
+        key = np.full(len(signature), seed(9000 + n), dtype=np.uint64)
+        for k in left:
+            key = mix(key * np.uint64(3) + signature[:, k].astype(np.uint64))
+        out.append(key)
     return np.column_stack(out)
 
 
@@ -108,7 +123,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, id (of the set), n_shingles and signature of every row."""
+    """doc_id, copy (hash of the text), id (of the set), n_shingles and signature of every row."""
 
     def read(batches):
         memo = WordHash()
@@ -117,15 +132,15 @@ def _signed(docs: DataFrame) -> DataFrame:
             for lo, hi in batches_of(raw, SLICE):
                 grams, of = shingle_sets([t or b"" for t in raw.slice(lo, hi - lo).to_pylist()], memo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), int64s(set_ids(grams, of)), pa.array(np.diff(of)),
-                     pa.array([r.tobytes() for r in signatures(grams, of)], pa.binary())],
-                    names=["doc_id", "id", "n_shingles", "signature"])
+                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("copy").slice(lo, hi - lo), int64s(set_ids(grams, of)),
+                     pa.array(np.diff(of)), pa.array([r.tobytes() for r in signatures(grams, of)], pa.binary())],
+                    names=["doc_id", "copy", "id", "n_shingles", "signature"])
 
-    return docs.mapInArrow(read, "doc_id long, id long, n_shingles long, signature binary")
+    return docs.mapInArrow(read, "doc_id long, copy long, id long, n_shingles long, signature binary")
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
-    """(key, id) of every set under all its keys."""
+    """(key, slot, id) of every set under all its keys."""
 
     def run(batches):
         for batch in batches:
@@ -133,10 +148,11 @@ def _keyed(sets: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 4096)
                 keys = chunk_keys(_matrix(part.column("signature")))
                 ids = part.column("id").to_numpy()
+                slot = np.tile(np.arange(keys.shape[1], dtype=np.int16), len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [int64s(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"])
+                    [int64s(keys.ravel()), pa.array(slot), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "slot", "id"])
 
-    return sets.select("id", "signature").mapInArrow(run, "key long, id long")
+    return sets.select("id", "signature").mapInArrow(run, "key long, slot short, id long")
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,71 +169,134 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(fits).select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _grams(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, grams) of the wanted sets; the texts are cut again, so that only their own shingles are moved."""
-    held = sized_filter(wanted, "id")
+def _grams(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, grams) of the wanted sets, cut again from one text of each; other texts are passed over by a filter."""
+    copies = stored(sets.join(wanted, "id").select("id", "copy"), "copies")
+    held = sized_filter(copies, "copy")
 
     def read(batches):
         memo = WordHash()
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(held, batch.column("copy").to_numpy())))
             raw = batch.column("raw")
             for lo, hi in batches_of(raw, SLICE):
-                grams, of = shingle_sets([t or b"" for t in raw.slice(lo, hi - lo).to_pylist()], memo)
-                ids = set_ids(grams, of)
-                own = np.flatnonzero(may_hold(held, ids) & (ids != 0))
-                if len(own):
-                    yield pa.RecordBatch.from_arrays(
-                        [int64s(ids[own]), pa.array([grams[of[i]:of[i + 1]].tobytes() for i in own.tolist()], pa.binary())], names=["id", "grams"])
+                grams, of = shingle_sets(raw.slice(lo, hi - lo).to_pylist(), memo)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("copy").slice(lo, hi - lo), int64s(set_ids(grams, of)),
+                     pa.array([grams[a:b].tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist())], pa.binary())], names=["copy", "id", "grams"])
+
+    found = docs.filter("raw is not null").select("raw", "copy").mapInArrow(read, "copy long, id long, grams binary")
+    return found.join(copies, ["id", "copy"], "left_semi").dropDuplicates(["id"]).select("id", "grams")
+
 
-    found = docs.select("raw").mapInArrow(read, "id long, grams binary")
-    return found.dropDuplicates(["id"]).join(wanted, "id", "left_semi")
+def overlap(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if 100 * len(small) < PERCENT * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _set(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) that are linked on their full sets."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    grams = stored(_grams(docs, wanted), "grams")
+    grams = stored(_grams(docs, sets, wanted), "grams")
 
     def run(batches):
         for batch in batches:
-            left, right, keep = batch.column("g_a"), batch.column("g_b"), []
-            for a, b in zip(left, right):
-                a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                at = np.searchsorted(a, b)
-                both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            keep = [overlap(_set(a), _set(b)) for a, b in zip(batch.column("g_a"), batch.column("g_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: grams.select(F.col("id").alias(s), F.col("grams").alias(f"g_{s}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "g_a", "g_b").mapInArrow(run, "a long, b long")
 
 
-def _meet(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and are within reach, in blocks of the key's sets."""
-    size = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "large")
-    parts = F.coalesce(F.ceil(F.col("n") / (BLOCK // 2)), F.lit(1)).cast("int")
-    cut = rows.join(size, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    spread = cut.select("key", "id", "root", "signature", "part", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    # Rows of one part meet under (part, part); those of two parts under (low, high), each with the other side only.
-    side = F.when(low == high, F.lit(-1)).otherwise(F.expr("int(part > other)")).cast("int")
-    cells = spread.select(F.xxhash64("key", low, high).alias("cell"), "id", "root", "signature", side.alias("side"))
+def _cells(rows: DataFrame) -> DataFrame:
+    """cell and side of the rows of mixed keys (key, slot, id, root, signature), so that sets of different components meet.
 
-    def run(batches):
-        for table, _ in runs(batches, "cell", 1 << 30):
-            ids, root, half = (table.column(c).to_numpy() for c in ("id", "root", "side"))
-            signature = _matrix(table.column("signature"))
-            a, b = [], []
-            for i in range(len(ids) - 1):
-                rest = np.flatnonzero((root[i + 1:] != root[i]) & ((half[i] < 0) | (half[i + 1:] != half[i]))) + i + 1
-                if len(rest):
-                    rest = rest[(signature[rest] != signature[i]).sum(axis=1) <= REACH]
-                    a.append(np.minimum(ids[rest], ids[i]))
-                    b.append(np.maximum(ids[rest], ids[i]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    The largest component of a key (side 1) is dealt to parts, and the others (side 0) are shown to every part. The others
+    also meet among themselves, part by part: under (p, p) all of a part (side -1), under (p, q) the sides 2 and 3.
+    """
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / (BLOCK // 2))).cast("int")
+    size = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    size = size.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    size = stored(size.select("key", F.col("most.root").alias("main"), parts(F.col("most.n")).alias("dealt"), parts(F.col("all") - F.col("most.n")).alias("rest")), "sizes")
+    cut = rows.join(size, "key")
+    part = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
+    main = F.col("root") == F.col("main")
+    cell = lambda kind, *of: F.xxhash64("key", F.lit(kind), *of)
+    named = ["slot", "id", "root", "signature"]
+    dealt = cut.filter(main).select(cell(1, part("dealt")).alias("cell"), F.lit(1).alias("side"), *named)
+    shown = cut.filter(~main).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1))).select(
+        cell(1, F.col("to")).alias("cell"), F.lit(0).alias("side"), *named)
+    own = cut.filter(~main).withColumn("part", part("rest")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(low == high, F.lit(-1)).otherwise(F.expr("IF(part < other, 2, 3)"))
+    return dealt.unionByName(shown).unionByName(own.select(cell(2, low, high).alias("cell"), side.alias("side"), *named))
+
+
+def _partners(i: int, side: np.ndarray, root: np.ndarray, signature: np.ndarray, slot: int) -> np.ndarray:
+    """Later rows of a cell that row i meets there first: of another component and side, and within reach."""
+    found = np.flatnonzero((root[i + 1:] != root[i]) & ((side[i] < 0) | (side[i + 1:] != side[i]))) + i + 1
+    if len(found):
+        same = signature[found] == signature[i]
+        near = same.sum(axis=1) >= POSITIONS - REACH
+        found, same = found[near], same[near]
+        found = found[first_slot(same) == slot] if len(found) else found
+    return found
+
+
+def _cell_table(table):
+    side, root = table.column("side").to_numpy(), table.column("root").to_numpy()
+    return side, root, _matrix(table.column("signature")), table.column("slot")[0].as_py()
+
+
+def _meeting(batches):
+    """The rows of a cell that have a partner in it."""
+    for table, _ in runs(batches, "cell", 1 << 30):
+        side, root, signature, slot = _cell_table(table)
+        hit = np.zeros(len(root), dtype=bool)
+        for i in range(len(root) - 1):
+            if len(found := _partners(i, side, root, signature, slot)):
+                hit[i] = hit[found] = True
+        if hit.any():
+            yield from table.filter(pa.array(hit)).combine_chunks().to_batches()
+
+
+def _stars(batches):
+    """A star for the linked sets of a cell; sets already joined there are not compared again."""
+    for table, _ in runs(batches, "cell", 1 << 30):
+        side, root, signature, slot = _cell_table(table)
+        ids, grams = table.column("id").to_numpy(), [_set(g) for g in table.column("grams")]
+        groups = Union(len(ids))
+        first: dict[int, int] = {}
+        for i, r in enumerate(root.tolist()):
+            groups.join(i, first.setdefault(r, i))  # known to be of one component
+        joined = []
+        for i in range(len(ids) - 1):
+            for j in _partners(i, side, root, signature, slot).tolist():
+                if groups.root(i) != groups.root(j) and overlap(grams[i], grams[j]):
+                    groups.join(i, j)
+                    joined.append((ids[i], ids[j]))
+        if joined:
+            a, b = zip(*joined)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _across(rows: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a key."""
+    by_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell")
+    columns = "cell long, side int, slot short, id long, root long, signature binary"
+    met = stored(by_cell(_cells(rows)).mapInArrow(_meeting, columns), "met")
+    wanted = stored(met.select("id").distinct(), "wanted")
+    grams = stored(_grams(docs, sets, wanted), "grams")
+    return by_cell(met.join(grams, "id")).mapInArrow(_stars, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,26 +307,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept. A null text is empty. A row with a null id is never kept; its component_id is null where all ids of the
     component are. Long texts are taken whole; other columns of docs are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).withColumn("copy", F.xxhash64("raw"))
     signed = stored(_signed(docs), "signed")
     sets = stored(signed.filter("id <> 0").groupBy("id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "sets")
-
-    pivots = stored(_keyed(sets).groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pivots")
-    shared = stored(_keyed(sets).join(pivots, "key"), "shared")
-    stars = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_linked(stored(_near(stars, sets), "near"), docs), "links")
+        F.min("doc_id").alias("doc_id"), F.min("copy").alias("copy"), F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature")), "sets")
+
+    sizes = stored(_keyed(sets).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
+    shared = stored(_keyed(sets).join(sizes, "key"), "shared")
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    pivots = stored(shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("p")).select("key", F.col("p.id").alias("pivot")), "pivots")
+    members = stored(shared.select("key", "slot", "id").join(pivots, "key").filter("id <> pivot"), "members")
+    stars = members.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    links = stored(_linked(stored(_near(stars, sets), "near"), docs, sets), "links")
     groups = stored(components(links), "groups")
 
-    # Keys whose sets are in more than one component: pairs of two components may still be linked.
-    rooted = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = stored(rooted.select("key", "id", "pivot", "root"), "rooted")
-    mixed = stored(rooted.filter("id <> pivot").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                   .filter("lo <> hi").select("key"), "mixed")
-    rows = rooted.filter("id <> pivot").join(mixed, "key").join(sets.select("id", "signature"), "id").select("key", "id", "root", "signature")
-    more = stored(_near(stored(_meet(rows).distinct(), "met"), sets), "near")
+    # Keys whose sets are in more than one component: sets of two components may still be linked.
+    rooted = members.select("key", "slot", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = stored(rooted, "rooted")
+    mixed = stored(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+    rows = stored(rooted.join(mixed, "key").join(sets.select("id", "signature"), "id"), "rows")
+    more = stored(_across(rows, docs, sets), "links")
     if not more.isEmpty():
-        groups = stored(components(links.unionByName(_linked(more, docs))), "groups")
+        groups = stored(components(links.unionByName(more)), "groups")
 
     own = sets.select("id", "doc_id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
