@@ -18,16 +18,16 @@ def iptw(treated: Column, score: Column) -> Column:
 
 def _ordered(units: DataFrame, slices: int) -> DataFrame:
     """Cells and order columns for the sweep: score descending, treated before controls."""
-    flipped = units.withColumn("__v", -F.col("score"))
+    flipped = units.withColumns({"__v": -F.col("score"), "__mod": F.pmod(F.xxhash64("id"), F.lit(64))})
     cells = range_cells(flipped, "__v", "id", slices)
-    # inside a tied cell all treated slices come before all control slices
-    sub = F.when(F.col("__sub").isNotNull() & (F.col("treated") == 1), F.col("__sub")).otherwise(F.col("__sub") + 1000)
+    # inside a tied cell all treated slices come before all control slices; the slice is part of the order everywhere
+    sub = F.when(F.col("treated") == 1, F.col("__mod")).otherwise(F.col("__mod") + 1000)
     tied = F.col("__cell") % 2 == 0
     return cells.withColumn("__sub", F.when(tied, sub).otherwise(0)).withColumn("__late", 1 - F.col("treated"))
 
 
 _SPOT = ["__cell", "__sub"]
-_ORDER = ["__v", "__late", "id"]
+_ORDER = ["__v", "__late", "__mod", "id"]
 
 
 def _windows():

@@ -3,6 +3,7 @@
 from designstats.plans import (  # noqa: F401
     q_estimate,
     q_frame,
+    q_matching,
     q_models,
     q_replicate,
     q_structures,

@@ -47,3 +47,11 @@ def test_equals_sequential_greedy(spark, seed, n, share, shift, limit, step, hot
     else:
         assert distance.keys() == want.keys()
         assert all(abs(distance[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_pairs_do_not_depend_on_the_slices(spark):
+    rng = random.Random(8)
+    units = [(i, int(rng.random() < 0.4), 0.5 if i % 3 == 0 else round(rng.random(), 2)) for i in range(400)]
+    df = spark.createDataFrame(units, "id long, treated int, score double")
+    got = {tuple(sorted(map(tuple, match_nearest(df, "id", F.col("treated"), F.col("score"), slices=n).collect()))) for n in (2, 9, 64)}
+    assert len(got) == 1
