@@ -131,22 +131,26 @@ class RepDesign:
         psus = self.design.full.select(STR, PSU).distinct()
         return number_rows(psus, [STR], PSU, "rn")
 
-    def _half_samples(self, psu, keys, names):
-        scheme = self.scheme()
-        bits = scheme["reps"].bit_length() - 1
-        low = bits // 2
-        size_lo, size_hi = 1 << low, 1 << (bits - low)
+    def pairs(self) -> DataFrame:
+        """The pair of every PSU (__g, from 1) and its side (__sign)."""
         # strata are few; their running pair offsets come from one small sorted table
         before = Window.orderBy(STR).rowsBetween(Window.unboundedPreceding, -1)
         offsets = self.design.strata().select(
             STR, F.coalesce(F.sum(F.floor(F.col("n_h") / 2)).over(before), F.lit(0)).alias("off")
         )
-        pairs = self._numbered().join(offsets, STR).select(
-            STR, PSU, (F.col("off") + F.ceil(F.col("rn") / 2)).cast("long").alias("g"),
-            F.when(F.col("rn") % 2 == 1, 1.0).otherwise(-1.0).alias("sign"),
+        return self._numbered().join(offsets, STR).select(
+            STR, PSU, (F.col("off") + F.ceil(F.col("rn") / 2)).cast("long").alias("__g"),
+            F.when(F.col("rn") % 2 == 1, 1.0).otherwise(-1.0).alias("__sign"),
         )
+
+    def _half_samples(self, psu, keys, names):
+        scheme = self.scheme()
+        bits = scheme["reps"].bit_length() - 1
+        low = bits // 2
+        size_lo, size_hi = 1 << low, 1 << (bits - low)
+        pairs = self.pairs()
         keyed = psu.join(pairs, [STR, PSU])
-        diffs = keyed.groupBy(*keys, "g").agg(*[F.sum(F.col("sign") * F.col(t)).alias(t) for t in names])
+        diffs = keyed.groupBy(*keys, "__g").agg(*[F.sum(F.col("__sign") * F.col(t)).alias(t) for t in names])
 
         def stage(df, group, index, size, out):
             """Signed sums over ``index`` for every row number 0..size-1 of the transform."""
@@ -165,16 +169,16 @@ class RepDesign:
             return packed.select(*group, F.inline(spread))
 
         split = diffs.withColumns({
-            "lo": F.col("g").bitwiseAND(F.lit(size_lo - 1).cast("long")),
-            "hi": F.shiftright("g", low),
+            "__lo": F.col("__g").bitwiseAND(F.lit(size_lo - 1).cast("long")),
+            "__hi": F.shiftright("__g", low),
         })
-        first = stage(split, [*keys, "hi"], "lo", size_lo, "r_lo")
-        second = stage(first, [*keys, "r_lo"], "hi", size_hi, "r_hi")
+        first = stage(split, [*keys, "__hi"], "__lo", size_lo, "__r_lo")
+        second = stage(first, [*keys, "__r_lo"], "__hi", size_hi, "__r_hi")
         full = self._full(psu, keys, names)
         joined = null_safe_join(second, full, keys)
         shrink = 1.0 - self.rho
         return joined.select(
-            (F.col("r_hi") * size_lo + F.col("r_lo")).cast("string").alias("rep"), *keys,
+            (F.col("__r_hi") * size_lo + F.col("__r_lo")).cast("string").alias("rep"), *keys,
             *[(F.col(f"full_{t}") + shrink * F.col(t)).alias(t) for t in names],
             F.lit(1).cast("long").alias("mult"), F.lit(scheme["scale"]).alias("rscale"),
             *[f"full_{t}" for t in names], *[F.col(f"full_{t}").alias(f"base_{t}") for t in names],

@@ -8,12 +8,13 @@ from designstats.functions.dist import INF
 from designstats.operators import estimate as E
 from designstats.operators.design import PSU, STR, WT
 from designstats.operators.frame import union_tagged
+from designstats.operators.refits import replicate_glm, replicate_ordinal, replicate_table, replicate_totals
 from designstats.operators.replicate import as_rep, even_strata, replicate_vcov
 from designstats.plans.fixtures import order_design, with_orders
 from designstats.plans.q_estimate import mean_sql
 from designstats.plans.registry import query
 
-BOOT = 40
+BOOT = 100
 
 
 @lru_cache(maxsize=8)
@@ -219,3 +220,75 @@ def h10b(spark, sf):
     t = union_tagged(tables, "method")
     return t.select("method", "female", "sad", F.round("n", 4).alias("n"), F.round("n_se", 5).alias("n_se"),
                     F.round("prop", 8).alias("prop"))
+
+
+# -- vectors of replicate weights: totals without a table of PSUs by replicates, and refits of any estimator ------------
+def _split_mean(draws):
+    def run(spark, sf):
+        rep = as_rep(order_design(spark, sf), "bootstrap", replicates=draws, seed=7)
+        cells = E.mean_cells(rep.design, {"happy": F.col("happy")}, False)
+        reps = replicate_totals(rep, cells, ["variable"], ["sw", "swx"]).withColumn("v", F.col("swx") / F.col("sw"))
+        full = F.first(F.col("full_swx") / F.col("full_sw"))
+        return reps.groupBy("variable").agg(
+            F.round(full, 8).alias("mean"), F.round(F.sqrt(F.first("rscale") * F.var_pop("v") * F.count("v")), 8).alias("se"), F.count("v").alias("draws"))
+    return run
+
+
+query("h05_split_bootstrap_mean")(_split_mean(100))
+query("h05_split_bootstrap_mean_1000")(_split_mean(1000))
+
+
+@query("h03_fay_mean_by_vectors", mean_rep_sql("Fay"))
+def h03_vectors(spark, sf):
+    rep = rep_design(spark, sf, "Fay")
+    cells = E.mean_cells(rep.design, {"happy": F.col("happy")}, False)
+    reps = replicate_totals(rep, cells, ["variable"], ["sw", "swx"]).withColumn("v", F.col("swx") / F.col("sw"))
+    return reps.groupBy("variable").agg(
+        F.round(F.first(F.col("full_swx") / F.col("full_sw")), 8).alias("mean"),
+        F.round(F.sqrt(F.first("rscale") * F.var_pop("v") * F.count("v")), 8).alias("se")).drop("variable")
+
+
+def _moments_sql(rho, moments):
+    """rt and ft with one key for each moment; d has the rows."""
+    parts = " UNION ALL ".join(f"SELECT strata, cluster, '{k}' k, sum(w * ({x})) a, 0.0 b FROM d GROUP BY ALL" for k, x in moments.items())
+    return f"pc AS ({parts}), {half_sql(rho)}"
+
+
+_SUMS = {"n": "1", "x": "cnt", "y": "y", "xx": "cnt * cnt", "xy": "cnt * y"}
+_PICK = ", ".join(f"max(CASE WHEN k = '{k}' THEN a END) {k}" for k in _SUMS)
+_LINE = "(n * xy - x * y) / (n * xx - x * x)"
+
+
+@query("h08_refit_linear_fay", with_orders(_moments_sql(0.3, _SUMS) + f""",
+rw AS (SELECT rep, min(rscale) rscale, {_PICK} FROM rt GROUP BY rep), fw AS (SELECT {_PICK} FROM ft),
+rb AS (SELECT rscale, {_LINE} b, (y - {_LINE} * x) / n a FROM rw), fb AS (SELECT {_LINE} b, (y - {_LINE} * x) / n a FROM fw)
+SELECT 'cnt' term, round((SELECT b FROM fb), 8) estimate, round(sqrt(min(rscale) * var_pop(b) * count(*)), 8) std_error FROM rb
+UNION ALL SELECT '(Intercept)', round((SELECT a FROM fb), 8), round(sqrt(min(rscale) * var_pop(a) * count(*)), 8) FROM rb"""))
+def h08_linear(spark, sf):
+    """A linear model refitted in every Fay replicate."""
+    fit, values = replicate_glm(rep_design(spark, sf, "Fay"), "y", ["cnt"])
+    t = replicate_table(fit, values)
+    return t.select("term", F.round("estimate", 8).alias("estimate"), F.round("std_error", 8).alias("std_error"))
+
+
+_CELLS = {f"c{f}{s}": f"CASE WHEN female = '{f}' AND sad = {s} THEN 1 ELSE 0 END" for f in "01" for s in (0, 1)}
+_CELL_PICK = ", ".join(f"max(CASE WHEN k = '{k}' THEN a END) {k}" for k in _CELLS)
+
+
+@query("h08_refit_logit_brr", with_orders(_moments_sql(0.0, _CELLS) + f""",
+rw AS (SELECT rep, min(rscale) rscale, {_CELL_PICK} FROM rt GROUP BY rep), fw AS (SELECT {_CELL_PICK} FROM ft),
+rb AS (SELECT rscale, ln(c01 / c00) a, ln(c11 / c10) - ln(c01 / c00) b FROM rw)
+SELECT '(Intercept)' term, (SELECT round(ln(c01 / c00), 6) FROM fw) estimate, round(sqrt(min(rscale) * var_pop(a) * count(*)), 6) std_error FROM rb
+UNION ALL SELECT 'female1', (SELECT round(ln(c11 / c10) - ln(c01 / c00), 6) FROM fw), round(sqrt(min(rscale) * var_pop(b) * count(*)), 6) FROM rb"""))
+def h08_logit(spark, sf):
+    """A logit model refitted in every half-sample."""
+    fit, values = replicate_glm(rep_design(spark, sf, "BRR"), "sad", ["female"], "binomial", {"female": ["0", "1"]})
+    t = replicate_table(fit, values)
+    return t.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+
+
+@query("h08_refit_ordinal_bootstrap")
+def h08_ordinal(spark, sf):
+    """A cumulative logit model refitted in 100 bootstrap replicates."""
+    rep = as_rep(order_design(spark, sf), "bootstrap", replicates=100, seed=7)
+    return replicate_table(*replicate_ordinal(rep, "happy", ["y", "cnt"], [1.0, 2.0, 3.0, 4.0, 5.0]))

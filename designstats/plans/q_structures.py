@@ -173,7 +173,7 @@ def m02(spark, sf):
     return rounded(M.missing_summary(order_rows(spark, sf), ["rid", "y", "spend", "age_m", "happy"]))
 
 
-COPIES = 5
+COPIES = 20
 
 
 @lru_cache(maxsize=4)
@@ -205,6 +205,95 @@ def m03b(spark, sf):
     return t.groupBy("__imp").agg(F.count(F.lit(1)).alias("n"),
                                   F.sum((F.col("age_m").isNull() | F.col("spend").isNull()).cast("long")).alias("still_missing"))
 
+# Drawn categories, in SQL with the same draws: the fit of a model of one two-level predictor is that of its cells, its
+# covariance follows from their counts, and the normals and uniforms come from md5.
+def _uniform_sql(text):
+    return f"((('0x' || substr(md5({text}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+
+
+def _normal_sql(prefix, j):
+    return f"sqrt(-2 * ln({_uniform_sql(f'{prefix} || {chr(39)}|{j}|0{chr(39)}')})) * cos(2 * pi() * {_uniform_sql(f'{prefix} || {chr(39)}|{j}|1{chr(39)}')})"
+
+
+def _category_sql(target, levels, value, rows="d", seed=1234, m=COPIES):
+    """CTEs: st (the coefficients drawn for each copy) and drawn (copy, rid, category) of the rows without a value."""
+    k, names = len(levels), []
+    count = ", ".join(f"count(*) FILTER (t = '{v}' AND female = '{f}')::DOUBLE n{f}_{c}" for f in "01" for c, v in enumerate(levels))
+    theta, cov = [], {}
+    for c in range(1, k):
+        theta += [f"ln(n0_{c} / n0_0)", f"ln(n1_{c} / n1_0) - ln(n0_{c} / n0_0)"]
+    cell = lambda f, c, d: f"(1 / n{f}_0" + (f" + 1 / n{f}_{c})" if c == d else ")")
+    for c in range(1, k):
+        for d in range(1, k):
+            a, b = 2 * (c - 1), 2 * (d - 1)
+            cov[a, b], cov[a, b + 1], cov[a + 1, b] = cell(0, c, d), f"(-{cell(0, c, d)})", f"(-{cell(0, c, d)})"
+            cov[a + 1, b + 1] = f"({cell(0, c, d)} + {cell(1, c, d)})"
+    steps, q = [f"SELECT *, {', '.join(f'{t} t{j}' for j, t in enumerate(theta))} FROM nc"], 2 * (k - 1)
+    for j in range(q):  # Cholesky, one column after another
+        own = " - ".join([cov[j, j], *[f"l{j}_{r} * l{j}_{r}" for r in range(j)]])
+        steps.append(f"SELECT *, sqrt({own}) l{j}_{j} FROM ({steps[-1]})")
+        if j + 1 < q:
+            below = ", ".join("(" + " - ".join([cov[i, j], *[f"l{i}_{r} * l{j}_{r}" for r in range(j)]]) + f") / l{j}_{j} l{i}_{j}" for i in range(j + 1, q))
+            steps.append(f"SELECT *, {below} FROM ({steps[-1]})")
+    text = f"'{seed}|1|{target}|' || imp"
+    z = ", ".join(f"{_normal_sql(text, j)} z{j}" for j in range(q))
+    star = ", ".join(f"t{i} + " + " + ".join(f"l{i}_{j} * z{j}" for j in range(i + 1)) + f" s{i}" for i in range(q))
+    links = ", ".join(["1.0 e0", *[f"exp(s{2 * (c - 1)} + s{2 * (c - 1) + 1} * CASE WHEN female = '1' THEN 1 ELSE 0 END) e{c}" for c in range(1, k)]])
+    total = " + ".join(f"e{c}" for c in range(k))
+    uniform = _uniform_sql(f"'{seed}|1|{target}' || '|' || imp || '|' || rid")
+    pick = "CASE " + " ".join(f"WHEN {' + '.join(f'e{i}' for i in range(c + 1))} >= u * ({total}) THEN '{levels[c]}'" for c in range(k - 1)) + f" ELSE '{levels[-1]}' END"
+    return f"""v AS (SELECT rid, female, {value} t FROM {rows}),
+nc AS (SELECT {count} FROM v), ch AS ({steps[-1]}),
+st AS (SELECT imp, {star} FROM ch, (SELECT range + 1 imp, {z} FROM (SELECT range, range + 1 imp FROM range({m})))),
+drawn AS (SELECT CAST(imp AS INTEGER) "__imp", rid, {pick} category FROM (
+  SELECT imp, rid, {uniform} u, {links} FROM v, st WHERE t IS NULL))"""
+
+
+_LANE_NULL = "CASE WHEN rid % 9 <> 4 THEN grp3 END"
+
+
+@query("m03_polytomous", with_orders(_category_sql("lane", ["A", "B", "C"], _LANE_NULL) + " SELECT * FROM drawn"))
+def m03_polytomous(spark, sf):
+    """A factor with three levels, drawn from polytomous models of another factor; the filled rows of all copies."""
+    rows = order_rows(spark, sf).withColumn("lane", F.when(F.col("rid") % 9 != 4, F.col("grp3")))
+    t = M.impute(rows, "rid", ["lane"], ["female"], m=COPIES, categories={"lane": ["A", "B", "C"], "female": ["0", "1"]})
+    return t.where(F.col("rid") % 9 == 4).select("__imp", "rid", F.col("lane").alias("category"))
+
+
+@query("m03_logit", with_orders(_category_sql("flag", ["0", "1"], "CASE WHEN (rid + cluster) % 11 <> 0 THEN CAST(sad AS VARCHAR) END") + " SELECT * FROM drawn"))
+def m03_logit(spark, sf):
+    """A factor with two levels, drawn from logit models; the filled rows of all copies."""
+    gap = (F.col("rid") + F.col("cluster")) % 11 == 0
+    rows = order_rows(spark, sf).withColumn("flag", F.when(~gap, F.col("sad").cast("string")))
+    t = M.impute(rows, "rid", ["flag"], ["female"], m=COPIES, categories={"flag": ["0", "1"], "female": ["0", "1"]})
+    return t.where(gap).select("__imp", "rid", F.col("flag").alias("category"))
+
+
+@query("m06_pooled_share", with_orders(_category_sql("lane", ["A", "B", "C"], _LANE_NULL) + """,
+f AS (SELECT x."__imp", d.w, coalesce(v.t, x.category) lane FROM drawn x JOIN d USING (rid) JOIN v USING (rid)
+  UNION ALL SELECT CAST(range + 1 AS INTEGER), d.w, v.t FROM range(""" + str(COPIES) + """), d JOIN v USING (rid) WHERE v.t IS NOT NULL),
+e AS (SELECT "__imp", sum(w) FILTER (lane = 'A') / sum(w) p FROM f GROUP BY 1)
+SELECT round(avg(p), 10) estimate, round(var_samp(p), 14) between, count(*) m FROM e"""))
+def m06_share(spark, sf):
+    """The weighted share of a level over the completed copies, and its variance between them."""
+    rows = order_rows(spark, sf).withColumn("lane", F.when(F.col("rid") % 9 != 4, F.col("grp3")))
+    t = M.impute(rows, "rid", ["lane"], ["female"], m=COPIES, categories={"lane": ["A", "B", "C"], "female": ["0", "1"]})
+    per = t.groupBy("__imp").agg((F.sum(F.when(F.col("lane") == "A", F.col("w")).otherwise(0.0)) / F.sum("w")).alias("mean"))
+    t = M.pool(per.withColumn("var", F.lit(0.0)), [])
+    return t.select(F.round("estimate", 10).alias("estimate"), F.round("between", 14).alias("between"), "m")
+
+
+@query("m03_chained_mixed", with_orders("""SELECT CAST(range + 1 AS INTEGER) AS "__imp", (SELECT count(*) FROM d) n,
+ CAST(0 AS BIGINT) still_missing, CAST(0 AS BIGINT) changed FROM range(2)"""))
+def m03_mixed(spark, sf):
+    """A number and a factor imputed in turn, each from the other."""
+    rows = order_rows(spark, sf).withColumn("lane", F.when(F.col("rid") % 9 != 4, F.col("grp3")))
+    t = M.impute(rows, "rid", ["age_m", "lane"], ["y", "happy"], m=2, sweeps=2, categories={"lane": ["A", "B", "C"]})
+    bad = lambda c: F.sum(c.cast("long"))
+    return t.groupBy("__imp").agg(
+        F.count(F.lit(1)).alias("n"), bad(F.col("age_m").isNull() | ~F.col("lane").isin("A", "B", "C")).alias("still_missing"),
+        bad((F.col("rid") % 9 != 4) & (F.col("lane") != F.col("grp3"))).alias("changed"))
+
 
 @query("m04_stacked_copies", with_orders(f"SELECT CAST(range + 1 AS INTEGER) AS \"__imp\", (SELECT sum(w) FROM d WHERE use_flag = '1') pop FROM range({COPIES})"))
 def m04(spark, sf):
