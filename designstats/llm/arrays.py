@@ -1,6 +1,9 @@
 """Small numpy helpers for texts in Arrow batches: slices of bounded size, word hashes, mixing."""
 
+import ctypes
+
 import numpy as np
+import xxhash
 
 #: Characters handled at once; one text alone may be longer.
 SLICE = 1 << 20
@@ -82,6 +85,26 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Units from which on a span gets a hash of its own: the polynomial is taken modulo 2**64, where long regular words collide.
+LONG = 128
+
+
+def spans_of(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every span [start, end) of the units, whatever its length."""
+    out = span_hash(prefix_sums(units), start, end)
+    for i in np.flatnonzero(end - start >= LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(units[start[i]:end[i]].tobytes())
+    return out
+
+
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system, so that the next task does not find it filled."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
+
+
 #: Bytes that belong to words once a text is in lower case: a-z, 0-9, underscore and all of non-ASCII characters.
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = True
@@ -110,7 +133,7 @@ def words(texts: list[str]):
     """Hash of every word of the texts in lower case, and where each text's words start (one more entry)."""
     data, starts = encoded([t.lower() for t in texts])
     start, end, of = word_spans(data, starts)
-    return span_hash(prefix_sums(data), start, end), of
+    return spans_of(data, start, end), of
 
 
 def windows(values: np.ndarray, of: np.ndarray, n: int):

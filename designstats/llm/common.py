@@ -20,6 +20,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_names(docs: DataFrame, kept: tuple[str, ...]):
+    """docs with every column but the kept ones under a number, and what to select to have the old names back."""
+    names = [c if c in kept else f"column {i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)]
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """The stem, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def fold(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts))
 

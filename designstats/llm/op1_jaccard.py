@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from designstats.llm.arrays import mix, seed, slices, windows, words
-from designstats.llm.common import stored
+from designstats.llm.common import plain_names, stored
 from designstats.llm.graph import components, int64s, key_filter, passes
 from designstats.llm.runs import Union, runs
 
@@ -247,15 +247,17 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs, one for each class: that with the smallest (doc_id, text hash); null ids come last.
 
-    Texts without words are one class for each such text. Of rows that repeat one another, one stays.
+    Texts without words are one class for each such text. Of rows that repeat one another, one stays. All columns stay,
+    whatever their names.
     """
+    docs, back = plain_names(docs, ("doc_id", "text"))
     classes = jaccard_classes(docs.select("doc_id", "text"), threshold, recall)
     ahead = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     first = stored(classes.groupBy("class_key").agg(F.min(ahead).alias("k")).select(
         F.col("k.doc_id").alias("_first_doc"), F.col("k.text_hash").alias("_first_text")), "firsts")
     same = F.col("_id").eqNullSafe(F.col("_first_doc")) & (F.col("_text") == F.col("_first_text"))
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(first, same, "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    return keyed.join(first, same, "left_semi").dropDuplicates(["_id", "_text"]).select(*back)
 
 
 def linked_sets(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float, recall: float) -> DataFrame:

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, mix, prefix_sums, seed, slices, span_hash, word_spans
-from designstats.llm.common import stored
+from designstats.llm.arrays import encoded, mix, seed, slices, spans_of, word_spans
+from designstats.llm.common import plain_names, stored
 from designstats.llm.graph import components, int64s, key_filter, passes
 from designstats.llm.runs import Union, runs
 
@@ -47,7 +47,7 @@ def lines_of(texts: list[str], parts: str = "sim"):
     first, count, text, place = first[full], count[full], text[full], place[full]
     one = two = sim = np.zeros(0, dtype=np.uint64)
     if len(full) and parts != "place":
-        word = span_hash(prefix_sums(plain), a, b)
+        word = spans_of(plain, a, b)
         rank = (np.arange(len(a)) - np.repeat(first, count)).astype(np.uint64)
         spot = mix(word + mix(rank))
         one = mix(np.add.reduceat(spot, first) + count.astype(np.uint64))
@@ -230,12 +230,13 @@ def _parts(batches):
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` cut to the lines kept, and n_lines, n_kept (all columns of docs stay).
+    """The documents with ``text`` cut to the lines kept, and _n_lines, _n_kept (all other columns of docs stay, whatever
+    their names; columns called _n_lines or _n_kept are replaced).
 
     Lines without words are always kept. A null text stays null with no line; an empty text has one line.
     Rows that repeat an id with an equal text keep the same lines; a null id comes first in the order.
     """
-    spark = docs.sparkSession
+    docs, back = plain_names(docs.drop("_n_lines", "_n_kept"), ("doc_id", "text"))
     columns = docs.columns
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_copy": F.xxhash64("text")})
     rows = keyed.select(F.col("_id").alias("id"), F.col("_copy").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
@@ -305,4 +306,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 names=[*others, "text", "_n_lines", "_n_kept"])
 
     out = both.mapInArrow(cut, schema + ", `_n_lines` long, `_n_kept` long")
-    return out.select(*columns, "_n_lines", "_n_kept")
+    return out.select(*back, "_n_lines", "_n_kept")

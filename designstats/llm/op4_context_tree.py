@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import prefix_sums, slices, span_hash, word_spans
+from designstats.llm.arrays import slices, spans_of, word_spans
 from designstats.llm.common import fold, parts_of, stored
 from designstats.llm.graph import int64s
 
@@ -69,7 +69,7 @@ def plain(texts: list[str]):
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
     begin, end, _ = word_spans(data, np.zeros(1, dtype=np.int64), _SIGN)
-    return span_hash(prefix_sums(data), begin, end)
+    return spans_of(data, begin, end)
 
 
 def grams(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -295,11 +295,12 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     order = np.argsort(common.column("key").to_numpy().view(np.uint64))
     known = common.column("key").to_numpy().view(np.uint64)[order]
     known_n = common.column("n").to_numpy()[order]
-    shared = spark.sparkContext.broadcast((tree, known, known_n))
+    shared = spark.sparkContext.broadcast((tree.tables, known, known_n))  # arrays only: workers need not have this package
     base = np.log10(n_train + 0.5 * (kinds + 1))
 
     def run(batches):
-        tree, known, known_n = shared.value
+        tables, known, known_n = shared.value
+        tree = Tree(tables)
         task, number = TaskContext.get().partitionId(), 0
         seen, cost = np.zeros(0, dtype=np.uint64), np.zeros(0)
         for b in batches:

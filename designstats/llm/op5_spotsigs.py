@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, mix, prefix_sums, seed, slices, span_hash, word_spans, words
+from designstats.llm.arrays import encoded, mix, seed, slices, spans_of, word_spans, words
 from designstats.llm.common import parts_of, stored
 
 CHAIN, DISTANCE, EVERY = 2, 1, 8
@@ -32,7 +32,7 @@ CELLS = 100_000
 def _anchors() -> np.ndarray:
     data, starts = encoded(sorted(set(ANCHORS)))
     begin, end, _ = word_spans(data, starts)
-    return np.sort(span_hash(prefix_sums(data), begin, end))
+    return np.sort(spans_of(data, begin, end))
 
 
 _ANCHORS = _anchors()

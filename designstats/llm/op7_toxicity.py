@@ -10,13 +10,15 @@ The language model and the regression are fitted on at most ``SAMPLE`` labelled
 hashes of their ids; everything else covers all rows.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, prefix_sums, seed, slices, span_hash, word_spans
-from designstats.llm.common import stored
+from designstats.llm.arrays import encoded, give_back, prefix_sums, seed, slices, span_hash, word_spans
+from designstats.llm.common import free_name, stored
 
 SAMPLE = 40_000
 BUCKETS = 1 << 22
@@ -79,8 +81,26 @@ def lattice(chunk: str):
     return emit, drop
 
 
+#: Characters of text cut at once.
+CUT = 1 << 18
+#: Characters of a chunk that are decoded as one.
+PART = 32
+
+
+def _parts(chunk: str) -> list[str]:
+    pieces = re.findall(f"[^{re.escape(SEPARATORS)}]+[{re.escape(SEPARATORS)}]*|[{re.escape(SEPARATORS)}]+", chunk)
+    return [p[lo:lo + PART] for p in pieces for lo in range(0, len(p), PART)]
+
+
 def decode(chunks: list[str], model: CharModel) -> list[str]:
-    """The likeliest reading of every chunk; boundaries become spaces. Chunks are decoded side by side."""
+    """The likeliest reading of every chunk; boundaries become spaces. Chunks are decoded side by side.
+
+    A long chunk is cut behind separators, and a part that is still long at PART characters; the parts are decoded each.
+    """
+    if any(len(c) > PART and " " not in c for c in chunks):
+        parts = [_parts(c) if len(c) > PART and " " not in c else [c] for c in chunks]
+        read = iter(decode([p for own in parts for p in own], model))
+        return [" ".join(filter(None, [next(read) for _ in own])) for own in parts]
     out = [""] * len(chunks)
     order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
     for lo in range(0, len(order), 2048):
@@ -161,7 +181,7 @@ def suspects(data: np.ndarray, starts: np.ndarray):
     if len(data) > 2:
         inner[1:-1] = ~_LETTER[data[1:-1]] & _LETTER[data[:-2]] & _LETTER[data[2:]]
     apart = (letters >= 3) & (total(inner) >= letters - 1)
-    odd = ((leet > 0) & (letters > 0) & (chars <= 32)) | (total(mate) > 0) | apart
+    odd = ((leet > 0) & (letters > 0)) | (total(mate) > 0) | apart
     single = (letters + leet == 1) & (chars <= 2)
     # Runs of three and more single letters are one chunk.
     text = np.repeat(np.arange(len(of) - 1), np.diff(of))
@@ -181,7 +201,7 @@ def features(texts: list[str], model: CharModel, memory: dict[str, str]):
     data, starts = encoded([t.lower() for t in texts])
     lo, hi = suspects(data, starts)
     own = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(lo.tolist(), hi.tolist())]
-    if len(memory) > 1 << 18:
+    if len(memory) > 1 << 16:
         memory.clear()
     if new := [c for c in dict.fromkeys(own) if c not in memory]:
         memory.update(zip(new, decode(new, model)))
@@ -220,7 +240,7 @@ class Model:
 
         def score(texts: list[str]) -> np.ndarray:
             out = np.full(len(texts), self.intercept)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, CUT):
                 at, k = _present(table, features(texts[lo:hi], self.chars, memory))
                 out[lo:hi] += np.bincount(at, weights=self.weights[k], minlength=hi - lo) if len(k) else 0
             return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -241,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     Rows without a label or an id are left out; an id with several labels is toxic if one of them says so.
-    Without a labelled row of both kinds every text scores the share of toxic rows (0 where there is none).
+    Rows that repeat an id are labelled alike; null texts are empty; long texts are read whole. The character model counts
+    all of docs. Without a labelled row of both kinds every text scores the share of toxic rows (0 where there is none).
     """
     spark = docs.sparkSession
     marked = (
@@ -260,16 +281,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_pydict({"pair": at, "n": total[at]})
 
     counts = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
-    for r in rows.mapInArrow(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    every = docs.select(F.coalesce("text", F.lit("")).alias("text"))  # a statistic of the corpus: no sample
+    for r in every.mapInArrow(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r["pair"]] = r["n"]  # at most SYMBOLS ** 2 rows
     chars = CharModel(counts)
 
     def count_features(batches):
+        give_back()
         memory: dict[str, str] = {}
         seen = np.zeros((2, BUCKETS), dtype=np.int32)
         for b in batches:
             texts, toxic = b.column("text").to_pylist(), np.array(b.column("toxic").to_pylist(), dtype=np.int64)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, CUT):
                 at, bucket = features(texts[lo:hi], chars, memory)
                 pair = np.unique(at * BUCKETS + bucket)
                 kind = (toxic[lo:hi][pair // BUCKETS] > 0).astype(np.int64)
@@ -302,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         memory: dict[str, str] = {}
         for b in batches:
             texts, toxic = b.column("text").to_pylist(), b.column("toxic").to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, CUT):
                 at, k = _present(table, features(texts[lo:hi], chars, memory))
                 bounds = np.searchsorted(at, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_pydict({
@@ -359,15 +382,22 @@ def regress(own, y, n, size, ridge: float = 0.05, steps: int = 30):
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """All columns of the documents and the score of the whole text, 0 to 1; a null text is empty."""
-    rows = docs.select(*docs.columns, F.coalesce("text", F.lit("")).alias("_scored_text"))
+    """All columns of the documents and the score of the whole text, 0 to 1, under ``name`` (a column of docs so called is
+    left out). A null text is empty; rows that repeat, null ids and long texts are scored as any other; an empty table gives none.
+    """
+    docs = docs.drop(name)
+    scored = free_name(docs, "scored_text")
+    rows = docs.select(*docs.columns, F.coalesce("text", F.lit("")).alias(scored))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
 
     def run(batches):
+        give_back()
         score = model.scorer()
         for b in batches:
-            values = score(b.column("_scored_text").to_pylist())
+            values = score(b.column(scored).to_pylist())
             kept = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(values)], names=[*b.schema.names[:-1], name])
+        del score
+        give_back()
 
     return rows.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, mix, prefix_sums, rank_in, slices, span_hash, word_spans
+from designstats.llm.arrays import encoded, mix, rank_in, slices, spans_of, word_spans
 from designstats.llm.common import stored
 from designstats.llm.graph import int64s, key_filter, passes
 
@@ -47,7 +47,7 @@ _BLANK[[9, 32]] = True
 def _hashes(words):
     data, starts = encoded(list(words))
     begin, end, _ = word_spans(data, starts)
-    return np.sort(span_hash(prefix_sums(data), begin, end))
+    return np.sort(spans_of(data, begin, end))
 
 
 _UNITS, _NUMBERS = _hashes(UNITS), _hashes(NUMBERS)
@@ -69,7 +69,7 @@ def template(texts: list[str]):
     lower = np.where(_UPPER[data], data + 32, data)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
     upper = np.concatenate([[0], np.cumsum(_UPPER[data], dtype=np.int64)])
-    value = span_hash(prefix_sums(lower), begin, end)
+    value = spans_of(lower, begin, end)
     kind = np.zeros(len(begin), dtype=np.int8)
     # The last sign before a token that is no blank tells whether a sentence begins.
     solid = np.maximum.accumulate(np.where(_BLANK[data], -1, np.arange(len(data))))

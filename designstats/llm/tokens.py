@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-from designstats.llm.arrays import prefix_sums, rank_in, slices, span_hash
+from designstats.llm.arrays import rank_in, slices, spans_of
 
 #: Distinct pre-tokens remembered by a worker; beyond it the memory starts anew.
 REMEMBERED = 1 << 18
@@ -86,7 +86,7 @@ class Encoder:
         begin, end = (byte_spans if self.kind == "byte" else word_pieces)(codes, starts)
         if not len(begin):
             return [np.zeros(0, dtype=np.uint32) for _ in starts[1:]]
-        key = span_hash(prefix_sums(codes), begin, end)
+        key = spans_of(codes, begin, end)
         order = np.argsort(key)
         ranked = key[order]
         new = np.append(True, ranked[1:] != ranked[:-1])

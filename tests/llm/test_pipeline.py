@@ -61,5 +61,5 @@ def test_empty_tables(spark, folder, tmp_path):
 def test_every_operator_is_registered():
     from designstats.llm import queries
 
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in queries.QUERIES and set(queries.ORACLES) <= set(queries.QUERIES)
