@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from designstats.llm import op1_jaccard, op2_lines, op6_packing, op7_toxicity, op9_decontaminate
-from designstats.llm.common import stored, table
+from designstats.llm.common import free_name, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     model = op7_toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return op7_toxicity.score_documents(docs, model, "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    name = free_name(docs, "toxicity")
+    return op7_toxicity.score_documents(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = op9_decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_copy"))
+    doc, copy = free_name(docs, "found_doc"), free_name(docs, "found_copy")
+    found = found.select(F.col("doc_id").alias(doc), F.col("copy").alias(copy)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(copy))
     return docs.join(found, same, "left_anti")
 
 

@@ -76,7 +76,7 @@ class Design:
 
     def filter(self, cond: Column) -> "Design":
         """Restrict to a domain; the strata and PSU counts stay those of the full design."""
-        return replace(self, df=self.df.withColumn(IN, F.col(IN) & F.coalesce(cond, F.lit(False))))
+        return replace(self, df=self.df.withColumn(IN, F.col(IN) & cond))
 
     subset = filter
 
@@ -89,6 +89,7 @@ class Design:
         return self.df.drop(*HIDDEN)
 
     def domain_rows(self) -> DataFrame:
+        """Rows in the domain; a condition that is NULL is not met. The bare condition reaches the scan as its filter."""
         return self.df.where(F.col(IN))
 
     # -- strata ------------------------------------------------------------
