@@ -3,6 +3,7 @@
 import ctypes
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Characters handled at once; one text alone may be longer.
@@ -99,12 +100,22 @@ def spans_of(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def give_back() -> None:
     """Hand freed memory of this worker back to the system, so that the next task does not find it filled."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps its own house
         pass
 
 
+def trimmed(run):
+    """A function over Arrow batches that leaves its worker without the memory it has used."""
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 #: Bytes that belong to words once a text is in lower case: a-z, 0-9, underscore and all of non-ASCII characters.
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = True

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import mix, seed, slices, windows, words
+from designstats.llm.arrays import mix, seed, slices, trimmed, windows, words
 from designstats.llm.common import plain_names, stored
 from designstats.llm.graph import components, int64s, key_filter, passes
 from designstats.llm.runs import Union, runs
@@ -226,7 +226,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                     [batch.column("doc_id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), int64s(set_ids(h, of)),
                      pa.array([r.tobytes() for r in sketches(h, of)], pa.binary())], names=["doc_id", "text_hash", "id", "sketch"])
 
-    signed = stored(rows.mapInArrow(read, "doc_id long, text_hash long, id long, sketch binary"), "signed")
+    signed = stored(rows.mapInArrow(trimmed(read), "doc_id long, text_hash long, id long, sketch binary"), "signed")
     # A text without words is a set of its own.
     named = signed.withColumn("own", F.when(F.col("id") == 0, F.col("text_hash")).otherwise(F.col("id")))
     texts = named.groupBy("own", "id", "text_hash").agg(F.min("doc_id").alias("doc_id"))
@@ -271,9 +271,9 @@ def linked_sets(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold:
                 yield _node_rows(mix(sketch[:, k % SKETCH] ^ seed(1000 + k)), ids, binary, SPLIT)
 
     first = signed.filter("id <> 0").dropDuplicates(["id"]).select("id", "sketch")
-    level, leaves = first.mapInArrow(plant, _NODE), None
+    level, leaves = first.mapInArrow(trimmed(plant), _NODE), None
     for depth in range(1, DEPTH + 1):
-        done = stored(level.repartition("node").sortWithinPartitions("node").mapInArrow(_walk(depth), _NODE), "walk")
+        done = stored(level.repartition("node").sortWithinPartitions("node").mapInArrow(trimmed(_walk(depth)), _NODE), "walk")
         own = done.filter(F.col("place") == LEAF).withColumn("base", F.col("node"))
         leaves = own if leaves is None else leaves.unionByName(own)
         level = done.filter(F.col("place") == SPLIT)
@@ -283,7 +283,7 @@ def linked_sets(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold:
     leaves = stored(leaves, "leaves")
     mine = leaves.groupBy("id").agg(F.sort_array(F.collect_set("base")).alias("leaves"))  # a few for each tree
     placed = leaves.join(mine, "id")
-    members = stored(placed.repartition("node").sortWithinPartitions("node").mapInArrow(_members, "node long, base long, id long, place int"), "members")
+    members = stored(placed.repartition("node").sortWithinPartitions("node").mapInArrow(trimmed(_members), "node long, base long, id long, place int"), "members")
     wanted = members.select("id").distinct()
     bits = key_filter(wanted, "id")
 
@@ -298,10 +298,10 @@ def linked_sets(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold:
                     yield pa.RecordBatch.from_arrays(
                         [int64s(ids[own]), pa.array([h[of[i]:of[i + 1]].tobytes() for i in own], pa.binary())], names=["id", "grams"])
 
-    grams = rows.mapInArrow(fetch, "id long, grams binary").dropDuplicates(["id"]).join(wanted, "id", "left_semi")
+    grams = rows.mapInArrow(trimmed(fetch), "id long, grams binary").dropDuplicates(["id"]).join(wanted, "id", "left_semi")
     grams = stored(grams.join(sets.select("id", "n_texts"), "id"), "grams")
     full = members.join(grams, "id").join(mine, "id").join(first, "id")
-    return stored(full.repartition("node").sortWithinPartitions("node").mapInArrow(_linked(threshold), "id long, root long, links long"), "links")
+    return stored(full.repartition("node").sortWithinPartitions("node").mapInArrow(trimmed(_linked(threshold)), "id long, root long, links long"), "links")
 
 
 def _blocks(dense: DataFrame) -> DataFrame:

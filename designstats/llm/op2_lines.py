@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, mix, seed, slices, spans_of, word_spans
+from designstats.llm.arrays import encoded, mix, seed, slices, spans_of, trimmed, word_spans
 from designstats.llm.common import plain_names, stored
 from designstats.llm.graph import components, int64s, key_filter, passes
 from designstats.llm.runs import Union, runs
@@ -251,12 +251,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     [ids.take(at), copies.take(at), pa.array(place, pa.int32()), int64s(one), int64s(two), int64s(sim)],
                     names=["id", "copy", "place", "line", "check", "sim"])
 
-    found = rows.mapInArrow(read, "id long, copy long, place int, line long, check long, sim long")
+    found = rows.mapInArrow(trimmed(read), "id long, copy long, place int, line long, check long, sim long")
     lines = stored(found.groupBy("line", "check", "sim").agg(F.min(F.struct("id", "copy", "place")).alias("first")), "lines")
 
     # The keys under which lines meet: SimHashes near another one, or shared by different lines.
     keys = lines.select("sim").distinct().select("sim", F.explode(block_keys(F.col("sim"))).alias("key"))
-    near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(with_partner, "key long, sim long")
+    near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(with_partner), "key long, sim long")
     shared = lines.groupBy("sim").count().filter("count > 1").select(F.get(block_keys(F.col("sim")), F.lit(0)).alias("key"), "sim")
     live = stored(lines.select("line", "sim").join(near.unionByName(shared).distinct(), "sim"), "live")
     bits = key_filter(live, "line")
@@ -271,8 +271,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [int64s(one[own]), pa.array([normalised(parts, i) for i in own], pa.binary())], names=["line", "text"])
 
-    texts = rows.mapInArrow(fetch, "line long, text binary").dropDuplicates(["line"]).join(live, "line")
-    edges = texts.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
+    texts = rows.mapInArrow(trimmed(fetch), "line long, text binary").dropDuplicates(["line"]).join(live, "line")
+    edges = texts.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(linked), "a long, b long")
     groups = components(edges)
 
     joined = lines.join(groups.withColumnRenamed("node", "line"), "line", "left")
@@ -305,5 +305,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 [*(batch.column(i) for i in range(len(others))), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())],
                 names=[*others, "text", "_n_lines", "_n_kept"])
 
-    out = both.mapInArrow(cut, schema + ", `_n_lines` long, `_n_kept` long")
+    out = both.mapInArrow(trimmed(cut), schema + ", `_n_lines` long, `_n_kept` long")
     return out.select(*back, "_n_lines", "_n_kept")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from designstats.llm.arrays import trimmed
 from designstats.llm.common import parts_of, stored, totals_before
 from designstats.llm.tokens import worker_encoder
 
@@ -138,7 +139,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int, kee
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spare", "ids"])
 
-    return rows.mapInArrow(cut, PIECE)
+    return rows.mapInArrow(trimmed(cut), PIECE)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, keep_ids: bool = True) -> DataFrame:

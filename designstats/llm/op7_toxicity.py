@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, give_back, prefix_sums, seed, slices, span_hash, word_spans
+from designstats.llm.arrays import encoded, give_back, prefix_sums, seed, slices, span_hash, trimmed, word_spans
 from designstats.llm.common import free_name, stored
 
 SAMPLE = 40_000
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     counts = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
     every = docs.select(F.coalesce("text", F.lit("")).alias("text"))  # a statistic of the corpus: no sample
-    for r in every.mapInArrow(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in every.mapInArrow(trimmed(count_pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r["pair"]] = r["n"]  # at most SYMBOLS ** 2 rows
     chars = CharModel(counts)
 
@@ -311,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         odds = np.log(max(share, 1e-12) / max(1 - share, 1e-12))
         return Model(chars, np.zeros(0, dtype=np.int64), np.zeros(0), float(odds))
     base = n_toxic / n
-    seen = rows.mapInArrow(count_features, "bucket long, clean long, toxic long").groupBy("bucket").agg(
+    seen = rows.mapInArrow(trimmed(count_features), "bucket long, clean long, toxic long").groupBy("bucket").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     gain = 2 * (F.when(rate > 0, F.col("toxic") * F.log(rate / base)).otherwise(0.0)
@@ -332,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     "toxic": pa.array([int(t > 0) for t in toxic[lo:hi]], pa.int32()),
                     "own": pa.array([k[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int32()))})
 
-    kinds = rows.mapInArrow(presence, "toxic int, own array<int>").groupBy("own", "toxic").count().collect()  # at most `sample` rows
+    kinds = rows.mapInArrow(trimmed(presence), "toxic int, own array<int>").groupBy("own", "toxic").count().collect()  # at most `sample` rows
     weights, intercept = regress([r["own"] for r in kinds], np.array([r["toxic"] for r in kinds], dtype=float),
                                  np.array([r["count"] for r in kinds], dtype=float), len(chosen))
     return Model(chars, chosen, weights, intercept)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, mix, rank_in, slices, spans_of, word_spans
+from designstats.llm.arrays import encoded, mix, rank_in, slices, spans_of, trimmed, word_spans
 from designstats.llm.common import stored
 from designstats.llm.graph import int64s, key_filter, passes
 
@@ -148,7 +148,7 @@ def window_rows(rows: DataFrame, bits: np.ndarray | None = None, short: tuple[in
                      pa.array(slots, pa.list_(pa.int64())), pa.array(size[keep], pa.int32()), pa.array(told[keep])],
                     names=["key", "place", "n_windows", "window", "slots", "size", "exact"])
 
-    return rows.mapInArrow(run, _WINDOW_ROW)
+    return rows.mapInArrow(trimmed(run), _WINDOW_ROW)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
