@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 
 #: Characters handled at once; one text alone may be longer.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -44,11 +44,15 @@ class WaveletMatrix:
     @staticmethod
     def planes_of(ids: np.ndarray) -> list[np.ndarray]:
         planes, x = [], np.asarray(ids, dtype=np.uint32)
-        for level in reversed(range(max(1, int(x.max(initial=0)).bit_length()))):
-            bit = (x >> np.uint32(level) & np.uint32(1)).astype(bool)
+        width = max(1, int(x.max(initial=0)).bit_length())
+        if width <= 16:
+            x = x.astype(np.uint16)  # half the memory to move
+        for level in reversed(range(width)):
+            bit = (x & x.dtype.type(1 << level)) != 0
             packed = np.packbits(bit, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, dtype=np.uint8)]))
-            x = np.concatenate([x[~bit], x[bit]])
+            if level:
+                x = np.concatenate([x[~bit], x[bit]])
         return planes
 
     @classmethod
@@ -76,14 +80,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the lowest plane up: each plane says how the one below interleaves."""
-        out = np.zeros(self.n, dtype=np.uint32)
+        out = np.zeros(self.n, dtype=np.uint16 if len(self.bits) <= 16 else np.uint32)
         for level, (plane, zeros) in enumerate(zip(reversed(self.bits), reversed(self.zeros))):
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
             above[~bit] = out[:zeros]
-            above[bit] = out[zeros:] | np.uint32(1 << level)
+            above[bit] = out[zeros:] | out.dtype.type(1 << level)
             out = above
-        return out
+        return out.astype(np.uint32)
 
     def _range(self, token, lo, hi):
         if token < 0 or token >> len(self.bits):

@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 
 from designstats.llm.arrays import rank_in, slices, spans_of
 
-#: Distinct pre-tokens remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 1 << 18
+#: Distinct pre-tokens remembered by a worker; beyond it only those met again since the last such cut stay.
+REMEMBERED = 1 << 20
 #: Characters cut at once.
 SLICE = 1 << 20
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
@@ -49,12 +49,18 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind = kind
-        self._forget()
+        #: By ascending hash of a pre-token: where its ids are in ``flat``, how many, and whether it was met again.
+        self.key, self.again = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        self.at, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
 
     def _forget(self):
-        self.index: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.at, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        """Keep the pre-tokens that were met again, unless these are many themselves."""
+        again = self.again if 2 * self.again.sum() <= REMEMBERED else np.zeros(len(self.again), dtype=bool)
+        size = self.size[again]
+        self.flat = self.flat[np.repeat(self.at[again], size) + rank_in(size)]
+        self.key, self.at, self.size, self.used = self.key[again], np.cumsum(size) - size, size, len(self.flat)
+        self.again = np.zeros(len(self.key), dtype=bool)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, as unsigned 32-bit arrays."""
@@ -93,18 +99,17 @@ class Encoder:
         distinct, first = ranked[new], order[new]
         where = np.empty(len(key), dtype=np.int64)
         where[order] = np.cumsum(new) - 1
-        if len(self.index) + len(distinct) > REMEMBERED:
+        if len(self.key) + len(distinct) > REMEMBERED:
             self._forget()
-        index = self.index
-        known = [index.get(k, -1) for k in distinct.tolist()]
-        if new := [j for j, k in enumerate(known) if k < 0]:
+        spot = np.searchsorted(self.key, distinct)
+        known = np.append(self.key, np.uint64(0))[spot] == distinct if len(self.key) else np.zeros(len(distinct), dtype=bool)
+        known &= spot < len(self.key)
+        self.again[spot[known]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
             pieces = [joined[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
-            got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-            at = self._keep(got)
-            for i, j in enumerate(new):
-                known[j] = at + i
-            index.update(zip(distinct[new].tolist(), range(at, at + len(new))))
-        entry = np.array(known, dtype=np.int64)[where]
+            self._keep(distinct[new], spot[new], [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)])
+        entry = (spot + np.cumsum(~known) - ~known)[where]
         size = self.size[entry]
         ids = self.flat[np.repeat(self.at[entry], size) + rank_in(size)]
         total = np.zeros(len(size) + 1, dtype=np.int64)
@@ -112,18 +117,16 @@ class Encoder:
         bounds = total[np.searchsorted(begin, starts)]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
-    def _keep(self, got: list[list[int]]) -> int:
-        """Remember the ids of new pre-tokens; the number of the first."""
-        size = np.array([len(x) for x in got], dtype=np.int64)
-        k, more = len(self.index), int(size.sum())
-        if k + len(got) > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * (k + len(got))), np.resize(self.size, 2 * (k + len(got)))
+    def _keep(self, keys: np.ndarray, spot: np.ndarray, got: list[list[int]]):
+        """Remember the ids of new pre-tokens, whose hashes belong before the given spots."""
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        more = int(size.sum())
         if self.used + more > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + more))
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(max(self.used, more), dtype=np.uint32)])
         self.flat[self.used:self.used + more] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=more)
-        self.at[k:k + len(got)], self.size[k:k + len(got)] = self.used + np.cumsum(size) - size, size
+        self.key, self.again = np.insert(self.key, spot, keys), np.insert(self.again, spot, False)
+        self.at, self.size = np.insert(self.at, spot, self.used + np.cumsum(size) - size), np.insert(self.size, spot, size)
         self.used += more
-        return k
 
 
 def _first(n, starts):

@@ -9,7 +9,7 @@ import public_tokenizers
 from helpers import frame
 from tokenizers import Tokenizer
 
-from designstats.llm import op1_jaccard, op2_lines, op7_toxicity
+from designstats.llm import op1_jaccard, op2_lines, op7_toxicity, tokens
 from designstats.llm.arrays import words
 from designstats.llm.tokens import Encoder
 
@@ -37,6 +37,16 @@ def test_long_regular_words_are_told_apart(spark):
     assert kept[3] == f"{one}\n{two}"
 
 
+def test_ids_stay_the_librarys_when_pre_tokens_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    texts = [" ".join(f"word{(i * k) % 97} of it" for k in range(20)) for i in range(30)]
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        library, own = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name), kind)
+        for t in texts + texts[:3]:
+            assert own.ids([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(own.key) < 120
+
+
 def test_names_of_columns_are_the_callers_own(spark):
     names = ("_id", "_copy", "_text", "_kept", "_k_id", "_first_doc", "score", "column 0", "scored_text")
     rows = frame(spark, [(1, "one line of text"), (2, "another line of text"), (2, None)], extra=False)
