@@ -18,7 +18,7 @@ from designstats.llm.arrays import rank_in, slices, spans_of
 #: Distinct pre-tokens remembered by a worker; beyond it only those met again since the last such cut stay.
 REMEMBERED = 1 << 20
 #: Characters cut at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
 
 
@@ -108,7 +108,9 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             pieces = [joined[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
-            self._keep(distinct[new], spot[new], [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)])
+            got = [e.ids for lo in range(0, len(pieces), 4096)  # the library's own results are large
+                   for e in self.library.encode_batch_fast(pieces[lo:lo + 4096], add_special_tokens=False)]
+            self._keep(distinct[new], spot[new], got)
         entry = (spot + np.cumsum(~known) - ~known)[where]
         size = self.size[entry]
         ids = self.flat[np.repeat(self.at[entry], size) + rank_in(size)]
