@@ -9,9 +9,13 @@ the counts stand still; a text's code length is read off, and contexts never see
 Training counts every (DEPTH + 1)-gram of the training texts. Subtrees below the last two bytes are weighted in
 groups of their own; what is above them is bounded by the alphabet. The scorer carries the mixed prediction of
 each decision in each context that was seen at least t times; t is the least count for which the table has
-at most ``ENTRIES`` rows, which bounds what a task holds.
+at most ``ENTRIES`` rows, which bounds what a task holds. It is a cache: a gram whose longest context is not in it
+leaves the task with its number of times in the document, and the distinct ones of these grams are settled
+against the whole stored tree. So a text's score depends on the training texts alone, not on ``ENTRIES``.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -182,13 +186,26 @@ def mixed(level, ahead: np.ndarray, rest: np.ndarray, last: bool):
 
 
 class Tree:
-    """Predictions by (depth, entry), sorted; fixed in size by ENTRIES."""
+    """Predictions by (depth, entry), sorted; ``whole`` unless rarer contexts were left out."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], whole: bool = True):
+        self.tables, self.whole = tables, whole
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.tables = tables
+    def settled(self, keys: np.ndarray) -> np.ndarray:
+        """Which grams have their longest context here; then all shorter ones, seen as often or more, are here too."""
+        entries = self.tables[-1][0] if self.tables else []
+        if self.whole or not len(entries):
+            return np.full(len(keys), self.whole)
+        want = keys >> np.uint64(8) << np.uint64(8) | np.uint64(1)
+        return entries[np.minimum(np.searchsorted(entries, want), len(entries) - 1)] == want
 
     def cost(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of every gram, given those before it."""
+        """log10 probability of the last byte of every gram, given those before it; not a number if not settled."""
+        out, own = np.full(len(keys), np.nan), self.settled(keys)
+        out[own] = self._cost(keys[own])
+        return out
+
+    def _cost(self, keys: np.ndarray) -> np.ndarray:
         total, symbol, context = np.zeros(len(keys)), keys & np.uint64(255), keys >> np.uint64(8)
         for k in range(8):
             node = np.uint64(1 << k) | symbol >> np.uint64(8 - k)
@@ -207,8 +224,11 @@ class Tree:
         return total
 
 
-def fit(counts: DataFrame) -> Tree:
-    """The tree from (key, n) of all grams of the training texts."""
+def fit(counts: DataFrame) -> tuple[Tree, Callable[[DataFrame], DataFrame]]:
+    """The tree from (key, n) of all grams of the training texts: what tasks carry, and how to settle other grams.
+
+    The second is a function from a table of distinct grams (key) to their costs (key, cost).
+    """
     parts = parts_of(counts.count(), GROUP)
     rows = counts.withColumn("group", fold(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)), parts))
 
@@ -223,7 +243,7 @@ def fit(counts: DataFrame) -> Tree:
     # At most 256 ** 2 contexts of two bytes with 255 decisions each.
     top = rows.groupBy("group").applyInArrow(tops, "entry long, zeros double, ones double, weighted double").orderBy("entry").toArrow()
     if not top.num_rows:
-        return Tree([])
+        return Tree([]), None
     entry = top.column("entry").to_numpy().view(np.uint64)
     two = (entry, top.column("zeros").to_numpy(), top.column("ones").to_numpy())
     levels = {2: two}
@@ -267,17 +287,36 @@ def fit(counts: DataFrame) -> Tree:
             least = r["step"] + 1
             break
     kept = full.filter(step >= least).select("depth", "entry", "one").toArrow()  # at most ENTRIES rows
-    depth, entry, one = (kept.column(k).to_numpy() for k in ("depth", "entry", "one"))
-    tables = list(upper)
+
+    def settle(keys: DataFrame) -> DataFrame:
+        def costs(asked, known):
+            key = asked.column("key").to_numpy().view(np.uint64)
+            return pa.table({"key": int64s(key), "cost": Tree(upper + by_depth(known)).cost(key)})
+
+        two_bytes = F.shiftright("entry", 8).bitwiseAND(F.lit(0xFFFF))
+        # Longest contexts that tasks carry are those of settled grams: nobody asks for them.
+        known = full.filter((F.col("depth") < DEPTH) | (step < least)).select("depth", "entry", "one", fold(two_bytes, parts).alias("group"))
+        asked = keys.withColumn("group", fold(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)), parts))
+        return asked.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(costs, "key long, cost double")
+
+    return Tree(upper + by_depth(kept), whole=room >= 0), settle
+
+
+def by_depth(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted entries and predictions of each depth from 2 on."""
+    depth, entry, one = (rows.column(k).to_numpy() for k in ("depth", "entry", "one"))
+    out = []
     for d in range(2, DEPTH + 1):
-        own = depth == d
-        order = np.argsort(entry[own])
-        tables.append((entry[own][order].view(np.uint64), one[own][order]))
-    return Tree(tables)
+        own = np.flatnonzero(depth == d)
+        own = own[np.argsort(entry[own].view(np.uint64))]
+        out.append((entry[own].view(np.uint64), one[own]))
+    return out
 
 
 def score_documents(docs: DataFrame, held_out) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
+
+    n_bytes counts the scored bytes (with the line end); bits_per_byte is the code length of the text over them.
 
     held_out is a condition on docs: those rows teach nothing. Null texts are empty (one token, the end);
     a null id is kept; repeated rows count and score again; without training texts every decision is 1/2.
@@ -286,7 +325,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = stored(corpus_counts(rows.filter("not held_out").select("text")), "counts")
-    tree = fit(counts.filter(F.col("kind") == GRAM).select("key", "n"))
+    tree, settle = fit(counts.filter(F.col("kind") == GRAM).select("key", "n"))
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_docs = rows.filter("not held_out").count()  # one end each
@@ -295,12 +334,12 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     order = np.argsort(common.column("key").to_numpy().view(np.uint64))
     known = common.column("key").to_numpy().view(np.uint64)[order]
     known_n = common.column("n").to_numpy()[order]
-    shared = spark.sparkContext.broadcast((tree.tables, known, known_n))  # arrays only: workers need not have this package
+    shared = spark.sparkContext.broadcast((tree.tables, tree.whole, known, known_n))  # arrays only: workers need not have this package
     base = np.log10(n_train + 0.5 * (kinds + 1))
 
     def run(batches):
-        tables, known, known_n = shared.value
-        tree = Tree(tables)
+        tables, whole, known, known_n = shared.value
+        tree = Tree(tables, whole)
         task, number = TaskContext.get().partitionId(), 0
         seen, cost = np.zeros(0, dtype=np.uint64), np.zeros(0)
         for b in batches:
@@ -308,12 +347,11 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
             for lo, hi in slices(texts, 1 << 21):
                 data, starts, size, n_words = plain(texts[lo:hi])
                 key, at = np.unique(grams(data, starts, size), return_inverse=True)
-                own = np.full(len(key), np.nan)
+                own, fresh = np.full(len(key), np.nan), np.ones(len(key), dtype=bool)
                 if len(seen):
                     spot = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
                     old = seen[spot] == key
-                    own[old] = cost[spot[old]]
-                fresh = np.isnan(own)
+                    own[old], fresh = cost[spot[old]], ~old
                 own[fresh] = tree.cost(key[fresh])
                 if len(seen) + fresh.sum() > HELD:
                     seen, cost = key, own
@@ -321,7 +359,10 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
                     seen, cost = np.concatenate([seen, key[fresh]]), np.concatenate([cost, own[fresh]])
                     order = np.argsort(seen, kind="stable")
                     seen, cost = seen[order], cost[order]
-                score = np.add.reduceat(own[at], np.cumsum(size) - size)
+                score = np.add.reduceat(np.nan_to_num(own)[at], np.cumsum(size) - size)
+                left = np.flatnonzero(np.isnan(own)[at])
+                left, times = np.unique(np.repeat(np.arange(hi - lo), size)[left] * len(key) + at[left], return_counts=True)
+                left_to = np.searchsorted(left, np.arange(hi - lo + 1) * len(key)).astype(np.int32)
                 word = word_hashes(data)
                 text = np.repeat(np.arange(hi - lo), n_words)
                 spot = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
@@ -332,20 +373,31 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
                 offsets = np.searchsorted(rest_of, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array((task << 40) + number + np.arange(hi - lo)), b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo),
-                    pa.array(n_words + 1, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(part.astype(float)), pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(offsets), int64s(rest))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_hit", "part", "score", "rest"])
+                    pa.array(n_words + 1, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(part.astype(float)), pa.array(score), pa.array(size),
+                    pa.ListArray.from_arrays(pa.array(offsets), int64s(rest)),
+                    pa.ListArray.from_arrays(pa.array(left_to), int64s(key[left % len(key)])),
+                    pa.ListArray.from_arrays(pa.array(left_to), pa.array(times.astype(np.int32)))],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_hit", "part", "score", "n_bytes", "rest", "gram", "times"])
                 number += hi - lo
 
     scored = stored(rows.mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, n_hit long, part double, score double, rest array<long>"), "scored")
+        run, "row long, doc_id long, held_out boolean, n_tokens long, n_hit long, part double, score double, n_bytes long, "
+             "rest array<long>, gram array<long>, times array<int>"), "scored")
     rare = scored.select("row", F.explode("rest").alias("key")).join(words, "key", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("n_more"))
-    out = scored.drop("rest").join(rare, "row", "left")
+    out = scored.drop("rest", "gram", "times").join(rare, "row", "left")
+    score = F.col("score")
+    if not tree.whole:
+        asked = scored.select("row", F.explode(F.arrays_zip("gram", "times")).alias("a")).select("row", F.col("a.gram").alias("key"), "a.times")
+        costs = stored(settle(asked.select("key").distinct()), "costs")
+        left = asked.join(costs, "key").groupBy("row").agg(F.sum(F.col("cost") * F.col("times")).alias("left"))
+        out, score = out.join(left, "row", "left"), F.col("score") + F.coalesce("left", F.lit(0.0))
+    bits = -score / float(np.log10(2)) / F.col("n_bytes")
     end = float(np.log10(n_docs + 0.5))
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_hit") + F.coalesce("n_more", F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("more", F.lit(0.0)) + end - F.col("n_tokens") * float(base)).alias("base_score"), "score")
+        (F.col("part") + F.coalesce("more", F.lit(0.0)) + end - F.col("n_tokens") * float(base)).alias("base_score"),
+        score.alias("score"), "n_bytes", bits.alias("bits_per_byte"))

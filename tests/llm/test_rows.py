@@ -121,6 +121,71 @@ def test_context_tree_equals_the_recursion():
     assert abs((10 ** tree.cost(grams)).sum() - 1) < 1e-6
 
 
+def brute_context_scores(train, texts, depth=5):
+    """log10 probability of each text under the trees of the training texts, by recursion over the contexts."""
+    def raw(t):
+        return b"\n" * depth + b" ".join((t or "").encode().lower().split()) + b"\n"
+
+    def decide(data):
+        for i in range(depth, len(data)):
+            for k in range(8):
+                yield [(d, data[i - d:i], 1 << k | data[i] >> 8 - k) for d in range(depth + 1)], data[i] >> 7 - k & 1
+
+    bits, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for t in train:
+        for path, bit in decide(raw(t)):
+            for node, child in zip(path, [*path[1:], None]):
+                bits[node][bit] += 1
+                below[node].add(child)
+
+    def estimate(node):
+        a, b = bits[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    weighted = {}
+    for node in sorted(bits, key=lambda x: -x[0]):
+        own = estimate(node)
+        if node[0] == depth:
+            weighted[node] = own
+        else:
+            rest = sum(weighted[c] for c in below[node])
+            top = max(own, rest)
+            weighted[node] = top + math.log(math.exp(own - top) + math.exp(rest - top)) - math.log(2)
+
+    def one(path, d=0):
+        a, b = bits[path[d]]
+        here = (b + 0.5) / (a + b + 1)
+        if d == depth or path[d + 1] not in bits:
+            return here
+        stop = math.exp(min(0.0, estimate(path[d]) - math.log(2) - weighted[path[d]]))
+        return stop * here + (1 - stop) * one(path, d + 1)
+
+    out = []
+    for t in texts:
+        total = 0.0
+        for path, bit in decide(raw(t)):
+            p = one(path) if path[0] in bits else 0.5
+            total += math.log10(p if bit else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_context_scores_equal_brute_force_whatever_tasks_carry(spark, monkeypatch):
+    rows = [(k, prose(k, 3 + 7 * k % 40)) for k in range(40)]
+    rows += [(41, None), (42, ""), (43, "Straße, ÉTÉ zzz qqq"), (44, rows[3][1]), (44, rows[3][1]), (46, "never seen: XYZXYZ"), (None, "no id")]
+    held = F.col("doc_id") % 5 == 1
+    lower = [(d, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for d, t in rows]
+    want = brute_context_scores([t for d, t in lower if d is None or d % 5 != 1], [t for _, t in lower])
+    want = sorted((str(d), round(s, 3)) for (d, _), s in zip(rows, want))
+    for entries in (op4_context_tree.ENTRIES, 4000, 0):
+        monkeypatch.setattr(op4_context_tree, "ENTRIES", entries)
+        got = op4_context_tree.score_documents(frame(spark, rows), held).collect()
+        assert len(got) == len(want)
+        for (d, s), r in zip(want, sorted(got, key=lambda r: (str(r.doc_id), round(r.score, 3)))):
+            assert str(r.doc_id) == d and abs(r.score - s) < 2e-3 + 1e-5 * abs(s)
+            assert abs(r.bits_per_byte * r.n_bytes * math.log10(2) + r.score) < 1e-6
+
+
 def test_packing(spark):
     rows = hard_rows() + [(1000 + k, prose(k, 5 + (k * 37) % 700)) for k in range(150)]
     got = op6_packing.pack_documents(frame(spark, rows), WORDS).collect()
