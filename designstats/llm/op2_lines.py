@@ -1,35 +1,41 @@
 """Line dedup, fuzzy: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one occurrence kept.
 
-A line is normalised to its words in lower case, digits as 0. Equal normalised lines are one line. Distinct
-lines are linked if their 64-bit SimHashes (over words) differ in at most ``DISTANCE`` bits and
-their edit similarity is at least ``SIMILARITY``. With ``BLOCKS`` blocks of bits, two such SimHashes agree in
-at least BLOCKS - DISTANCE of them, so a join on every choice of that many blocks misses no pair. Of
-each connected group of lines the first occurrence in the order (doc_id, text hash, line) stays.
+A line is normalised to its words in lower case, digits as 0. Equal normalised lines are one line. Two
+SimHashes are taken over the words of a line. In the sparse one a word votes only in one block, chosen by its
+hash; there are 8 blocks, from 64 words on 16, and so on. A changed word touches two blocks at most, so by the
+pigeonhole principle lines with few changes keep blocks alike, and they meet in a join on hashes of the votes. A block
+with few words is joined together with those after it (see ``block_keys``). In the dense SimHash of 64 bits every word votes on
+every bit; lines that meet are candidates if these differ in at most ``DISTANCE`` bits. Candidates
+are linked if their edit similarity is at least ``SIMILARITY``. Of each connected group of lines the first
+occurrence in the order (doc_id, text hash, line) stays.
 """
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from designstats.llm.arrays import encoded, mix, seed, slices, spans_of, trimmed, word_spans
 from designstats.llm.common import plain_names, stored
-from designstats.llm.graph import components, int64s, key_filter, passes
-from designstats.llm.runs import Union, runs
-
-DISTANCE, SIMILARITY = 3, 0.9
-#: Bounds of the blocks of the 64 bits.
-BLOCKS = (0, 13, 26, 39, 52, 64)
-CHOICES = list(combinations(range(len(BLOCKS) - 1), len(BLOCKS) - 1 - DISTANCE))
+from designstats.llm.graph import components, int64s, may_hold, sized_filter
+from designstats.llm.runs import runs
+
+DISTANCE, SIMILARITY = 16, 0.9
+#: Words from which on the number of blocks doubles, and the most blocks of a line.
+WORDS, BLOCKS, MOST_BLOCKS = 64, 8, 512
+#: Words that a key covers at least; in shorter lines this share of the words.
+COVER, SHARE = 3, 4
+#: Candidates of a line in a run up to which a pair is looked up in the keys before; more are compared at once.
+FEW = 64
 #: Rows of one run that are compared at once; a longer run is compared part by part.
 RUN = 8192
 
 
 def lines_of(texts: list[str], parts: str = "sim"):
-    """Per line with words: text number, line number, two hashes, SimHash, and where its words are.
+    """Per line with words: text number, line number, two hashes, SimHash (dense; and where the keys of each line start, the keys),
+    and where its words are.
 
     Also the number of lines of every text. parts says how far to go: "place", "hash" or "sim".
     """
@@ -45,7 +51,8 @@ def lines_of(texts: list[str], parts: str = "sim"):
     count = np.diff(np.append(first, len(a)))
     full = np.flatnonzero(count > 0)
     first, count, text, place = first[full], count[full], text[full], place[full]
-    one = two = sim = np.zeros(0, dtype=np.uint64)
+    one = two = np.zeros(0, dtype=np.uint64)
+    sim = one, np.zeros(1, dtype=np.int64), one
     if len(full) and parts != "place":
         word = spans_of(plain, a, b)
         rank = (np.arange(len(a)) - np.repeat(first, count)).astype(np.uint64)
@@ -53,7 +60,7 @@ def lines_of(texts: list[str], parts: str = "sim"):
         one = mix(np.add.reduceat(spot, first) + count.astype(np.uint64))
         two = mix(np.add.reduceat(mix(spot ^ seed(7)), first) + count.astype(np.uint64))
         if parts == "sim":
-            sim = simhash(word, first, count)
+            sim = simhash(word, first, count), *block_keys(word, count)
     return text, place, one, two, sim, (plain, a, b, first, count), total
 
 
@@ -70,6 +77,13 @@ def normalised(parts, i: int) -> bytes:
     return b" ".join(plain[x:y].tobytes() for x, y in zip(a[lo:lo + n].tolist(), b[lo:lo + n].tolist()))
 
 
+def sizes(parts) -> np.ndarray:
+    """Bytes of every normalised line."""
+    _, a, b, first, count = parts
+    end = np.concatenate([[0], np.cumsum(b - a)])
+    return end[first + count] - end[first] + count - 1
+
+
 def edit_distance(a: bytes, b: bytes, most: float = math.inf) -> int:
     """Levenshtein distance by bit vectors (Myers), one step per byte of b; some number above ``most`` once it must exceed it."""
     if not a or not b:
@@ -123,94 +137,108 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b, allowed) <= allowed
 
 
-def block_keys(sim: Column) -> Column:
-    """One int for every choice of blocks: the choice and the bits of its blocks."""
-    def bits(k):
-        lo, hi = BLOCKS[k], BLOCKS[k + 1]
-        return F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit((1 << hi - lo) - 1))
-
-    keys = []
-    for n, choice in enumerate(CHOICES):
-        key = F.lit(0).cast("long")
-        for k in choice:
-            key = F.shiftleft(key, BLOCKS[k + 1] - BLOCKS[k]).bitwiseOR(bits(k))
-        keys.append(key * len(CHOICES) + n)
-    return F.array(*keys)
-
-
-def choice_of(key):
-    return key % len(CHOICES)
-
-
-#: The first choice whose blocks are all free of differences, by the set of blocks that have some.
-_FIRST = np.array([next((n for n, choice in enumerate(CHOICES) if not any(mask >> k & 1 for k in choice)), len(CHOICES))
-                   for mask in range(1 << len(BLOCKS) - 1)])
+def block_keys(word: np.ndarray, count: np.ndarray):
+    """Where each line's keys start (one more entry), and the keys: one for each block of the sparse SimHash that has votes.
 
-
-def _first_choice(apart: np.ndarray) -> np.ndarray:
-    """The first choice of blocks in which SimHashes agree, from the bits in which they differ."""
-    mask = np.zeros(len(apart), dtype=np.int64)
-    for k, (lo, hi) in enumerate(zip(BLOCKS[:-1], BLOCKS[1:])):
-        mask |= ((apart & np.uint64((1 << hi) - (1 << lo))) != 0).astype(np.int64) << k
-    return _FIRST[mask]
-
-
-def _near(sims: np.ndarray, i: int, choice: int) -> np.ndarray:
-    """Later positions whose SimHash is near that of position i and that meet it first under this choice of blocks."""
-    found = np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= DISTANCE) + i + 1
-    return found[_first_choice(sims[found] ^ sims[i]) == choice] if len(found) else found
+    A key stands for the votes of its block and, while these come from fewer than COVER words (in lines shorter than COVER * SHARE words, the SHARE-th part of them),
+    for those of the next blocks, in a circle. Lines whose length is within a tenth of a change of the number of blocks have
+    the keys of both numbers.
+    """
+    level = np.log2(np.maximum(np.stack([count * 0.9, count, count * 1.1]), WORDS / 2) / (WORDS / 2)).astype(np.int64)
+    level = np.minimum(level, int(math.log2(MOST_BLOCKS // BLOCKS)))
+    line = np.concatenate([np.arange(len(count)), np.flatnonzero(level[0] < level[1]), np.flatnonzero(level[2] > level[1])])
+    level = np.concatenate([level[1], level[0][level[0] < level[1]], level[2][level[2] > level[1]]])
+    order = np.argsort(line, kind="stable")
+    line, level = line[order], level[order]
+
+    n, blocks = count[line], BLOCKS << level
+    start = np.cumsum(blocks) - blocks
+    of = np.repeat(np.arange(len(line)), n)  # the entry of each vote
+    vote = mix(word ^ seed(11))[np.repeat((np.cumsum(count) - count)[line] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    cell = start[of] + (vote >> np.uint64(32)).astype(np.int64) % blocks[of]
+    cells = int(blocks.sum())
+    voters, votes = np.bincount(cell, minlength=cells), np.zeros(cells, dtype=np.uint64)
+    np.add.at(votes, cell, vote)
+
+    at = np.flatnonzero(voters)
+    entry = np.searchsorted(start, at, "right") - 1
+    key, covered = mix(votes[at] + seed(12) + level[entry].astype(np.uint64)), voters[at].copy()
+    least, step = np.clip(n[entry] // SHARE, 1, COVER), 1
+    open_ = np.flatnonzero(covered < least)
+    while len(open_):
+        e = entry[open_]
+        after = start[e] + (at[open_] - start[e] + step) % blocks[e]
+        key[open_] = np.where(voters[after] > 0, mix(key[open_] * np.uint64(3) + votes[after]), key[open_])
+        covered[open_] += voters[after]
+        open_, step = open_[covered[open_] < least[open_]], step + 1
+    return np.searchsorted(line[entry], np.arange(len(count) + 1)), key
+
+
+def sizes_fit(a, b):
+    """Whether lines of these sizes in bytes can have the edit similarity."""
+    return np.abs(a - b) <= (1 - SIMILARITY) * np.maximum(a, b) + 1e-9
 
 
 def with_partner(batches):
-    """(key, SimHash) of those that meet another one near them first under this key, from rows sorted by key.
+    """(key, line, SimHash) of those that meet another one near them, of about their size, under the key, from rows sorted by key.
 
-    Rows of 16 bytes are held for one key.
+    Rows of 32 bytes are held for one key; two rows that both have a partner are not compared any more.
     """
-    held_key, held_sim = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    def columns(batch):
+        return [batch.column(c).to_numpy() for c in ("key", "line", "sim", "size")]
+
+    held = [np.zeros(0, dtype=np.int64)] * 4
     for batch in (*batches, None):
         if batch is not None:
-            held_key = np.concatenate([held_key, batch.column("key").to_numpy()])
-            held_sim = np.concatenate([held_sim, batch.column("sim").to_numpy().view(np.uint64)])
-            if not len(held_key):
+            held = [np.concatenate(x) for x in zip(held, columns(batch))]
+            if not len(held[0]):
                 continue
-            whole = int(np.searchsorted(held_key, held_key[-1]))  # the last key may go on in the next batch
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
         else:
-            whole = len(held_key)
-        key, sim = held_key[:whole], held_sim[:whole]
+            whole = len(held[0])
+        key, line, sim, size = (x[:whole] for x in held)
         hit, at, step = np.zeros(whole, dtype=bool), np.arange(whole), 1
         while True:
             at = at[at + step < whole]
             at = at[key[at] == key[at + step]]
             if not len(at):
                 break
-            apart = sim[at] ^ sim[at + step]
-            near = np.flatnonzero(np.bitwise_count(apart) <= DISTANCE)
-            near = at[near[_first_choice(apart[near]) == choice_of(key[at[near]])]]
+            near = at[~(hit[at] & hit[at + step])]
+            near = near[sizes_fit(size[near], size[near + step])]
+            near = near[np.bitwise_count(sim[near].view(np.uint64) ^ sim[near + step].view(np.uint64)) <= DISTANCE]
             hit[near] = hit[near + step] = True
             step += 1
         if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), int64s(sim[hit])], names=["key", "sim"])
-        held_key, held_sim = held_key[whole:], held_sim[whole:]
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, line, sim)], names=["key", "line", "sim"])
+        held = [x[whole:] for x in held]
 
 
 def linked(batches):
-    """A star for each group of alike lines in a run; lines already joined are not compared again."""
+    """A star for each group of alike lines in a run; lines already joined are not compared again.
+
+    A pair with few rivals is left to the least key that both lines have.
+    """
     for table, _ in _parts(batches):
         sims = table.column("sim").to_numpy().view(np.uint64)
         if len(sims) < 2:
             continue
-        line, text = table.column("line").to_numpy(), table.column("text").to_pylist()
+        key, line = table.column("key")[0].as_py(), table.column("line").to_numpy()
         order = np.argsort(line, kind="stable")
-        sims, line, text = sims[order], line[order], [text[i] for i in order]
-        groups, choice = Union(len(sims)), choice_of(table.column("key")[0].as_py())
+        text = table.column("text").take(order).to_pylist()
+        earlier = [{k for k in own if k < key} for own in table.column("keys").take(order).to_pylist()]
+        sims, line, size = sims[order], line[order], np.array([len(t) for t in text])
+        group = np.arange(len(sims))
         for i in range(len(sims) - 1):
-            for j in _near(sims, i, choice).tolist():
-                if groups.root(i) != groups.root(j) and alike(text[i], text[j]):
-                    groups.join(i, j)
-        roots = np.array([groups.root(i) for i in range(len(sims))])
-        own = np.flatnonzero(roots != np.arange(len(sims)))
+            found = np.flatnonzero((np.bitwise_count(sims[i + 1:] ^ sims[i]) <= DISTANCE) & (group[i + 1:] != group[i])) + i + 1
+            found = found[sizes_fit(size[found], size[i])]
+            few = len(found) <= FEW
+            for j in found.tolist():
+                if group[j] != group[i] and (not few or earlier[i].isdisjoint(earlier[j])) and alike(text[i], text[j]):
+                    a, b = sorted((group[i], group[j]))
+                    group[group == b] = a
+        own = np.flatnonzero(group != np.arange(len(sims)))
         if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(line[own]), pa.array(line[roots[own]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(line[own]), pa.array(line[group[own]])], names=["a", "b"])
 
 
 def _parts(batches):
@@ -245,37 +273,38 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, copies, texts = batch.column("id"), batch.column("copy"), batch.column("text").to_pylist()
             for lo, hi in slices(texts):
-                text, place, one, two, sim, _, _ = lines_of(texts[lo:hi])
+                text, place, one, two, (sim, bounds, keys), parts, _ = lines_of(texts[lo:hi])
                 at = pa.array(text + lo)
+                keys = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), int64s(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), copies.take(at), pa.array(place, pa.int32()), int64s(one), int64s(two), int64s(sim)],
-                    names=["id", "copy", "place", "line", "check", "sim"])
+                    [ids.take(at), copies.take(at), pa.array(place, pa.int32()), int64s(one), int64s(two), int64s(sim), pa.array(sizes(parts)), keys],
+                    names=["id", "copy", "place", "line", "check", "sim", "size", "keys"])
 
-    found = rows.mapInArrow(trimmed(read), "id long, copy long, place int, line long, check long, sim long")
-    lines = stored(found.groupBy("line", "check", "sim").agg(F.min(F.struct("id", "copy", "place")).alias("first")), "lines")
+    found = rows.mapInArrow(trimmed(read), "id long, copy long, place int, line long, check long, sim long, size long, keys array<long>")
+    lines = stored(found.groupBy("line", "check", "sim", "size").agg(
+        F.min(F.struct("id", "copy", "place")).alias("first"), F.first("keys").alias("keys")), "lines")
 
-    # The keys under which lines meet: SimHashes near another one, or shared by different lines.
-    keys = lines.select("sim").distinct().select("sim", F.explode(block_keys(F.col("sim"))).alias("key"))
-    near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(with_partner), "key long, sim long")
-    shared = lines.groupBy("sim").count().filter("count > 1").select(F.get(block_keys(F.col("sim")), F.lit(0)).alias("key"), "sim")
-    live = stored(lines.select("line", "sim").join(near.unionByName(shared).distinct(), "sim"), "live")
-    bits = key_filter(live, "line")
+    # Lines under each key where another one is near; a line has all of its keys of this kind with it, at most MOST_BLOCKS or so.
+    keys = lines.select("line", "sim", "size", F.explode("keys").alias("key"))
+    near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(with_partner), "key long, line long, sim long")
+    live = stored(near.groupBy("line", "sim").agg(F.collect_set("key").alias("keys")), "live")
+    bits = sized_filter(live, "line")
 
     def fetch(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in slices(texts):
                 _, _, one, _, _, parts, _ = lines_of(texts[lo:hi], "hash")
-                own = np.flatnonzero(passes(bits, one)) if len(one) else []
+                own = np.flatnonzero(may_hold(bits, one)) if len(one) else []
                 if len(own):
                     yield pa.RecordBatch.from_arrays(
                         [int64s(one[own]), pa.array([normalised(parts, i) for i in own], pa.binary())], names=["line", "text"])
 
     texts = rows.mapInArrow(trimmed(fetch), "line long, text binary").dropDuplicates(["line"]).join(live, "line")
-    edges = texts.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(linked), "a long, b long")
+    edges = texts.withColumn("key", F.explode("keys")).repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(linked), "a long, b long")
     groups = components(edges)
 
-    joined = lines.join(groups.withColumnRenamed("node", "line"), "line", "left")
+    joined = lines.drop("keys").join(groups.withColumnRenamed("node", "line"), "line", "left")
     alone = joined.filter("root is null").select("first")
     ahead = joined.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first")
     kept = alone.unionByName(ahead).groupBy(F.col("first.id").alias("_k_id"), F.col("first.copy").alias("_k_copy")).agg(

@@ -1,6 +1,7 @@
 """Near copies, lines, fingerprints and decontamination against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -91,9 +92,9 @@ def brute_lines(rows):
     order = sorted({(d is not None, d or 0, t or "") for d, t in rows})
     lines = {}
     for known, d, t in order:
-        text, place, one, _, sim, parts, _ = op2_lines.lines_of([t])
+        _, _, one, _, _, parts, _ = op2_lines.lines_of([t])
         for k in range(len(one)):
-            lines.setdefault(int(one[k]), (int(sim[k]), op2_lines.normalised(parts, k)))
+            lines.setdefault(int(one[k]), op2_lines.normalised(parts, k))
     keys = list(lines)
     of = {k: k for k in keys}
 
@@ -104,7 +105,7 @@ def brute_lines(rows):
 
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if bin(lines[a][0] ^ lines[b][0]).count("1") <= op2_lines.DISTANCE and op2_lines.alike(lines[a][1], lines[b][1]):
+            if op2_lines.alike(lines[a], lines[b]):
                 of[root(a)] = root(b)
     return of, root
 
@@ -155,12 +156,40 @@ def test_edit_distance():
         assert op2_lines.alike(a, b, 0.6) == (plain(a, b) <= 0.4 * max(len(a), len(b)) + 1e-9)
 
 
-def test_block_keys_miss_no_near_simhash():
-    r = np.random.default_rng(1)
-    for _ in range(200):
-        bits = r.choice(64, op2_lines.DISTANCE, replace=False)
-        apart = np.array([sum(1 << int(b) for b in bits)], dtype=np.uint64)
-        assert op2_lines._first_choice(apart)[0] < len(op2_lines.CHOICES)
+def edited(line: str, r: random.Random) -> str:
+    """The line after as many edits as an edit similarity of 0.9 allows, each of a letter or a word: the hardest pairs."""
+    out, words = line, line.split()
+    for _ in range(100):
+        at = r.randrange(len(words))
+        words[at:at + 1] = r.choice([
+            [words[at][:-1] + "q"], [], [words[at], r.choice("ab")], ["".join(r.choice("abcdefghijklm") for _ in words[at])]])
+        if not words or not op2_lines.alike(line.encode(), " ".join(words).encode()):
+            break
+        out = " ".join(words)
+    return out
+
+
+def test_lines_of_edit_similarity_share_a_key_and_are_near():
+    r = random.Random(5)
+    for n, least in ((4, 0.7), (8, 0.7), (15, 0.75), (27, 0.75), (45, 0.75), (100, 0.75)):
+        met = tried = 0
+        for _ in range(200):
+            line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+            other = edited(line, r)
+            if other == line:
+                continue
+            _, _, _, _, (sim, bounds, keys), _, _ = op2_lines.lines_of([line, other])
+            tried += 1
+            one, two = (set(keys[bounds[k]:bounds[k + 1]].tolist()) for k in (0, 1))
+            met += bool(one & two) and int(sim[0] ^ sim[1]).bit_count() <= op2_lines.DISTANCE
+        assert tried and met >= least * tried, (n, met, tried)
+
+
+def test_keys_of_lines_are_bounded():
+    text = "word " * 100_000 + "\n" + " ".join(f"word{chr(97 + k % 26)}{k}" for k in range(60_000)) + "\na\n\nb c"
+    _, _, _, _, (sim, bounds, keys), _, _ = op2_lines.lines_of([text])
+    assert np.diff(bounds).tolist()[2] == 1 and np.diff(bounds).max() <= 2 * op2_lines.MOST_BLOCKS and len(sim) == 4
+    assert len(keys) == bounds[-1]
 
 
 def test_fingerprints_follow_the_contract(spark):
