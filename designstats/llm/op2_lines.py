@@ -22,7 +22,7 @@ from designstats.llm.common import plain_names, stored
 from designstats.llm.graph import components, int64s, may_hold, sized_filter
 from designstats.llm.runs import runs
 
-DISTANCE, SIMILARITY = 16, 0.9
+DISTANCE, SIMILARITY = 10, 0.9
 #: Words from which on the number of blocks doubles, and the most blocks of a line.
 WORDS, BLOCKS, MOST_BLOCKS = 64, 8, 512
 #: Words that a key covers at least; in shorter lines this share of the words.

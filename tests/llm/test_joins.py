@@ -169,20 +169,35 @@ def edited(line: str, r: random.Random) -> str:
     return out
 
 
-def test_lines_of_edit_similarity_share_a_key_and_are_near():
+def meet(line: str, other: str) -> tuple[bool, int]:
+    """Whether the lines share a key, and in how many bits their SimHashes differ."""
+    _, _, _, _, (sim, bounds, keys), _, _ = op2_lines.lines_of([line, other])
+    one, two = (set(keys[bounds[k]:bounds[k + 1]].tolist()) for k in (0, 1))
+    return bool(one & two), int(sim[0] ^ sim[1]).bit_count()
+
+
+def made_up(r: random.Random, n: int) -> str:
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+def test_lines_of_edit_similarity_share_a_key():
     r = random.Random(5)
-    for n, least in ((4, 0.7), (8, 0.7), (15, 0.75), (27, 0.75), (45, 0.75), (100, 0.75)):
-        met = tried = 0
+    for n in (4, 8, 15, 27, 45, 100):
+        pairs = [(x, y) for x in (made_up(r, n) for _ in range(200)) for y in [edited(x, r)] if x != y]
+        assert pairs and sum(meet(x, y)[0] for x, y in pairs) >= 0.8 * len(pairs), n
+
+
+def test_lines_with_one_changed_word_are_candidates():
+    r = random.Random(6)
+    for n in (20, 27, 45, 100):
+        met = 0
         for _ in range(200):
-            line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
-            other = edited(line, r)
-            if other == line:
-                continue
-            _, _, _, _, (sim, bounds, keys), _, _ = op2_lines.lines_of([line, other])
-            tried += 1
-            one, two = (set(keys[bounds[k]:bounds[k + 1]].tolist()) for k in (0, 1))
-            met += bool(one & two) and int(sim[0] ^ sim[1]).bit_count() <= op2_lines.DISTANCE
-        assert tried and met >= least * tried, (n, met, tried)
+            words = made_up(r, n).split()
+            other = words[:]
+            other[r.randrange(n)] = "changed"
+            key, bits = meet(" ".join(words), " ".join(other))
+            met += key and bits <= op2_lines.DISTANCE
+        assert met >= 180, (n, met)
 
 
 def test_keys_of_lines_are_bounded():
