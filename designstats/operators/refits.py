@@ -7,7 +7,9 @@ leaves a task are sums over its PSUs, one vector of the R replicates for each ke
 """
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from hashlib import blake2b
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -19,9 +21,12 @@ from designstats.operators.design import PSU, STR
 from designstats.operators.fitting import Fit, model_rows
 from designstats.operators.frame import null_safe_join
 from designstats.operators.glm import glm
+from designstats.session import checkpoint
 
 #: Row weights (rows x replicates) worked out at once, and keys whose sums a task holds before it passes them on.
 SLICE, HELD = 1 << 21, 1024
+#: Different (y, x) up to which half-sample refits work from the totals of these.
+PATTERNS = 64
 
 
 def split_draws(seed: int, stratum: str, size: int, reps: int, wanted: np.ndarray) -> np.ndarray:
@@ -85,8 +90,11 @@ def in_order(rows: DataFrame) -> DataFrame:
 def replicate_totals(rep, psu: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Replicate totals like RepDesign.totals (same columns), by vectors: for bootstrap, BRR and Fay.
 
-    psu has one row for each stratum, PSU and key. NULL keys are a group of their own.
+    psu has one row for each stratum, PSU and key. NULL keys are a group of their own. Half-samples are as many as there
+    are pairs, so theirs come from the transform of RepDesign.totals; only the bootstrap's vectors have a given length.
     """
+    if rep.kind in ("BRR", "Fay"):
+        return rep.totals(psu, keys, names).withColumn("rep", (F.col("rep").cast("long") + 1).cast("string"))
     scheme, keys, names = rep.scheme(), list(keys), list(names)
     kind, seed, reps = rep.kind, rep.seed, scheme["reps"]
     step = max(1, SLICE // reps)
@@ -118,10 +126,10 @@ def replicate_totals(rep, psu: DataFrame, keys: Sequence[str], names: Sequence[s
         return pd.DataFrame([tuple([*(pdf[k].iloc[0] for k in keys), *(np.sum(np.stack(pdf[t].to_numpy()), axis=0).tolist() for t in names)])], columns=[*keys, *names])
 
     sums = rows.mapInPandas(partial, vectors).groupBy(*keys).applyInPandas(summed, vectors)
-    share = 0.0 if kind != "bootstrap" else 1 - F.col("__share")
+    share = 1 - F.col("__share")
     known = psu.select(STR, PSU, *keys, *names).join(placed_psus(rep), [STR, PSU])
     ends = known.groupBy(*keys).agg(*[F.sum(t).alias(f"full_{t}") for t in names],
-                                    *[F.sum(share * F.col(t) if kind == "bootstrap" else F.col(t)).alias(f"base_{t}") for t in names])
+                                    *[F.sum(share * F.col(t)).alias(f"base_{t}") for t in names])
     joined = null_safe_join(sums, ends, keys) if keys else sums.crossJoin(F.broadcast(ends))  # one row each
     each = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(reps)).alias("rep"), *names)).alias("v")
     out = joined.select(*keys, *[f"full_{t}" for t in names], *[f"base_{t}" for t in names], each)
@@ -179,14 +187,81 @@ def ordinal_moments(cuts: int) -> Moments:
     return moments
 
 
+def _value_table(totals: DataFrame, names: Sequence[str], terms: Sequence[str], solve: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """rep, term, value, mult, rscale from one row of totals for each replicate; solve: totals (n, names) -> values (n, terms)."""
+    names, terms = list(names), list(terms)
+
+    def solved(batches):
+        for pdf in batches:
+            if len(pdf):
+                found = solve(pdf[names].to_numpy(dtype=float))
+                yield pd.DataFrame({"rep": np.repeat((pdf["rep"].astype(np.int64) + 1).astype(str).to_numpy(), len(terms)), "term": terms * len(pdf),
+                                    "value": found.ravel(), "mult": 1, "rscale": np.repeat(pdf["rscale"].to_numpy(), len(terms))})
+
+    schema = "rep string, term string, value double, mult bigint, rscale double"
+    return checkpoint(totals.select("rep", "rscale", *names).mapInPandas(solved, schema))
+
+
+def _newton_steps(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, reps: int, tol: float, max_iter: int) -> np.ndarray:
+    """Coefficients (reps, q) at which the scores are zero."""
+    beta = np.tile(np.asarray(start, dtype=float), (reps, 1))
+    for _ in range(max_iter):
+        score, info = sums(beta)
+        moves = np.linalg.solve(info, score[:, :, None])[:, :, 0]
+        beta = beta + moves
+        if not np.isfinite(beta).all():
+            raise ArithmeticError("a replicate fit has diverged")
+        if np.max(np.abs(moves) / (1 + np.abs(beta))) < tol:
+            return beta
+    raise ArithmeticError(f"a replicate fit has not converged in {max_iter} steps")
+
+
+def refit_patterns(rep, rows: DataFrame, x: Sequence[str], patterns: Sequence, start: np.ndarray, terms: Sequence[str], moments: Moments,
+                   tol: float, max_iter: int) -> DataFrame:
+    """Half-sample refits of rows with few different (y, x): the weights of the patterns in every replicate are one
+    transform, and each task then fits its own replicates from them."""
+    table = np.array([tuple(p) for p in patterns], dtype=float)
+    names = [f"w{k}" for k in range(len(table))]
+    same = lambda p: reduce(and_, [F.col(c) == F.lit(float(v)) for c, v in zip(["y", *x], p)])
+    psu = rows.groupBy(STR, PSU, F.lit("w").alias("k")).agg(*[F.sum(F.when(same(p), F.col("w")).otherwise(0.0)).alias(n) for n, p in zip(names, table)])
+
+    def solve(weights):
+        return _newton_steps(lambda beta: moments(table[:, 1:], table[:, 0], beta, weights.T), start, len(weights), tol, max_iter)
+
+    return _value_table(rep.totals(psu, ["k"], names), names, terms, solve)
+
+
+def refit_linear(rep, rows: DataFrame, x: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """Half-sample refits of a linear model: its products are totals, so those of all replicates are one transform."""
+    x = list(x)
+    p = len(x)
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = {f"a{i}_{j}": F.col(x[i]) * F.col(x[j]) for i, j in upper} | {f"b{i}": F.col(x[i]) * F.col("y") for i in range(p)}
+    psu = rows.groupBy(STR, PSU, F.lit("w").alias("k")).agg(*[F.sum(F.col("w") * c).alias(n) for n, c in sums.items()])
+
+    def solve(totals):
+        left = np.zeros((len(totals), p, p))
+        for k, (i, j) in enumerate(upper):
+            left[:, i, j] = left[:, j, i] = totals[:, k]
+        return np.linalg.solve(left, totals[:, len(upper):, None])[:, :, 0]
+
+    return _value_table(rep.totals(psu, ["k"], list(sums)), list(sums), terms, solve)
+
+
 def refit(rep, rows: DataFrame, x: Sequence[str], start: np.ndarray, terms: Sequence[str], moments: Moments,
           tol: float = 1e-8, max_iter: int = 50) -> DataFrame:
     """Refit an estimator under every replicate: rep, term, value, mult, rscale.
 
     rows: stratum, PSU, y, w and the columns x of complete cases. Equal rows of a PSU are added up first. All replicates start
-    from the full fit and share each job; a replicate that does not converge raises.
+    from the full fit and share each job; a replicate that does not converge raises. Half-samples are as many as there are
+    pairs of PSUs: up to PATTERNS different (y, x) their fits need no more than the totals of these; with more, every row
+    meets every replicate, which is rows x replicates by its nature.
     """
     scheme, x = rep.scheme(), list(x)
+    if rep.kind in ("BRR", "Fay"):
+        patterns = rows.select("y", *x).distinct().limit(PATTERNS + 1).collect()
+        if len(patterns) <= PATTERNS:
+            return refit_patterns(rep, rows, x, patterns, start, terms, moments, tol, max_iter)
     kind, seed, reps, q = rep.kind, rep.seed, scheme["reps"], len(start)
     step = max(1, SLICE // reps)
     summed = rows.groupBy(STR, PSU, "y", *x).agg(F.sum("w").alias("w"))
@@ -208,20 +283,15 @@ def refit(rep, rows: DataFrame, x: Sequence[str], start: np.ndarray, terms: Sequ
     def added(pdf):
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
 
-    beta = np.tile(np.asarray(start, dtype=float), (reps, 1))
     schema = "rep int, v array<double>"
+
+    def total_at(beta):
+        total = ready.mapInPandas(sums_at(beta.copy()), schema).groupBy("rep").applyInPandas(added, schema).toPandas()  # R rows
+        flat = np.stack(total.sort_values("rep")["v"].to_numpy())
+        return flat[:, :q], flat[:, q:].reshape(reps, q, q)
+
     try:
-        for _ in range(max_iter):
-            total = ready.mapInPandas(sums_at(beta.copy()), schema).groupBy("rep").applyInPandas(added, schema).toPandas()  # R rows
-            flat = np.stack(total.sort_values("rep")["v"].to_numpy())
-            moves = np.linalg.solve(flat[:, q:].reshape(reps, q, q), flat[:, :q, None])[:, :, 0]
-            beta = beta + moves
-            if not np.isfinite(beta).all():
-                raise ArithmeticError("a replicate fit has diverged")
-            if np.max(np.abs(moves) / (1 + np.abs(beta))) < tol:
-                break
-        else:
-            raise ArithmeticError(f"a replicate fit has not converged in {max_iter} steps")
+        beta = _newton_steps(total_at, start, reps, tol, max_iter)
     finally:
         ready.unpersist()
     values = [(str(r + 1), t, float(beta[r, j]), 1, float(scheme["scale"])) for r in range(reps) for j, t in enumerate(terms)]
@@ -232,6 +302,8 @@ def replicate_glm(rep, y: str, items: Sequence, family: str = "gaussian", levels
     """A generalised linear model on the design and its coefficients under every replicate."""
     fit = glm(rep.design, y, items, family, levels=levels)
     model = model_rows(rep.design, col(y).cast("double"), fit.columns)
+    if family == "gaussian" and rep.kind in ("BRR", "Fay"):
+        return fit, refit_linear(rep, model.rows, model.x, fit.terms)
     return fit, refit(rep, model.rows, model.x, fit.coef, fit.terms, glm_moments(family))
 
 

@@ -5,13 +5,15 @@ rows are read once, whatever the number of replicates. No (row x replicate) tabl
 
 * jackknife: leaving out a PSU is algebra on its stratum total, one row per PSU;
 * BRR and Fay: all half-sample totals are one Walsh-Hadamard transform of the within-pair
-  differences, done in two grouped stages of about sqrt(R) terms each;
+  differences, done in two grouped stages of fast transforms of about sqrt(R) terms each;
 * bootstrap: each PSU row deals one draw per replicate, joined back by its number.
 """
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from designstats.functions.columns import col
@@ -29,6 +31,29 @@ def even_strata(design: Design) -> Design:
                   design.lonely, False, rows.withColumn("__fpc", F.lit(None).cast("double")))
 
 
+def fast_walsh(values: np.ndarray) -> np.ndarray:
+    """Signed sums over the last axis for every row number of the Hadamard matrix: n log n additions."""
+    size, half = values.shape[-1], 1
+    while half < size:
+        pair = values.reshape(*values.shape[:-1], size // (2 * half), 2, half)
+        values = np.concatenate([pair.sum(-2, keepdims=True), pair[..., :1, :] - pair[..., 1:, :]], axis=-2).reshape(values.shape)
+        half *= 2
+    return values
+
+
+def _walsh_column(size: int):
+    """(places, values) of a group -> its transform of the given size."""
+    @F.pandas_udf("array<double>")
+    def transform(places: pd.Series, values: pd.Series) -> pd.Series:
+        def one(at, own):
+            line = np.zeros(size)
+            np.add.at(line, np.asarray(at, dtype=np.int64), np.asarray(own, dtype=float))
+            return fast_walsh(line)
+        return pd.Series([one(at, own) for at, own in zip(places, values)])
+
+    return transform
+
+
 @dataclass(frozen=True)
 class RepDesign:
     """A design together with a replication scheme."""
@@ -155,18 +180,13 @@ class RepDesign:
         def stage(df, group, index, size, out):
             """Signed sums over ``index`` for every row number 0..size-1 of the transform."""
             packed = df.groupBy(*group).agg(F.collect_list(F.struct(index, *names)).alias("items"))
-
-            def signed(r, t):
-                def add(acc, x):
-                    odd = F.bit_count(r.bitwiseAND(x[index])) % 2 == 1
-                    return acc + F.when(odd, -x[t]).otherwise(x[t])
-                return F.aggregate("items", F.lit(0.0), add)
-
-            spread = F.transform(
-                F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")),
-                lambda r: F.struct(r.alias(out), *[signed(r, t).alias(t) for t in names]),
-            )
-            return packed.select(*group, F.inline(spread))
+            walsh = _walsh_column(size)
+            signed = {t: walsh(F.col(f"items.{index}"), F.col(f"items.{t}")) for t in names}
+            # a NULL among the terms makes every sum NULL
+            known = lambda t: F.when(~F.exists(F.col(f"items.{t}"), F.isnull), F.col(t)).alias(t)
+            lines = packed.withColumns(signed).select(*group, *[known(t) for t in names])
+            places = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")).alias(out)
+            return lines.select(*group, F.inline(F.arrays_zip(places, *names)))
 
         split = diffs.withColumns({
             "__lo": F.col("__g").bitwiseAND(F.lit(size_lo - 1).cast("long")),

@@ -8,7 +8,7 @@ from designstats.operators.categorical import ordinal
 from designstats.operators.design import PSU, STR, WT, Design
 from designstats.operators.glm import glm
 from designstats.operators.refits import replicate_glm, replicate_ordinal, replicate_totals, split_draws
-from designstats.operators.replicate import as_rep
+from designstats.operators.replicate import as_rep, fast_walsh
 
 
 def test_split_draws_deal_all_draws_evenly():
@@ -88,3 +88,37 @@ def test_refits_equal_fits_with_the_replicate_weights(spark):
 def test_a_jackknife_has_no_vectors(spark):
     with pytest.raises(ValueError, match="replicate for every PSU"):
         replicate_glm(as_rep(design(rows(spark)), "JKn"), "b", ["x"], "binomial")
+
+
+def half_weights(rep, reps):
+    """(stratum, PSU) -> the factors of a half-sample design, by the definition."""
+    return {(r[STR], r[PSU]): [1 + (1 - rep.rho) * r["__sign"] * (-1) ** (k & r["__g"]).bit_count() for k in range(reps)] for r in rep.pairs().collect()}
+
+
+@pytest.mark.parametrize("kind,y,family", [("Fay", "x", "gaussian"), ("BRR", "b", "binomial"), ("Fay", "y", "ordinal")])
+def test_half_sample_refits_weigh_no_row_in_every_replicate(spark, monkeypatch, kind, y, family):
+    def no_rows(*_):
+        raise AssertionError("every row met every replicate")
+
+    monkeypatch.setattr("designstats.operators.refits.placed_psus", no_rows)
+    df = rows(spark).drop("g").withColumn("z", F.col("y") + 0.5 * F.col("b"))
+    rep = as_rep(design(df), kind)
+    items = ["z"] if family == "gaussian" else ["b"] if family == "ordinal" else ["x"]
+    if family == "ordinal":
+        (fit, values), again = replicate_ordinal(rep, y, items, [0, 1, 2]), lambda d: ordinal(d, y, items, weights="v", y_levels=[0, 1, 2])
+    else:
+        (fit, values), again = replicate_glm(rep, y, items, family), lambda d: glm(d, y, items, family, weights="v")
+    reps = rep.scheme()["reps"]
+    got = {(r.rep, r.term): r.value for r in values.collect()}
+    assert len(got) == reps * len(fit.terms)
+    factor = spark.createDataFrame([(s, p, f) for (s, p), f in half_weights(rep, reps).items()], "strata string, psu int, f array<double>")
+    weighted = df.join(factor, ["strata", "psu"])
+    for k in (0, reps // 2 + 1):
+        one = again(weighted.withColumn("v", F.col("w") * F.col("f")[k]).where("v > 0"))
+        assert all(abs(got[str(k + 1), t] - one[t]) < 1e-6 for t in fit.terms)
+
+
+def test_the_fast_transform_is_the_matrix_product():
+    line = np.random.default_rng(1).normal(size=(3, 64))
+    signs = 1 - 2 * (np.bitwise_count(np.arange(64)[:, None] & np.arange(64)) % 2).astype(float)
+    assert np.allclose(fast_walsh(line), line @ signs)
