@@ -31,11 +31,12 @@ _ORDER = ["__v", "__late", "__mod", "id"]
 
 
 def _windows():
+    # frames that end at the last row are worked out anew for every row, so looking onward is looking back from the end
     inside = Window.partitionBy(*_SPOT).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    onward = Window.partitionBy(*_SPOT).orderBy(*_ORDER).rowsBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy(*_SPOT).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     # cell tables are bounded by the number of slices, so these run in one small task
     before = Window.orderBy(*_SPOT).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy(*_SPOT).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.orderBy(*[F.desc(c) for c in _SPOT]).rowsBetween(Window.unboundedPreceding, -1)
     return inside, onward, before, after
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from designstats.operators import propensity
 from designstats.operators.propensity import match_nearest
 
 
@@ -55,3 +56,11 @@ def test_pairs_do_not_depend_on_the_slices(spark):
     df = spark.createDataFrame(units, "id long, treated int, score double")
     got = {tuple(sorted(map(tuple, match_nearest(df, "id", F.col("treated"), F.col("score"), slices=n).collect()))) for n in (2, 9, 64)}
     assert len(got) == 1
+
+
+def test_no_frame_is_worked_out_anew_for_every_row(spark, monkeypatch):
+    """Spark sums a frame that ends at the last row from scratch for each row: quadratic in the size of a cell."""
+    monkeypatch.setattr(propensity, "checkpoint", lambda d: d)
+    units = spark.range(50).selectExpr("id", "CAST(id % 3 = 0 AS INT) treated", "id / 7.0D score")
+    plan = propensity._independent_runs(units, 4)._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
