@@ -72,10 +72,11 @@ def _independent_runs(units: DataFrame, slices: int) -> DataFrame:
                        (F.col("base") + F.col("k")).alias("pos"), p.alias("p"), down.alias("down"), up.alias("up"),
                        (F.col("off") - F.col("prev_lo")).alias("down_before_cell"))
     # a run starts where up = 0 and the position before has down = 0
-    ordered = Window.partitionBy(*_SPOT).orderBy(*_ORDER)
+    # by position: rows of a repeated id have the same place in the order, but only one position each
+    ordered = Window.partitionBy(*_SPOT).orderBy("pos")
     before_me = F.coalesce(F.lag("down").over(ordered), F.col("down_before_cell"))
     marked = full.withColumn("before", before_me).withColumn("cut", ((F.col("up") == 0) & (F.col("before") == 0)).cast("int"))
-    marked = marked.withColumn("r", F.sum("cut").over(inside))
+    marked = marked.withColumn("r", F.sum("cut").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy(*_SPOT).agg(F.sum("cut").alias("cuts"))
     runs = runs.select(*_SPOT, F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("run0"))
     return marked.join(F.broadcast(runs), _SPOT).select(

@@ -64,3 +64,19 @@ def test_no_frame_is_worked_out_anew_for_every_row(spark, monkeypatch):
     units = spark.range(50).selectExpr("id", "CAST(id % 3 = 0 AS INT) treated", "id / 7.0D score")
     plan = propensity._independent_runs(units, 4)._jdf.queryExecution().analyzed().toString()
     assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
+
+
+def test_repeated_ids_do_not_move_the_runs(spark):
+    """Each position follows on the one before it, also among rows that are equal in every column."""
+    rng = random.Random(4)
+    units = [(i, int(rng.random() < 0.4), round(rng.random(), 2)) for i in range(120)] * 4
+    df = spark.createDataFrame(units, "id long, treated int, score double").repartition(5)
+    placed = sorted(propensity._independent_runs(df, 6).collect(), key=lambda r: r.pos)
+    assert [r.pos for r in placed] == list(range(1, len(units) + 1))
+    assert all(a.run <= b.run for a, b in zip(placed, placed[1:]))
+    waiting = lowest = 0  # treated units that may still reach below
+    for r in placed:
+        assert r.before == waiting
+        level = r.nt - r.nc
+        lowest = min(lowest, level)
+        waiting = level - lowest
