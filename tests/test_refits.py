@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from designstats.operators.categorical import ordinal
 from designstats.operators.design import PSU, STR, WT, Design
 from designstats.operators.glm import glm
-from designstats.operators.refits import replicate_glm, replicate_ordinal, replicate_totals, split_draws
+from designstats.operators.refits import ordinal_moments, replicate_glm, replicate_ordinal, replicate_totals, split_draws
 from designstats.operators.replicate import as_rep, fast_walsh
 
 
@@ -122,3 +122,32 @@ def test_the_fast_transform_is_the_matrix_product():
     line = np.random.default_rng(1).normal(size=(3, 64))
     signs = 1 - 2 * (np.bitwise_count(np.arange(64)[:, None] & np.arange(64)) % 2).astype(float)
     assert np.allclose(fast_walsh(line), line @ signs)
+
+
+@pytest.mark.parametrize("p", [0, 2])
+def test_ordinal_moments_by_definition_without_a_pass_per_replicate(p, monkeypatch):
+    r = np.random.default_rng(3)
+    n, reps, cuts = 150, 7, 3
+    x, y, w = r.normal(size=(n, p)), r.integers(0, cuts + 1, n).astype(float), r.random((n, reps))
+    beta = np.column_stack([np.sort(r.normal(size=(reps, cuts))), r.normal(size=(reps, p))])
+    monkeypatch.setattr("designstats.operators.refits.CACHED", 300)
+    exponentials = []
+    own = np.exp
+    monkeypatch.setattr(np, "exp", lambda v: exponentials.append(1) or own(v))
+    score, info = ordinal_moments(cuts)(x, y, beta, w)
+    monkeypatch.undo()
+    assert len(exponentials) == 4 * (cuts + 1)  # 4 stretches of rows, whatever the number of replicates
+    for k in range(reps):
+        below = np.column_stack([np.zeros(n), *[1 / (1 + np.exp(x @ beta[k, cuts:] - c)) for c in beta[k, :cuts]], np.ones(n)])
+        slope, want, matrix = below * (1 - below), np.zeros(cuts + p), np.zeros((cuts + p, cuts + p))
+        for c in range(cuts + 1):
+            grad = np.zeros((n, cuts + p))
+            if c < cuts:
+                grad[:, c] += slope[:, c + 1]
+            if c:
+                grad[:, c - 1] -= slope[:, c]
+            grad[:, cuts:] = (slope[:, c] - slope[:, c + 1])[:, None] * x
+            v = w[:, k] / (below[:, c + 1] - below[:, c])
+            want += (v * (y == c)) @ grad
+            matrix += (grad * v[:, None]).T @ grad
+        assert np.allclose(score[k], want) and np.allclose(info[k], matrix)
