@@ -14,8 +14,12 @@ from designstats.operators.fitting import (
 )
 from designstats.operators.frame import factor_levels
 from designstats.operators.glm import LOG_FACTORIAL, glm
+from designstats.operators.replicate import draw_counts
 from designstats.operators.terms import expand
 
+#: Row weights (rows x replicates) that a step holds at once, so that its passes over them stay near the processor.
+CACHED = 1 << 16
+
 
 def _codes(frame: DataFrame, y: str, levels: Sequence | None) -> tuple[list, Column]:
     """Levels and the 0-based code of the outcome."""
@@ -150,8 +154,8 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
                            tol: float = 1e-8, max_iter: int = 30) -> tuple[Fit, DataFrame]:
     """Refit the model under every bootstrap replicate; all replicates share each scan.
 
-    Equal rows of a PSU are added up first. What is left carries the draw counts of its PSU as
-    one array of bytes. A task sums score and information of every replicate over its rows,
+    Equal rows of a PSU are added up first. What is left carries the draw counts of its PSU,
+    one byte per replicate. A task sums score and information of every replicate over its rows,
     and Spark adds the tasks up.
     """
     design = rep.design
@@ -160,44 +164,45 @@ def multinomial_replicates(rep, y: str, items: Sequence, levels=None, y_levels=N
     q = (k - 1) * p
     _, code = _codes(design.df, y, fit.extra["levels"])
     model = model_rows(design, code, fit.columns)
-    drawn = rep.draws().groupBy(STR, "rn", "rep").agg(F.count(F.lit(1)).cast("tinyint").alias("m"))
-    packed = drawn.groupBy(STR, "rn").agg(F.map_from_entries(F.collect_list(F.struct("rep", "m"))).alias("m"))
-    count = lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0).cast("tinyint"))
-    numbered = rep._numbered().join(packed, [STR, "rn"], "left").join(design.strata(), STR)
-    multiples = numbered.select(
-        STR, PSU, F.sqrt(1 - F.col("f_h")).alias("lam"),
-        F.transform(F.sequence(F.lit(1), F.lit(reps)), count).alias("mult"))
+    none = F.lit(bytes(reps))
+    multiples = rep._numbered().join(rep.draws(), [STR, "rn"], "left").join(design.strata(), STR).select(
+        STR, PSU, F.sqrt(1 - F.col("f_h")).alias("lam"), F.coalesce("times", none).alias("times"))
     summed = model.rows.groupBy(STR, PSU, "y", *model.x).agg(F.sum("w").alias("w"))
-    rows = summed.join(multiples, [STR, PSU]).select("w", "y", "lam", "mult", *model.x).persist()
-    x_names = model.x
+    rows = summed.join(multiples, [STR, PSU]).select("w", "y", "lam", "times", *model.x).persist()
+    x_names, step = model.x, max(1, CACHED // reps)
 
     def partial_at(betas):
+        slopes = betas.reshape(reps, k - 1, p).transpose(1, 0, 2)  # one (replicates x terms) table per category
+
+        def add(score, info, x, code_, w):
+            links = [x @ slope.T for slope in slopes]
+            top = np.maximum(np.maximum.reduce(links), 0.0)
+            e = [np.exp(link - top) for link in links]
+            total = sum(e, np.exp(-top))
+            prob = [c / total for c in e]
+            square = np.einsum("ni,nj->nij", x, x).reshape(len(x), -1)
+            for a in range(k - 1):
+                score[:, a] += (((code_ == a + 1)[:, None] - prob[a]) * w).T @ x
+                each = w * prob[a]
+                for b in range(a, k - 1):
+                    info[:, a, b] += ((each * ((a == b) - prob[b])).T @ square).reshape(reps, p, p)
+
         def partial(batches):
-            score, info = np.zeros((reps, q)), np.zeros((reps, q, q))
+            score, info = np.zeros((reps, k - 1, p)), np.zeros((reps, k - 1, k - 1, p, p))
             for pdf in batches:
-                x = pdf[x_names].to_numpy(dtype=float)
-                code_ = pdf["y"].to_numpy().astype(int)
-                lam = pdf["lam"].to_numpy()[:, None]
-                w = pdf["w"].to_numpy()[:, None] * (1 - lam + lam * np.stack(pdf["mult"].to_numpy()))
-                hit = np.stack([code_ == c for c in range(1, k)], 1).astype(float)
-                for r in range(reps):
-                    link = x @ betas[r].reshape(k - 1, p).T
-                    top = np.maximum(link.max(1), 0.0)[:, None]
-                    e = np.exp(link - top)
-                    prob = e / (e.sum(1, keepdims=True) + np.exp(-top))
-                    res = (hit - prob) * w[:, r][:, None]
-                    score[r] += (res.T @ x).ravel()
-                    for a in range(k - 1):
-                        for b in range(a, k - 1):
-                            v = w[:, r] * prob[:, a] * ((a == b) - prob[:, b])
-                            g = (x * v[:, None]).T @ x
-                            info[r, a * p:(a + 1) * p, b * p:(b + 1) * p] += g
-                            if a != b:
-                                info[r, b * p:(b + 1) * p, a * p:(a + 1) * p] += g.T
+                for lo in range(0, len(pdf), step):
+                    part = pdf.iloc[lo:lo + step]
+                    lam = part["lam"].to_numpy()[:, None]
+                    w = part["w"].to_numpy()[:, None] * (1 - lam + lam * draw_counts(part["times"], reps))
+                    add(score, info, part[x_names].to_numpy(dtype=float), part["y"].to_numpy().astype(int), w)
+            for a in range(k - 1):
+                for b in range(a + 1, k - 1):
+                    info[:, b, a] = info[:, a, b].transpose(0, 2, 1)
+            info = info.transpose(0, 1, 3, 2, 4)
             yield pd.DataFrame({
                 "rep": np.repeat(np.arange(reps), q * (q + 1)),
                 "pos": np.tile(np.arange(q * (q + 1)), reps),
-                "value": np.concatenate([score, info.reshape(reps, q * q)], 1).ravel(),
+                "value": np.concatenate([score.reshape(reps, q), info.reshape(reps, q * q)], 1).ravel(),
             })
         return partial
 

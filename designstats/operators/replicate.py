@@ -6,15 +6,20 @@ rows are read once, whatever the number of replicates. No (row x replicate) tabl
 * jackknife: leaving out a PSU is algebra on its stratum total, one row per PSU;
 * BRR and Fay: all half-sample totals are one Walsh-Hadamard transform of the within-pair
   differences, done in two grouped stages of fast transforms of about sqrt(R) terms each;
-* bootstrap: each PSU row deals one draw per replicate, joined back by its number.
+* bootstrap: tasks deal the draws of stretches of PSU numbers and pack them by the block of
+  numbers they fall in; a block's counts become one byte per replicate for each PSU, and a
+  task sums its PSU rows to one vector of the replicates for each key.
 """
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from designstats.functions.columns import col
 from designstats.functions.dist import INF
@@ -22,6 +27,11 @@ from designstats.operators.design import PSU, STR, WT, Design
 from designstats.operators.estimate import interval, mean_cells, with_share
 from designstats.operators.frame import null_safe_join, number_rows
 
+#: Draws that a task deals at once, and counts (PSUs x replicates) or row weights that it holds at once.
+DEALT, COUNTED = 1 << 20, 1 << 21
+#: Tasks that deal draws, at most.
+DEALERS = 2048
+
 
 def even_strata(design: Design) -> Design:
     """Keep the strata with an even number of PSUs, as a new design (without fpc)."""
@@ -54,6 +64,83 @@ def _walsh_column(size: int):
     return transform
 
 
+def _dealt(seed: int, reps: int, step: int, width: int):
+    """Stretches of a stratum's PSU numbers -> for each block of ``width`` numbers the draws that fall in it."""
+    def deal(batches):
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("text", "n_h", "part")])
+            for row, (text, size, part) in enumerate(rows):
+                own = [b"%d" % rn for rn in range(part * step + 1, min(size, (part + 1) * step) + 1)]
+                heads = [f"{seed}|{rep}|{text}|".encode() for rep in range(1, reps + 1)]
+                digests = b"".join([md5(head + rn, usedforsecurity=False).digest()[:4] for head in heads for rn in own])
+                at = np.frombuffer(digests, ">u4").astype(np.int64) % size
+                block, place = np.divmod(at, width)
+                code = (np.repeat(np.arange(reps), len(own)) * width + place).astype(np.uint32)
+                order = np.argsort(block.astype(np.min_scalar_type(block.max())), kind="stable")
+                blocks, first = np.unique(block[order], return_index=True)
+                cells = [c.tobytes() for c in np.split(code[order], first[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(STR).take(pa.array([row] * len(blocks))), pa.array(blocks),
+                     pa.array([size] * len(blocks), pa.int64()), pa.array(cells, pa.binary())],
+                    [STR, "block", "n_h", "cells"])
+
+    return deal
+
+
+def _counted(reps: int, width: int):
+    """The draws of a block of PSU numbers -> each number and how often it is drawn, one byte per replicate."""
+    def count(table: pa.Table) -> pa.Table:
+        codes = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint32)
+        times = np.bincount(codes, minlength=reps * width).reshape(reps, width)
+        if times.max() > 255:
+            raise OverflowError("a PSU is drawn more than 255 times in a replicate")
+        first = table.column("block")[0].as_py() * width
+        psus = min(width, table.column("n_h")[0].as_py() - first)
+        raw = times.T[:psus].astype(np.uint8).tobytes()
+        return pa.table({
+            STR: table.column(STR).take(pa.array([0] * psus)), "rn": pa.array(np.arange(first + 1, first + psus + 1)),
+            "times": pa.array([raw[i * reps:(i + 1) * reps] for i in range(psus)], pa.binary())})
+
+    return count
+
+
+def draw_counts(times, reps: int) -> np.ndarray:
+    """Rows of bytes as a table of counts, one column per replicate."""
+    return np.frombuffer(b"".join(times), np.uint8).reshape(-1, reps)
+
+
+def _vector_sums(reps: int, keys: list[str], values: list[str]):
+    """PSU rows with their draw counts -> for each key of a batch the vectors sum(value * count)."""
+    step = max(1, COUNTED // reps)
+
+    def sums(part: pa.RecordBatch) -> pa.RecordBatch:
+        group = np.zeros(part.num_rows, dtype=np.int64)
+        for k in keys:
+            code = part.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.unique(group * (code.max() + 1) + code, return_inverse=True)[1]
+        order = np.argsort(group, kind="stable")
+        first = np.unique(group[order], return_index=True)[1]
+        times = draw_counts(part.column("times").to_pylist(), reps).astype(float)
+        own = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in values])
+        # an infinite value or NaN is felt where its PSU is drawn only
+        known = np.where(np.isfinite(own), own, 0.0)
+        out = np.empty((len(first), len(values), reps))
+        for g, at in enumerate(np.split(order, first[1:])):
+            out[g] = known[:, at] @ times[at]
+            for v, i in np.argwhere(known[:, at] != own[:, at]):
+                hit = times[at[i]] > 0
+                out[g, v, hit] += own[v, at[i]]
+        lists = [pa.array(list(out[:, v]), pa.list_(pa.float64())) for v in range(len(values))]
+        return pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(order[first])) for k in keys], *lists], [*keys, *values])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                yield sums(batch.slice(lo, step))
+
+    return run
+
+
 @dataclass(frozen=True)
 class RepDesign:
     """A design together with a replication scheme."""
@@ -205,25 +292,49 @@ class RepDesign:
         )
 
     def draws(self) -> DataFrame:
-        """(stratum, PSU number drawn, replicate): n_h draws with replacement per replicate."""
-        text = F.concat_ws("|", F.lit(str(self.seed)), F.col("rep").cast("string"),
-                           F.col(STR).cast("string"), F.col("rn").cast("string"))
-        number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
-        dealt = self._numbered().join(self.design.strata(), STR).select(
-            STR, "rn", "n_h", F.explode(F.sequence(F.lit(1), F.lit(self.replicates))).alias("rep")
-        )
-        return dealt.select(STR, "rep", (number % F.col("n_h") + 1).alias("rn"))
+        """How often the PSU ``rn`` of a stratum is drawn: ``times`` has one byte per replicate. Kept for reuse.
+
+        In every replicate PSU number i of a stratum deals one draw, the number
+        1 + (first four bytes of md5("seed|replicate|stratum|i")) mod n_h.
+        """
+        key = ("draws", self.seed, self.replicates)
+        if key not in self.design._cache:
+            self.design._cache[key] = self._deal().persist()
+        return self.design._cache[key]
+
+    def _deal(self) -> DataFrame:
+        reps = self.replicates
+        step, width = max(1, DEALT // reps), max(1, COUNTED // reps)
+        psus, count = self.design.size()
+        last = F.floor((F.col("n_h") - 1) / step).cast("long")
+        parts = self.design.strata().where(F.col(STR).isNotNull()).select(
+            STR, F.col(STR).cast("string").alias("text"), F.col("n_h").cast("long").alias("n_h"),
+            F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"),
+        ).repartition(max(1, min(DEALERS, psus // step + count)))
+        kept = parts.schema[STR]
+        cells = StructType([kept, *StructType.fromDDL("block long, n_h long, cells binary")])
+        times = StructType([kept, *StructType.fromDDL("rn long, times binary")])
+        dealt = parts.mapInArrow(_dealt(self.seed, reps, step, width), cells)
+        return dealt.groupBy(STR, "block").applyInArrow(_counted(reps, width), times)
 
     def _bootstrap(self, psu, keys, names):
-        scheme = self.scheme()
+        scheme, keys = self.scheme(), list(keys)
         shrunk = psu.join(self.design.strata(), STR).withColumn("lam", F.sqrt(1 - F.col("f_h")))
         ends = shrunk.groupBy(*keys).agg(
             *[F.sum(t).alias(f"full_{t}") for t in names],
             *[F.sum((1 - F.col("lam")) * F.col(t)).alias(f"base_{t}") for t in names],
         )
         numbered = shrunk.join(self._numbered(), [STR, PSU])
-        hits = self.draws().join(numbered, [STR, "rn"])
-        sums = hits.groupBy("rep", *keys).agg(*[F.sum(F.col("lam") * F.col(t)).alias(t) for t in names])
+        own = {f"__v{i}": F.col("lam") * F.col(t) for i, t in enumerate(names)}
+        values = {"__hits": F.lit(1.0), **{v: F.coalesce(c, F.lit(0.0)) for v, c in own.items()},
+                  **{f"{v}_known": c.isNotNull().cast("double") for v, c in own.items()}}
+        rows = numbered.join(self.draws(), [STR, "rn"]).select("times", *keys, *[c.alias(v) for v, c in values.items()])
+        vectors = StructType([*[rows.schema[k] for k in keys], *[StructField(v, ArrayType(DoubleType())) for v in values]])
+        parts = rows.mapInArrow(_vector_sums(self.replicates, keys, list(values)), vectors)
+        number = F.sequence(F.lit(1), F.lit(self.replicates)).alias("rep")
+        each = parts.select(*keys, F.inline(F.arrays_zip(number, *values)))
+        sums = each.groupBy("rep", *keys).agg(*[F.sum(v).alias(v) for v in values]).where("__hits > 0")
+        sums = sums.select("rep", *keys, *[F.when(F.col(f"{v}_known") > 0, F.col(v)).alias(t) for v, t in zip(own, names)])
         return null_safe_join(sums, ends, keys).select(
             F.col("rep").cast("string").alias("rep"), *keys,
             *[(F.col(t) + F.col(f"base_{t}")).alias(t) for t in names],
