@@ -209,9 +209,19 @@ def total_covariance(design: Design, psu: DataFrame, names: Sequence[str]) -> np
     alone = 1 - f if design.lonely == "adjust" else F.lit(0.0)
     scale = F.when(n > 1, (1 - f) * n / (n - 1)).otherwise(alone)
     centre = F.when(n > 1, scale / n).otherwise(0.0)
-    keyed = psu.join(strata, STR).withColumn("c", scale)
-    by_stratum = psu.groupBy(STR).agg(*[F.sum(t).alias(t) for t in names]).join(strata, STR)
-    out = gram(keyed, names, "c") - gram(by_stratum.withColumn("c", centre), names, "c")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    if len(names) + len(pairs) <= JVM_SUMS:  # one pass over the PSU totals
+        products = {f"__q{k}": f"{names[i]} * {names[j]}" for k, (i, j) in enumerate(pairs)}
+        sums = [F.sum(t).alias(t) for t in names] + [F.expr(f"sum({e}) AS {q}") for q, e in products.items()]
+        by_stratum = psu.groupBy(STR).agg(*sums).join(strata, STR).withColumns({"__scale": scale, "__centre": centre})
+        row = by_stratum.selectExpr(*[f"sum(__scale * {q}) - sum(__centre * {e}) AS {q}" for q, e in products.items()]).first()
+        out = np.zeros((len(names), len(names)))
+        for value, (i, j) in zip(row, pairs):
+            out[i, j] = out[j, i] = value
+    else:
+        keyed = psu.join(strata, STR).withColumn("c", scale)
+        by_stratum = psu.groupBy(STR).agg(*[F.sum(t).alias(t) for t in names]).join(strata, STR)
+        out = gram(keyed, names, "c") - gram(by_stratum.withColumn("c", centre), names, "c")
     return out * counts["all"] / (counts["all"] - counts.single) if design.lonely == "average" and counts.single else out
 
 

@@ -71,7 +71,8 @@ def glm(
     model = model_rows(data, col(y).cast("double"), columns, weights)
     x, p = model.x, len(columns)
     iterative = family != "gaussian"
-    if iterative:
+    kept = iterative or model.design is not None  # rows that more than two passes read
+    if kept:
         model.rows = model.rows.persist()
     try:
         start = _first_guess(family, model)
@@ -100,7 +101,7 @@ def glm(
             # fixed-dispersion families are tested with the normal distribution
             df = float(n - p) if family == "gaussian" or quasi else dist.INF
     finally:
-        if iterative:
+        if kept:
             model.rows.unpersist()
     if family == "gaussian" and model.design is None:
         s2 = deviance / n
