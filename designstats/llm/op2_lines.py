@@ -11,16 +11,17 @@ occurrence in the order (doc_id, text hash, line) stays.
 """
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designstats.llm.arrays import encoded, mix, seed, slices, spans_of, trimmed, word_spans
+from designstats.llm.arrays import encoded, mix, rank_in, seed, slices, spans_of, trimmed, word_spans
 from designstats.llm.common import plain_names, stored
 from designstats.llm.graph import components, int64s, may_hold, sized_filter
-from designstats.llm.runs import runs
+from designstats.llm.runs import Union, runs
 
 DISTANCE, SIMILARITY = 10, 0.9
 #: Words from which on the number of blocks doubles, and the most blocks of a line.
@@ -31,13 +32,23 @@ COVER, SHARE = 3, 4
 FEW = 64
 #: Rows of one run that are compared at once; a longer run is compared part by part.
 RUN = 8192
+#: Rows of a run up to which its pairs are compared together with those of other runs.
+SMALL = 32
+#: Pairs of longer runs that are compared together.
+PAIRS = 4096
+#: Units of 32 bytes of the lines whose edit distances are worked out together.
+UNITS = 1024
+#: For each byte its 8 bits, the lowest first, as 8 bytes of 0 or 1.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+#: A character of a word, before the line is in lower case.
+IN_WORD = re.compile("[0-9A-Za-z_\x80-\U0010ffff]")
 
 
 def lines_of(texts: list[str], parts: str = "sim"):
     """Per line with words: text number, line number, two hashes, SimHash (dense; and where the keys of each line start, the keys),
     and where its words are.
 
-    Also the number of lines of every text. parts says how far to go: "place", "hash" or "sim".
+    Also the number of lines of every text. parts says how far to go: "place" or "sim".
     """
     data, starts = encoded([t.lower() for t in texts])
     stop = np.flatnonzero(data == 10)
@@ -53,21 +64,31 @@ def lines_of(texts: list[str], parts: str = "sim"):
     first, count, text, place = first[full], count[full], text[full], place[full]
     one = two = np.zeros(0, dtype=np.uint64)
     sim = one, np.zeros(1, dtype=np.int64), one
-    if len(full) and parts != "place":
+    if len(full) and parts == "sim":
         word = spans_of(plain, a, b)
         rank = (np.arange(len(a)) - np.repeat(first, count)).astype(np.uint64)
         spot = mix(word + mix(rank))
         one = mix(np.add.reduceat(spot, first) + count.astype(np.uint64))
         two = mix(np.add.reduceat(mix(spot ^ seed(7)), first) + count.astype(np.uint64))
-        if parts == "sim":
-            sim = simhash(word, first, count), *block_keys(word, count)
+        sim = simhash(word, first, count), *block_keys(word, count)
     return text, place, one, two, sim, (plain, a, b, first, count), total
 
 
+def nodes(ids: pa.Array, copies: pa.Array, place: np.ndarray) -> np.ndarray:
+    """A number for a line, from where it comes first."""
+    ids, copies = (x.fill_null(0).to_numpy().view(np.uint64) for x in (ids, copies))
+    return mix(mix(mix(ids + seed(14)) + copies) + place.astype(np.uint64))
+
+
 def simhash(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Majority of each bit over the words of a line."""
-    bits = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    part = -(-count // 255)  # so many words are counted in a byte for each bit
+    cut = np.repeat(first, part) + 255 * rank_in(part)
+    ones = np.add.reduceat(LANES[word.view(np.uint8)].reshape(-1, 8), cut, axis=0).view(np.uint8)
+    if len(cut) > len(first):
+        ones = np.add.reduceat(ones, np.cumsum(part) - part, axis=0, dtype=np.int32)
+    else:
+        ones = ones.astype(np.int32)
     return np.packbits(2 * ones >= count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -116,8 +137,8 @@ def shared_head(a: bytes, b: bytes) -> int:
     return lo
 
 
-def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
-    """Whether the edit distance is at most (1 - least) of the longer length; equal ends are cut off first."""
+def settled(a: bytes, b: bytes, least: float = SIMILARITY):
+    """Whether the lines are alike, where that is plain without an edit distance; if not, what differs of the two and the edits allowed."""
     most = max(len(a), len(b))
     allowed = (1 - least) * most + 1e-9
     if abs(len(a) - len(b)) > allowed:
@@ -134,7 +155,67 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     spare = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     if max(spare[spare > 0].sum(), -spare[spare < 0].sum()) > allowed:
         return False  # so many letters must be put in or taken out
-    return edit_distance(a, b, allowed) <= allowed
+    return a, b, int(allowed)
+
+
+def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
+    """Whether the edit distance is at most (1 - least) of the longer length; equal ends are cut off first."""
+    found = settled(a, b, least)
+    return found if isinstance(found, bool) else edit_distance(*found) <= found[2]
+
+
+def within(pairs: list[tuple[bytes, bytes, int]]) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its number; no line is empty. Pairs of about one length are taken together."""
+    out, order = np.zeros(len(pairs), dtype=bool), sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1]))
+    lo = 0
+    while lo < len(order):
+        hi, total = lo, 0
+        while hi < len(order) and (hi == lo or total + len(pairs[order[hi]][0]) // 32 + 1 <= UNITS):
+            total, hi = total + len(pairs[order[hi]][0]) // 32 + 1, hi + 1
+        own, lo = order[lo:hi], hi
+        out[own] = _within([pairs[i] for i in own]) if len(own) > 1 else [edit_distance(*pairs[own[0]]) <= pairs[own[0]][2]]
+    return out
+
+
+def _within(pairs) -> np.ndarray:
+    """The steps of ``edit_distance`` for pairs by falling length of the second line: the bits of all first lines are one number,
+    in units of 32 with a spare bit behind each line."""
+    one, two, most = zip(*pairs)
+    n, m = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    units = n // 32 + 1
+    start, total = np.cumsum(units) - units, int(units.sum())
+    data = np.frombuffer(b"".join(one), dtype=np.uint8)
+    used, symbol = np.unique(data), np.zeros(256, dtype=np.int64)
+    symbol[used] = np.arange(1, len(used) + 1)  # 0: in no first line
+    row = rank_in(n)
+    at = np.zeros((len(used) + 1) * total, dtype=np.uint32)
+    np.add.at(at, symbol[data] * total + np.repeat(start, n) + (row >> 5), np.uint32(1) << (row & 31).astype(np.uint32))
+    cell = np.zeros((int(m[0]), len(pairs)), dtype=np.int32)
+    cell[rank_in(m), np.repeat(np.arange(len(pairs)), m)] = symbol[np.frombuffer(b"".join(two), dtype=np.uint8)] * total
+    of, unit = np.repeat(np.arange(len(pairs)), units), np.arange(total)
+
+    n, m, start = n.tolist(), m.tolist(), start.tolist()
+    first, full = sum(1 << 32 * x for x in start), sum((1 << k) - 1 << 32 * x for k, x in zip(n, start))
+    up, down, j, live, out = full, 0, 0, len(pairs), np.zeros(len(pairs), dtype=bool)
+    while live:
+        end, width = m[live - 1], start[live - 1] + int(units[live - 1])
+        while j < end:
+            to = min(end, j + 64)
+            for row in np.take(at, cell[j:to, of[:width]] + unit[:width]):
+                eq = int.from_bytes(row.tobytes(), "little")
+                xv = eq | down
+                xh = ((eq & up) + up ^ up | eq) & full
+                ph, mh = down | full ^ (xh | up), (up & xh) << 1 & full
+                ph = (ph << 1 | first) & full
+                up, down = mh | full ^ (xv | ph), ph & xv
+            j = to
+        while live and m[live - 1] == j:  # the shortest second lines are at their end: the last rows give the distance
+            live -= 1
+            at_bit = 32 * start[live]
+            out[live] = j + (up >> at_bit).bit_count() - (down >> at_bit).bit_count() <= most[live]
+            keep = (1 << at_bit) - 1
+            up, down, full, first = up & keep, down & keep, full & keep, first & keep
+    return out
 
 
 def block_keys(word: np.ndarray, count: np.ndarray):
@@ -182,7 +263,8 @@ def sizes_fit(a, b):
 def with_partner(batches):
     """(key, line, SimHash) of those that meet another one near them, of about their size, under the key, from rows sorted by key.
 
-    Rows of 32 bytes are held for one key; two rows that both have a partner are not compared any more.
+    The key is replaced by a hash of the lines that have a partner under it, so that keys under which the same lines meet become
+    one; it is the less, the more lines these are. Rows of 32 bytes are held for one key; two rows that both have a partner are not compared any more.
     """
     def columns(batch):
         return [batch.column(c).to_numpy() for c in ("key", "line", "sim", "size")]
@@ -209,16 +291,36 @@ def with_partner(batches):
             hit[near] = hit[near + step] = True
             step += 1
         if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, line, sim)], names=["key", "line", "sim"])
+            key, line, sim = key[hit], line[hit], sim[hit]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            met, count = mix(np.add.reduceat(mix(line.view(np.uint64) ^ seed(13)), first)), np.diff(np.append(first, len(key)))
+            met = met >> np.uint64(16) | (0x7fff - np.minimum(count, 0x7fff)).astype(np.uint64) << np.uint64(48)
+            yield pa.RecordBatch.from_arrays([int64s(np.repeat(met, count)), pa.array(line), pa.array(sim)], names=["key", "line", "sim"])
         held = [x[whole:] for x in held]
 
 
 def linked(batches):
     """A star for each group of alike lines in a run; lines already joined are not compared again.
 
-    A pair with few rivals is left to the least key that both lines have.
+    A pair with few rivals is left to the least key that both lines have. Runs of up to SMALL rows are compared all together.
     """
-    for table, _ in _parts(batches):
+    stars = []
+
+    def longer():
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+            count = np.diff(np.append(first, len(key)))
+            small = count <= SMALL
+            small[:1] = small[-1:] = False  # they may go on in other batches
+            own = np.repeat(small & (count > 1), count)
+            if own.any():
+                stars.append(_star_edges(batch.filter(pa.array(own))))
+            yield batch.filter(pa.array(~np.repeat(small, count)))
+
+    for table, _ in _parts(longer()):
+        yield from stars
+        stars.clear()
         sims = table.column("sim").to_numpy().view(np.uint64)
         if len(sims) < 2:
             continue
@@ -227,18 +329,69 @@ def linked(batches):
         text = table.column("text").take(order).to_pylist()
         earlier = [{k for k in own if k < key} for own in table.column("keys").take(order).to_pylist()]
         sims, line, size = sims[order], line[order], np.array([len(t) for t in text])
-        group = np.arange(len(sims))
+        groups, pairs = Union(len(sims)), []
         for i in range(len(sims) - 1):
-            found = np.flatnonzero((np.bitwise_count(sims[i + 1:] ^ sims[i]) <= DISTANCE) & (group[i + 1:] != group[i])) + i + 1
-            found = found[sizes_fit(size[found], size[i])]
+            found = np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= DISTANCE) + i + 1
+            found = [j for j in found[sizes_fit(size[found], size[i])].tolist() if groups.root(i) != groups.root(j)]
             few = len(found) <= FEW
-            for j in found.tolist():
-                if group[j] != group[i] and (not few or earlier[i].isdisjoint(earlier[j])) and alike(text[i], text[j]):
-                    a, b = sorted((group[i], group[j]))
-                    group[group == b] = a
-        own = np.flatnonzero(group != np.arange(len(sims)))
-        if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(line[own]), pa.array(line[group[own]])], names=["a", "b"])
+            pairs += ((i, j) for j in found if not few or earlier[i].isdisjoint(earlier[j]))
+            if len(pairs) >= PAIRS:
+                join_alike(groups, pairs, text)
+                pairs = []
+        join_alike(groups, pairs, text)
+        yield _stars(groups, line)
+    yield from stars
+
+
+def _star_edges(batch):
+    """The stars of all runs of a batch, compared together."""
+    key, line, sim = (batch.column(c).to_numpy() for c in ("key", "line", "sim"))
+    text, values, bounds = batch.column("text").to_pylist(), batch.column("keys").flatten().to_pylist(), batch.column("keys").value_lengths().to_numpy()
+    size, bounds = np.array([len(t) for t in text]), np.append(0, np.cumsum(bounds)).tolist()
+    keys = [set(values[lo:hi]) for lo, hi in zip(bounds, bounds[1:])]
+    pairs, at, step = [], np.arange(len(key)), 1
+    while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
+        near = at[sizes_fit(size[at], size[at + step])]
+        near = near[np.bitwise_count(sim[near].view(np.uint64) ^ sim[near + step].view(np.uint64)) <= DISTANCE]
+        pairs += ((i, i + step) for i in near.tolist())
+        step += 1
+    least = key.tolist()
+    pairs = sorted(p for p in pairs if min(keys[p[0]] & keys[p[1]]) == least[p[0]])
+    groups = Union(len(key))
+    join_alike(groups, pairs, text)
+    return _stars(groups, line)
+
+
+def join_alike(groups: Union, pairs: list[tuple[int, int]], text: list[bytes]):
+    """Join the groups of alike pairs, those first that are plain without an edit distance.
+
+    Then every group is compared with one other, and in each step with twice as many; pairs joined by then drop out.
+    """
+    open_, each = [], 1
+    for i, j in pairs:
+        if groups.root(i) != groups.root(j):
+            found = settled(text[i], text[j])
+            if found is True:
+                groups.join(i, j)
+            elif found:
+                open_.append((i, j, found))
+    while open_:
+        some, later, taken = [], [], {}
+        for pair in open_:
+            a, b = groups.root(pair[0]), groups.root(pair[1])
+            if a != b:
+                taken[b] = taken.get(b, 0) + 1
+                (some if taken[b] <= each else later).append(pair)
+        for (i, j, _), same in zip(some, within([found for *_, found in some]).tolist()):
+            if same:
+                groups.join(i, j)
+        open_, each = later, 2 * each
+
+
+def _stars(groups: Union, line: np.ndarray):
+    root = np.array([groups.root(i) for i in range(len(line))], dtype=np.int64)
+    own = np.flatnonzero(root != np.arange(len(line)))
+    return pa.RecordBatch.from_arrays([pa.array(line[own]), pa.array(line[root[own]])], names=["a", "b"])
 
 
 def _parts(batches):
@@ -275,17 +428,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             for lo, hi in slices(texts):
                 text, place, one, two, (sim, bounds, keys), parts, _ = lines_of(texts[lo:hi])
                 at = pa.array(text + lo)
+                own = ids.take(at), copies.take(at)
                 keys = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), int64s(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), copies.take(at), pa.array(place, pa.int32()), int64s(one), int64s(two), int64s(sim), pa.array(sizes(parts)), keys],
-                    names=["id", "copy", "place", "line", "check", "sim", "size", "keys"])
+                    [*own, pa.array(place, pa.int32()), int64s(nodes(*own, place)), int64s(one), int64s(two), int64s(sim), pa.array(sizes(parts)), keys],
+                    names=["id", "copy", "place", "node", "line", "check", "sim", "size", "keys"])
 
-    found = rows.mapInArrow(trimmed(read), "id long, copy long, place int, line long, check long, sim long, size long, keys array<long>")
-    lines = stored(found.groupBy("line", "check", "sim", "size").agg(
-        F.min(F.struct("id", "copy", "place")).alias("first"), F.first("keys").alias("keys")), "lines")
+    found = rows.mapInArrow(
+        trimmed(read), "id long, copy long, place int, node long, line long, check long, sim long, size long, keys array<long>")
+    lines = stored(found.groupBy("line", "check").agg(
+        F.min(F.struct("id", "copy", "place", "node")).alias("first"), F.first("sim").alias("sim"), F.first("size").alias("size"),
+        F.first("keys").alias("keys")).drop("line", "check"), "lines")
 
     # Lines under each key where another one is near; a line has all of its keys of this kind with it, at most MOST_BLOCKS or so.
-    keys = lines.select("line", "sim", "size", F.explode("keys").alias("key"))
+    keys = lines.select(F.col("first.node").alias("line"), "sim", "size", F.explode("keys").alias("key"))
     near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(with_partner), "key long, line long, sim long")
     live = stored(near.groupBy("line", "sim").agg(F.collect_set("key").alias("keys")), "live")
     bits = sized_filter(live, "line")
@@ -294,21 +450,36 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in slices(texts):
-                _, _, one, _, _, parts, _ = lines_of(texts[lo:hi], "hash")
-                own = np.flatnonzero(may_hold(bits, one)) if len(one) else []
-                if len(own):
+                total = np.array([t.count("\n") + 1 for t in texts[lo:hi]])
+                text, place = np.repeat(np.arange(lo, hi), total), rank_in(total)
+                at = pa.array(text)
+                node = nodes(batch.column("id").take(at), batch.column("copy").take(at), place)
+                own, last, cut = np.flatnonzero(may_hold(bits, node)), None, []
+                for t, k in zip(text[own].tolist(), place[own].tolist()):
+                    split, last = split if t == last else texts[t].split("\n"), t
+                    cut.append(split[k])
+                if len(cut):
+                    number, *_, parts, _ = lines_of(cut, "place")
+                    own = own[number]
+                    at = pa.array(text[own])
                     yield pa.RecordBatch.from_arrays(
-                        [int64s(one[own]), pa.array([normalised(parts, i) for i in own], pa.binary())], names=["line", "text"])
+                        [int64s(node[own]), batch.column("id").take(at), batch.column("copy").take(at), pa.array(place[own], pa.int32()),
+                         pa.array([normalised(parts, i) for i in range(len(own))], pa.binary())], names=["line", "id", "copy", "place", "text"])
 
-    texts = rows.mapInArrow(trimmed(fetch), "line long, text binary").dropDuplicates(["line"]).join(live, "line")
-    edges = texts.withColumn("key", F.explode("keys")).repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(linked), "a long, b long")
+    texts = rows.mapInArrow(trimmed(fetch), "line long, id long, copy long, place int, text binary").dropDuplicates(["line"])
+    texts = stored(texts.join(live, "line"), "texts")
+    edges = texts.select("line", "sim", "text", "keys", F.explode("keys").alias("key"))
+    edges = edges.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(linked), "a long, b long")
     groups = components(edges)
 
-    joined = lines.drop("keys").join(groups.withColumnRenamed("node", "line"), "line", "left")
-    alone = joined.filter("root is null").select("first")
-    ahead = joined.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first")
-    kept = alone.unionByName(ahead).groupBy(F.col("first.id").alias("_k_id"), F.col("first.copy").alias("_k_copy")).agg(
-        F.collect_list("first.place").alias("_kept"))  # as long as the document has lines
+    # Places of first occurrences, taken back (as -1 - place) where the line is in a group, and put in again for the first of the group.
+    joined = texts.select("line", F.struct("id", "copy", "place").alias("first")).join(groups.withColumnRenamed("node", "line"), "line")
+    ahead = joined.groupBy("root").agg(F.min("first").alias("first"))
+    marks = (lines.select("first.id", "first.copy", "first.place")
+             .unionByName(joined.select("first.id", "first.copy", (-1 - F.col("first.place")).alias("place")))
+             .unionByName(ahead.select("first.id", "first.copy", "first.place")))
+    kept = marks.groupBy(F.col("id").alias("_k_id"), F.col("copy").alias("_k_copy")).agg(
+        F.collect_list("place").alias("_kept"))  # up to three times as long as the document has lines
     both = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_copy") == F.col("_k_copy")), "left")
     others = [c for c in columns if c != "text"]
     both = both.select(*others, "text", "_kept")
@@ -318,18 +489,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             text, kept = batch.column("text").to_pylist(), batch.column("_kept").to_pylist()
             out, n_lines, n_kept = [None] * len(text), [0] * len(text), [0] * len(text)
-            for lo, hi in slices([t or "" for t in text]):
-                own = [t or "" for t in text[lo:hi]]
-                number, place, *_, total = lines_of(own, "place")
-                bounds = np.searchsorted(number, np.arange(len(own) + 1))
-                for i, t in enumerate(own):
-                    if text[lo + i] is None:
-                        continue
-                    stays = np.ones(total[i], dtype=bool)
-                    stays[place[bounds[i]:bounds[i + 1]]] = False
-                    stays[kept[lo + i] or []] = True
-                    n_lines[lo + i], n_kept[lo + i] = int(total[i]), int(stays.sum())
-                    out[lo + i] = t if stays.all() else "\n".join(x for x, s in zip(t.split("\n"), stays.tolist()) if s)
+            for i, t in enumerate(text):
+                if t is None:
+                    continue
+                n, marks = t.count("\n") + 1, np.array(kept[i] or [], dtype=np.int64)
+                stays = np.bincount(marks[marks >= 0], minlength=n) > np.bincount(-1 - marks[marks < 0], minlength=n)
+                if not stays.all():
+                    own = t.split("\n")
+                    for k in np.flatnonzero(~stays).tolist():
+                        stays[k] = IN_WORD.search(own[k]) is None
+                n_lines[i], n_kept[i] = n, int(stays.sum())
+                out[i] = t if stays.all() else "\n".join(x for x, s in zip(own, stays.tolist()) if s)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(others))), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())],
                 names=[*others, "text", "_n_lines", "_n_kept"])
