@@ -296,11 +296,12 @@ class RepDesign:
 
         In every replicate PSU number i of a stratum deals one draw, the number
         1 + (first four bytes of md5("seed|replicate|stratum|i")) mod n_h.
+        The table comes from a few strata, so it looks small to the planner; the hint keeps it from being broadcast.
         """
         key = ("draws", self.seed, self.replicates)
         if key not in self.design._cache:
             self.design._cache[key] = self._deal().persist()
-        return self.design._cache[key]
+        return self.design._cache[key].hint("merge")
 
     def _deal(self) -> DataFrame:
         reps = self.replicates

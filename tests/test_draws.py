@@ -79,3 +79,14 @@ def test_multinomial_replicates_are_weighted_fits(spark):
             first = math.log(n[y, "0"] / n["x", "0"])
             assert got[str(r), f"(Intercept):{c}"] == pytest.approx(first, abs=1e-7)
             assert got[str(r), f"f1:{c}"] == pytest.approx(math.log(n[y, "1"] / n["x", "1"]) - first, abs=1e-7)
+
+
+def test_draws_are_not_broadcast(spark):
+    """Their table grows with the PSUs, whatever the planner makes of the few strata it comes from."""
+    rep = _rep(spark)
+    cells = [("a", f"a{i}", i % 2, float(i)) for i in range(40)]
+    totals = rep.totals(spark.createDataFrame(cells, f"{STR} string, {PSU} string, k int, t double"), ["k"], ["t"])
+    totals.collect()
+    plan = totals._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joins = [line for line in plan.splitlines() if "Join" in line and "rn#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
