@@ -28,18 +28,25 @@ DISTANCE, SIMILARITY = 10, 0.9
 WORDS, BLOCKS, MOST_BLOCKS = 64, 8, 512
 #: Words that a key covers at least; in shorter lines this share of the words.
 COVER, SHARE = 3, 4
-#: Candidates of a line in a run up to which a pair is looked up in the keys before; more are compared at once.
-FEW = 64
+#: Keys of lines that a task sorts, and rows that it hands on at once; what it holds of each.
+KEYS, SORTED, KEYED = 1 << 18, 1 << 16, np.dtype([("key", "<i8"), ("line", "<i8"), ("sim", "<i8"), ("size", "<i4")])
 #: Rows of one run that are compared at once; a longer run is compared part by part.
 RUN = 8192
-#: Rows of a run up to which its pairs are compared together with those of other runs.
-SMALL = 32
-#: Pairs of longer runs that are compared together.
-PAIRS = 4096
-#: Units of 32 bytes of the lines whose edit distances are worked out together.
-UNITS = 1024
+#: Rows of a run up to which its pairs are compared together with those of other runs, and pairs of rows of such runs.
+SMALL, TOGETHER = 512, 1 << 21
+#: Pairs of longer runs that are compared together, and pairs of rows whose SimHashes are.
+PAIRS, GRID = 4096, 1 << 17
+#: Pairs whose edit distances are worked out together, for a table of 64 rows.
+ROWS = 2048
+#: Words of 64 bits across the table of an edit distance, up to which many pairs are worked out together.
+BAND = 8
+#: Pairs for each such word, of which less are worked out one by one.
+FEWEST = 8
+#: Classes of letters that are counted in a line; slots of the lines counted at once.
+LETTERS, COUNTED = 64, 1 << 18
 #: For each byte its 8 bits, the lowest first, as 8 bytes of 0 or 1.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+ONE, TOP = np.uint64(1), np.uint64(63)
 #: A character of a word, before the line is in lower case.
 IN_WORD = re.compile("[0-9A-Za-z_\x80-\U0010ffff]")
 
@@ -137,84 +144,120 @@ def shared_head(a: bytes, b: bytes) -> int:
     return lo
 
 
-def settled(a: bytes, b: bytes, least: float = SIMILARITY):
-    """Whether the lines are alike, where that is plain without an edit distance; if not, what differs of the two and the edits allowed."""
-    most = max(len(a), len(b))
-    allowed = (1 - least) * most + 1e-9
-    if abs(len(a) - len(b)) > allowed:
-        return False
+def middles(a: bytes, b: bytes):
+    """The lines without their common head and the common tail of the rest."""
     head = shared_head(a, b)
     a, b = a[head:], b[head:]
     tail = shared_head(a[::-1], b[::-1])
-    a, b = a[:len(a) - tail], b[:len(b) - tail]
-    if max(len(a), len(b)) <= allowed:
-        return True
-    one, two = a.split(b" "), b.split(b" ")
-    if len(one) == len(two) and sum(max(len(x), len(y)) for x, y in zip(one, two) if x != y) <= allowed:
-        return True  # word for word, which is one way to edit
-    spare = np.bincount(np.frombuffer(a, np.uint8), minlength=256) - np.bincount(np.frombuffer(b, np.uint8), minlength=256)
-    if max(spare[spare > 0].sum(), -spare[spare < 0].sum()) > allowed:
-        return False  # so many letters must be put in or taken out
-    return a, b, int(allowed)
+    return a[:len(a) - tail], b[:len(b) - tail]
 
 
 def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
-    """Whether the edit distance is at most (1 - least) of the longer length; equal ends are cut off first."""
-    found = settled(a, b, least)
-    return found if isinstance(found, bool) else edit_distance(*found) <= found[2]
+    """Whether the edit distance is at most (1 - least) of the longer length."""
+    allowed = (1 - least) * max(len(a), len(b)) + 1e-9
+    return abs(len(a) - len(b)) <= allowed and edit_distance(*middles(a, b), allowed) <= allowed
 
 
 def within(pairs: list[tuple[bytes, bytes, int]]) -> np.ndarray:
     """Whether the edit distance of each pair is at most its number; no line is empty. Pairs of about one length are taken together."""
-    out, order = np.zeros(len(pairs), dtype=bool), sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1]))
-    lo = 0
-    while lo < len(order):
-        hi, total = lo, 0
-        while hi < len(order) and (hi == lo or total + len(pairs[order[hi]][0]) // 32 + 1 <= UNITS):
-            total, hi = total + len(pairs[order[hi]][0]) // 32 + 1, hi + 1
-        own, lo = order[lo:hi], hi
-        out[own] = _within([pairs[i] for i in own]) if len(own) > 1 else [edit_distance(*pairs[own[0]]) <= pairs[own[0]][2]]
+    out, groups = np.zeros(len(pairs), dtype=bool), {}
+    for i, (a, b, most) in enumerate(pairs):
+        if len(a) < len(b):
+            a, b = b, a
+        if most >= len(a):
+            out[i] = True
+        elif len(a) - len(b) <= most:
+            groups.setdefault(most // 64 + 1, []).append((i, a, b, most))
+    for width, group in groups.items():
+        if width > BAND or len(group) < FEWEST * width:
+            for i, a, b, most in group:
+                a, b = middles(a, b)
+                out[i] = edit_distance(a, b, most) <= most
+            continue
+        group.sort(key=lambda p: -len(p[2]))
+        lo = 0
+        while lo < len(group):
+            hi = lo + ROWS // width
+            number, *own = zip(*group[lo:hi])
+            out[list(number)] = _within(*own, width)
+            lo = hi
+    return out
+
+
+def _within(one, two, most, width: int) -> np.ndarray:
+    """The steps of ``edit_distance`` for pairs by falling length of the second line, which is not the longer one: of each column of the
+    table only the 64 * width rows about the diagonal, as an alignment with at most that many edits stays among them (Hyyro).
+
+    The rows move down by one with each step. Along the diagonal that ends at the last row and column the distance never falls.
+    """
+    n, m, k = np.array([len(x) for x in one]), np.array([len(x) for x in two]), np.array(most)
+    spare, steps = n - m, -(-int(m[0]) // 64) * 64
+    last = 64 * width - 1 - (k - spare) // 2  # the bit of that diagonal
+    ahead, wide = last - spare, steps + 64 * width
+    # in UTF-8 there is no byte of 255
+    rows = np.frombuffer(b"".join([x.rjust(len(x) + y, b"\xff").ljust(wide, b"\xff")[:wide] for x, y in zip(one, ahead.tolist())]), np.uint8).reshape(-1, wide)
+    columns = np.frombuffer(b"".join([x.ljust(steps) for x in two]), np.uint8).reshape(-1, steps)
+
+    at, score = np.arange(len(one)), spare.copy()
+    low = np.clip(ahead - 64 * np.arange(width)[:, None], 0, 64).astype(np.uint64)
+    up, down, out = ~np.uint64(0) << low, np.zeros((width, len(one)), dtype=np.uint64), np.zeros(len(one), dtype=bool)
+    for j in range(0, steps, 64):
+        near = np.lib.stride_tricks.sliding_window_view(rows[at, j:j + 64 * width + 63], 64 * width, axis=1)
+        equal = np.packbits((near == columns[at, j:j + 64, None]).reshape(-1), bitorder="little").view(np.uint64).reshape(len(at), 64, width)
+        equal = np.ascontiguousarray(equal.transpose(1, 2, 0))
+        kept = np.empty_like(equal)
+        for eq, same in zip(equal, kept):
+            part = eq & up
+            np.add(part, up, out=same)
+            if width > 1:
+                over = same < part
+                for w in range(1, width):
+                    same[w] += over[w - 1]
+                    over[w] |= over[w - 1] & (same[w] == 0)
+            same ^= up
+            same |= eq
+            same |= down
+            ph = same | up
+            np.invert(ph, out=ph)
+            ph |= down
+            np.bitwise_and(same, up, out=up)
+            after = same >> ONE
+            if width > 1:
+                after[:-1] |= same[1:] << TOP
+            np.bitwise_and(after, ph, out=down)
+            after |= ph
+            np.invert(after, out=after)
+            up |= after
+        equals = kept[:, last[at] >> 6, np.arange(len(at))] >> (last[at] & 63).astype(np.uint64) & ONE
+        score += ((equals == 0) & (np.arange(j, j + 64)[:, None] < m[at])).sum(0)
+        ended, far = m[at] <= j + 64, score > k[at]
+        out[at[ended & ~far]] = True
+        if (ended | far).any():
+            keep = ~(ended | far)
+            at, score, up, down = at[keep], score[keep], up[:, keep], down[:, keep]
+            if not len(at):
+                break
+    return out
+
+
+def counted(text: list[bytes]) -> np.ndarray:
+    """How often each class of letters is in the lines: one row per line."""
+    out, step = np.zeros((len(text), LETTERS), dtype=np.int32), COUNTED // LETTERS
+    for lo in range(0, len(text), step):
+        own = text[lo:lo + step]
+        data, n = np.frombuffer(b"".join(own), dtype=np.uint8), np.array([len(t) for t in own])
+        cell = np.repeat(np.arange(len(own), dtype=np.int32) * LETTERS, n) + data % LETTERS
+        out[lo:lo + step] = np.bincount(cell, minlength=len(own) * LETTERS).reshape(len(own), -1)
     return out
 
 
-def _within(pairs) -> np.ndarray:
-    """The steps of ``edit_distance`` for pairs by falling length of the second line: the bits of all first lines are one number,
-    in units of 32 with a spare bit behind each line."""
-    one, two, most = zip(*pairs)
-    n, m = np.array([len(x) for x in one]), np.array([len(x) for x in two])
-    units = n // 32 + 1
-    start, total = np.cumsum(units) - units, int(units.sum())
-    data = np.frombuffer(b"".join(one), dtype=np.uint8)
-    used, symbol = np.unique(data), np.zeros(256, dtype=np.int64)
-    symbol[used] = np.arange(1, len(used) + 1)  # 0: in no first line
-    row = rank_in(n)
-    at = np.zeros((len(used) + 1) * total, dtype=np.uint32)
-    np.add.at(at, symbol[data] * total + np.repeat(start, n) + (row >> 5), np.uint32(1) << (row & 31).astype(np.uint32))
-    cell = np.zeros((int(m[0]), len(pairs)), dtype=np.int32)
-    cell[rank_in(m), np.repeat(np.arange(len(pairs)), m)] = symbol[np.frombuffer(b"".join(two), dtype=np.uint8)] * total
-    of, unit = np.repeat(np.arange(len(pairs)), units), np.arange(total)
-
-    n, m, start = n.tolist(), m.tolist(), start.tolist()
-    first, full = sum(1 << 32 * x for x in start), sum((1 << k) - 1 << 32 * x for k, x in zip(n, start))
-    up, down, j, live, out = full, 0, 0, len(pairs), np.zeros(len(pairs), dtype=bool)
-    while live:
-        end, width = m[live - 1], start[live - 1] + int(units[live - 1])
-        while j < end:
-            to = min(end, j + 64)
-            for row in np.take(at, cell[j:to, of[:width]] + unit[:width]):
-                eq = int.from_bytes(row.tobytes(), "little")
-                xv = eq | down
-                xh = ((eq & up) + up ^ up | eq) & full
-                ph, mh = down | full ^ (xh | up), (up & xh) << 1 & full
-                ph = (ph << 1 | first) & full
-                up, down = mh | full ^ (xv | ph), ph & xv
-            j = to
-        while live and m[live - 1] == j:  # the shortest second lines are at their end: the last rows give the distance
-            live -= 1
-            at_bit = 32 * start[live]
-            out[live] = j + (up >> at_bit).bit_count() - (down >> at_bit).bit_count() <= most[live]
-            keep = (1 << at_bit) - 1
-            up, down, full, first = up & keep, down & keep, full & keep, first & keep
+def far_apart(counts: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether so many letters must be put in or taken out that more edits are needed."""
+    out, step = np.zeros(len(i), dtype=bool), COUNTED // LETTERS
+    for lo in range(0, len(i), step):
+        gap = counts[i[lo:lo + step]] - counts[j[lo:lo + step]]
+        more = np.maximum(gap, 0).sum(1)
+        out[lo:lo + step] = np.maximum(more, more - gap.sum(1)) > most[lo:lo + step]
     return out
 
 
@@ -260,6 +303,34 @@ def sizes_fit(a, b):
     return np.abs(a - b) <= (1 - SIMILARITY) * np.maximum(a, b) + 1e-9
 
 
+def packed(parts: int):
+    """Lines -> for each part of all keys the rows (key, line, SimHash, size) of a batch, as bytes: they are moved and sorted as such."""
+    def pack(batches):
+        for batch in batches:
+            keys = batch.column("keys")
+            count, key = keys.value_lengths().to_numpy(), keys.flatten().to_numpy()
+            part = (key.view(np.uint64) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+            order = np.argsort(part, kind="stable")
+            of, rows = np.repeat(np.arange(len(count)), count)[order], np.empty(len(key), dtype=KEYED)
+            rows["key"] = key[order]
+            for name in ("line", "sim", "size"):
+                rows[name] = batch.column(name).to_numpy()[of]
+            number, first = np.unique(part[order], return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number.astype(np.int32)), pa.array([x.tobytes() for x in np.split(rows, first[1:])][:len(first)], pa.binary())], names=["part", "rows"])
+
+    return pack
+
+
+def in_order(batches):
+    """The rows of a part, sorted by key."""
+    rows = np.frombuffer(b"".join(x for batch in batches for x in batch.column("rows").to_pylist()), dtype=KEYED)
+    order = np.argsort(rows["key"])
+    for lo in range(0, len(order), SORTED):
+        own = rows[order[lo:lo + SORTED]]
+        yield pa.RecordBatch.from_arrays([pa.array(own[name].astype(np.int64)) for name in KEYED.names], names=KEYED.names)
+
+
 def with_partner(batches):
     """(key, line, SimHash) of those that meet another one near them, of about their size, under the key, from rows sorted by key.
 
@@ -302,7 +373,7 @@ def with_partner(batches):
 def linked(batches):
     """A star for each group of alike lines in a run; lines already joined are not compared again.
 
-    A pair with few rivals is left to the least key that both lines have. Runs of up to SMALL rows are compared all together.
+    A pair with few rivals is left to the least key that both lines have. Runs of up to SMALL rows are compared together.
     """
     stars = []
 
@@ -313,9 +384,9 @@ def linked(batches):
             count = np.diff(np.append(first, len(key)))
             small = count <= SMALL
             small[:1] = small[-1:] = False  # they may go on in other batches
-            own = np.repeat(small & (count > 1), count)
-            if own.any():
-                stars.append(_star_edges(batch.filter(pa.array(own))))
+            own = np.flatnonzero(np.repeat(small & (count > 1), count))
+            part = np.repeat(np.cumsum(np.where(small, count * count, 0)) // TOGETHER, count)[own]
+            stars.extend(_star_edges(batch.take(pa.array(x))) for x in np.split(own, np.flatnonzero(np.diff(part)) + 1) if len(x))
             yield batch.filter(pa.array(~np.repeat(small, count)))
 
     for table, _ in _parts(longer()):
@@ -327,18 +398,22 @@ def linked(batches):
         key, line = table.column("key")[0].as_py(), table.column("line").to_numpy()
         order = np.argsort(line, kind="stable")
         text = table.column("text").take(order).to_pylist()
-        earlier = [{k for k in own if k < key} for own in table.column("keys").take(order).to_pylist()]
+        left = left_to_others(table.column("keys").take(order).combine_chunks(), np.full(len(line), key))
         sims, line, size = sims[order], line[order], np.array([len(t) for t in text])
-        groups, pairs = Union(len(sims)), []
-        for i in range(len(sims) - 1):
-            found = np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= DISTANCE) + i + 1
-            found = [j for j in found[sizes_fit(size[found], size[i])].tolist() if groups.root(i) != groups.root(j)]
-            few = len(found) <= FEW
-            pairs += ((i, j) for j in found if not few or earlier[i].isdisjoint(earlier[j]))
-            if len(pairs) >= PAIRS:
-                join_alike(groups, pairs, text)
-                pairs = []
-        join_alike(groups, pairs, text)
+        groups, counts, held, step = Union(len(sims)), counted(text), [], max(1, GRID // len(sims))
+        for lo in range(0, len(sims) - 1, step):
+            root = groups.roots()
+            near = np.bitwise_count(sims[lo:lo + step, None] ^ sims[lo + 1:]) <= DISTANCE
+            near &= sizes_fit(size[lo:lo + step, None], size[lo + 1:])
+            i, j = np.nonzero(near & (np.arange(near.shape[0])[:, None] <= np.arange(near.shape[1])))
+            i, j = i + lo, j + lo + 1
+            apart = root[i] != root[j]
+            held.append(np.stack([i[apart], j[apart]]))
+            if sum(x.shape[1] for x in held) >= PAIRS:
+                join_alike(groups, *np.concatenate(held, axis=1), text, counts, left)
+                held = []
+        if held:
+            join_alike(groups, *np.concatenate(held, axis=1), text, counts, left)
         yield _stars(groups, line)
     yield from stars
 
@@ -346,51 +421,71 @@ def linked(batches):
 def _star_edges(batch):
     """The stars of all runs of a batch, compared together."""
     key, line, sim = (batch.column(c).to_numpy() for c in ("key", "line", "sim"))
-    text, values, bounds = batch.column("text").to_pylist(), batch.column("keys").flatten().to_pylist(), batch.column("keys").value_lengths().to_numpy()
-    size, bounds = np.array([len(t) for t in text]), np.append(0, np.cumsum(bounds)).tolist()
-    keys = [set(values[lo:hi]) for lo, hi in zip(bounds, bounds[1:])]
-    pairs, at, step = [], np.arange(len(key)), 1
+    text = batch.column("text").to_pylist()
+    size = np.array([len(t) for t in text])
+    found, at, step = [], np.arange(len(key)), 1
     while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
         near = at[sizes_fit(size[at], size[at + step])]
         near = near[np.bitwise_count(sim[near].view(np.uint64) ^ sim[near + step].view(np.uint64)) <= DISTANCE]
-        pairs += ((i, i + step) for i in near.tolist())
+        found.append(np.stack([near, near + step]))
         step += 1
-    least = key.tolist()
-    pairs = sorted(p for p in pairs if min(keys[p[0]] & keys[p[1]]) == least[p[0]])
+    if not found:
+        return _stars(Union(0), line)
+    i, j = np.concatenate(found, axis=1)
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
     groups = Union(len(key))
-    join_alike(groups, pairs, text)
+    join_alike(groups, i, j, text, counted(text), left_to_others(batch.column("keys"), key))
     return _stars(groups, line)
 
 
-def join_alike(groups: Union, pairs: list[tuple[int, int]], text: list[bytes]):
-    """Join the groups of alike pairs, those first that are plain without an edit distance.
+def left_to_others(keys: pa.ListArray, key: np.ndarray):
+    """A test whether pairs of lines meet under a key less than their present one, from the keys of each line."""
+    count, values, sets = keys.value_lengths().to_numpy(), keys.flatten().to_numpy(), {}
+    end = np.cumsum(count)
+
+    def lesser(x):
+        if x not in sets:
+            sets[x] = {k for k in values[end[x] - count[x]:end[x]].tolist() if k < key[x]}
+        return sets[x]
+
+    def left(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = (count[i] > 1) & (count[j] > 1)  # a line with one key has no lesser one
+        own = np.flatnonzero(out)
+        out[own] = [not lesser(x).isdisjoint(lesser(y)) for x, y in zip(i[own].tolist(), j[own].tolist())]
+        return out
+
+    return left
+
+
+def join_alike(groups: Union, i: np.ndarray, j: np.ndarray, text: list[bytes], counts: np.ndarray, left):
+    """Join the groups of alike pairs that are not left to another run.
 
-    Then every group is compared with one other, and in each step with twice as many; pairs joined by then drop out.
+    Every group is compared with one other, and in each step with more; pairs joined by then drop out.
     """
-    open_, each = [], 1
-    for i, j in pairs:
-        if groups.root(i) != groups.root(j):
-            found = settled(text[i], text[j])
-            if found is True:
-                groups.join(i, j)
-            elif found:
-                open_.append((i, j, found))
-    while open_:
-        some, later, taken = [], [], {}
-        for pair in open_:
-            a, b = groups.root(pair[0]), groups.root(pair[1])
-            if a != b:
-                taken[b] = taken.get(b, 0) + 1
-                (some if taken[b] <= each else later).append(pair)
-        for (i, j, _), same in zip(some, within([found for *_, found in some]).tolist()):
+    size, each = np.array([len(t) for t in text]), 1
+    most = ((1 - SIMILARITY) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
+    while len(i):
+        root = groups.roots()
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, most, b = i[apart], j[apart], most[apart], b[apart]
+        order = np.argsort(b, kind="stable")
+        rank = np.empty(len(b), dtype=np.int64)
+        rank[order] = rank_in(np.bincount(b))
+        now = np.flatnonzero(rank < each)
+        own = now[~left(i[now], j[now])]
+        own = own[~far_apart(counts, i[own], j[own], most[own])]
+        some = list(zip(i[own].tolist(), j[own].tolist(), most[own].tolist()))
+        for (x, y, _), same in zip(some, within([(text[x], text[y], k) for x, y, k in some]).tolist()):
             if same:
-                groups.join(i, j)
-        open_, each = later, 2 * each
+                groups.join(x, y)
+        i, j, most, each = np.delete(i, now), np.delete(j, now), np.delete(most, now), 2 * each
 
 
 def _stars(groups: Union, line: np.ndarray):
-    root = np.array([groups.root(i) for i in range(len(line))], dtype=np.int64)
-    own = np.flatnonzero(root != np.arange(len(line)))
+    root = groups.roots()
+    own = np.flatnonzero(root != np.arange(len(root)))
     return pa.RecordBatch.from_arrays([pa.array(line[own]), pa.array(line[root[own]])], names=["a", "b"])
 
 
@@ -441,8 +536,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.first("keys").alias("keys")).drop("line", "check"), "lines")
 
     # Lines under each key where another one is near; a line has all of its keys of this kind with it, at most MOST_BLOCKS or so.
-    keys = lines.select(F.col("first.node").alias("line"), "sim", "size", F.explode("keys").alias("key"))
-    near = keys.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(with_partner), "key long, line long, sim long")
+    parts = (lines.agg(F.sum(F.size("keys"))).first()[0] or 0) // KEYS + 1
+    packs = lines.select(F.col("first.node").alias("line"), "sim", "size", "keys").mapInArrow(trimmed(packed(parts)), "part int, rows binary")
+    near = packs.repartitionById(parts, "part").mapInArrow(
+        trimmed(lambda batches: with_partner(in_order(batches))), "key long, line long, sim long")
     live = stored(near.groupBy("line", "sim").agg(F.collect_set("key").alias("keys")), "live")
     bits = sized_filter(live, "line")
 
@@ -487,21 +584,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            text, kept = batch.column("text").to_pylist(), batch.column("_kept").to_pylist()
-            out, n_lines, n_kept = [None] * len(text), [0] * len(text), [0] * len(text)
-            for i, t in enumerate(text):
-                if t is None:
-                    continue
-                n, marks = t.count("\n") + 1, np.array(kept[i] or [], dtype=np.int64)
-                stays = np.bincount(marks[marks >= 0], minlength=n) > np.bincount(-1 - marks[marks < 0], minlength=n)
-                if not stays.all():
-                    own = t.split("\n")
-                    for k in np.flatnonzero(~stays).tolist():
-                        stays[k] = IN_WORD.search(own[k]) is None
-                n_lines[i], n_kept[i] = n, int(stays.sum())
-                out[i] = t if stays.all() else "\n".join(x for x, s in zip(own, stays.tolist()) if s)
+            text, kept = batch.column("text").to_pylist(), batch.column("_kept")
+            n = np.array([0 if t is None else t.count("\n") + 1 for t in text], dtype=np.int64)
+            of, marks = np.repeat(np.arange(len(text)), kept.value_lengths().fill_null(0).to_numpy()), kept.flatten().to_numpy()
+            back = marks < 0
+            place = np.where(back, -1 - marks, marks)
+            inside = place < n[of]
+            back, place, total = back[inside], (np.cumsum(n) - n)[of[inside]] + place[inside], int(n.sum())
+            gone = np.bincount(place[~back], minlength=total) <= np.bincount(place[back], minlength=total)
+            doc, line = np.repeat(np.arange(len(text)), n)[gone], rank_in(n)[gone]
+            out, n_kept, first = text, n.copy(), np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[:len(doc)]
+            for i, places in zip(doc[first].tolist(), np.split(line, first[1:])):
+                own = out[i].split("\n")
+                lost = {k for k in places.tolist() if IN_WORD.search(own[k])}
+                if lost:
+                    n_kept[i] -= len(lost)
+                    out[i] = "\n".join(x for k, x in enumerate(own) if k not in lost)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(others))), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())],
+                [*(batch.column(i) for i in range(len(others))), pa.array(out, pa.string()), pa.array(n), pa.array(n_kept)],
                 names=[*others, "text", "_n_lines", "_n_kept"])
 
     out = both.mapInArrow(trimmed(cut), schema + ", `_n_lines` long, `_n_kept` long")

@@ -59,3 +59,6 @@ class Union:
         i, j = self.root(i), self.root(j)
         if i != j:
             self.of[max(i, j)] = min(i, j)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.of))], dtype=np.int64)
